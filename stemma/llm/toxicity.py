@@ -3,7 +3,7 @@
 Confirmed toxic documents are the positives, any other documents the unlabelled set.  Linear
 classifiers over hashed word presence minimise the non-negative PU risk
 
-    pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)]),      l(z) = 1 / (1 + exp(z)),
+    pi * E_p[l(g)] + max(0, E_u[l(-g)] - pi * E_p[l(-g)]),      l(z) = log(1 + exp(-z)),
 
 with the class prior ``pi``: where the second part turns negative, the step goes against its
 gradient, which keeps a flexible model from driving it below zero.  Training sees a bounded sample
@@ -52,16 +52,30 @@ def margins(weights: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndar
     return (sums[ends] - sums[ends - counts]) + weights[-1]
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, models: int = 3, epochs: int = 12, batch: int = 512, rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> np.ndarray:
-    """Weights (models, dim + 1) that minimise the non-negative PU risk by Adam over mini-batches."""
+def log_ratios(positive: list[np.ndarray], unlabelled: list[np.ndarray], smooth: float = 20.0) -> np.ndarray:
+    """Each feature's smoothed log ratio of its shares of the positive and of the unlabelled rows."""
     dim = 1 << DIM_BITS
+    share = lambda docs: (np.bincount(np.concatenate(docs).astype(np.int64), minlength=dim) + smooth * len(docs) / (len(positive) + len(unlabelled))) / (len(docs) + smooth)
+    return np.log(share(positive) / share(unlabelled))
+
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, models: int = 3, epochs: int = 10, least_steps: int = 300, batch: int = 512, rate: float = 0.02, decay: float = 1e-3, seed: int = 5) -> np.ndarray:
+    """Weights (models, dim + 1) that minimise the non-negative PU risk by Adam over mini-batches.
+
+    A feature counts as much as its log ratio between positive and unlabelled rows, so that the many
+    words that say nothing add little; the ratios are folded into the weights returned.
+    """
+    dim = 1 << DIM_BITS
+    scale = np.append(log_ratios(positive, unlabelled), 1.0)
     out = np.zeros((models, dim + 1))
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    loss = lambda z: np.logaddexp(0, -z)
     for m in range(models):
         rng = np.random.default_rng(seed + m)
         w, first, second, step = np.zeros(dim + 1), np.zeros(dim + 1), np.zeros(dim + 1), 0
+        w[dim] = np.log(prior / (1 - prior))
         steps = max(1, len(unlabelled) // batch)
-        for _ in range(epochs):
+        for _ in range(max(epochs, least_steps // steps)):
             u_order, p_order = rng.permutation(len(unlabelled)), rng.permutation(len(positive))
             for u_part, p_part in zip(np.array_split(u_order, steps), np.array_split(p_order, steps), strict=True):
                 if not len(p_part):
@@ -69,26 +83,43 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
                 docs = [positive[i] for i in p_part] + [unlabelled[i] for i in u_part]
                 counts = np.array([len(d) for d in docs])
                 ids = np.concatenate(docs).astype(np.int64)
-                slope = (lambda s: s * (1 - s))(sigmoid(z := margins(w, ids, counts)))
+                z = margins(w * scale, ids, counts)
                 p, u = slice(0, len(p_part)), slice(len(p_part), None)
-                negative_risk = sigmoid(z[u]).mean() - prior * sigmoid(z[p]).mean()
-                towards = np.zeros(len(z))
-                if negative_risk >= 0:
-                    towards[p] = -prior * slope[p] / len(p_part)
+                negative_risk = loss(-z[u]).mean() - prior * loss(-z[p]).mean()
+                # d loss(z) = sigmoid(z) - 1, d loss(-z) = sigmoid(z)
+                towards, says = np.zeros(len(z)), sigmoid(z)
                 sign = 1 if negative_risk >= 0 else -1
-                towards[u] += sign * slope[u] / max(1, len(u_part))
-                towards[p] -= sign * prior * slope[p] / len(p_part)
-                gradient = np.bincount(ids, np.repeat(towards, counts), dim + 1)
+                towards[u] = sign * says[u] / len(u_part)
+                towards[p] = -sign * prior * says[p] / len(p_part)
+                if sign > 0:
+                    towards[p] += prior * (says[p] - 1) / len(p_part)
+                gradient = np.bincount(ids, np.repeat(towards, counts), dim + 1) * scale
                 gradient[dim] = towards.sum()
                 gradient[:dim] += decay * w[:dim]
                 step += 1
                 first += 0.1 * (gradient - first)
                 second += 0.001 * (gradient**2 - second)
                 w -= rate * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        w = w * scale
+        w[dim] -= threshold(_all_margins(w, positive), _all_margins(w, unlabelled), prior)
         out[m] = w
     return out
 
 
+def _all_margins(w: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
+    return np.array([w[d].sum() for d in docs]) + w[-1]
+
+
+def threshold(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The margin at which the non-negative PU estimate of the 0-1 risk is least; the median of equals."""
+    grid = np.unique(np.quantile(np.concatenate([positive, unlabelled]), np.linspace(0, 1, 2001)))
+    grid = (grid[1:] + grid[:-1]) / 2 if len(grid) > 1 else grid
+    above = lambda z: 1 - np.searchsorted(np.sort(z), grid, "right") / len(z)
+    caught = above(positive)
+    risk = prior * (1 - caught) + np.maximum(0, above(unlabelled) - prior * caught)
+    return float(np.median(grid[risk <= risk.min() + 1e-12]))
+
+
 def fit(docs: DataFrame, toxic_ids: DataFrame, prior: float, *, id_col: str = "doc_id", text_col: str = "text", max_positives: int = 8000, max_unlabelled: int = 16000) -> np.ndarray | None:
     """Trains on at most ``max_positives`` of ``toxic_ids`` and ``max_unlabelled`` other rows of ``docs``.
 
