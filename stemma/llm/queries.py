@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_crf, order_minhash, toxicity, url_filter
+from . import bpe, langid, line_crf, order_minhash, packing, toxicity, url_filter
 from ._spark import table
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -21,6 +21,10 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
 def listed_urls(pages: DataFrame) -> DataFrame:
     """Canonical URLs of the pages on hosts with a label in ``LISTED_LABELS``."""
     host, path = url_filter.host_and_path(F.col("url"))
@@ -53,9 +57,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_line_quality, op6_url_filter, op8_language_id, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_line_quality, op5_bpe, op6_url_filter, op8_language_id, op9_best_fit_packing, op10_order_minhash)}
 ORACLE_SQL = {"op6_url_filter": OP6_SQL}
