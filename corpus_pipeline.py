@@ -1,3 +1,67 @@
-STAGES = []
+"""A training-corpus pipeline over ``documents``: five stages of the ``llm`` operators.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns
+a DataFrame; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stemma.llm import langid, near_dup, packing, suffix_dedup, toxicity
+from stemma.llm._spark import held_out, stored, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the PU classifiers score below one half."""
+    labels = table(spark, sf_dir, "labels").where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
+    seen = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    weights = toxicity.fit(docs.where(~held_out(F.col("doc_id"))), seen.where("toxic = 1"), toxicity.class_prior(seen))
+    scored = toxicity.score(docs, weights, keep=tuple(docs.columns), out="_toxicity")
+    return scored.where("_toxicity < 0.5").select(docs.columns)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language the profiles can tell; ``und`` goes."""
+    profiles = langid.profiles(docs.where(~held_out(F.col("doc_id"))))
+    found = langid.identify(docs, stored(profiles, "profiles"), keep=tuple(docs.columns))
+    return found.where("lang_pred <> 'und'").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group of near copies, once if its row repeats."""
+    kept = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_kept")).distinct()
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    once = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi")
+    return once.dropDuplicates(["doc_id", "_hash"]).select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts every substring of 200 bytes or more that occurs twice; ``n_chars`` follows the text."""
+    return suffix_dedup.clean_texts(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the tokens of what is left into sequences of at most 2048."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("near_dedup", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("packing", pack),
+]
+
+#: Trained models and the sketch search have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies all stages to ``documents``, storing each but the last in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
