@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: bounds what a Python worker holds at once.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Used only where the session names no checkpoint directory, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 
@@ -33,7 +34,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stemma/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # the files replace this query's shuffles, so their disk is free again
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

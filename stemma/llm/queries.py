@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_crf, order_minhash, packing, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import bpe, langid, line_crf, near_dup, order_minhash, packing, substring_dedup, suffix_dedup, toxicity, url_filter
 from ._spark import table
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -73,5 +77,5 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_substring_dedup, op4_line_quality, op5_bpe, op6_url_filter, op7_suffix_dedup, op8_language_id, op9_best_fit_packing, op10_order_minhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_substring_dedup, op4_line_quality, op5_bpe, op6_url_filter, op7_suffix_dedup, op8_language_id, op9_best_fit_packing, op10_order_minhash)}
 ORACLE_SQL = {"op6_url_filter": OP6_SQL}
