@@ -1,7 +1,421 @@
-"""Registered queries of the library's own operators and their SQL."""
+"""Registered queries of the library's operators over the star-schema tables, with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import expressions as X
+from ..operators import counts, markov, metrics, mixture, paths, relations, trees
+from ..sources import tables as T
+
+EDGES = X.geometric_edges(0.01, 10.0, 8)
+RATES = (0.03, 0.05, 0.4)  # insertion, deletion, extension of the literal models below
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "family_loglik"
+
+
+def query(sql: str | None = None, cte: bool = True):
+    """Registers a query under its function's name, with SQL that sees the views of ``sources.tables``."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            body = sql.strip()
+            ORACLE_SQL[f.__name__] = (f"WITH RECURSIVE {T.CTE.strip()}{', ' + body[5:] if body.startswith('WITH ') else ' ' + body}") if cte else body
+        return f
+
+    return add
+
+
+def _case(column: str, op: str) -> str:
+    return "(" + " + ".join(f"CAST({column} {op} {e!r} AS INT)" for e in EDGES[1:-1]) + ")"
+
+
+def _binned(spark, d):
+    return T.pairs(spark, d).withColumn("tau_bin", X.bin_left_open(F.col("tau"), EDGES))
+
+
+BINNED = f"binned AS (SELECT pair_id, fam, tau, {_case('tau', '>')} AS tau_bin FROM pairs)"
+STEPS = """steps AS (SELECT pair_id, lag(st, 1, 0) OVER w AS src, st AS dst FROM columns WINDOW w AS (PARTITION BY pair_id ORDER BY pos)
+  UNION ALL SELECT pair_id, st, 4 FROM (SELECT pair_id, st, row_number() OVER (PARTITION BY pair_id ORDER BY pos DESC) AS r FROM columns) WHERE r = 1)"""
+
+
+@query(f"WITH {BINNED}, {STEPS} SELECT tau_bin, src, dst, count(*) AS n FROM steps JOIN binned USING (pair_id) GROUP BY ALL")
+def transition_counts_by_bin(spark, d):
+    return counts.transition_counts(T.columns(spark, d), _binned(spark, d).select("pair_id", "tau_bin"), ["tau_bin"])
+
+
+@query(f"WITH {BINNED} SELECT tau_bin, a, b, count(*) AS n FROM columns JOIN binned USING (pair_id) WHERE st = 1 GROUP BY ALL")
+def match_counts(spark, d):
+    return counts.match_counts(T.columns(spark, d), _binned(spark, d).select("pair_id", "tau_bin"), ["tau_bin"])
+
+
+@query(f"WITH {BINNED} SELECT tau_bin, CASE st WHEN 2 THEN b ELSE a END AS c, count(*) AS n FROM columns JOIN binned USING (pair_id) WHERE st <> 1 GROUP BY ALL")
+def singlet_counts(spark, d):
+    return counts.singlet_counts(T.columns(spark, d), _binned(spark, d).select("pair_id", "tau_bin"), ["tau_bin"])
+
+
+ADJ = """SELECT key, a1, b1, a2, b2, count(*) AS n FROM (
+  SELECT substr('SMIDE', coalesce(ps, 0) + 1, 1) || substr('SMIDE', st + 1, 1) AS key, pa AS a1, pb AS b1, ea AS a2, eb AS b2 FROM (
+    SELECT *, lag(st) OVER w AS ps, lag(ea) OVER w AS pa, lag(eb) OVER w AS pb FROM e WINDOW w AS (PARTITION BY pair_id, flip ORDER BY pos))
+  UNION ALL SELECT substr('SMIDE', st + 1, 1) || 'E', ea, eb, NULL, NULL FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, flip ORDER BY pos DESC) AS r FROM e) WHERE r = 1)
+GROUP BY ALL"""
+EMIT = "e AS (SELECT pair_id, flip, pos, st, CASE WHEN st <> 2 THEN a END AS ea, CASE WHEN st <> 3 THEN b END AS eb FROM c)"
+
+
+@query(f"WITH c AS (SELECT *, 0 AS flip FROM columns), {EMIT} {ADJ}")
+def adjacency_counts(spark, d):
+    return counts.adjacency_counts(T.columns(spark, d))
+
+
+@query(f"WITH c AS (SELECT *, 0 AS flip FROM columns UNION ALL SELECT pair_id, pos, CASE st WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE st END, b, a, 1 FROM columns), {EMIT} {ADJ}")
+def adjacency_counts_symmetric(spark, d):
+    return counts.adjacency_counts(T.columns(spark, d), symmetric=True)
+
+
+@query("""WITH m AS (SELECT pair_id, st, sum(CAST(st = 1 AS INT)) OVER (PARTITION BY pair_id ORDER BY pos) AS seen, sum(CAST(st = 1 AS INT)) OVER (PARTITION BY pair_id) AS total FROM columns),
+seg AS (SELECT pair_id, seen, total, sum(CAST(st = 3 AS INT)) AS i, sum(CAST(st = 2 AS INT)) AS j FROM m GROUP BY ALL
+  UNION ALL SELECT DISTINCT pair_id, 0, total, 0, 0 FROM m WHERE total > 0 AND pair_id NOT IN (SELECT pair_id FROM m WHERE seen = 0))
+SELECT CASE WHEN total = 0 THEN 'SE' WHEN seen = 0 THEN 'SM' WHEN seen = total THEN 'ME' ELSE 'MM' END AS kind, CAST(least(i, 3) AS INT) AS i, CAST(least(j, 3) AS INT) AS j, count(*) AS n FROM seg GROUP BY ALL""")
+def gap_tally(spark, d):
+    return counts.gap_tally(T.columns(spark, d), 3)
+
+
+@query("""WITH s AS (SELECT seq_id, pos, c, lag(c, 1, 20) OVER w AS c1, lead(c) OVER w AS nxt FROM symbols WINDOW w AS (PARTITION BY seq_id ORDER BY pos))
+SELECT c1, c2, count(*) AS n FROM (SELECT c1, c AS c2 FROM s UNION ALL SELECT c, 21 FROM s WHERE nxt IS NULL) GROUP BY ALL""")
+def symbol_bigrams(spark, d):
+    return counts.bigrams(T.symbols(spark, d), 20)
+
+
+@query("SELECT seq_id, c, round(count(*) / sum(count(*)) OVER (PARTITION BY seq_id), 9) AS share FROM symbols GROUP BY seq_id, c")
+def composition_vectors(spark, d):
+    return counts.composition(T.symbols(spark, d)).withColumn("share", F.round("share", 9))
+
+
+@query("""WITH r AS (SELECT l_partkey % 10 AS fam, pos AS col, CASE WHEN st <> 2 THEN a END AS res FROM columns JOIN (SELECT l_orderkey AS pair_id, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1) USING (pair_id)),
+n AS (SELECT fam, col, res, count(*) AS n FROM r GROUP BY ALL), c AS (SELECT fam, col, coalesce(sum(n) FILTER (res IS NOT NULL), 0) AS k, sum(n) AS al, sum(n * log2(n)) FILTER (res IS NOT NULL) AS nl FROM n GROUP BY ALL)
+SELECT fam, round(avg(CASE WHEN k > 0 THEN log2(k) - nl / k ELSE 0 END), 6) AS entropy, round(avg(1 - k / al), 6) AS gap_share, round(avg(CAST(k = 0 AS DOUBLE)), 6) AS all_gap_share FROM c GROUP BY fam""")
+def column_entropy_gap(spark, d):
+    fam = T.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("pair_id")).agg(F.min("l_partkey").alias("k")).select("pair_id", (F.col("k") % 10).alias("fam"))
+    rows = T.columns(spark, d).join(fam, "pair_id").select("fam", F.col("pos").alias("col"), F.when(F.col("st") != counts.INSERT, F.col("a")).alias("res"))
+    return counts.column_entropy(rows).select("fam", *(F.round(c, 6).alias(c) for c in ("entropy", "gap_share", "all_gap_share")))
+
+
+@query("""WITH i AS (SELECT pair_id, pos, st, pos - row_number() OVER (PARTITION BY pair_id, st ORDER BY pos) AS isl FROM columns),
+r AS (SELECT pair_id, st, isl, min(pos) AS start, count(*) AS n FROM i GROUP BY ALL)
+SELECT pair_id, string_agg(substr('MID', st, 1) || n, '' ORDER BY start) AS rle FROM r GROUP BY pair_id""")
+def rle_paths(spark, d):
+    return paths.run_lengths(T.columns(spark, d))
+
+
+@query("SELECT pair_id, pos, st FROM columns")
+def rle_roundtrip(spark, d):
+    states = paths.run_lengths(T.columns(spark, d)).select("pair_id", F.posexplode(paths.run_states(F.col("rle"))))
+    return states.select("pair_id", F.col("pos").cast("long").alias("pos"), F.col("col").alias("st"))
+
+
+@query("SELECT pair_id, pos, st, CAST(sum(CAST(st <> 2 AS INT)) OVER w - 1 AS BIGINT) AS i, CAST(sum(CAST(st <> 3 AS INT)) OVER w - 1 AS BIGINT) AS j FROM columns WINDOW w AS (PARTITION BY pair_id ORDER BY pos)")
+def residue_positions(spark, d):
+    return paths.residue_positions(T.columns(spark, d)).select("pair_id", "pos", "st", "i", "j")
+
+
+PD = "p AS (SELECT pair_id, count(*) AS sites, avg(CAST(a <> b AS DOUBLE)) AS p FROM columns WHERE st = 1 GROUP BY pair_id UNION ALL SELECT DISTINCT pair_id, 0, 1.0 FROM columns WHERE pair_id NOT IN (SELECT pair_id FROM columns WHERE st = 1))"
+
+
+@query(f"""WITH {PD} SELECT pair_id, sites, round(p, 9) AS p, round(CASE WHEN p >= 0.95 OR 1 - p * (20 / 19) <= 0.01 THEN 5.0 ELSE -ln(1 - p * (20 / 19)) END, 9) AS poisson,
+round(CASE WHEN sites < 5 THEN 'inf'::DOUBLE WHEN 1 - p - 0.2 * p * p <= 0 THEN 5.0 ELSE -ln(1 - p - 0.2 * p * p) END, 9) AS kimura, round(CASE WHEN 1 - p * (4 / 3) <= 0 THEN 5.0 ELSE -0.75 * ln(1 - p * (4 / 3)) END, 9) AS jc69 FROM p""")
+def pair_distances(spark, d):
+    match = F.col("st") == counts.MATCH
+    p = T.columns(spark, d).groupBy("pair_id").agg(F.sum(match.cast("long")).alias("sites"), F.coalesce(F.avg(F.when(match, (F.col("a") != F.col("b")).cast("double"))), F.lit(1.0)).alias("p"))
+    return p.select("pair_id", "sites", F.round("p", 9).alias("p"), F.round(X.poisson_time(F.col("p")), 9).alias("poisson"), F.when(F.col("sites") < 5, float("inf")).otherwise(F.round(X.kimura_distance(F.col("p"), F.lit(5)), 9)).alias("kimura"), F.round(X.jc69_time(F.col("p")), 9).alias("jc69"))
+
+
+@query(f"SELECT event_id, {_case('value / 100', '>')} AS left_bin, {_case('value / 100', '>=')} AS right_bin FROM events", cte=False)
+def value_bins(spark, d):
+    v = F.col("value") / 100
+    return T.read(spark, d, "events").select("event_id", X.bin_left_open(v, EDGES).alias("left_bin"), X.bin_right_open(v, EDGES).alias("right_bin"))
+
+
+@query("SELECT o1.o_custkey AS fam, o1.o_orderkey AS pair_id_a, o2.o_orderkey AS pair_id_b FROM orders o1 JOIN orders o2 ON o1.o_custkey = o2.o_custkey AND o1.o_orderkey < o2.o_orderkey", cte=False)
+def all_pairs_within_family(spark, d):
+    return relations.all_pairs(T.pairs(spark, d), "fam", "pair_id")
+
+
+@query("SELECT substr(sha256(coalesce(text, '')), 1, 16) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1", cte=False)
+def dedupe_by_hash(spark, d):
+    return relations.without_copies(T.read(spark, d, "documents"), "text", "doc_id")
+
+
+@query("""SELECT doc_id, substr(sha256(text), 1, 16) AS h FROM documents WHERE substr(sha256(text), 1, 16) NOT IN (SELECT substr(sha256(text), 1, 16) FROM documents WHERE source = 'src0')""", cte=False)
+def seen_hash_anti_join(spark, d):
+    docs = T.read(spark, d, "documents")
+    return relations.unseen(docs, docs.where("source = 'src0'").select(relations.content_hash(F.col("text")).alias("h")), "text").select("doc_id", "h")
+
+
+SPLIT = """SELECT c_custkey AS fam, n, CASE WHEN before < 0.8 * total THEN 'train' WHEN before < 0.9 * total THEN 'val' ELSE 'test' END AS split FROM (
+  SELECT c_custkey, n, sum(n) OVER (ORDER BY md5('0:' || c_custkey), c_custkey) - n AS before, sum(n) OVER () AS total FROM (SELECT o_custkey AS c_custkey, count(*) AS n FROM orders GROUP BY 1))"""
+
+
+@query(SPLIT, cte=False)
+def cumulative_split(spark, d):
+    sizes = T.pairs(spark, d).groupBy("fam").agg(F.count("*").alias("n"))
+    return relations.cumulative_split(sizes, "fam", "n", [0.8, 0.9], ["train", "val", "test"]).select("fam", "n", "split")
+
+
+@query(f"WITH s AS ({SPLIT}) SELECT pair_id, fam FROM pairs JOIN (SELECT fam FROM s WHERE split = 'train') USING (fam)")
+def split_semi_join(spark, d):
+    return T.pairs(spark, d).join(cumulative_split(spark, d).where("split = 'train'"), "fam", "left_semi").select("pair_id", "fam")
+
+
+@query("SELECT pair_id, fam FROM (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY md5('7:' || pair_id), pair_id) AS r FROM pairs) WHERE r <= 2")
+def hash_sample_per_family(spark, d):
+    return relations.first_per_group(T.pairs(spark, d).select("pair_id", "fam"), "fam", [relations.draw("pair_id", seed=7), "pair_id"], 2)
+
+
+@query("SELECT pair_id, fam FROM pairs ORDER BY md5('3:' || pair_id), pair_id LIMIT 500")
+def hash_sample(spark, d):
+    return relations.sampled(T.pairs(spark, d).select("pair_id", "fam"), "pair_id", 500, seed=3)
+
+
+@query("SELECT user_id, count(*) AS visits FROM events GROUP BY user_id ORDER BY visits, md5('5:' || user_id), user_id LIMIT 20", cte=False)
+def least_visited(spark, d):
+    visits = T.read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("visits"))
+    return relations.least_visited(visits, "visits", "user_id", 20, seed=5)
+
+
+@query("""WITH s AS (SELECT fam, count(*) AS n, min(pair_id) AS f FROM pairs GROUP BY fam),
+b AS (SELECT x.fam, x.pair_id AS pair_id_a, y.pair_id AS pair_id_b, n FROM pairs x JOIN pairs y ON x.fam = y.fam AND x.pair_id < y.pair_id JOIN s ON s.fam = x.fam),
+c AS (SELECT fam, pair_id_a, pair_id_b FROM b WHERE CAST('0x' || substr(md5('1:' || pair_id_a || ':' || pair_id_b), 1, 8) AS BIGINT) / 4294967296.0 < CASE WHEN n <= 3 THEN 1.0 ELSE least(1.0, 1.5 * ln(n) / n) END)
+SELECT * FROM c UNION ALL SELECT p.fam, f, p.pair_id FROM pairs p JOIN s USING (fam) WHERE n > 1 AND p.pair_id <> f AND p.pair_id NOT IN (SELECT pair_id_a FROM c UNION ALL SELECT pair_id_b FROM c)""")
+def erdos_renyi_pairs(spark, d):
+    return relations.random_pairs(T.pairs(spark, d).select("fam", "pair_id"), "fam", "pair_id", 1.5, seed=1)
+
+
+PCT = ", ".join(f"round(quantile_cont(tau, {p / 100}), 6) AS p{p}" for p in (10, 25, 50, 75, 90))
+
+
+@query(f"SELECT o_orderpriority, count(*) AS n, round(avg(tau), 6) AS mean, round(min(tau), 6) AS least, round(max(tau), 6) AS greatest, {PCT} FROM (SELECT o_orderpriority, o_totalprice / 100000.0 AS tau FROM orders) GROUP BY 1", cte=False)
+def manifest_summary(spark, d):
+    rows = T.read(spark, d, "orders").select("o_orderpriority", (F.col("o_totalprice") / 100000.0).alias("tau"))
+    return metrics.summary(rows, ["o_orderpriority"], "tau").select("o_orderpriority", "n", *(F.round(c, 6).alias(c) for c in ("mean", "least", "greatest", "p10", "p25", "p50", "p75", "p90")))
+
+
+@query("SELECT fam, tau_bin, count(*) AS pairs, round(sum(tau), 4) AS tau FROM (SELECT fam % 25 AS fam, tau, " + _case("tau", ">") + " AS tau_bin FROM pairs) GROUP BY ROLLUP (fam, tau_bin)")
+def micro_rollup(spark, d):
+    rows = _binned(spark, d).select((F.col("fam") % 25).alias("fam"), "tau_bin", "tau", F.lit(1).alias("pairs"))
+    return metrics.rolled_up(rows, ["fam", "tau_bin"], ["pairs", "tau"]).withColumn("tau", F.round("tau", 4))
+
+
+def _bd(ext: str | None) -> str:
+    """SQL of the link model's transitions at rates (l, m) and time t of the relation ``r``."""
+    rows = []
+    for src in "SMID":
+        g = "(1 - beta / (l / m * (1 - alpha)))" if src == "D" else "beta"
+        for dst, x in (("M", f"(1 - {g}) * l / m * alpha"), ("I", g), ("D", f"(1 - {g}) * l / m * (1 - alpha)"), ("E", f"(1 - {g}) * (1 - l / m)")):
+            if ext and src != "S":
+                x = f"(1 - {ext}) * ({x})" + (f" + {ext}" if src == dst else "")
+            rows.append(f"SELECT id, '{src}' AS src, '{dst}' AS dst, {x} AS p FROM bd")
+    return "bd AS (SELECT *, exp(-m * t) AS alpha, CASE WHEN abs(1 - l / m) < 1e-4 THEN m * t / (1 + m * t) ELSE l * (1 - exp((l - m) * t)) / nullif(m - l * exp((l - m) * t), 0) END AS beta FROM r), model AS (" + " UNION ALL ".join(rows) + ")"
+
+
+R = "r AS (SELECT c_custkey AS id, 0.02 + (c_custkey % 7) / 100.0 AS l, 0.03 + (c_custkey % 9) / 100.0 AS m, 0.1 + (c_custkey % 50) / 10.0 AS t FROM customer)"
+
+
+def _rates(spark, d):
+    c = F.col("c_custkey")
+    return T.read(spark, d, "customer").select(c.alias("id"), (0.02 + (c % 7) / 100.0).alias("l"), (0.03 + (c % 9) / 100.0).alias("m"), (0.1 + (c % 50) / 10.0).alias("t"))
+
+
+def _transitions(spark, d, ext):
+    model = X.link_transitions(F.col("l"), F.col("m"), F.col("t"), F.lit(ext) if ext else None)
+    return _rates(spark, d).select("id", F.explode(F.array(*(F.struct(F.lit(s).alias("src"), F.lit(t).alias("dst"), F.round(p, 9).alias("p")) for (s, t), p in model.items()))).alias("x")).select("id", "x.*")
+
+
+@query(f"WITH {R}, {_bd(None)} SELECT id, src, dst, round(p, 9) AS p FROM model", cte=False)
+def link_matrix(spark, d):
+    return _transitions(spark, d, None)
+
+
+@query(f"WITH {R}, {_bd('0.4')} SELECT id, src, dst, round(p, 9) AS p FROM model", cte=False)
+def fragment_matrix(spark, d):
+    return _transitions(spark, d, 0.4)
+
+
+MSTEP = """WITH s AS (SELECT o_custkey AS fam, count(*) * 1.0::DOUBLE AS nb, count(*) * 1.7::DOUBLE + 1 AS nd, sum(o_totalprice) / 10000.0 AS ns, count(*) * 0.9::DOUBLE AS nl, 0.5::DOUBLE * count(*) AS nm, count(*) * 2.0::DOUBLE AS nt FROM orders GROUP BY 1),
+q AS (SELECT *, nb + nl AS qa, nd - nl - nm AS qd FROM s),
+k AS (SELECT *, (ns + nt) * qd AS c2, -(ns * (qa + qd + 2 * nm) + nt * (qd + nm)) AS c1, ns * qa AS c0 FROM q),
+z AS (SELECT *, CASE WHEN c1 * c1 - 4 * c2 * c0 >= 0 AND c2 <> 0 THEN greatest(least((-c1 - sqrt(greatest(c1 * c1 - 4 * c2 * c0, 0))) / (2 * c2), 1 - 1e-10), 1e-10) END AS kap FROM k),
+o AS (SELECT fam, CASE WHEN kap IS NULL THEN greatest(nb, 1e-10) / (ns + nt) ELSE greatest(kap * (qd + nm / (1 - kap)) / ns, 1e-10) END AS lam, CASE WHEN kap IS NULL THEN greatest(nd, 1e-10) / ns ELSE (qd + nm / (1 - kap)) / ns END AS mu FROM z)
+SELECT fam, round(lam, 8) AS lam, round(greatest(mu, lam + 1e-10), 8) AS mu FROM o"""
+
+
+@query(MSTEP, cte=False)
+def mstep_quadratic(spark, d):
+    n = F.count("*")
+    s = T.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("fam")).agg((n * 1.0).alias("B"), (n * 1.7 + 1).alias("D"), (F.sum("o_totalprice") / 10000.0).alias("S"), (n * 0.9).alias("L"), (n * 0.5).alias("M"), (n * 2.0).alias("T"))
+    lam, mu = X.quadratic_rates(*(F.col(c) for c in ("B", "D", "S", "L", "M", "T")))
+    return s.select("fam", F.round(lam, 8).alias("lam"), F.round(mu, 8).alias("mu"))
+
+
+MODEL = f"r AS (SELECT {', '.join(f'{v} AS {k}' for k, v in zip('lm', RATES, strict=False))}, tau_bin AS id, t FROM (SELECT unnest({list(range(8))}) AS tau_bin, unnest({[(a * b) ** 0.5 for a, b in zip(EDGES, EDGES[1:], strict=False)]}) AS t)), {_bd(str(RATES[2]))}"
+
+
+def _log_model(spark):
+    centres = [(k, (a * b) ** 0.5) for k, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False))]
+    lam, mu, ext = map(F.lit, RATES)
+    model = X.link_transitions(lam, mu, F.col("t"), ext)
+    rows = spark.createDataFrame(centres, "tau_bin int, t double")
+    cells = F.array(*(F.struct(F.lit(counts.NAMES.index(s)).alias("src"), F.lit(counts.NAMES.index(t)).alias("dst"), F.log(p).alias("logp")) for (s, t), p in model.items()))
+    return rows.select("tau_bin", F.explode(cells).alias("x")).select("tau_bin", "x.*")
+
+
+@query(f"WITH {BINNED}, {STEPS}, {MODEL} SELECT fam, round(sum(ln(p)), 6) AS loglik, count(*) AS n FROM steps JOIN binned USING (pair_id) JOIN model ON model.id = tau_bin AND model.src = substr('SMIDE', steps.src + 1, 1) AND model.dst = substr('SMIDE', steps.dst + 1, 1) GROUP BY fam")
+def family_loglik(spark, d):
+    """Log-likelihood of each family's alignments under the fragment model at its pairs' times."""
+    n = counts.transition_counts(T.columns(spark, d), _binned(spark, d).select("pair_id", "fam", "tau_bin"), ["fam", "tau_bin"])
+    joined = n.join(F.broadcast(_log_model(spark)), ["tau_bin", "src", "dst"])  # 128 rows
+    return joined.groupBy("fam").agg(F.round(F.sum(F.col("n") * F.col("logp")), 6).alias("loglik"), F.sum("n").alias("n"))
+
+
+GROUPS = "g AS (SELECT tau_bin, count(*) FILTER (dst = 1) AS n_alpha, count(*) FILTER (dst = 3) AS n_1malpha, count(*) FILTER (src <> 3 AND dst = 2) AS n_beta, count(*) FILTER (src <> 3 AND dst <> 2) AS n_1mbeta, count(*) FILTER (src = 3 AND dst = 2) AS n_gamma, count(*) FILTER (src = 3 AND dst <> 2) AS n_1mgamma, count(*) FILTER (dst IN (1, 3)) AS n_kappa, count(*) FILTER (dst = 4) AS n_1mkappa FROM steps JOIN binned USING (pair_id) GROUP BY 1)"
+
+
+@query(f"WITH {BINNED}, {STEPS}, {GROUPS} SELECT * FROM g")
+def log_parameter_groups(spark, d):
+    return counts.log_groups(transition_counts_by_bin(spark, d), ["tau_bin"])
+
+
+@query()
+def link_rates_em(spark, d):
+    """Rates of the link model by EM over all pairs; its log-likelihood never falls (tested)."""
+    groups = log_parameter_groups(spark, d)
+    centres = spark.createDataFrame([(k, (a * b) ** 0.5) for k, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False))], "tau_bin int, tau double")
+    kept = groups.join(F.broadcast(centres), "tau_bin").cache()
+    out = mixture.birth_death_em(kept)
+    kept.unpersist()
+    return out
+
+
+HMM = ([0.6, 0.4], [[0.9, 0.1], [0.2, 0.8]], [[0.5, 0.3, 0.2], [0.1, 0.3, 0.6]])
+
+
+def _paths(spark, d):
+    return markov.gathered(T.columns(spark, d).withColumn("x", F.col("st") - 1), "pair_id", "pos", "x")
+
+
+EV = "ev AS (SELECT pair_id, pos, [ln(0.5), ln(0.3), ln(0.2)][st] AS e0, [ln(0.1), ln(0.3), ln(0.6)][st] AS e1 FROM columns)"
+
+
+@query(f"""WITH {EV}, f AS (SELECT pair_id, pos, ln(0.6) + e0 AS s0, ln(0.4) + e1 AS s1 FROM ev WHERE pos = 0
+  UNION ALL SELECT ev.pair_id, ev.pos, e0 + greatest(s0 + ln(0.9), s1 + ln(0.2)) + ln(1 + exp(-abs(s0 + ln(0.9) - s1 - ln(0.2)))), e1 + greatest(s0 + ln(0.1), s1 + ln(0.8)) + ln(1 + exp(-abs(s0 + ln(0.1) - s1 - ln(0.8)))) FROM f JOIN ev ON ev.pair_id = f.pair_id AND ev.pos = f.pos + 1)
+SELECT pair_id, round(greatest(s0, s1) + ln(1 + exp(-abs(s0 - s1))), 7) AS loglik FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY pos DESC) AS r FROM f) WHERE r = 1""")
+def forward_two_state(spark, d):
+    return markov.forward(_paths(spark, d), *HMM).select("pair_id", F.round("loglik", 7).alias("loglik"))
+
+
+@query(f"""WITH {EV}, f AS (SELECT pair_id, pos, ln(0.6) + e0 AS s0, ln(0.4) + e1 AS s1 FROM ev WHERE pos = 0
+  UNION ALL SELECT ev.pair_id, ev.pos, e0 + greatest(s0 + ln(0.9), s1 + ln(0.2)), e1 + greatest(s0 + ln(0.1), s1 + ln(0.8)) FROM f JOIN ev ON ev.pair_id = f.pair_id AND ev.pos = f.pos + 1)
+SELECT pair_id, round(greatest(s0, s1), 7) AS score FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY pos DESC) AS r FROM f) WHERE r = 1""")
+def viterbi_two_state(spark, d):
+    return markov.viterbi(_paths(spark, d), *HMM).select("pair_id", F.round("score", 7).alias("score"))
+
+
+CENTRES = [[0.1] * 64, [-0.1] * 64, [0.0] * 64]
+LP = "lp AS (SELECT vec_id, k, ln([0.3, 0.3, 0.4][k + 1]) - list_sum(list_transform(embedding, lambda x: (x - [0.1, -0.1, 0.0][k + 1]) * (x - [0.1, -0.1, 0.0][k + 1]))) / 2 AS logp FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings), (SELECT unnest([0, 1, 2]) AS k))"
+
+
+def _scores(spark, d):
+    from math import log
+
+    return mixture.gaussian_scores(T.read(spark, d, "embeddings"), CENTRES, [log(0.3), log(0.3), log(0.4)], 1.0)
+
+
+@query(f"WITH {LP}, m AS (SELECT *, max(logp) OVER (PARTITION BY vec_id) AS top FROM lp), s AS (SELECT *, sum(exp(logp - top)) OVER (PARTITION BY vec_id) AS tot FROM m) SELECT vec_id, k, round(exp(logp - top) / tot, 7) AS weight, round(top + ln(tot), 6) AS lse FROM s", cte=False)
+def soft_responsibilities(spark, d):
+    return mixture.soft_responsibilities(_scores(spark, d), "vec_id").select("vec_id", "k", F.round("weight", 7).alias("weight"), F.round("lse", 6).alias("lse"))
+
+
+@query(f"WITH {LP} SELECT vec_id, k FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logp DESC, k) AS r FROM lp) WHERE r = 1", cte=False)
+def hard_responsibilities(spark, d):
+    return mixture.hard_responsibilities(_scores(spark, d), "vec_id")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, pow(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + 1, -0.6) AS eta FROM events),
+w AS (SELECT *, eta * coalesce(exp(sum(ln(1 - eta)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)), 1) AS weight FROM e)
+SELECT user_id, round(pow(sum(weight), 2) / sum(weight * weight), 6) AS ess FROM w GROUP BY user_id""", cte=False)
+def decayed_weight_ess(spark, d):
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = T.read(spark, d, "events").select("user_id", "event_id", "ts", X.step_size(k, 1.0, 0.6).alias("eta"))
+    return paths.effective_size(paths.decayed_weights(rows, "user_id", ["ts", "event_id"], "eta"), "user_id").select("user_id", F.round("ess", 6).alias("ess"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, row_number() OVER w AS k, max(value) OVER w AS best, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT *, max(CASE WHEN prev IS NULL OR value > prev THEN k END) OVER (PARTITION BY user_id ORDER BY k) AS was FROM e) SELECT user_id, event_id, best, CAST(k - was AS INT) AS wait, k - was >= 5 AS stop FROM f""", cte=False)
+def early_stop_trace(spark, d):
+    return paths.early_stop(T.read(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 5).select("user_id", "event_id", "best", "wait", "stop")
+
+
+@query("""WITH up AS (SELECT node, node AS anc, 0.0::DOUBLE AS dist, 0 AS k FROM edges UNION ALL SELECT up.node, e.parent, up.dist + e.length, k + 1 FROM up JOIN edges e ON e.node = up.anc),
+pr AS (SELECT 'o' || o1.o_orderkey AS x, 'o' || o2.o_orderkey AS y FROM orders o1 JOIN orders o2 ON o1.o_custkey = o2.o_custkey AND o1.o_orderkey < o2.o_orderkey),
+lft AS MATERIALIZED (SELECT x, y, anc, dist FROM pr JOIN up ON up.node = x)
+SELECT x, y, round(min(lft.dist + b.dist), 6) AS d FROM lft JOIN up b ON b.node = y AND b.anc = lft.anc GROUP BY x, y""")
+def tree_path_distance(spark, d):
+    pairs = relations.all_pairs(T.pairs(spark, d), "fam", "pair_id").select(F.concat(F.lit("o"), "pair_id_a").alias("x"), F.concat(F.lit("o"), "pair_id_b").alias("y"))
+    return trees.path_distances(pairs, trees.ancestors(T.edges(spark, d), 4)).withColumn("d", F.round("d", 6))
+
+
+@query("SELECT substr(node, 1, 1) AS level, round(sum(length), 4) AS total, count(*) AS edges FROM edges GROUP BY 1")
+def tree_total_length(spark, d):
+    return trees.total_length(T.edges(spark, d).withColumn("level", F.substring("node", 1, 1)), "level").withColumn("total", F.round("total", 4))
+
+
+@query("""WITH leaf AS (SELECT 'o' || o_orderkey AS node, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 4 END AS mask FROM orders),
+c AS (SELECT parent AS node, bit_and(mask) AS al, bit_or(mask) AS an FROM leaf JOIN edges USING (node) GROUP BY 1), cm AS (SELECT node, CASE WHEN al <> 0 THEN al ELSE an END AS mask FROM c)
+SELECT * FROM leaf UNION ALL SELECT * FROM cm""")
+def parsimony_sets(spark, d):
+    status = F.col("o_orderstatus")
+    leaf = T.read(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.when(status == "F", 1).when(status == "O", 2).otherwise(4).alias("mask"))
+    # customers without an order are unresolved, and so is all that is above them
+    return trees.parsimony(T.edges(spark, d).where("substr(node, 1, 1) = 'o'"), leaf, 1)
+
+
+TRUTH = "t AS (SELECT pair_id, i, j FROM (SELECT pair_id, st, sum(CAST(st <> 2 AS INT)) OVER w - 1 AS i, sum(CAST(st <> 3 AS INT)) OVER w - 1 AS j FROM columns WINDOW w AS (PARTITION BY pair_id ORDER BY pos)) WHERE st = 1)"
+
+
+def _cells(spark, d):
+    return paths.residue_positions(T.columns(spark, d)).where(F.col("st") == counts.MATCH).select("pair_id", "i", "j")
+
+
+@query(f"WITH {TRUTH}, p AS (SELECT DISTINCT pair_id, i, i AS j FROM t) SELECT t.pair_id, count(*) AS gold, count(p.i) AS tp, round(count(p.i) / count(*), 9) AS sp FROM t LEFT JOIN p ON p.pair_id = t.pair_id AND p.i = t.i AND p.j = t.j GROUP BY 1")
+def sum_of_pairs(spark, d):
+    """Against the prediction that aligns equal positions."""
+    cells = _cells(spark, d)
+    return metrics.sum_of_pairs(cells, cells.select("pair_id", "i", F.col("i").alias("j")), ["pair_id"]).withColumn("sp", F.round("sp", 9))
+
+
+@query(f"WITH {TRUTH}, p AS (SELECT pair_id, i, i AS j, 0.5 + 0.5 / (1 + i) AS p FROM t), m AS (SELECT pair_id, sum(p) AS mass FROM p GROUP BY 1) SELECT t.pair_id, round(coalesce(sum(p.p), 0), 6) AS e_tp, count(*) AS gold, round(mass, 6) AS mass, round(2 * coalesce(sum(p.p), 0) / (mass + count(*)), 6) AS f1 FROM t LEFT JOIN p ON p.pair_id = t.pair_id AND p.i = t.i AND p.j = t.j JOIN m ON m.pair_id = t.pair_id GROUP BY t.pair_id, mass")
+def expected_pair_f1(spark, d):
+    cells = _cells(spark, d)
+    post = cells.select("pair_id", "i", F.col("i").alias("j"), (0.5 + 0.5 / (1 + F.col("i"))).alias("p"))
+    out = metrics.expected_f1(cells, post, ["pair_id"])
+    return out.select("pair_id", F.round("e_tp", 6).alias("e_tp"), "gold", F.round("mass", 6).alias("mass"), F.round("f1", 6).alias("f1"))
+
+
+@query("""SELECT lang, tp, fp, fn, tn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 9) AS "precision", round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 9) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 9) AS f1 FROM (
+SELECT lang, count(*) FILTER (quality = 1 AND s = 1) AS tp, count(*) FILTER (quality = 0 AND s = 1) AS fp, count(*) FILTER (quality = 1 AND s = 0) AS fn, count(*) FILTER (quality = 0 AND s = 0) AS tn FROM (SELECT lang, quality, CAST(n_chars > 1000 AS INT) AS s FROM labels JOIN documents USING (doc_id)) GROUP BY 1)""", cte=False)
+def f1_confusion(spark, d):
+    rows = T.read(spark, d, "labels").join(T.read(spark, d, "documents"), "doc_id").select("lang", "quality", (F.col("n_chars") > 1000).cast("int").alias("said"))
+    return metrics.confusion(rows, "quality", "said", ["lang"]).select("lang", "tp", "fp", "fn", "tn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS g, o_totalprice AS x, extract(epoch FROM o_orderdate) AS y FROM orders), k AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2 AS ry FROM r)
+SELECT g, round(corr(rx, ry), 6) AS rho FROM k GROUP BY g""", cte=False)
+def spearman_by_priority(spark, d):
+    rows = T.read(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("x"), F.unix_timestamp("o_orderdate").alias("y"))
+    return metrics.spearman(rows, "g", "x", "y").withColumn("rho", F.round("rho", 6))
