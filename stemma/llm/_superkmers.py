@@ -25,7 +25,7 @@ from . import _text
 from ._spark import prepare, stored
 
 NO_ID = (1 << 63) - 1  # stands for a null id, which is greater than any other
-BUCKET_BYTES = 12 << 20  # of packed strings that one bucket holds on average
+BUCKET_BYTES = 6 << 20  # of packed strings that one bucket holds on average
 FLUSH_BYTES = 48 << 20  # of distinct strings that a task gathers before it sends them
 SECOND_CODE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 
