@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import counts, markov, metrics, mixture, paths, relations, trees
+from ..operators import counts, markov, metrics, mixture, pairwise, paths, phylogeny, relations, trees
 from ..sources import tables as T
+from ..streaming import jobs
 
 EDGES = X.geometric_edges(0.01, 10.0, 8)
 RATES = (0.03, 0.05, 0.4)  # insertion, deletion, extension of the literal models below
@@ -419,3 +420,86 @@ SELECT g, round(corr(rx, ry), 6) AS rho FROM k GROUP BY g""", cte=False)
 def spearman_by_priority(spark, d):
     rows = T.read(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("x"), F.unix_timestamp("o_orderdate").alias("y"))
     return metrics.spearman(rows, "g", "x", "y").withColumn("rho", F.round("rho", 6))
+
+
+STATES = {"F": 0, "O": 1, "P": 2}
+
+
+def _lifted(level: str, below: str, cols: str = "l0, l1, l2") -> str:
+    """SQL of one pruning level: children ``below`` (node, l0, l1, l2) summed into their parents."""
+    top, same = "greatest(l0, l1, l2)", "exp(-length * 1.5)"
+    to = ", ".join(f"sum({top} + ln((1 - {same}) / 3 * (exp(l0 - {top}) + exp(l1 - {top}) + exp(l2 - {top})) + {same} * exp({c} - {top}))) AS {c}" for c in cols.split(", "))
+    return f"{level} AS (SELECT parent AS node, {to} FROM {below} JOIN edges USING (node) GROUP BY 1)"
+
+
+@query(f"WITH lf AS (SELECT 'o' || o_orderkey AS node, {', '.join(f'CASE WHEN o_orderstatus = {chr(39)}{k}{chr(39)} THEN 0.0 ELSE -1e30 END AS l{v}' for k, v in STATES.items())} FROM orders), {_lifted('c1', 'lf')}, {_lifted('c2', 'c1')}, {_lifted('c3', 'c2')}, {_lifted('c4', 'c3')} SELECT node, round(greatest(l0, l1, l2) + ln((exp(l0 - greatest(l0, l1, l2)) + exp(l1 - greatest(l0, l1, l2)) + exp(l2 - greatest(l0, l1, l2))) / 3), 4) AS loglik FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4)")
+def pruning_loglik(spark, d):
+    """Log-likelihood of the orders' states below every inner node of the region tree, under equal rates."""
+    status = F.col("o_orderstatus")
+    leaf = T.read(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.when(status == "F", 0).when(status == "O", 1).when(status == "P", 2).alias("state"))
+    rows = phylogeny.pruning(T.edges(spark, d), leaf, 3, 4).where("substr(node, 1, 1) <> 'o'")
+    top = F.greatest("l0", "l1", "l2")
+    return rows.select("node", F.round(top + F.log((F.exp(F.col("l0") - top) + F.exp(F.col("l1") - top) + F.exp(F.col("l2") - top)) / 3), 4).alias("loglik"))
+
+
+def _families(spark, d, leaves=10):
+    """At most ``leaves`` vectors of each label."""
+    rows = T.read(spark, d, "embeddings").select(F.col("label").cast("long").alias("fam"), "vec_id", "embedding")
+    return phylogeny.vector_distances(relations.first_per_group(rows, "fam", [relations.draw("vec_id"), "vec_id"], leaves))
+
+
+@query()
+def neighbour_joining_trees(spark, d):
+    return phylogeny.neighbour_joining(_families(spark, d))
+
+
+@query()
+def average_linkage_trees(spark, d):
+    return phylogeny.average_linkage(_families(spark, d))
+
+
+@query()
+def greedy_matching(spark, d):
+    return phylogeny.greedy_matching(_families(spark, d, 30))
+
+
+@query()
+def global_alignments(spark, d):
+    return pairwise.global_alignment(pairwise.ungapped(T.columns(spark, d)))
+
+
+@query()
+def pair_model_logliks(spark, d):
+    """Each pair's log-probability over all of its alignments under the fragment model at time 1."""
+    return pairwise.pair_likelihoods(pairwise.ungapped(T.columns(spark, d)), *pairwise.model_arrays(*RATES[:2], 1.0, RATES[2], 20))
+
+
+@query()
+def pair_match_posteriors(spark, d):
+    return pairwise.match_posteriors(pairwise.ungapped(T.columns(spark, d)), *pairwise.model_arrays(*RATES[:2], 1.0, RATES[2], 20), threshold=0.05)
+
+
+@query()
+def gaussian_mixture_em(spark, d):
+    """Component, weight and first coordinates after five EM iterations; the likelihood never falls (tested)."""
+    centres, logw, _ = mixture.gaussian_em(T.read(spark, d, "embeddings").select("vec_id", "embedding"), 64, 4)
+    return spark.createDataFrame([(k, float(w), float(c[0]), float(c[1])) for k, (w, c) in enumerate(zip(logw, centres, strict=True))], "k int, log_weight double, c0 double, c1 double")
+
+
+@query("SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", cte=False)
+def stream_windowed_counts(spark, d):
+    done = jobs.finished(jobs.windowed_counts(jobs.events(spark, d), "6 hours"), "complete", "windows")
+    return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, max(value) AS greatest FROM events GROUP BY 1", cte=False)
+def stream_user_totals(spark, d):
+    return jobs.finished(jobs.user_totals(jobs.events(spark, d)), "complete", "totals").withColumn("total", F.round("total", 4))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '2 hours' THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '2 hours' AS finish, count(*) AS n FROM s GROUP BY user_id, k""", cte=False)
+def stream_sessions(spark, d):
+    done = jobs.finished(jobs.sessions(jobs.events(spark, d), "2 hours"), "complete", "sessions")
+    return done.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("finish").cast("timestamp_ntz").alias("finish"), "n")
