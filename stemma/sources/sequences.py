@@ -27,7 +27,7 @@ def write_fasta(records: DataFrame, path: str, *, wrap: int = 60) -> None:
 
 
 def _stockholm_lines(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.[^/]*)?$", 1).alias("fam"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.[^/]*)?$", 1).alias("fam"), "value")
     return files.select("fam", F.posexplode(F.split("value", r"\r?\n"))).withColumnRenamed("col", "line")
 
 
@@ -92,7 +92,7 @@ def newick_edges(text: str | None) -> list[tuple]:
 def read_newick(spark: SparkSession, path: str) -> DataFrame:
     """tree_id, node_id, parent_id, name, branch_length, is_leaf, depth; one tree to a file."""
     parse = F.udf(newick_edges, EDGE)
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.[^/]*)?$", 1).alias("tree_id"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.[^/]*)?$", 1).alias("tree_id"), "value")
     return files.select("tree_id", F.explode(parse("value")).alias("e")).select("tree_id", "e.*")
 
 
