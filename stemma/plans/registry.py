@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import counts, markov, metrics, mixture, pairwise, paths, phylogeny, relations, trees
+from ..operators import counts, decoding, grammar, markov, metrics, mixture, pairwise, paths, phylogeny, relations, simulate, substitution, trees
 from ..sources import tables as T
 from ..streaming import jobs
 
@@ -503,3 +503,84 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '2 hours' AS finish, count(
 def stream_sessions(spark, d):
     done = jobs.finished(jobs.sessions(jobs.events(spark, d), "2 hours"), "complete", "sessions")
     return done.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("finish").cast("timestamp_ntz").alias("finish"), "n")
+
+
+TIMES = X.geometric_edges(0.001, 10.0, 49)
+
+
+def _time_sql() -> str:
+    from math import exp, log
+
+    cells = []
+    for k, t in enumerate(TIMES):
+        keep = exp(-t * 20 / 19)
+        cells.append(f"({k}, {t!r}, {log((1 - keep) / 20 + keep)!r}, {log((1 - keep) / 20)!r})")
+    return f"""WITH n AS (SELECT pair_id, sum(CAST(a = b AS INT)) AS s, sum(CAST(a <> b AS INT)) AS o FROM columns WHERE st = 1 GROUP BY 1), g AS (SELECT * FROM (VALUES {', '.join(cells)}) AS v(k, t, ls, lo)),
+l AS (SELECT pair_id, t, s * ls + o * lo AS loglik, row_number() OVER (PARTITION BY pair_id ORDER BY s * ls + o * lo DESC, k) AS r FROM n, g) SELECT pair_id, round(t, 9) AS t, round(loglik, 6) AS loglik FROM l WHERE r = 1"""
+
+
+@query(_time_sql())
+def likeliest_pair_time(spark, d):
+    best = substitution.likeliest_time(T.columns(spark, d).where(F.col("st") == counts.MATCH), TIMES, 20, "pair_id")
+    return best.select("pair_id", F.round("t", 9).alias("t"), F.round("loglik", 6).alias("loglik"))
+
+
+@query(f"WITH {BINNED}, n AS (SELECT tau_bin, a, b, count(*) AS n FROM columns JOIN binned USING (pair_id) WHERE st = 1 GROUP BY ALL) SELECT tau_bin, a, b, round((n + 0.5) / sum(n + 0.5) OVER (PARTITION BY tau_bin), 9) AS share FROM n")
+def match_posterior_shares(spark, d):
+    return substitution.posterior_shares(match_counts(spark, d), ["a", "b"], "tau_bin", 1.5).withColumn("share", F.round("share", 9))
+
+
+@query()
+def substitution_loglik(spark, d):
+    """Log-likelihood of all matches by time bin under equal rates: counts joined with a literal table."""
+    q, pi = substitution.equal_rates(20)
+    table = substitution.logs_by_bin(spark, q, pi, [(a * b) ** 0.5 for a, b in zip(EDGES, EDGES[1:], strict=False)])
+    return counts.contracted(match_counts(spark, d), F.broadcast(table), ["tau_bin", "a", "b"], ["tau_bin"])  # 3,200 rows
+
+
+@query()
+def site_rate_posterior(spark, d):
+    """Posterior of four discrete-gamma rates for the orders' states on the region tree."""
+    status = F.col("o_orderstatus")
+    leaf = T.read(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.when(status == "F", 0).when(status == "O", 1).when(status == "P", 2).alias("state"))
+    return substitution.site_rates(T.edges(spark, d), leaf, X.discrete_gamma(0.5, 4), 3, 4, "root")
+
+
+@query()
+def ancestral_states(spark, d):
+    """Marginal posterior of every customer's state given its orders."""
+    status = F.col("o_orderstatus")
+    leaf = T.read(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.when(status == "F", 0).when(status == "O", 1).when(status == "P", 2).alias("state"))
+    return substitution.root_states(phylogeny.pruning(T.edges(spark, d), leaf, 3, 1).where("substr(node, 1, 1) = 'c'"), 3)
+
+
+#: A small grammar of nested and chained spans over the three states.
+RULES = [(0, 0, 0, 0.3), (0, 1, 2, 0.3), (2, 0, 1, 1.0)]
+EMISSIONS = [(0, 0, 0.2), (0, 1, 0.1), (0, 2, 0.1), (1, 0, 0.5), (1, 1, 0.25), (1, 2, 0.25)]
+
+
+@query()
+def grammar_scores(spark, d):
+    """Inside and best-parse log-weights of each pair's state string."""
+    strings = _paths(spark, d).select(F.col("pair_id").alias("key"), "xs")
+    return grammar.parsed(strings, 3, RULES, EMISSIONS)
+
+
+@query()
+def optimal_accuracy_alignments(spark, d):
+    return decoding.optimal_accuracy(pair_match_posteriors(spark, d))
+
+
+@query()
+def simulated_transition_counts(spark, d):
+    """Transition counts of one alignment drawn from the fragment model for each order."""
+    drawn = simulate.alignments(T.pairs(spark, d), *pairwise.model_arrays(*RATES[:2], 1.0, RATES[2], 20), seed=11)
+    return counts.transitions(drawn).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query("SELECT pair_id, CASE WHEN u < 0.6 THEN 0 ELSE 1 END AS state, CASE WHEN u < 0.6 THEN CASE WHEN v < 0.9 THEN 0 ELSE 1 END ELSE CASE WHEN v < 0.2 THEN 0 ELSE 1 END END AS child FROM (SELECT pair_id, CAST('0x' || substr(md5('21:' || pair_id), 1, 12) AS BIGINT) / 281474976710656.0 AS u, CAST('0x' || substr(md5('22:' || pair_id), 1, 12) AS BIGINT) / 281474976710656.0 AS v FROM pairs)")
+def sampled_descendants(spark, d):
+    import numpy as np
+
+    rows = T.pairs(spark, d).select("pair_id").withColumn("state", simulate.choose(simulate.uniform("pair_id", seed=21), [0.6, 0.4]))
+    return simulate.descendants(rows, ["pair_id"], "state", np.array([[0.9, 0.1], [0.2, 0.8]]), seed=22)

@@ -213,3 +213,80 @@ def test_running_estimates(spark):
     stop = paths.early_stop(rows, "g", ["k"], "v", 2).orderBy("k").collect()
     assert [(r.best, r.wait, r.stop) for r in stop] == [(1.0, 0, False), (3.0, 0, False), (3.0, 1, False), (3.0, 2, True), (4.0, 0, False)]
     assert abs(sum(X.discrete_gamma(0.5, 4)) - 4) < 1e-9
+
+
+def test_substitution_tables():
+    from stemma.operators import substitution as S
+
+    rng = np.random.default_rng(1)
+    pi = rng.dirichlet(np.ones(4))
+    x = rng.random((4, 4))
+    q = S.rate_matrix(x + x.T, pi)
+    p = S.transition(q, pi, 0.7)
+    step = np.linalg.matrix_power(np.eye(4) + q * 0.7 / 4096, 4096)
+    assert np.allclose(p.sum(1), 1) and np.allclose(p, step, atol=1e-3) and np.allclose(pi @ p, pi)
+    counts_ = rng.integers(1, 9, (4, 4)).astype(float)
+    dwell, jumps = S.expected_statistics(q, pi, 0.7, counts_)
+    assert abs(dwell.sum() - 0.7 * counts_.sum()) < 1e-9 and (jumps >= -1e-12).all()
+    # changes in and out of a state differ by its end-point counts
+    assert np.allclose(jumps.sum(0) - jumps.sum(1), counts_.sum(0) - counts_.sum(1))
+
+
+def test_grammar_against_all_parses():
+    from stemma.operators import grammar
+
+    def trees_(a, xs):
+        if len(xs) == 1:
+            yield from (w for b, s, w in registry.EMISSIONS if b == a and s == xs[0])
+        for b, l, r, w in registry.RULES:
+            if b == a:
+                for k in range(1, len(xs)):
+                    for u in trees_(l, xs[:k]):
+                        for v in trees_(r, xs[k:]):
+                            yield w * u * v
+
+    for xs in ([0], [1, 2], [0, 1, 2, 0]):
+        ps = list(trees_(0, xs))
+        for best, want in ((False, sum(ps)), (True, max(ps))):
+            got = grammar.chart(np.array([xs]), 3, registry.RULES, registry.EMISSIONS, best)[0, len(xs), 0, 0]
+            assert abs(got - math.log(want)) < 1e-9
+
+
+def test_brackets(spark):
+    from stemma.operators import grammar
+
+    df = spark.createDataFrame([("((.).)",), ("(",), (")(",), ("",), ("..",)], "s string")
+    got = {r.s: r.p for r in df.select("s", grammar.partners(F.col("s")).alias("p")).collect()}
+    assert got == {"((.).)": [5, 3, -1, 1, -1, 0], "(": None, ")(": None, "": [], "..": [-1, -1]}
+
+
+def test_optimal_accuracy_against_all_chains():
+    from stemma.operators import decoding
+
+    rng = np.random.default_rng(2)
+    i, j, p = rng.integers(0, 4, 9), rng.integers(0, 4, 9), rng.random(9)
+    rising = lambda c: all(i[a] < i[b] and j[a] < j[b] for a, b in itertools.pairwise(c))
+    best = max((sum(p[list(c)]) for n in range(1, 5) for c in itertools.permutations(range(9), n) if rising(c)))
+    got = decoding.best_chain(i, j, p)
+    assert rising(got) and abs(p[got].sum() - best) < 1e-9
+
+
+def test_merged_columns(spark):
+    from stemma.operators import decoding
+
+    post = spark.createDataFrame([(1, 1, 0, 2, 0, 0.9), (1, 1, 1, 2, 1, 0.8), (1, 1, 1, 2, 0, 0.7), (1, 2, 1, 3, 0, 0.6), (1, 1, 0, 3, 0, 0.55)], "fam long, x long, i int, y long, j int, p double")
+    col = {(r.name, r.pos): r.col for r in decoding.merged_columns(post).collect()}
+    assert col[1, 0] == col[2, 0] and col[1, 1] == col[2, 1] == col[3, 0] and col[1, 0] < col[1, 1]
+
+
+def test_samples_follow_the_model(spark):
+    from stemma.operators import simulate
+
+    trans, emit, single = pairwise.model_arrays(0.3, 0.5, 0.8, 0.2, 4)
+    ids = spark.range(400).withColumnRenamed("id", "pair_id")
+    drawn = simulate.alignments(ids, trans, emit, single).cache()
+    again = simulate.alignments(ids.repartition(7), trans, emit, single)
+    assert sorted(drawn.collect(), key=str) == sorted(again.collect(), key=str)
+    first = drawn.where("pos = 0").groupBy("st").count().collect()
+    share = {r.st: r["count"] / 400 for r in first}
+    assert all(abs(share.get(k, 0) - trans[0, k]) < 0.08 for k in (1, 2, 3))
