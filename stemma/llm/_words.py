@@ -48,8 +48,6 @@ class Encoder:
 
     def learn(self, words: list[bytes]) -> None:
         """Adds words to the cache: new pieces, and words beyond the plain characters, go to the tokenizer in one batch."""
-        if len(self.words) + len(words) > self.limit:
-            self.words.clear()
         if len(self.pieces) > self.limit:
             self.pieces.clear()
         parts: list[list[str] | None] = []
@@ -71,6 +69,9 @@ class Encoder:
     def encode(self, words: list[bytes]) -> list[bytes]:
         known = self.words
         if missing := set(words).difference(known):
+            if len(known) + len(missing) > self.limit:
+                known.clear()
+                missing = set(words)
             self.learn(list(missing))
         return list(map(known.__getitem__, words))
 

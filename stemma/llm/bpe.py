@@ -77,8 +77,9 @@ class Table:
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes)
-        begin = np.cumsum(counts) - counts
-        self.hashes, self.begin, self.counts, self.ids = hashes[order], begin[order].astype(np.int64), counts[order].astype(np.int64), ids
+        begin = np.cumsum(counts, dtype=np.int64) - counts
+        kind = np.uint32 if len(ids) < 1 << 32 else np.int64
+        self.hashes, self.begin, self.counts, self.ids = hashes[order], begin.astype(kind)[order], counts[order], ids
 
     def unique(self) -> bool:
         return bool((self.hashes[1:] != self.hashes[:-1]).all())
@@ -88,7 +89,7 @@ class Table:
         words = _text.Words(data, offsets)
         distinct, place = np.unique(words.hashes(), return_inverse=True)
         entry = np.searchsorted(self.hashes, distinct)[place]
-        counts, begin = self.counts[entry], self.begin[entry]
+        counts, begin = self.counts[entry].astype(np.int64), self.begin[entry].astype(np.int64)
         ends = np.cumsum(counts)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - counts), counts)
         return np.split(self.ids[at], np.concatenate([[0], ends])[words.first[1:-1]])
@@ -121,7 +122,7 @@ def encode_decode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     rows = words.mapInArrow(packed, "h binary, n binary, ids binary").collect()
     join = lambda k, kind: np.frombuffer(b"".join(r[k] for r in rows), kind)
-    table = Table(join("h", np.uint64), join("n", np.uint16).astype(np.int64), join("ids", np.uint16 if len(pieces) <= 1 << 16 else np.uint32))
+    table = Table(join("h", np.uint64), join("n", np.uint16), join("ids", np.uint16 if len(pieces) <= 1 << 16 else np.uint32))
     if not table.unique():  # two words share a hash: only the join on whole words tells them apart
         return _by_blocks(docs, words, pieces, names, schema, docs_per_block)
     del rows

@@ -96,3 +96,12 @@ def test_bloom_has_no_false_negatives_and_few_hits(spark, monkeypatch):
 def test_url_edges(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.filter_urls(none, listed_urls(none), RULES).count() == 0
+
+
+def test_encoder_cache_is_bounded_and_right(tokenizer):
+    """A batch that would overflow the cache still finds the words it knew."""
+    coder = _words.Encoder(_words.default_path(), limit=10)
+    for part in (["alpha", "beta", "gamma!"], [f"w{k}x" for k in range(8)], ["alpha", "w1x", *(f"z{k}" for k in range(9))]):
+        got = [np.frombuffer(b, "<u4").tolist() for b in coder.encode([p.encode() for p in part])]
+        assert got == [tokenizer.encode(p, add_special_tokens=False).ids for p in part]
+        assert len(coder.words) <= 11
