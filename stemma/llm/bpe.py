@@ -138,6 +138,7 @@ def encode_decode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def _by_blocks(docs: DataFrame, words: DataFrame, pieces: list[bytes], names: list[str], schema, docs_per_block: int) -> DataFrame:
+    text_col = docs.columns[1]
     blocks = max(1, -(-docs.count() // docs_per_block))
     dealt = docs.withColumn("_block", F.pmod(F.xxhash64(*docs.columns), F.lit(blocks)))
 
@@ -152,13 +153,13 @@ def _by_blocks(docs: DataFrame, words: DataFrame, pieces: list[bytes], names: li
             for k, found in seen.items():
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), _text.binary(list(found))], ["_block", "word"])
 
-    needed = dealt.select(names and docs.columns[1], "_block").mapInArrow(of_block, "_block long, word binary").distinct().join(words, "word").select("_block", "word", "ids")
+    needed = dealt.select(text_col, "_block").mapInArrow(of_block, "_block long, word binary").distinct().join(words, "word").select("_block", "word", "ids")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = right["ids"].to_pylist()
         known = dict(zip(right["word"].to_pylist(), ids, strict=True))
         numbers = [str(i).encode() for i in range(len(pieces))]
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in left[docs.columns[1]].to_pylist()]
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in left[text_col].to_pylist()]
         made = [np.frombuffer(b"".join(map(known.__getitem__, t.split())), "<u4") for t in texts]
         return pa.Table.from_arrays([left[names[0]], *_digests(made, pieces, numbers)], names)
 
