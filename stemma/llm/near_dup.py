@@ -3,13 +3,13 @@
 A document's set is its distinct word shingles, and its sketch ``T_SIZE`` minwise tokens of that set.
 Documents with equal sets are one node of the search from the start.  Independent trees branch them:
 a root picks coordinates of the sketch, and documents with the same minwise token there fall into the
-same child.  A small child is compared exhaustively, first by sketches and then on full sets; a large
-one branches again, on coordinates each picked with probability 1 / (threshold * T_SIZE).  Pairs at
-the threshold meet in at least one root child but for a chance of (1 - threshold) ** ``ROOTS``.
+same child.  A small child is compared exhaustively, first by one bit of every token and then on full sets; a
+large one branches again, on coordinates each picked with probability 1 / (threshold * T_SIZE).
+Pairs at the threshold meet in at least one root child but for a chance of (1 - threshold) ** ``ROOTS``.
 
-Trees run in waves.  After each, confirmed links are joined to components, and a later child whose
-documents are in one component already is skipped, so a large group of copies isn't compared over
-and over.  A child reports links as a forest, never all of its pairs.
+Trees grow level by level.  After each level confirmed links are joined to components, and a child
+whose documents are in one component already is skipped, so a large group of copies isn't compared
+over and over.  A child reports links as a forest, never all of its pairs.
 
 Defined results: a null text, and one without words, has an empty set and is linked with nothing;
 with fewer words than a shingle the whole sequence is one; a row with a null id has the greatest id,
@@ -31,10 +31,10 @@ from ._spark import prepare, shuffle_partitions, stored
 
 SHINGLE = 5
 T_SIZE = 64
-ROOTS = (4, 12)  # coordinates that the roots of each wave's trees pick
+ROOTS = 16  # trees; the root of each picks a coordinate of its own
 SMALL_DOCS, SMALL_SHINGLES = 2048, 1_500_000  # a child within both is compared exhaustively
 MAX_LEVEL = 24
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 4 << 20
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, T_SIZE, dtype=np.uint64) | np.uint64(1)
 
 
@@ -55,8 +55,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def sketched(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """_id, _h, n, node, sketch of each row: the size of its set, a hash of the whole set, its minwise tokens."""
-    names = ["_id", "_h", "n", "node", "sketch"]
+    """_id, _h, n, node, bits, sketch of each row: the size of its set, a hash of the whole set, its minwise tokens and their last bits."""
+    names = ["_id", "_h", "n", "node", "bits", "sketch"]
 
     def run(batches):
         for b in batches:
@@ -73,9 +73,9 @@ def sketched(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                         x ^= x >> np.uint64(32)
                         x *= seed
                         sketch[full, i] = np.minimum.reduceat(x, at) >> np.uint64(32)
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:2]), pa.array(n.astype(np.int64)), pa.array(node.view(np.int64)), _text.binary([s.tobytes() for s in sketch])], names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:2]), pa.array(n.astype(np.int64)), pa.array(node.view(np.int64)), pa.array(np.packbits(sketch & 1, axis=1).view(np.int64).ravel()), _text.binary([s.tobytes() for s in sketch])], names)
 
-    return docs.select("_id", "_h", "_text").mapInArrow(run, "_id long, _h long, n long, node long, sketch binary")
+    return docs.select("_id", "_h", "_text").mapInArrow(run, "_id long, _h long, n long, node long, bits long, sketch binary")
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -86,74 +86,81 @@ def child(key: np.ndarray, coordinate: int, token: np.ndarray) -> np.ndarray:
     return _text.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.uint64((coordinate + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64)) + token.astype(np.uint64))
 
 
-def roots(nodes: DataFrame, first: int, count: int) -> DataFrame:
-    """key, node, n: the children of the roots that pick coordinates first .. first + count - 1."""
+ROWS = "key long, node long, n long, bits long"
+
+
+def roots(nodes: DataFrame) -> DataFrame:
+    """key, node, n, bits: every node's child under each tree's root."""
 
     def run(batches):
         for b in batches:
-            sketch = _sketches(b.column(2))
-            for i in range(first, first + count):
-                yield pa.RecordBatch.from_arrays([pa.array(child(np.full(len(sketch), i, np.uint64), i, sketch[:, i]).view(np.int64)), b.column(0), b.column(1)], ["key", "node", "n"])
+            sketch = _sketches(b.column(3))
+            for i in range(ROOTS):
+                yield pa.RecordBatch.from_arrays([pa.array(child(np.full(len(sketch), i, np.uint64), i, sketch[:, i]).view(np.int64)), *b.columns[:3]], ["key", "node", "n", "bits"])
 
-    return nodes.select("node", "n", "sketch").mapInArrow(run, "key long, node long, n long")
+    return nodes.select("node", "n", "bits", "sketch").mapInArrow(run, ROWS)
 
 
 def branches(members: DataFrame, threshold: float) -> DataFrame:
-    """key, node, n: the children of large nodes (key, node, n, sketch); a node's key picks their coordinates."""
+    """key, node, n, bits: the children of large nodes (key, node, n, bits, sketch); a node's key picks their coordinates."""
     chance = np.uint64(int((1 << 32) / (threshold * T_SIZE)))
 
     def run(batches):
         for b in batches:
-            key, sketch = b.column(0).to_numpy().view(np.uint64), _sketches(b.column(3))
+            key, sketch = b.column(0).to_numpy().view(np.uint64), _sketches(b.column(4))
             certain = (_text.mix(key) % np.uint64(T_SIZE)).astype(np.int64)
             for i in range(T_SIZE):
                 picked = (_text.mix(key + np.uint64((i + 1) * 0xD6E8FEB86659FD93 % (1 << 64))) >> np.uint64(32) < chance) | (certain == i)
                 at = np.flatnonzero(picked)
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(child(key[at], i, sketch[at, i]).view(np.int64)), b.column(1).take(pa.array(at)), b.column(2).take(pa.array(at))], ["key", "node", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(child(key[at], i, sketch[at, i]).view(np.int64)), *(b.column(k).take(pa.array(at)) for k in (1, 2, 3))], ["key", "node", "n", "bits"])
 
-    return members.mapInArrow(run, "key long, node long, n long")
+    return members.select("key", "node", "n", "bits", "sketch").mapInArrow(run, ROWS)
 
 
-def children(keys: DataFrame) -> DataFrame:
-    """key, members: every child with at least two nodes; members is null for one that isn't small.
+def children(keys: DataFrame, threshold: float) -> DataFrame:
+    """key, members: the parts of every small child that may hold links; members is null for a large child.
 
     Rows stream by in the order of their keys: a task holds one small child at a time, and only
     counts a large one.
     """
 
-    def run(batches):
-        held_key, held, weight, large = None, [], 0, False
+    def close(key, held, large):
+        if large:
+            return [(key, None)]
+        node, n, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+        node, first = np.unique(node, return_index=True)
+        if len(node) < 2:
+            return []
+        label = components(alike(bits[first].view(np.uint64), n[first], threshold))
+        parts = np.split(np.argsort(label, kind="stable"), np.flatnonzero(np.diff(np.sort(label))) + 1)
+        return [(key, node[p].tolist()) for p in parts if len(p) > 1]
 
-        def close():
-            if large:
-                return [(held_key, None)]
-            members = sorted(set(held))
-            return [(held_key, members)] if len(members) > 1 else []
+    def run(batches):
+        held_key, held, count, weight, large = None, [], 0, 0, False
 
         def made(out):
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64()))], ["key", "members"])
 
         for b in batches:
-            key, node, n = (c.to_numpy() for c in b.columns)
+            key, node, n, bits = (c.to_numpy() for c in b.columns)
             out = []
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-            ends = np.append(cuts[1:], len(key))
-            for s, e in zip(cuts.tolist(), ends.tolist(), strict=True):
-                k = int(key[s])
+            for s, e, k in zip(cuts.tolist(), np.append(cuts[1:], len(key)).tolist(), key[cuts].tolist(), strict=True):
                 if k != held_key:
-                    if held_key is not None:
-                        out += close()
-                    held_key, held, weight, large = k, [], 0, False
+                    if large or count > 1:
+                        out += close(held_key, held, large)
+                    held_key, held, count, weight, large = k, [], 0, 0, False
                 if not large:
-                    held += node[s:e].tolist()
-                    weight += int(n[s:e].sum())
-                    if len(held) > 2 and (len(held) > SMALL_DOCS or weight > SMALL_SHINGLES):
+                    held.append((node[s:e], n[s:e], bits[s:e]))
+                    count += e - s
+                    weight += int(n[s:e].sum()) if e - s > 1 or count > 1 else 0
+                    if count > 2 and (count > SMALL_DOCS or weight > SMALL_SHINGLES):
                         held, large = [], True
             if out:
                 yield made(out)
-        if held_key is not None:
-            yield made(close())
+        if large or count > 1:
+            yield made(close(held_key, held, large))
 
     return keys.repartition(shuffle_partitions(keys.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "key long, members array<long>")
 
@@ -176,15 +183,15 @@ def components(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def alike(sketch: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs that may reach the threshold: enough equal tokens (six standard deviations below the mean) and sizes near enough."""
-    least = int(T_SIZE * threshold - 6 * np.sqrt(T_SIZE * threshold * (1 - threshold)))
-    out = np.zeros((len(n), len(n)), bool)
-    for s in range(0, len(n), 64):
-        equal = (sketch[s : s + 64, None, :] == sketch[None]).sum(2)
-        out[s : s + 64] = equal >= least
-    low, high = np.minimum(n[:, None], n[None]), np.maximum(n[:, None], n[None])
-    return out & (low >= threshold * high)
+def alike(bits: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs that may reach the threshold: sizes near enough, and bits that agree as often as half of the rest would by chance.
+
+    The bound is six standard deviations below what a pair at the threshold is expected to share.
+    """
+    share = (1 + threshold) / 2
+    least = int(T_SIZE * share - 6 * np.sqrt(T_SIZE * share * (1 - share)))
+    equal = T_SIZE - np.bitwise_count(bits[:, None] ^ bits[None])
+    return (equal >= least) & (np.minimum(n[:, None], n[None]) >= threshold * np.maximum(n[:, None], n[None]))
 
 
 def shared_sizes(sets: list[np.ndarray]) -> np.ndarray:
@@ -226,26 +233,6 @@ def _grouped(rows: DataFrame, size: int, run, schema: str) -> DataFrame:
     return rows.withColumn("_group", F.pmod("cluster", F.lit(groups))).groupBy("_group").applyInArrow(each, schema)
 
 
-def loose(found: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """cluster, node: the parts of each cluster whose sketches hang together."""
-    rows = found.join(nodes.select("node", "n", "sketch"), "node")
-
-    def run(group, starts, ends):
-        node, n, sketch = group["node"].to_numpy(), group["n"].to_numpy(), _sketches(group["sketch"])
-        out_key, out_node = [], []
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            label = components(alike(sketch[s:e], n[s:e], threshold))
-            part, at, size = np.unique(label, return_inverse=True, return_counts=True)
-            for k in np.flatnonzero(size > 1).tolist():
-                members = node[s:e][at == k]
-                out_key.append(np.full(len(members), int.from_bytes(_text.mix(np.array([np.add.reduce(_text.mix(members.view(np.uint64)))], np.uint64)).tobytes(), "little", signed=True)))
-                out_node.append(members)
-        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return pa.table([pa.array(join(out_key)), pa.array(join(out_node))], ["cluster", "node"])
-
-    return _grouped(rows, 300 * found.count(), run, "cluster long, node long").distinct()
-
-
 def links(found: DataFrame, sets: DataFrame, shingle_bytes: int, threshold: float) -> DataFrame:
     """a, b: a forest of confirmed links within each cluster."""
 
@@ -278,48 +265,43 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 cuts = np.searchsorted(rows, np.arange(1, hi - lo))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), _text.binary([x.tobytes() for x in np.split(hashes, cuts)])], ["node", "members"])
 
-    return docs.join(wanted, ["_id", "_h"]).select("node", "_text").mapInArrow(run, "node long, members binary")
+    # a broadcast would be picked for small inputs only; texts meet their ids by a shuffle at every size
+    return docs.join(wanted.hint("merge"), ["_id", "_h"]).select("node", "_text").mapInArrow(run, "node long, members binary")
 
 
 def node_components(docs: DataFrame, nodes: DataFrame, *, size: int, threshold: float) -> DataFrame | None:
     """node, label of every node that is linked with another one; None if none is."""
-    labels = edges = None
-    first, level, large = 0, 0, None
+    labels = edges = sets = large = None
     for level in range(MAX_LEVEL):
-        keys = roots(nodes, first, ROOTS[level]) if level < len(ROOTS) else None
-        first += ROOTS[level] if level < len(ROOTS) else 0
-        if large is not None:
-            below = branches(large.join(nodes.select("node", "sketch"), "node").select("key", "node", "n", "sketch"), threshold)
-            keys = below if keys is None else keys.unionAll(below)
-        if keys is None:
-            break
+        if level:
+            large = large if labels is None else impure(large, "key", labels)
+            keys = branches(large.join(nodes.select("node", "sketch"), "node"), threshold)
+        else:
+            keys = roots(nodes)
         keys = stored(keys, "keys")
-        found = stored(children(keys), "children")
-        large = found.where("members is null").select("key")
-        large = None if large.isEmpty() else keys.join(large, "key").select("key", "node", "n")
-        if large is not None and labels is not None:
-            large = impure(large, "key", labels)
-        large = None if large is None else stored(large, "large")
-        new = links_of(docs, nodes, clusters(found), labels, size, threshold)
-        if new is not None:
-            edges = new if edges is None else edges.unionAll(new)
-            labels = connected_components(edges)
-    if large is not None and not large.isEmpty():
-        new = links_of(docs, nodes, blocks(large), labels, size, threshold)
-        if new is not None:
-            labels = connected_components(new if edges is None else edges.unionAll(new))
-    return labels
-
-
-def links_of(docs: DataFrame, nodes: DataFrame, found: DataFrame, labels: DataFrame | None, size: int, threshold: float) -> DataFrame | None:
-    near = loose(stored(found, "clusters"), nodes, threshold)
-    near = stored(near if labels is None else impure(near, "cluster", labels), "near")
+        found = stored(children(keys, threshold), "children")
+        near = clusters(found)
+        big = found.where("members is null").select("key")
+        large = None if big.isEmpty() else stored(keys.join(big, "key"), "large")
+        if sets is None:  # later levels only part the nodes of large children, so texts are read this once
+            wanted = near.select("node") if large is None else near.select("node").unionAll(large.select("node"))
+            sets = stored(full_sets(docs, wanted.distinct().join(nodes, "node").select("node", "_id", "_h"), size), "sets")
+        near = stored(near if labels is None else impure(near, "cluster", labels), "near")
+        edges, labels = joined(near, nodes, sets, edges, labels, threshold)
+        if large is None:
+            return labels
+    near = stored(blocks(large if labels is None else impure(large, "key", labels)), "near")
+    return joined(near, nodes, sets, edges, labels, threshold)[1]
+
+
+def joined(near: DataFrame, nodes: DataFrame, sets: DataFrame, edges: DataFrame | None, labels: DataFrame | None, threshold: float) -> tuple[DataFrame | None, DataFrame | None]:
+    """Edges and components with the links that the clusters ``near`` hold."""
     if near.isEmpty():
-        return None
-    wanted = near.select("node").distinct().join(nodes, "node").select("node", "_id", "_h")
-    sets = stored(full_sets(docs, wanted, size), "sets")
+        return edges, labels
     total = near.join(nodes.select("node", "n"), "node").agg(F.sum(8 * F.col("n"))).first()[0]
-    return stored(links(near, sets, total, threshold), "links")
+    new = stored(links(near, sets, total, threshold), "links")
+    edges = new if edges is None else edges.unionAll(new)
+    return edges, connected_components(edges)
 
 
 def impure(rows: DataFrame, group: str, labels: DataFrame) -> DataFrame:
@@ -342,7 +324,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     prepare(docs.sparkSession)
     source = sk.rows_of(docs, id_col, text_col)
     rows = stored(sketched(source, size), "sketches")
-    nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("_id").alias("rep"), F.min(F.struct("_id", "_h")).alias("at"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("node", "rep", F.col("at._id").alias("_id"), F.col("at._h").alias("_h"), "n", "sketch"), "nodes")
+    nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("_id").alias("rep"), F.min(F.struct("_id", "_h")).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")).select("node", "rep", F.col("at._id").alias("_id"), F.col("at._h").alias("_h"), "n", "bits", "sketch"), "nodes")
     labels = node_components(source, nodes, size=size, threshold=threshold)
     where = nodes.select("node", "rep")
     if labels is not None:
