@@ -150,3 +150,10 @@ def column_entropy(rows: DataFrame) -> DataFrame:
     col = by_res.groupBy("fam", "col").agg(total.alias("full"), F.sum("n").alias("all"), F.sum(F.when(F.col("res").isNotNull(), F.col("n") * F.log2("n"))).alias("nlog"))
     h = F.when(F.col("full") > 0, F.log2("full") - F.col("nlog") / F.col("full")).otherwise(0.0)
     return col.groupBy("fam").agg(F.avg(h).alias("entropy"), F.avg(1 - F.col("full") / F.col("all")).alias("gap_share"), F.avg((F.col("full") == 0).cast("double")).alias("all_gap_share"))
+
+
+def contingency(columns: DataFrame, groups: DataFrame, by: list[str], gap: int) -> DataFrame:
+    """n of each (by, x, y): both rows' residues, ``gap`` standing for a gap."""
+    x = F.when(F.col("st") == INSERT, gap).otherwise(F.col("a"))
+    y = F.when(F.col("st") == DELETE, gap).otherwise(F.col("b"))
+    return columns.select("pair_id", x.alias("x"), y.alias("y")).join(groups, "pair_id").groupBy(*by, "x", "y").agg(F.count("*").alias("n"))

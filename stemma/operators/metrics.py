@@ -70,3 +70,13 @@ def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 def information_criteria(models: DataFrame, n: int) -> DataFrame:
     """Adds aic and bic to (model, loglik, k)."""
     return models.withColumns({"aic": 2 * F.col("k") - 2 * F.col("loglik"), "bic": F.col("k") * F.log(F.lit(float(n))) - 2 * F.col("loglik")})
+
+
+def means(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """n, total, mean and the mean's standard error."""
+    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("se"))
+
+
+def histogram(rows: DataFrame, column: str, top: int) -> DataFrame:
+    """The ``top`` commonest values and their counts, equal counts by value."""
+    return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(top)

@@ -584,3 +584,68 @@ def sampled_descendants(spark, d):
 
     rows = T.pairs(spark, d).select("pair_id").withColumn("state", simulate.choose(simulate.uniform("pair_id", seed=21), [0.6, 0.4]))
     return simulate.descendants(rows, ["pair_id"], "state", np.array([[0.9, 0.1], [0.2, 0.8]]), seed=22)
+
+
+@query(f"WITH {BINNED} SELECT tau_bin, CASE WHEN st = 2 THEN 20 ELSE a END AS x, CASE WHEN st = 3 THEN 20 ELSE b END AS y, count(*) AS n FROM columns JOIN binned USING (pair_id) GROUP BY ALL")
+def residue_contingency(spark, d):
+    """Counts of residue pairs by time bin, a gap being residue 20."""
+    return counts.contingency(T.columns(spark, d), _binned(spark, d).select("pair_id", "tau_bin"), ["tau_bin"], 20)
+
+
+@query(f"WITH {LP}, m AS (SELECT *, max(logp) OVER (PARTITION BY vec_id) AS top FROM lp), s AS (SELECT vec_id, k, exp(logp - top) / sum(exp(logp - top)) OVER (PARTITION BY vec_id) AS w FROM m) SELECT k, label, round(sum(w), 6) AS n FROM s JOIN embeddings USING (vec_id) GROUP BY k, label", cte=False)
+def weighted_label_counts(spark, d):
+    """Labels counted by the responsibilities of a literal mixture."""
+    weights = mixture.soft_responsibilities(_scores(spark, d), "vec_id").select("vec_id", "k", "weight")
+    labels = T.read(spark, d, "embeddings").select("vec_id", "label", F.lit(1).alias("n"))
+    return counts.weighted(labels, weights, ["vec_id"], "k", ["label"]).withColumn("n", F.round("n", 6))
+
+
+@query(f"WITH {BINNED}, {STEPS}, {MODEL}, f AS (SELECT fam, sum(ln(p)) AS loglik FROM steps JOIN binned USING (pair_id) JOIN model ON model.id = tau_bin AND model.src = substr('SMIDE', steps.src + 1, 1) AND model.dst = substr('SMIDE', steps.dst + 1, 1) GROUP BY fam), s AS ({SPLIT}) SELECT split, count(*) AS n, round(sum(loglik), 4) AS total, round(avg(loglik), 5) AS mean, round(stddev_samp(loglik) / sqrt(count(*)), 5) AS se FROM f JOIN s USING (fam) GROUP BY split")
+def split_loglik(spark, d):
+    """Log-likelihood of the families of each split: total, mean and its standard error."""
+    n = counts.transition_counts(T.columns(spark, d), _binned(spark, d).select("pair_id", "fam", "tau_bin"), ["fam", "tau_bin"])
+    ll = n.join(F.broadcast(_log_model(spark)), ["tau_bin", "src", "dst"]).groupBy("fam").agg(F.sum(F.col("n") * F.col("logp")).alias("loglik"))
+    out = metrics.means(ll.join(cumulative_split(spark, d).select("fam", "split"), "fam"), ["split"], "loglik")
+    return out.select("split", "n", F.round("total", 4).alias("total"), F.round("mean", 5).alias("mean"), F.round("se", 5).alias("se"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, event_type LIMIT 3", cte=False)
+def commonest_outcomes(spark, d):
+    return metrics.histogram(T.read(spark, d, "events"), "event_type", 3)
+
+
+@query("WITH c AS (SELECT o_custkey AS fam, count(*) AS pairs FROM orders GROUP BY 1) SELECT fam, pairs, coalesce(n_name, CAST(fam AS VARCHAR)) AS clan FROM c LEFT JOIN (SELECT c_custkey AS fam, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey % 3 <> 0) USING (fam)", cte=False)
+def families_with_clans(spark, d):
+    fams = T.pairs(spark, d).groupBy("fam").agg(F.count("*").alias("pairs"))
+    nation = T.read(spark, d, "nation").where("n_nationkey % 3 <> 0")
+    clans = T.read(spark, d, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("fam"), F.col("n_name").alias("clan"))
+    return relations.with_clan(fams, clans)
+
+
+@query("SELECT o_orderpriority, pair_id FROM (SELECT o_orderpriority, o_orderkey AS pair_id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('2:' || o_orderkey), o_orderkey) AS r FROM orders) WHERE r <= 40", cte=False)
+def stratified_sample(spark, d):
+    rows = T.read(spark, d, "orders").select("o_orderpriority", F.col("o_orderkey").alias("pair_id"))
+    return relations.first_per_group(rows, "o_orderpriority", [relations.draw("pair_id", seed=2), "pair_id"], 40)
+
+
+@query("SELECT pos AS col, bool_and(st = 2) AS empty_a, bool_and(st = 3) AS empty_b, count(*) AS n FROM columns GROUP BY pos")
+def empty_columns(spark, d):
+    """Positions at which no pair has a residue in its first, or in its second, row."""
+    return T.columns(spark, d).groupBy(F.col("pos").alias("col")).agg(F.every(F.col("st") == counts.INSERT).alias("empty_a"), F.every(F.col("st") == counts.DELETE).alias("empty_b"), F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, event_id, k, 0.3 * value AS ema FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, 0.7 * r.ema + 0.3 * e.value FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id, round(ema, 6) AS ema FROM r""", cte=False)
+def moving_averages(spark, d):
+    return paths.moving_average(T.read(spark, d, "events"), "user_id", ["ts", "event_id"], "value", F.lit(0.3), 0.0).select("user_id", "event_id", F.round("ema", 6).alias("ema"))
+
+
+@query("""SELECT lang, c, round(sqrt(sum(pow(x - y, 2))), 6) AS d FROM (SELECT a.lang, a.c, a.s AS x, b.s AS y FROM v a JOIN v b ON a.c = b.c AND b.lang = 'en') GROUP BY lang, c""".replace("SELECT lang, c, round", "WITH n AS (SELECT lang, c, count(*) AS n FROM symbols JOIN documents ON doc_id = seq_id GROUP BY 1, 2), v AS (SELECT lang, c, n / sum(n) OVER (PARTITION BY lang) AS s FROM n) SELECT lang, c, round"))
+def composition_distance(spark, d):
+    """How far each language's share of each symbol is from English."""
+    docs = T.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
+    by = T.symbols(spark, d).join(docs, F.col("id") == F.col("seq_id")).select(F.col("lang").alias("seq_id"), "c")
+    shares = counts.composition(by).withColumnRenamed("seq_id", "lang")
+    base = shares.where("lang = 'en'").select("c", F.col("share").alias("base"))
+    return shares.join(base, "c").select("lang", "c", F.round(F.abs(F.col("share") - F.col("base")), 6).alias("d"))
