@@ -30,8 +30,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies, once if its row repeats."""
-    kept = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_kept")).distinct()
+    """Keeps the document with the least id of each group that links of similarity 0.8 or more hold together, once if its row repeats."""
+    kept = near_dup.near_duplicates(docs, threshold=0.8).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_kept")).distinct()
     hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     once = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi")
     return once.dropDuplicates(["doc_id", "_hash"]).select(docs.columns)

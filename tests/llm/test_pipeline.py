@@ -18,7 +18,7 @@ def test_stages(spark, tmp_path, docs, labels):
         assert table.count() <= before.count()
         if name == "near_dedup":
             rows = [(r.doc_id, r.text) for r in before.collect()]
-            kept = {(r[0], t) for r, (_, t) in zip(brute.near_duplicates(rows), rows, strict=True) if r[3]}
+            kept = {(r[0], t) for r, (_, t) in zip(brute.near_duplicates(rows, threshold=80), rows, strict=True) if r[3]}
             assert sorted(kept, key=str) == sorted(((r.doc_id, r.text) for r in table.collect()), key=str)
         if name == "language_id":
             assert all(any(c.isalpha() for c in r.text or "") for r in table.collect())
