@@ -60,12 +60,13 @@ class Units:
             self.data, self.first, self.counts = data, offsets, np.diff(offsets)
             self.starts, self.ends = np.arange(len(data)), np.arange(1, len(data) + 1)
             self.codes = _text.BYTE_CODE[data]
+        self.sums = _text.prefix_sums(self.codes)
+        self.of_words = plan.words
 
     def grams(self, m: int) -> np.ndarray:
         """The hash of the m-gram at each unit, those that run over a row's end included."""
-        n = max(0, len(self.codes) - m + 1)
-        at = np.arange(n)
-        return _text.span_hash(_text.prefix_sums(self.codes), at, at + m)
+        at = np.arange(max(0, len(self.codes) - m + 1))
+        return _text.span_hash(self.sums, at, at + m)
 
     def super_kmers(self, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, first unit, windows, minimiser) of each super-k-mer."""
@@ -75,7 +76,7 @@ class Units:
             return rows, rows, rows, np.zeros(0, np.uint64)
         begin = np.arange(n.sum()) - (np.cumsum(n) - n)[rows] + self.first[:-1][rows]
         grams = self.grams(plan.m)
-        order = _text.mix(grams) >> np.uint64(1)
+        order = ranked(grams)
         if plan.hot:
             hot = np.array(plan.hot, np.uint64)
             at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
@@ -89,11 +90,21 @@ class Units:
     def keys(self, begin: np.ndarray, windows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first byte, end byte, two 64-bit hashes) of the super-k-mers' strings."""
         left, right = self.starts[begin], self.ends[begin + windows + k - 2]
-        return left, right, *string_keys(self.data, left, right)
+        one = string_key(self.data, left, right, 0) if self.of_words else _text.span_hash(self.sums, left, right)
+        return left, right, one, string_key(self.data, left, right, 1)
+
+
+def ranked(grams: np.ndarray) -> np.ndarray:
+    """The order of m-grams in which a window's least is its minimiser: 63 bits, unrelated to the buckets."""
+    return grams * np.uint64(0x9FB21C651E98DF25) >> np.uint64(1)
 
 
 def string_keys(data: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(_text.span_hash(_text.prefix_sums(code[data]), left, right) for code in (_text.BYTE_CODE, SECOND_CODE))
+    return string_key(data, left, right, 0), string_key(data, left, right, 1)
+
+
+def string_key(data: np.ndarray, left: np.ndarray, right: np.ndarray, which: int) -> np.ndarray:
+    return _text.span_hash(_text.prefix_sums((_text.BYTE_CODE, SECOND_CODE)[which][data]), left, right)
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -121,6 +132,9 @@ def planned(docs: DataFrame, plan: Plan) -> Plan:
     total = docs.select(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(1, -(-3 * total // BUCKET_BYTES))
     size = 16 * buckets + 64
+    # a window of w m-grams has one in the first 12 / w of the order but for a chance of e^-12, so
+    # only those can be minimisers often, and only they are counted
+    early = np.uint64(int(min(1.0, 12 / (plan.k - plan.m + 1)) * ((1 << 63) - 1)))
 
     def run(batches):
         held, n = None, 0
@@ -128,6 +142,7 @@ def planned(docs: DataFrame, plan: Plan) -> Plan:
             for _, _, data, offsets in _text.slices(b.column(0)):
                 grams = Units(data, offsets, plan).grams(plan.m)
                 n += len(grams)
+                grams = grams[ranked(grams) <= early]
                 held = frequent(held, *np.unique(grams, return_counts=True), size)
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(held[0], np.uint64(0)).view(np.int64)), pa.array(np.append(held[1], 0)), pa.array([0] * len(held[0]) + [n])], ["gram", "n", "total"])
@@ -147,7 +162,7 @@ def packed(docs: DataFrame, plan: Plan) -> DataFrame:
         for (anchor, _, _), entry in held.items():
             by.setdefault(anchor % plan.buckets, []).append((anchor, *entry))
         held.clear()
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=1).compress
         for bucket, entries in by.items():
             entries.sort(key=lambda e: e[4])
             head = np.array([e[:4] for e in entries], np.uint64).T.copy()
@@ -193,7 +208,6 @@ class Bucket:
 
     data: np.ndarray
     offsets: np.ndarray
-    keys: tuple[np.ndarray, np.ndarray]
     anchor: np.ndarray
     least: np.ndarray
     greatest: np.ndarray
@@ -221,7 +235,7 @@ def unpacked(blobs: list[bytes]) -> Bucket:
     anchors[name] = anchor
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in code])]).astype(np.int64)
     data = np.frombuffer(b"".join(code), np.uint8)
-    return Bucket(data, offsets, string_keys(data, offsets[:-1], offsets[1:]), anchors, low, high, sums)
+    return Bucket(data, offsets, anchors, low, high, sums)
 
 
 RUNS = "array<struct<a:int,b:int,doc:long>>"
@@ -237,8 +251,12 @@ def judged(docs: DataFrame, plan: Plan, judge: Callable[[Bucket], tuple[np.ndarr
         bucket = unpacked(group["blob"].to_pylist())
         which, a, b, doc = judge(bucket)
         keys, at = np.unique(which, return_index=True)
+        lengths = np.diff(bucket.offsets)[keys]
+        ends = np.cumsum(lengths)
+        chosen = bucket.data[np.arange(lengths.sum()) + np.repeat(bucket.offsets[keys] - (ends - lengths), lengths)]
+        one, two = string_keys(chosen, ends - lengths, ends)
         runs = pa.ListArray.from_arrays(pa.array(np.append(at, len(which)), pa.int32()), pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(doc, pa.int64())], ["a", "b", "doc"]))
-        return pa.Table.from_arrays([pa.array(bucket.keys[0][keys].view(np.int64)), pa.array(bucket.keys[1][keys].view(np.int64)), runs], ["k1", "k2", "runs"])
+        return pa.Table.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), runs], ["k1", "k2", "runs"])
 
     return packed(docs, plan).groupBy("bucket").applyInArrow(run, f"k1 long, k2 long, runs {RUNS}")
 

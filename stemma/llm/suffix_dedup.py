@@ -1,8 +1,8 @@
 """Removal of repeated substrings by suffix sorting, built column by column for many strings at once.
 
 Strings are the super-k-mers of ``size``-byte windows, so that equal windows of all documents meet in
-one bounded bucket.  A bucket's collection is built in rounds: round j inserts, for every string with
-at least j bytes, the symbol before its suffix of length j - 1 into the collection's
+one bounded bucket.  A bucket's collection is built in rounds: round j inserts one symbol for every
+string with at least j of them, the one before its suffix of length j - 1, into the collection's
 Burrows-Wheeler transform, and updates the array of common prefixes beside it.  Both live in
 sequential files that each round reads and writes anew.  At the end a walk over the transform finds
 each suffix's rank; a window repeats where a neighbour's common prefix has ``size`` bytes or where
@@ -26,51 +26,66 @@ from pyspark.sql import DataFrame
 from . import _superkmers as sk
 from . import _text
 
-WINDOW, MINIMISER = 200, 32
-COLLECTION_BYTES = 1 << 20
+WINDOW, MINIMISER = 200, 48
+COLLECTION_BYTES = 60_000  # so that a collection's blocks mostly number below 2**16 and its columns stay in cache
 
 
 class Columns:
-    """The transform and the common prefixes of a collection, in two sequential files."""
-
-    def __init__(self, folder: str):
-        self.paths = [os.path.join(folder, name) for name in ("bwt", "lcp")]
-
-    def write(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        for path, values in zip(self.paths, (bwt, lcp), strict=True):
-            values.tofile(path)
+    """The transform and the common prefixes of a collection, in two files that grow from round to round."""
+
+    def __init__(self, folder: str, kind: np.dtype):
+        self.kinds = (kind, np.dtype(np.uint16))
+        self.files = [open(os.path.join(folder, name), "w+b", buffering=0) for name in ("bwt", "lcp")]
+        self.n = 0
+
+    def write(self, *columns: np.ndarray) -> None:
+        """Replaces both columns from the front, in one sequential pass each; they never get shorter."""
+        self.n = len(columns[0])
+        for file, kind, values in zip(self.files, self.kinds, columns, strict=True):
+            file.seek(0)
+            left = memoryview(np.ascontiguousarray(values, kind)).cast("B")
+            while len(left):
+                left = left[file.write(left) :]
 
     def read(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(self.paths[0], np.uint8), np.fromfile(self.paths[1], np.uint16)
+        out = []
+        for file, kind in zip(self.files, self.kinds, strict=True):
+            file.seek(0)
+            out.append(np.fromfile(file, kind, self.n))
+        return tuple(out)
 
+    def close(self) -> None:
+        for file in self.files:
+            file.close()
 
-def collection(data: np.ndarray, offsets: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
-    """BWT and common prefixes of the strings data[offsets[i]:offsets[i+1]], each with an end mark of its own.
 
-    Symbol 0 stands for a string's beginning, so data must not hold 0 where that matters: bytes are
-    told apart by their ranks, 1 and up.
+def collection(symbols: np.ndarray, offsets: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """BWT and common prefixes of the strings symbols[offsets[i]:offsets[i+1]], each with an end mark of its own.
+
+    Symbols are 1 and up; 0 stands in the transform for a string's beginning.  Round j inserts all
+    suffixes of length j, so the files grow by one symbol for each string that is long enough.
     """
-    m, lengths = len(offsets) - 1, np.diff(offsets)
-    files = Columns(folder)
-    symbol = lambda who, j: np.where(lengths[who] > j, data[np.maximum(offsets[1:][who] - 1 - j, 0)], 0).astype(np.uint8)
+    m, lengths, kind = len(offsets) - 1, np.diff(offsets), symbols.dtype
+    files = Columns(folder, kind)
+    before = lambda who, j: np.where(lengths[who] > j, symbols[np.maximum(offsets[1:][who] - 1 - j, 0)], 0).astype(kind) if len(symbols) else np.zeros(len(who), kind)
     who, at = np.arange(m), np.arange(m)
-    files.write(symbol(who, 0), np.zeros(m, np.uint16))
+    files.write(before(who, 0), np.zeros(m, np.uint16))
     for j in range(1, int(lengths.max(initial=0)) + 1):
         bwt, lcp = files.read()
         open_ = lengths[who] >= j
         who, at = who[open_], at[open_]
-        # the suffixes after this round, in order, stem from the transform's symbols in stable order
+        # after this round the suffixes, in order, stem from the transform's symbols in stable order
         order = np.argsort(bwt, kind="stable")[np.count_nonzero(bwt == 0) :]
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(bwt), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         fresh = rank[at]
         n = m + len(order)
         is_new = np.zeros(n + 1, bool)
         is_new[m + fresh] = True
-        next_bwt, next_lcp = np.empty(n, np.uint8), np.empty(n, np.uint16)
+        next_bwt, next_lcp = np.empty(n, kind), np.empty(n, np.uint16)
         next_bwt[~is_new[:n]] = bwt
         next_lcp[~is_new[:n]] = lcp
-        next_bwt[m + fresh] = symbol(who, j)
+        next_bwt[m + fresh] = before(who, j)
         # common prefixes change at the new suffixes and at those after them
         changed = np.flatnonzero(is_new[m:n] | np.concatenate([[False], is_new[m : n - 1]]))
         next_lcp[m + changed] = 0
@@ -84,19 +99,41 @@ def collection(data: np.ndarray, offsets: np.ndarray, folder: str) -> tuple[np.n
             next_lcp[m + changed[by]] = np.minimum.reduceat(np.append(lcp, np.uint16(0)), edges)[::2] + 1
         files.write(next_bwt, next_lcp)
         at = m + fresh
-    return files.read()
+    found = files.read()
+    files.close()
+    return found
+
+
+def blocks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings over blocks of ``width`` bytes: (symbols, offsets, place of each symbol's first byte).
+
+    A string gives ``width`` strings, one for each byte that its blocks may begin at, so that every
+    byte begins exactly one block; equal blocks have equal symbols, in the order of their values.
+    """
+    starts, lengths = offsets[:-1], np.diff(offsets)
+    padded = np.append(data, np.zeros(8, np.uint8))
+    values = np.ndarray((len(data),), "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * width) - 1)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.flatnonzero(np.arange(len(data)) + width <= offsets[1:][row])
+    row = row[place]
+    name = row * width + (place - starts[row]) % width
+    order = np.argsort(name, kind="stable")
+    _, symbols = np.unique(values[place[order]], return_inverse=True)
+    kind = np.uint16 if symbols.max(initial=0) < 65535 else np.uint32
+    counts = np.bincount(name, minlength=len(lengths) * width)
+    return (symbols + 1).astype(kind), np.concatenate([[0], np.cumsum(counts)]), place[order]
 
 
 def repeated(data: np.ndarray, offsets: np.ndarray, size: int, folder: str) -> np.ndarray:
-    """For each byte, whether the ``size`` bytes from it also start at another place of the collection."""
-    m, lengths = len(offsets) - 1, np.diff(offsets)
-    present = np.unique(data)
-    dense = np.zeros(256, np.uint8)
-    dense[present] = np.arange(1, len(present) + 1)
-    if len(present) > 255:
-        raise ValueError("no symbol is left for the beginnings")
-    bwt, lcp = collection(dense[data], offsets, folder)
-    twin = lcp >= size
+    """For each byte, whether the ``size`` bytes from it also start at another place of the collection.
+
+    Symbols are blocks of the most bytes, 8 at most, that divide ``size``: fewer rounds for the same windows.
+    """
+    width = next(w for w in range(8, 0, -1) if size % w == 0)
+    symbols, cuts, place = blocks(data, offsets, width)
+    bwt, lcp = collection(symbols, cuts, folder)
+    m, lengths = len(cuts) - 1, np.diff(cuts)
+    twin = lcp >= size // width
     twin[:-1] |= twin[1:]
     order = np.argsort(bwt, kind="stable")[np.count_nonzero(bwt == 0) :]
     step = np.full(len(bwt), -1)
@@ -106,7 +143,7 @@ def repeated(data: np.ndarray, offsets: np.ndarray, size: int, folder: str) -> n
     for j in range(1, int(lengths.max(initial=0)) + 1):
         open_ = lengths[who] >= j
         who, at = who[open_], step[at[open_]]
-        out[offsets[1:][who] - j] = twin[at]
+        out[place[cuts[1:][who] - j]] = twin[at]
     return out
 
 
