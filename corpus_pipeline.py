@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stemma.llm import langid, near_dup, packing, suffix_dedup, toxicity
 from stemma.llm._spark import held_out, stored, table
+from stemma.llm._superkmers import NO_ID
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +32,10 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group that links of similarity 0.8 or more hold together, once if its row repeats."""
-    kept = near_dup.near_duplicates(docs, threshold=0.8).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_kept")).distinct()
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    once = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi")
-    return once.dropDuplicates(["doc_id", "_hash"]).select(docs.columns)
+    known = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))}
+    kept = near_dup.near_duplicates(docs, threshold=0.8).where("kept").select(known["_id"].alias("_id"), F.col("text_hash").alias("_hash"))
+    # the same keys serve the join and the choice of one of equal rows, so texts are shuffled once
+    return docs.withColumns(known).join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
