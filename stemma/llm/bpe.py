@@ -15,10 +15,12 @@ encoded one by one.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,15 +51,15 @@ def distinct_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """word, ids (little-endian 32-bit) of each row of ``words``, encoded once."""
+    """word, h, ids of each row of ``words``: its hash and its little-endian 32-bit ids, encoded once."""
 
     def run(batches):
         coder = _words.encoder(path)
         for b in batches:
             found = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), _text.binary(coder.encode(found))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(word_hashes(found).view(np.int64)), _text.binary(coder.encode(found))], ["word", "h", "ids"])
 
-    return words.mapInArrow(run, "word binary, ids binary")
+    return words.mapInArrow(run, "word binary, h long, ids binary")
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -81,9 +83,6 @@ class Table:
         kind = np.uint32 if len(ids) < 1 << 32 else np.int64
         self.hashes, self.begin, self.counts, self.ids = hashes[order], begin.astype(kind)[order], counts[order], ids
 
-    def unique(self) -> bool:
-        return bool((self.hashes[1:] != self.hashes[:-1]).all())
-
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Each row's ids: distinct words are looked up once, then spread to their positions."""
         words = _text.Words(data, offsets)
@@ -102,34 +101,47 @@ def _digests(ids: list[np.ndarray], pieces: list[bytes], numbers: list[bytes]) -
     return [pa.array([len(x) for x in lists], pa.int64()), pa.array([digest(map(numbers.__getitem__, x)) for x in lists]), pa.array([digest(map(pieces.__getitem__, x)) for x in lists])]
 
 
-def encode_decode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, broadcast_bytes: int = BROADCAST_BYTES, docs_per_block: int = 4000) -> DataFrame:
-    """n_tokens and the SHA-256 digests of ids and decoded text of every whole text."""
-    spark = prepare(docs.sparkSession)
-    path = path or _words.default_path()
-    docs = docs.select(id_col, text_col)
+def word_table(docs: DataFrame, text_col: str, path: str, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, Broadcast | None]:
+    """(words with their ids, the same as a broadcast ``Table`` or None if it is beyond ``limit`` bytes)."""
     words = stored(encode_words(distinct_words(docs, text_col), path), "words")
     size = words.agg(F.coalesce(F.sum(F.length("ids") / 2 + 24), F.lit(0))).first()[0]
-    pieces = vocabulary(path)
-    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-    schema = docs.select(id_col).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    if size > broadcast_bytes:
-        return _by_blocks(docs, words, pieces, names, schema, docs_per_block)
+    if size > limit:
+        return words, None
+    if not words.groupBy("h").count().where("count > 1").isEmpty():
+        return words, None  # two words share a hash: only a join on whole words tells them apart
+    kind = np.uint16 if len(vocabulary(path)) <= 1 << 16 else np.uint32
 
     def packed(batches):
         for b in batches:
             ids = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([_text.binary([x]) for x in (word_hashes(b.column(0).to_pylist()).tobytes(), np.array([len(i) // 4 for i in ids], np.uint16).tobytes(), np.frombuffer(b"".join(ids), "<u4").astype(np.uint16 if len(pieces) <= 1 << 16 else np.uint32).tobytes())], ["h", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([_text.binary([x]) for x in (b.column(0).to_numpy().tobytes(), np.array([len(i) // 4 for i in ids], np.uint16).tobytes(), np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes())], ["h", "n", "ids"])
+
+    # the driver passes packed parts on as they are; each worker puts its table together once
+    parts = [tuple(r) for r in words.select("h", "ids").mapInArrow(packed, "h binary, n binary, ids binary").toLocalIterator()]
+    return words, docs.sparkSession.sparkContext.broadcast((kind, parts))
 
-    rows = words.mapInArrow(packed, "h binary, n binary, ids binary").collect()
-    join = lambda k, kind: np.frombuffer(b"".join(r[k] for r in rows), kind)
-    table = Table(join("h", np.uint64), join("n", np.uint16), join("ids", np.uint16 if len(pieces) <= 1 << 16 else np.uint32))
-    if not table.unique():  # two words share a hash: only the join on whole words tells them apart
+
+@functools.lru_cache(maxsize=1)
+def table_of(sent: Broadcast) -> Table:
+    kind, parts = sent.value
+    join = lambda k, kind: np.frombuffer(b"".join(p[k] for p in parts), kind)
+    return Table(join(0, np.uint64), join(1, np.uint16), join(2, kind))
+
+
+def encode_decode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, broadcast_bytes: int = BROADCAST_BYTES, docs_per_block: int = 4000) -> DataFrame:
+    """n_tokens and the SHA-256 digests of ids and decoded text of every whole text."""
+    prepare(docs.sparkSession)
+    path = path or _words.default_path()
+    docs = docs.select(id_col, text_col)
+    words, sent = word_table(docs, text_col, path, broadcast_bytes)
+    pieces = vocabulary(path)
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+    schema = docs.select(id_col).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    if sent is None:
         return _by_blocks(docs, words, pieces, names, schema, docs_per_block)
-    del rows
-    sent = spark.sparkContext.broadcast(table)
 
     def run(batches):
-        known, numbers = sent.value, [str(i).encode() for i in range(len(pieces))]
+        known, numbers = table_of(sent), [str(i).encode() for i in range(len(pieces))]
         for b in batches:
             for lo, hi, data, offsets in _text.slices(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *_digests(known.encode(data, offsets), pieces, numbers)], names)
