@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 import regex
 
 #: Fixed by the vocabulary: its pre-tokenizer's pattern.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Fixed by the vocabulary: what a token at the end of a word ends with.
+END = "</w>"
 #: Characters below this are composed already and lower-cased alike everywhere.
 PLAIN_BELOW = "̀"
 
@@ -25,55 +28,81 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder:
-    """ids of words as little-endian 32-bit bytes, each distinct word and piece encoded once while cached.
+class Recent:
+    """A mapping that keeps at least the last ``limit`` and at most about twice as many entries used.
 
-    The caches are cleared at ``limit`` entries, which bounds them.
+    When the new half is full it becomes the old one; entries that are asked for move to the new
+    half, so frequent ones stay and rare ones go.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of ``keys`` that aren't known; the others are in ``new`` from now on."""
+        if len(self.new) >= self.limit:
+            self.old, self.new = self.new, {}
+        absent = keys.difference(self.new)
+        for key in absent.intersection(self.old):
+            self.new[key] = self.old[key]
+        return absent.difference(self.old)
+
+
+class Encoder:
+    """ids of words as little-endian 32-bit bytes; words and pieces seen lately are known without the tokenizer."""
+
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.limit = limit
+        self.added = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or b"(?!)")
+        self.words, self.pieces = Recent(limit), Recent(limit)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(END) for i in range(size)])
 
     def _encode(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str], at_once: int = 2000) -> list[bytes]:
+        """ids of pieces, encoded many at once as one text: a piece's last id is one that ends a word."""
+        out: list[bytes] = []
+        for k in range(0, len(pieces), at_once):
+            part = pieces[k : k + at_once]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                out += self._encode(part)
+                continue
+            raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            out += [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out
+
+    def split(self, word: bytes) -> list[str] | None:
+        """A word's pieces, or None where only the tokenizer's own normalizers will do."""
+        text = word.decode("utf-8", "surrogatepass")
+        if not word.isascii() and max(text) >= PLAIN_BELOW or self.added.search(word):
+            return None
+        text = text.lower()
+        return [text] if text.isalpha() else PIECES.findall(text)
+
     def learn(self, words: list[bytes]) -> None:
-        """Adds words to the cache: new pieces, and words beyond the plain characters, go to the tokenizer in one batch."""
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        parts: list[list[str] | None] = []
-        odd: list[str] = []
-        for word in words:
-            text = word.decode("utf-8", "surrogatepass")
-            if max(text) < PLAIN_BELOW and not any(a in text for a in self.added):
-                parts.append(PIECES.findall(text.lower()))
-            else:
-                parts.append(None)
-                odd.append(text)
-        new = [p for p in {p for found in parts if found for p in found} if p not in self.pieces]
-        self.pieces.update(zip(new, self._encode(new), strict=True))
+        """Adds words: new pieces, and words that don't split here, go to the tokenizer in one batch."""
+        parts = [self.split(word) for word in words]
+        odd = [word.decode("utf-8", "surrogatepass") for word, found in zip(words, parts, strict=True) if found is None]
+        fresh = list(self.pieces.missing({p for found in parts if found for p in found}))
+        self.pieces.new.update(zip(fresh, self._encode_pieces(fresh), strict=True))
         whole = iter(self._encode(odd))
-        get = self.pieces.__getitem__
+        get = self.pieces.new.__getitem__
         for word, found in zip(words, parts, strict=True):
-            self.words[word] = next(whole) if found is None else b"".join(map(get, found))
+            self.words.new[word] = next(whole) if found is None else get(found[0]) if len(found) == 1 else b"".join(map(get, found))
 
     def encode(self, words: list[bytes]) -> list[bytes]:
-        known = self.words
-        if missing := set(words).difference(known):
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = set(words)
-            self.learn(list(missing))
-        return list(map(known.__getitem__, words))
+        if absent := self.words.missing(set(words)):
+            self.learn(list(absent))
+        return list(map(self.words.new.__getitem__, words))
 
 
 @functools.lru_cache(maxsize=2)

@@ -27,24 +27,28 @@ MAX_TOKENS = 2048
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = 0) -> DataFrame:
-    """id, piece, start, length and ids_crc32 of every document's tokens, cut only beyond ``max_tokens``."""
+    """id, piece, start, length and ids_crc32 of every document's tokens, cut only beyond ``max_tokens``.
+
+    Tasks encode words as they meet them; a worker knows those it has seen lately.
+    """
     prepare(docs.sparkSession)
     path = path or _words.default_path()
     end, step = np.array([end_id], "<u4").tobytes(), 4 * max_tokens
     names = [id_col, "piece", "start", "length", "ids_crc32"]
 
+    def encoded(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        raw = data.tobytes()
+        split = [raw[s:e].split() for s, e in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+        flat = _words.encoder(path).encode([w for words in split for w in words])
+        ends = np.cumsum([len(words) for words in split]).tolist()
+        return [b"".join(flat[e - len(words) : e]) + end for e, words in zip(ends, split, strict=True)]
+
     def run(batches):
-        coder = _words.encoder(path)
         for b in batches:
             ids = b.column(0).to_pylist()
             for lo, hi, data, offsets in _text.slices(b.column(1)):
-                raw, rows = data.tobytes(), []
-                split = [raw[offsets[i] : offsets[i + 1]].split() for i in range(hi - lo)]
-                flat = coder.encode([w for words in split for w in words])
-                at = 0
-                for i, words in zip(ids[lo:hi], split, strict=True):
-                    tokens = b"".join(flat[at : at + len(words)]) + end
-                    at += len(words)
+                rows = []
+                for i, tokens in zip(ids[lo:hi], encoded(data, offsets), strict=True):
                     rows += [(i, k, k * max_tokens, min(step, len(tokens) - s) // 4, zlib.crc32(tokens[s : s + step])) for k, s in enumerate(range(0, len(tokens), step))]
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names)
