@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in ``spark.checkpoint.dir``, or in a folder for tests where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
     return f"{base.rstrip('/')}/stemma/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet into a new scratch path and reads it back, so that rounds don't pile up in one plan."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

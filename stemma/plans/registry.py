@@ -442,10 +442,9 @@ def pruning_loglik(spark, d):
     return rows.select("node", F.round(top + F.log((F.exp(F.col("l0") - top) + F.exp(F.col("l1") - top) + F.exp(F.col("l2") - top)) / 3), 4).alias("loglik"))
 
 
-def _families(spark, d, leaves=10):
-    """At most ``leaves`` vectors of each label."""
-    rows = T.read(spark, d, "embeddings").select(F.col("label").cast("long").alias("fam"), "vec_id", "embedding")
-    return phylogeny.vector_distances(relations.first_per_group(rows, "fam", [relations.draw("vec_id"), "vec_id"], leaves))
+def _families(spark, d):
+    """All vectors of each label."""
+    return T.read(spark, d, "embeddings").where("label IS NOT NULL").select(F.col("label").cast("long").alias("fam"), "vec_id", "embedding")
 
 
 @query()
@@ -460,7 +459,7 @@ def average_linkage_trees(spark, d):
 
 @query()
 def greedy_matching(spark, d):
-    return phylogeny.greedy_matching(_families(spark, d, 30))
+    return phylogeny.greedy_matching(_families(spark, d))
 
 
 @query()

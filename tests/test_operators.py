@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -164,6 +165,62 @@ def test_average_linkage_and_matching(spark):
     assert [(r.x, r.y) for r in phylogeny.greedy_matching(table).collect()] == [(1, 2)]
 
 
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the generated tables")
+def test_trees_and_matching_have_every_vector(spark):
+    vectors = {r.vec_id: (r.label, np.array(r.embedding, float)) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()}
+    rows = registry.QUERIES["average_linkage_trees"](spark, SMALL).collect()
+    for tree in (rows, registry.QUERIES["neighbour_joining_trees"](spark, SMALL).collect()):
+        assert sorted(r.name for r in tree if r.name is not None) == sorted(vectors)
+    child = {(r.fam, r.parent): r for r in rows}
+    height = lambda r: child[r.fam, r.node].length + height(child[r.fam, r.node]) if r.name is None else 0.0
+    matched = registry.QUERIES["greedy_matching"](spark, SMALL).collect()
+    for fam in {label for label, _ in vectors.values()}:
+        ids = sorted(k for k, (label, _) in vectors.items() if label == fam)
+        d = {(a, b): float(np.linalg.norm(vectors[a][1] - vectors[b][1])) for a, b in itertools.combinations(ids, 2)}
+        used, want = set(), []
+        for a, b in sorted(d, key=lambda p: (d[p], p)):
+            if not {a, b} & used:
+                used |= {a, b}
+                want.append((a, b))
+        assert sorted((r.x, r.y) for r in matched if r.fam == fam) == sorted(want)
+        clusters, joined = [(k,) for k in ids], []
+        apart = lambda p: sum(d[min(a, b), max(a, b)] for a in p[0] for b in p[1]) / len(p[0]) / len(p[1])  # noqa: B023, E731
+        while len(clusters) > 1:
+            a, b = min(itertools.combinations(clusters, 2), key=apart)
+            joined.append(apart((a, b)) / 2)
+            clusters = [c for c in clusters if c not in (a, b)] + [a + b]
+        assert np.allclose(sorted(height(r) for r in rows if r.fam == fam and r.name is None), joined)
+
+
+def test_rounds_over_tables_equal_one_matrix(spark):
+    rng = np.random.default_rng(4)
+    points = [(f, 100 * f + k, [float(v) for v in (rng.integers(0, 3, 2) if f == 1 else rng.random(5))]) for f in (1, 2) for k in range(25)]  # the first family has many equal distances
+    df = spark.createDataFrame(points, "fam long, vec_id long, embedding array<double>")
+    for f in (phylogeny.average_linkage, phylogeny.greedy_matching):
+        tidy = lambda out: sorted(tuple(round(v, 9) if isinstance(v, float) else -1 if v is None else v for v in r) for r in out.collect())
+        whole = tidy(f(df))
+        assert whole == tidy(f(df, limit=12)) == tidy(f(phylogeny.vector_distances(df), limit=12))
+
+
+def test_neighbour_joining_equals_the_plain_search(spark):
+    rng = np.random.default_rng(6)
+    d = np.triu(rng.random((14, 14)) + 1, 1)
+    d += d.T
+    table = spark.createDataFrame([(1, i, j, float(d[i, j])) for i in range(14) for j in range(i + 1, 14)], "fam long, x long, y long, d double")
+    got = {r.node: r.parent for r in phylogeny.neighbour_joining(table).collect()}
+    alive, dist, want = list(range(14)), {(i, j): d[i, j] for i in range(14) for j in range(14)}, {}
+    for new in range(14, 25):
+        total = {a: sum(dist[a, b] for b in alive) for a in alive}
+        a, b = min(itertools.combinations(alive, 2), key=lambda p: (len(alive) - 2) * dist[p] - total[p[0]] - total[p[1]])
+        want |= {a: new, b: new}
+        alive = [k for k in alive if k not in (a, b)]
+        for k in alive:
+            dist[new, k] = dist[k, new] = (dist[a, k] + dist[b, k] - dist[a, b]) / 2
+        dist[new, new] = 0.0
+        alive.append(new)
+    assert got == want | dict.fromkeys(alive, 25) | {25: None}
+
+
 def test_pruning_sums_over_inner_states(spark):
     edges = spark.createDataFrame([("a", "x", 0.3), ("b", "x", 0.7), ("x", "r", 0.2), ("c", "r", 1.0)], "node string, parent string, length double")
     leaves = spark.createDataFrame([("a", 0), ("b", 1), ("c", None)], "node string, state int")
