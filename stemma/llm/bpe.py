@@ -104,7 +104,7 @@ def _digests(ids: list[np.ndarray], pieces: list[bytes], numbers: list[bytes]) -
 def word_table(docs: DataFrame, text_col: str, path: str, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, Broadcast | None]:
     """(words with their ids, the same as a broadcast ``Table`` or None if it is beyond ``limit`` bytes)."""
     words = stored(encode_words(distinct_words(docs, text_col), path), "words")
-    size = words.agg(F.coalesce(F.sum(F.length("ids") / 2 + 24), F.lit(0))).first()[0]
+    size = words.agg(F.coalesce(F.sum(F.length("ids") / 2 + 26), F.lit(0))).first()[0]
     if size > limit:
         return words, None
     if not words.groupBy("h").count().where("count > 1").isEmpty():
@@ -114,7 +114,7 @@ def word_table(docs: DataFrame, text_col: str, path: str, limit: int = BROADCAST
     def packed(batches):
         for b in batches:
             ids = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([_text.binary([x]) for x in (b.column(0).to_numpy().tobytes(), np.array([len(i) // 4 for i in ids], np.uint16).tobytes(), np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes())], ["h", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([_text.binary([x]) for x in (b.column(0).to_numpy().tobytes(), np.array([len(i) // 4 for i in ids], np.uint32).tobytes(), np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes())], ["h", "n", "ids"])
 
     # the driver passes packed parts on as they are; each worker puts its table together once
     parts = [tuple(r) for r in words.select("h", "ids").mapInArrow(packed, "h binary, n binary, ids binary").toLocalIterator()]
@@ -125,7 +125,7 @@ def word_table(docs: DataFrame, text_col: str, path: str, limit: int = BROADCAST
 def table_of(sent: Broadcast) -> Table:
     kind, parts = sent.value
     join = lambda k, kind: np.frombuffer(b"".join(p[k] for p in parts), kind)
-    return Table(join(0, np.uint64), join(1, np.uint16), join(2, kind))
+    return Table(join(0, np.uint64), join(1, np.uint32), join(2, kind))
 
 
 def encode_decode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, broadcast_bytes: int = BROADCAST_BYTES, docs_per_block: int = 4000) -> DataFrame:

@@ -30,6 +30,16 @@ def test_bpe_equals_the_library(docs, rows, tokenizer, same, limit):
     same(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [(i, *digests(tokenizer, t)) for i, t in rows])
 
 
+@pytest.mark.parametrize("limit", [bpe.BROADCAST_BYTES, 0])
+def test_bpe_of_a_word_of_more_than_65535_tokens(spark, tokenizer, same, limit):
+    unspaced = "".join(chr(0x4E00 + int(k)) for k in np.random.default_rng(3).integers(0, 5000, 70_000))
+    texts = [(1, unspaced), (2, f"a {unspaced} b"), (3, "plain words"), (4, None)]
+    expected = [(i, *digests(tokenizer, t)) for i, t in texts]
+    assert expected[0][1] > 65_535
+    out = bpe.encode_decode(spark.createDataFrame(texts, "doc_id long, text string"), broadcast_bytes=limit)
+    same(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], expected)
+
+
 def test_bpe_edges(no_docs):
     assert bpe.encode_decode(no_docs).count() == 0
 
