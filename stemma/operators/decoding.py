@@ -9,20 +9,28 @@ from pyspark.sql import functions as F
 
 
 def best_chain(i: np.ndarray, j: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Indices of the heaviest chain of cells that rises strictly in both i and j."""
-    order = np.lexsort((j, i))
-    best, back = np.zeros(len(i)), np.full(len(i), -1)
-    for a, x in enumerate(order):
-        before = order[:a]
-        ok = before[(i[before] < i[x]) & (j[before] < j[x])]
-        if len(ok):
-            k = ok[best[ok].argmax()]
-            best[x], back[x] = best[k], k
-        best[x] += p[x]
-    out, x = [], int(best.argmax()) if len(best) else -1
-    while x >= 0:
-        out.append(x)
-        x = back[x]
+    """Indices of the heaviest chain of cells that rises strictly in both i and j, a cell before a gap where both are as heavy.
+
+    A table over the rows and columns that have cells, filled row by row.
+    """
+    if not len(i):
+        return np.zeros(0, int)
+    (rows, r), (cols, c) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+    cell, weight = np.full((len(rows), len(cols)), -1), np.full((len(rows), len(cols)), -np.inf)
+    order = np.argsort(p, kind="stable")  # of repeated cells the heaviest
+    cell[r[order], c[order]], weight[r[order], c[order]] = order, p[order]
+    best = np.zeros((len(rows) + 1, len(cols) + 1))
+    for k in range(len(rows)):
+        best[k + 1, 1:] = np.maximum.accumulate(np.maximum(best[k, :-1] + weight[k], best[k, 1:]))
+    out, a, b = [], len(rows), len(cols)
+    while a and b:
+        if best[a, b] == best[a - 1, b - 1] + weight[a - 1, b - 1]:
+            a, b = a - 1, b - 1
+            out.append(cell[a, b])
+        elif best[a, b] == best[a - 1, b]:
+            a -= 1
+        else:
+            b -= 1
     return np.array(out[::-1], int)
 
 

@@ -473,9 +473,14 @@ def pair_model_logliks(spark, d):
     return pairwise.pair_likelihoods(pairwise.ungapped(T.columns(spark, d)), *pairwise.model_arrays(*RATES[:2], 1.0, RATES[2], 20))
 
 
+def _posteriors(spark, d, threshold):
+    return pairwise.match_posteriors(pairwise.ungapped(T.columns(spark, d)), *pairwise.model_arrays(*RATES[:2], 1.0, RATES[2], 20), threshold=threshold)
+
+
 @query()
 def pair_match_posteriors(spark, d):
-    return pairwise.match_posteriors(pairwise.ungapped(T.columns(spark, d)), *pairwise.model_arrays(*RATES[:2], 1.0, RATES[2], 20), threshold=0.05)
+    """A sparse report: the cells of at least 0.05."""
+    return _posteriors(spark, d, 0.05)
 
 
 @query()
@@ -567,7 +572,8 @@ def grammar_scores(spark, d):
 
 @query()
 def optimal_accuracy_alignments(spark, d):
-    return decoding.optimal_accuracy(pair_match_posteriors(spark, d))
+    """Decoded from all cells of the posterior, however small."""
+    return decoding.optimal_accuracy(_posteriors(spark, d, 0.0))
 
 
 @query()

@@ -328,6 +328,29 @@ def test_optimal_accuracy_against_all_chains():
     assert rising(got) and abs(p[got].sum() - best) < 1e-9
 
 
+def test_optimal_accuracy_decodes_the_full_posterior(spark, tmp_path):
+    from stemma.sources import tables
+
+    rng = np.random.default_rng(8)
+    thin = [(1, k, 3, 4, 1.0, "2024-01-01", "A" if k % 2 else "N") for k in range(80)]  # 40 residues against 80 others
+    wide = [(2, k, int(rng.integers(20)), int(rng.integers(20)), 1.0, "2024-01-01", "AAANR"[k % 5]) for k in range(50)]
+    folder = str(tmp_path)
+    spark.createDataFrame(thin + wide, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate string, l_returnflag string").write.parquet(f"{folder}/lineitem.parquet")
+    model = pairwise.model_arrays(*registry.RATES[:2], 1.0, registry.RATES[2], 20)
+    full, sums, low = {}, {}, 1.0
+    for r in pairwise.match_posteriors(pairwise.ungapped(tables.columns(spark, folder)), *model, threshold=0.0).collect():
+        full.setdefault(r.pair_id, {})[r.i, r.j] = r.p
+    for r in registry.QUERIES["optimal_accuracy_alignments"](spark, folder).collect():
+        sums[r.pair_id], low = sums.get(r.pair_id, 0.0) + r.p, min(low, r.p)
+    assert sums.keys() == full.keys() == {1, 2} and 0 < low < 0.05
+    for k, cells in full.items():
+        best = {}
+        for i in range(max(i for i, _ in cells) + 1):
+            for j in range(max(j for _, j in cells) + 1):
+                best[i, j] = max(best.get((i - 1, j - 1), 0.0) + cells[i, j], best.get((i - 1, j), 0.0), best.get((i, j - 1), 0.0))
+        assert abs(max(best.values()) - sums[k]) < 1e-9
+
+
 def test_merged_columns(spark):
     from stemma.operators import decoding
 
