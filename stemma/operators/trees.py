@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
+
 
 def ancestors(edges: DataFrame, depth: int) -> DataFrame:
     """node, ancestor, distance, steps: the closure of the parent relation, a node being its own ancestor.
@@ -38,16 +40,30 @@ def total_length(edges: DataFrame, by: str) -> DataFrame:
     return edges.groupBy(by).agg(F.sum("length").alias("total"), F.count("*").alias("edges"))
 
 
-def parsimony(edges: DataFrame, states: DataFrame, depth: int) -> DataFrame:
+def parsimony(edges: DataFrame, states: DataFrame, depth: int, unknown: int | None = None) -> DataFrame:
     """node, mask: bottom-up parsimony sets as bits, a node's intersection of its children's or else their union.
 
-    ``states`` has (node, mask) of the leaves.  Each round resolves the nodes whose children all are.
+    ``states`` has (node, mask) of the leaves; other leaves have the mask ``unknown``, or stay unresolved
+    if that is None.  Each round resolves the nodes whose children all are.
     """
-    done = states.select("node", "mask")
-    known = done
+    known = states.select("node", "mask")
+    if unknown is not None:
+        known = known.unionAll(leaves(edges).join(known.select("node"), "node", "left_anti").select("node", F.lit(unknown).alias("mask")))
     need = edges.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("children"))
     for _ in range(depth):
         below = known.join(edges.select("node", "parent"), "node").groupBy(F.col("parent").alias("node")).agg(F.bit_and("mask").alias("all"), F.bit_or("mask").alias("any"), F.count("*").alias("n"))
         ready = below.join(need, "node").where(F.col("n") == F.col("children")).join(known.select("node"), "node", "left_anti")
-        known = known.unionAll(ready.select("node", F.when(F.col("all") != 0, F.col("all")).otherwise(F.col("any")).alias("mask")))
+        known = stored(known.unionAll(ready.select("node", F.when(F.col("all") != 0, F.col("all")).otherwise(F.col("any")).alias("mask"))), "parsimony")
     return known
+
+
+def resolved(edges: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
+    """node, mask, state: one bit of each set from the roots down, the parent's where the set has it, else the least; a root takes its greatest."""
+    level = sets.join(edges.select("node"), "node", "left_anti").withColumn("state", F.expr("shiftleft(1, length(bin(mask)) - 1)"))
+    out = level
+    for _ in range(depth):
+        down = level.select(F.col("node").alias("parent"), F.col("state").alias("above")).join(edges.select("node", "parent"), "parent").join(sets, "node")
+        mask, above = F.col("mask"), F.col("above")
+        level = down.select("node", "mask", F.when(mask.bitwiseAND(above) != 0, above).otherwise(mask.bitwiseAND(-mask)).alias("state"))
+        out = out.unionAll(level)
+    return out

@@ -380,10 +380,33 @@ def tree_total_length(spark, d):
 c AS (SELECT parent AS node, bit_and(mask) AS al, bit_or(mask) AS an FROM leaf JOIN edges USING (node) GROUP BY 1), cm AS (SELECT node, CASE WHEN al <> 0 THEN al ELSE an END AS mask FROM c)
 SELECT * FROM leaf UNION ALL SELECT * FROM cm""")
 def parsimony_sets(spark, d):
+    """Sets of orders and of customers with orders only; ``parsimony_states`` is the whole tree."""
+    return trees.parsimony(T.edges(spark, d).where("substr(node, 1, 1) = 'o'"), _masks(spark, d), 1)
+
+
+def _masks(spark, d):
     status = F.col("o_orderstatus")
-    leaf = T.read(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.when(status == "F", 1).when(status == "O", 2).otherwise(4).alias("mask"))
-    # customers without an order are unresolved, and so is all that is above them
-    return trees.parsimony(T.edges(spark, d).where("substr(node, 1, 1) = 'o'"), leaf, 1)
+    return T.read(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.when(status == "F", 1).when(status == "O", 2).otherwise(4).alias("mask"))
+
+
+def _joined_sets(below: str) -> str:
+    return f"SELECT parent AS node, CASE WHEN bit_and(mask) <> 0 THEN bit_and(mask) ELSE bit_or(mask) END AS mask FROM {below} JOIN edges USING (node) GROUP BY 1"
+
+
+def _resolved(sets: str, above: str) -> str:
+    return f"SELECT s.node, s.mask, CASE WHEN s.mask & u.state <> 0 THEN u.state ELSE s.mask & -s.mask END AS state FROM {sets} s JOIN edges e ON e.node = s.node JOIN {above} u ON u.node = e.parent"
+
+
+@query(f"""WITH os AS (SELECT 'o' || o_orderkey AS node, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 4 END AS mask FROM orders),
+bare AS (SELECT node, 7 AS mask FROM edges WHERE substr(node, 1, 1) <> 'o' AND node NOT IN (SELECT parent FROM edges)),
+cs AS ({_joined_sets('os')} UNION ALL SELECT * FROM bare WHERE node LIKE 'c%'), ns AS ({_joined_sets('cs')} UNION ALL SELECT * FROM bare WHERE node LIKE 'n%'),
+rs AS ({_joined_sets('ns')} UNION ALL SELECT * FROM bare WHERE node LIKE 'r%'), top AS ({_joined_sets('rs')}),
+d0 AS (SELECT node, mask, CASE WHEN mask >= 4 THEN 4 WHEN mask >= 2 THEN 2 ELSE 1 END AS state FROM top), d1 AS ({_resolved('rs', 'd0')}), d2 AS ({_resolved('ns', 'd1')}), d3 AS ({_resolved('cs', 'd2')}), d4 AS ({_resolved('os', 'd3')})
+SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3 UNION ALL SELECT * FROM d4""")
+def parsimony_states(spark, d):
+    """Bottom-up set and top-down state of every node from the root to the orders; what has no order below it is unknown."""
+    edges = T.edges(spark, d)
+    return trees.resolved(edges, trees.parsimony(edges, _masks(spark, d), 4, unknown=7), 4)
 
 
 TRUTH = "t AS (SELECT pair_id, i, j FROM (SELECT pair_id, st, sum(CAST(st <> 2 AS INT)) OVER w - 1 AS i, sum(CAST(st <> 3 AS INT)) OVER w - 1 AS j FROM columns WINDOW w AS (PARTITION BY pair_id ORDER BY pos)) WHERE st = 1)"
@@ -552,10 +575,10 @@ def site_rate_posterior(spark, d):
 
 @query()
 def ancestral_states(spark, d):
-    """Marginal posterior of every customer's state given its orders."""
+    """Marginal posterior of the state of every inner node that has orders below it, given those."""
     status = F.col("o_orderstatus")
     leaf = T.read(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.when(status == "F", 0).when(status == "O", 1).when(status == "P", 2).alias("state"))
-    return substitution.root_states(phylogeny.pruning(T.edges(spark, d), leaf, 3, 1).where("substr(node, 1, 1) = 'c'"), 3)
+    return substitution.root_states(phylogeny.pruning(T.edges(spark, d), leaf, 3, 4).where("substr(node, 1, 1) <> 'o'"), 3)
 
 
 #: A small grammar of nested and chained spans over the three states.

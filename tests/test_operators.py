@@ -238,6 +238,22 @@ def test_parsimony_and_ancestors(spark):
     assert found(trees.path_distances(pairs, trees.ancestors(edges, 2)), "x", "y", "d") == {("a", "b"): 2.0, ("a", "c"): 3.0}
 
 
+def test_parsimony_is_resolved_from_the_root(spark):
+    edges = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", "y"), ("x", "r"), ("y", "r"), ("z", "r")], "node string, parent string")
+    states = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2), ("d", 2)], "node string, mask int")
+    sets = trees.parsimony(edges, states, 2, unknown=7)
+    assert found(trees.resolved(edges, sets, 2), "node", "mask", "state") == {("a", 1): 1, ("b", 2): 2, ("c", 2): 2, ("d", 2): 2, ("x", 3): 2, ("y", 2): 2, ("z", 7): 2, ("r", 2): 2}
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the generated tables")
+def test_ancestral_states_reach_the_root(spark):
+    rows = registry.QUERIES["ancestral_states"](spark, SMALL).collect()
+    total = {}
+    for r in rows:
+        total[r.node] = total.get(r.node, 0.0) + r.p
+    assert {k[0] for k in total} == set("cnr") and "root" in total and all(abs(v - 1) < 1e-9 for v in total.values())
+
+
 def test_relations(spark):
     rows = spark.createDataFrame([("f", "a", "AC"), ("f", "b", "A-"), ("f", "c", "A")], "fam string, name string, aln string")
     pairs = spark.createDataFrame([("f", "a", "b", 1.0), ("f", "a", "c", 1.0), ("f", "a", "z", 1.0), ("f", "b", "a", 0.0), ("f", "b", "a", float("nan"))], "fam string, name_a string, name_b string, tau double")
