@@ -15,8 +15,11 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def events(spark: SparkSession, folder: str, *, per_trigger: int = 4) -> DataFrame:
-    """The events table as a stream, ``per_trigger`` files to a micro-batch."""
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", per_trigger).parquet(folder)
+    """The events table as a stream, ``per_trigger`` files to a micro-batch; the table is a directory of part files or a single file."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/events.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)  # fails where there is none
+    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", per_trigger)
+    raw = raw.parquet(f"{folder}/events.parquet") if status.isDirectory() else raw.option("pathGlobFilter", "events.parquet").parquet(folder)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
