@@ -115,3 +115,17 @@ def test_encoder_cache_is_bounded_and_right(tokenizer):
         got = [np.frombuffer(b, "<u4").tolist() for b in coder.encode([p.encode() for p in part])]
         assert got == [tokenizer.encode(p, add_special_tokens=False).ids for p in part]
         assert len(coder.words.new) + len(coder.words.old) <= 10 + 2 * 11
+
+
+@pytest.mark.parametrize("tight", [{"max_docs": 3}, {"max_attention": 2500}])
+def test_packing_keeps_tight_capacities(spark, tight):
+    lengths = [int(v) for v in np.random.default_rng(5).integers(1, 45, 200)]
+    most = {}
+    for name, options in (("loose", {}), ("tight", tight)):
+        items, bins = spark.createDataFrame([(k, 0, v) for k, v in enumerate(lengths)], "doc_id long, piece int, length int"), {}
+        for r in packing.pack(items, max_tokens=100, **options).collect():
+            bins.setdefault(r.sequence_id, []).append(r.length)
+        assert sorted(v for b in bins.values() for v in b) == sorted(lengths) and max(map(sum, bins.values())) <= 100
+        most[name] = max(map(len, bins.values())) if "max_docs" in tight else max(sum(v * v for v in b) for b in bins.values())
+    (limit,) = tight.values()
+    assert most["tight"] <= limit < most["loose"]
