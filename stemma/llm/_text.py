@@ -7,7 +7,7 @@ than space and 0x09-0x0D, which is what ``bytes.split()`` gives.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +83,27 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         first = end
 
 
+def gathered(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """Groups of consecutive nonempty batches, each of about ``limit`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def raw_texts(texts: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of each text; a null is empty."""
+    for _, _, data, offsets in slices(texts):
+        raw, at = data.tobytes(), offsets.tolist()
+        yield from (raw[a:b] for a, b in zip(at, at[1:], strict=False))
+
+
 class Words:
     """The words of a slice: byte spans, the row each is in, and each row's first word."""
 

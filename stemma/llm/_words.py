@@ -15,11 +15,13 @@ import numpy as np
 import regex
 
 #: Fixed by the vocabulary: its pre-tokenizer's pattern.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same over words that stand on lines of their own.
+LINES = regex.compile(r"\n|" + PIECES)
 #: Fixed by the vocabulary: what a token at the end of a word ends with.
 END = "</w>"
-#: Characters below this are composed already and lower-cased alike everywhere.
-PLAIN_BELOW = "̀"
+#: Characters from this one on may be composed or lower-cased in other ways by the tokenizer's normalizers.
+ODD = "[̀-\U0010ffff]"
 
 
 def default_path() -> str:
@@ -28,84 +30,108 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Recent:
-    """A mapping that keeps at least the last ``limit`` and at most about twice as many entries used.
+def byte_alphabet() -> dict[int, str]:
+    """Byte-level alphabets write printable Latin-1 bytes as themselves and the others, in order, from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
 
-    When the new half is full it becomes the old one; entries that are asked for move to the new
-    half, so frequent ones stay and rare ones go.
-    """
 
-    def __init__(self, limit: int):
-        self.limit, self.new, self.old = limit, {}, {}
-
-    def missing(self, keys: set) -> set:
-        """Those of ``keys`` that aren't known; the others are in ``new`` from now on."""
-        if len(self.new) >= self.limit:
-            self.old, self.new = self.new, {}
-        absent = keys.difference(self.new)
-        for key in absent.intersection(self.old):
-            self.new[key] = self.old[key]
-        return absent.difference(self.old)
+def spread(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, sizes) of the entries ``at`` of a table whose entries have ``sizes`` ids each, one after another."""
+    begin, n = (np.cumsum(sizes) - sizes)[at], sizes[at]
+    ends = np.cumsum(n)
+    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - n), n)], n
 
 
 class Encoder:
-    """ids of words as little-endian 32-bit bytes; words and pieces seen lately are known without the tokenizer."""
+    """Words and pieces as (ids of all, one after another; how many each has)."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.added = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or b"(?!)")
-        self.words, self.pieces = Recent(limit), Recent(limit)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        load = lambda: Tokenizer.from_file(path)
+        self.tokenizer, self.plain = load(), load()
+        for t in (self.tokenizer, self.plain):
+            t.no_truncation()
+            t.no_padding()
+        # pieces are normalized and split already, so their encoder only has to merge
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.plain.model._resize_cache(0)  # pieces come once each
+        self.alphabet = byte_alphabet()
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([ODD, *added]))
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(END) for i in range(size)])
 
-    def _encode(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
+    def vocabulary(self) -> list[bytes]:
+        """The id-to-piece table, by id."""
+        return [(self.tokenizer.id_to_token(i) or "").encode() for i in range(len(self.ends))]
+
+    def whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """By the whole tokenizer, normalizers included."""
+        made = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return np.array([i for ids in made for i in ids], "<u4"), np.array([*map(len, made)], np.int64)
 
-    def _encode_pieces(self, pieces: list[str], at_once: int = 2000) -> list[bytes]:
-        """ids of pieces, encoded many at once as one text: a piece's last id is one that ends a word."""
-        out: list[bytes] = []
+    def pieces(self, pieces: list[str], at_once: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        """Many pieces are encoded at once as one text: a piece's last id is one that ends a word."""
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
         for k in range(0, len(pieces), at_once):
             part = pieces[k : k + at_once]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                out += self._encode(part)
-                continue
-            raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-            out += [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-        return out
-
-    def split(self, word: bytes) -> list[str] | None:
-        """A word's pieces, or None where only the tokenizer's own normalizers will do."""
-        text = word.decode("utf-8", "surrogatepass")
-        if not word.isascii() and max(text) >= PLAIN_BELOW or self.added.search(word):
-            return None
-        text = text.lower()
-        return [text] if text.isalpha() else PIECES.findall(text)
-
-    def learn(self, words: list[bytes]) -> None:
-        """Adds words: new pieces, and words that don't split here, go to the tokenizer in one batch."""
-        parts = [self.split(word) for word in words]
-        odd = [word.decode("utf-8", "surrogatepass") for word, found in zip(words, parts, strict=True) if found is None]
-        fresh = list(self.pieces.missing({p for found in parts if found for p in found}))
-        self.pieces.new.update(zip(fresh, self._encode_pieces(fresh), strict=True))
-        whole = iter(self._encode(odd))
-        get = self.pieces.new.__getitem__
-        for word, found in zip(words, parts, strict=True):
-            self.words.new[word] = next(whole) if found is None else get(found[0]) if len(found) == 1 else b"".join(map(get, found))
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        if absent := self.words.missing(set(words)):
-            self.learn(list(absent))
-        return list(map(self.words.new.__getitem__, words))
+            spelled = [p if p.isascii() and p.isprintable() else p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.alphabet) for p in part]
+            (made,) = self.plain.encode_batch_fast([" ".join(spelled)], add_special_tokens=False)
+            found = np.array(made.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[found]) + 1
+            found, n = (found, np.diff(cuts, prepend=0)) if len(cuts) == len(part) else self.whole(part)
+            ids.append(found)
+            sizes.append(n)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def split(self, words: list[bytes]) -> tuple[np.ndarray, list[str], list[str]]:
+        """(which words only the whole tokenizer encodes, those words, the others' pieces with "\n" after each word)."""
+        text = b"\n".join([*words, b""]).decode("utf-8", "surrogatepass")
+        if not self.odd.search(text):
+            return np.zeros(len(words), bool), [], LINES.findall(text.lower())
+        lines = text.split("\n")[:-1]
+        is_odd = [self.odd.search(line) is not None for line in lines]
+        rest = "\n".join([*(line for line, o in zip(lines, is_odd, strict=True) if not o), ""])
+        return np.array(is_odd), [line for line, o in zip(lines, is_odd, strict=True) if o], LINES.findall(rest.lower())
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes ``words``, best distinct ones; equal pieces are encoded once."""
+        return put_together(*self.split(words), self.pieces, self.whole) if words else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+
+
+def put_together(is_odd: np.ndarray, odd: list[str], parts: list[str], of_pieces, of_odd) -> tuple[np.ndarray, np.ndarray]:
+    """ids of words split by ``Encoder.split``, from the ids of their distinct pieces and of the odd words."""
+    names = dict.fromkeys(parts)
+    names.pop("\n", None)
+    ids, sizes = of_pieces(list(names))
+    names = dict(zip(names, range(len(names)), strict=True)) | {"\n": len(names)}
+    code = np.fromiter(map(names.__getitem__, parts), np.int64, len(parts))
+    ids, n = spread(ids, np.append(sizes, 0), code)
+    sizes = np.diff(np.cumsum(n)[code == len(names) - 1], prepend=0)
+    if not odd:
+        return ids, sizes
+    more, n = of_odd(odd)
+    place = np.empty(len(is_odd), np.int64)
+    place[~is_odd], place[is_odd] = np.arange(len(sizes)), len(sizes) + np.arange(len(n))
+    return spread(np.concatenate([ids, more]), np.concatenate([sizes, n]), place)
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they first appear."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process, kept from task to task."""
+    """One encoder for each worker process; it keeps no words."""
     return Encoder(path)

@@ -1,178 +1,156 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Spark splits all texts into words and keeps each distinct one; every distinct word is encoded once;
-the ids then go back to each word's place in its text.  Decoding looks every id up in the
-vocabulary's id-to-piece table, a fixed few hundred kilobytes.
-
-The way back depends on the table's size.  Up to ``broadcast_bytes`` it goes to all tasks as sorted
-arrays (hash of word, ids), and documents stay where they are read.  A larger one is joined by
-blocks: documents are dealt to blocks, each block's distinct words fetch their ids by a join on the
-word, and meet the block's documents again in a cogroup.  Both give the same rows.
+A word here is what the vocabulary's pre-tokenizer makes of a text (a run of letters, a digit, a run
+of signs), lower-cased; only words that need the tokenizer's own normalizers stay whole.  Documents
+are dealt to blocks of about ``BLOCK_BYTES``.  Each block sends its distinct words, packed in sorted
+order, to the words' buckets; a bucket encodes each of its distinct words once and sends every block
+the ids of the words it asked for, in the same order; there they go back to each word's place in its
+text.  Blocks and buckets follow the bytes of the input, so a task holds one of either whatever the
+input's size, and nothing goes through the driver but the vocabulary's fixed id-to-piece table, which
+decoding joins to the ids in every task.
 
 Defined results: a null or empty text has no ids and decodes to the empty string; repeated rows are
-encoded one by one.
+encoded one by one, and dealt to blocks by their places, so that copies don't meet in one; an empty
+table gives no rows; there are no ties; columns other than the id and text are ignored.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text, _words
-from ._spark import prepare, stored
-
-BROADCAST_BYTES = 256 << 20
-FLUSH = 200_000
-
-
-def distinct_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Each distinct word (binary) of all texts; a task sends a word once for every ``FLUSH`` distinct words it sees."""
-
-    def run(batches):
-        seen: set[bytes] = set()
-        for b in batches:
-            for _, _, data, offsets in _text.slices(b.column(0)):
-                words = _text.Words(data, offsets)
-                raw = data.tobytes()
-                _, at = np.unique(words.hashes(), return_index=True)
-                seen.update([raw[s:e] for s, e in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)])
-            if len(seen) >= FLUSH:
-                yield pa.RecordBatch.from_arrays([_text.binary(list(seen))], ["word"])
-                seen.clear()
-        yield pa.RecordBatch.from_arrays([_text.binary(list(seen))], ["word"])
-
-    return docs.select(text_col).mapInArrow(run, "word binary").distinct()
-
-
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """word, h, ids of each row of ``words``: its hash and its little-endian 32-bit ids, encoded once."""
-
-    def run(batches):
-        coder = _words.encoder(path)
-        for b in batches:
-            found = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(word_hashes(found).view(np.int64)), _text.binary(coder.encode(found))], ["word", "h", "ids"])
+from ._spark import prepare
 
-    return words.mapInArrow(run, "word binary, h long, ids binary")
+BLOCK_BYTES = 24 << 20  # of texts in a block
+BUCKET_BYTES = 48 << 20  # of texts for each bucket of words: words are about an eighth of that
 
 
+@functools.lru_cache(maxsize=1)
 def vocabulary(path: str) -> list[bytes]:
     """The id-to-piece table, by id."""
-    tokenizer = _words.Encoder(path).tokenizer
-    return [(tokenizer.id_to_token(i) or "").encode() for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    data = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-    return _text.span_hash(_text.prefix_sums(_text.BYTE_CODE[data]), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if words else np.zeros(0, np.uint64)
-
-
-class Table:
-    """Ids by the 64-bit hash of a word, as sorted arrays."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray):
-        order = np.argsort(hashes)
-        begin = np.cumsum(counts, dtype=np.int64) - counts
-        kind = np.uint32 if len(ids) < 1 << 32 else np.int64
-        self.hashes, self.begin, self.counts, self.ids = hashes[order], begin.astype(kind)[order], counts[order], ids
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """Each row's ids: distinct words are looked up once, then spread to their positions."""
-        words = _text.Words(data, offsets)
-        distinct, place = np.unique(words.hashes(), return_inverse=True)
-        entry = np.searchsorted(self.hashes, distinct)[place]
-        counts, begin = self.counts[entry].astype(np.int64), self.begin[entry].astype(np.int64)
-        ends = np.cumsum(counts)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - counts), counts)
-        return np.split(self.ids[at], np.concatenate([[0], ends])[words.first[1:-1]])
-
-
-def _digests(ids: list[np.ndarray], pieces: list[bytes], numbers: list[bytes]) -> list[pa.Array]:
-    """n_tokens, ids_sha256, decoded_sha256; a decoder-less vocabulary joins its pieces by spaces."""
-    digest = lambda parts: hashlib.sha256(b" ".join(parts)).hexdigest()
-    lists = [x.tolist() for x in ids]
-    return [pa.array([len(x) for x in lists], pa.int64()), pa.array([digest(map(numbers.__getitem__, x)) for x in lists]), pa.array([digest(map(pieces.__getitem__, x)) for x in lists])]
-
-
-def word_table(docs: DataFrame, text_col: str, path: str, limit: int = BROADCAST_BYTES) -> tuple[DataFrame, Broadcast | None]:
-    """(words with their ids, the same as a broadcast ``Table`` or None if it is beyond ``limit`` bytes)."""
-    words = stored(encode_words(distinct_words(docs, text_col), path), "words")
-    size = words.agg(F.coalesce(F.sum(F.length("ids") / 2 + 26), F.lit(0))).first()[0]
-    if size > limit:
-        return words, None
-    if not words.groupBy("h").count().where("count > 1").isEmpty():
-        return words, None  # two words share a hash: only a join on whole words tells them apart
-    kind = np.uint16 if len(vocabulary(path)) <= 1 << 16 else np.uint32
-
-    def packed(batches):
-        for b in batches:
-            ids = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([_text.binary([x]) for x in (b.column(0).to_numpy().tobytes(), np.array([len(i) // 4 for i in ids], np.uint32).tobytes(), np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes())], ["h", "n", "ids"])
-
-    # the driver passes packed parts on as they are; each worker puts its table together once
-    parts = [tuple(r) for r in words.select("h", "ids").mapInArrow(packed, "h binary, n binary, ids binary").toLocalIterator()]
-    return words, docs.sparkSession.sparkContext.broadcast((kind, parts))
-
-
-@functools.lru_cache(maxsize=1)
-def table_of(sent: Broadcast) -> Table:
-    kind, parts = sent.value
-    join = lambda k, kind: np.frombuffer(b"".join(p[k] for p in parts), kind)
-    return Table(join(0, np.uint64), join(1, np.uint32), join(2, kind))
-
-
-def encode_decode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, broadcast_bytes: int = BROADCAST_BYTES, docs_per_block: int = 4000) -> DataFrame:
+    return _words.Encoder(path).vocabulary()
+
+
+def asked_for(pieces: list[str], odd: list[str], buckets: int) -> list[list[str]]:
+    """The distinct words of a block, in sorted order, by bucket."""
+    out: list[list[str]] = [[] for _ in range(buckets)]
+    for word in sorted({*pieces, *odd}):
+        out[zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets].append(word)
+    return out
+
+
+def sent(words: list[str]) -> tuple[bytes, bytes]:
+    """(words as lines, their digest); no word holds a line break."""
+    lines = "\n".join(words).encode("utf-8", "surrogatepass")
+    return lines, xxhash.xxh128_digest(lines)
+
+
+def numbered(texts: pa.ChunkedArray) -> tuple[_words.Numbers, list[np.ndarray]]:
+    """The distinct white-space separated words of some texts, and each text as numbers of them."""
+    numbers = _words.Numbers()
+    return numbers, [numbers.of(t.split()) for chunk in texts.chunks for t in _text.raw_texts(chunk)]
+
+
+def requests(dealt: DataFrame, text_col: str, path: str, buckets: int) -> DataFrame:
+    """_bucket, _block, words: every block's distinct words, one packed row for each bucket they belong to."""
+
+    def run(group: pa.Table) -> pa.Table:
+        numbers, _ = numbered(group[text_col])
+        _, odd, parts = _words.encoder(path).split(list(numbers))
+        distinct = set(parts)
+        distinct.discard("\n")
+        pack = zstandard.ZstdCompressor(level=3).compress
+        rows = [(k, pack(sent(words)[0])) for k, words in enumerate(asked_for(distinct, odd, buckets)) if words]
+        return pa.table([pa.array([k for k, _ in rows], pa.int64()), pa.array([group["_block"][0].as_py()] * len(rows), pa.int64()), _text.binary([w for _, w in rows])], ["_bucket", "_block", "words"])
+
+    return dealt.groupBy("_block").applyInArrow(run, "_bucket long, _block long, words binary")
+
+
+def answers(asked: DataFrame, path: str) -> DataFrame:
+    """_block, _bucket, digest, sizes, ids: each bucket's distinct words encoded once, for every request in the order of its words."""
+
+    def run(group: pa.Table) -> pa.Table:
+        numbers, unpack = _words.Numbers(), zstandard.ZstdDecompressor().decompress
+        lines = [unpack(w) for w in group["words"].to_pylist()]
+        codes = [numbers.of(x.split(b"\n")) for x in lines]
+        ids, sizes = _words.encoder(path).encode(list(numbers))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        made = [_words.spread(ids, sizes, c) for c in codes]
+        return pa.table(
+            [
+                group["_block"], group["_bucket"], _text.binary([xxhash.xxh128_digest(x) for x in lines]),
+                _text.binary([pack(n.astype("<u4").tobytes()) for _, n in made]), _text.binary([pack(i.astype("<u4").tobytes()) for i, _ in made]),
+            ], ["_block", "_bucket", "digest", "sizes", "ids"])
+
+    return asked.groupBy("_bucket").applyInArrow(run, "_block long, _bucket long, digest binary, sizes binary, ids binary")
+
+
+def word_ids(words: list[bytes], found: pa.Table, path: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids of a block's words out of the buckets' answers.
+
+    Should a recomputed block hold other words than it asked for, those of such a bucket are encoded here.
+    """
+    if not words:
+        return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+    is_odd, odd, parts = _words.encoder(path).split(words)
+    distinct = set(parts)
+    distinct.discard("\n")
+    by = {r["_bucket"]: r for r in found.to_pylist()}
+    unpack = zstandard.ZstdDecompressor().decompress
+    place: dict[str, int] = {}
+    ids, sizes = [], []
+    for k, asked in enumerate(asked_for(distinct, odd, buckets)):
+        if not asked:
+            continue
+        lines, digest = sent(asked)
+        place.update(zip(asked, range(len(place), len(place) + len(asked)), strict=True))
+        if k in by and by[k]["digest"] == digest:
+            sizes.append(np.frombuffer(unpack(by[k]["sizes"]), "<u4").astype(np.int64))
+            ids.append(np.frombuffer(unpack(by[k]["ids"]), "<u4"))
+        else:
+            more, n = _words.encoder(path).encode(lines.split(b"\n"))
+            ids.append(more)
+            sizes.append(n)
+    ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+    of = lambda names: _words.spread(ids, sizes, np.fromiter(map(place.__getitem__, names), np.int64, len(names)))
+    return _words.put_together(is_odd, odd, parts, of, of)
+
+
+def encode_decode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """n_tokens and the SHA-256 digests of ids and decoded text of every whole text."""
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     path = path or _words.default_path()
     docs = docs.select(id_col, text_col)
-    words, sent = word_table(docs, text_col, path, broadcast_bytes)
-    pieces = vocabulary(path)
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    blocks, buckets = max(1, -(-total // block_bytes)), max(1, -(-total // bucket_bytes))
+    # both uses of the dealt documents read one shuffle
+    dealt = docs.withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))).repartition(blocks, "_block")
+    found = answers(requests(dealt, text_col, path, buckets), path)
+    pieces = spark.sparkContext.broadcast(vocabulary(path))
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-    schema = docs.select(id_col).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    if sent is None:
-        return _by_blocks(docs, words, pieces, names, schema, docs_per_block)
-
-    def run(batches):
-        known, numbers = table_of(sent), [str(i).encode() for i in range(len(pieces))]
-        for b in batches:
-            for lo, hi, data, offsets in _text.slices(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *_digests(known.encode(data, offsets), pieces, numbers)], names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def _by_blocks(docs: DataFrame, words: DataFrame, pieces: list[bytes], names: list[str], schema, docs_per_block: int) -> DataFrame:
-    text_col = docs.columns[1]
-    blocks = max(1, -(-docs.count() // docs_per_block))
-    dealt = docs.withColumn("_block", F.pmod(F.xxhash64(*docs.columns), F.lit(blocks)))
-
-    def of_block(batches):
-        for b in batches:
-            texts, at = b.column(0), b.column(1).to_numpy()
-            seen: dict[int, set[bytes]] = {}
-            for lo, _, data, offsets in _text.slices(texts):
-                raw = data.tobytes()
-                for i in range(len(offsets) - 1):
-                    seen.setdefault(int(at[lo + i]), set()).update(raw[offsets[i] : offsets[i + 1]].split())
-            for k, found in seen.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), _text.binary(list(found))], ["_block", "word"])
-
-    needed = dealt.select(text_col, "_block").mapInArrow(of_block, "_block long, word binary").distinct().join(words, "word").select("_block", "word", "ids")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = right["ids"].to_pylist()
-        known = dict(zip(right["word"].to_pylist(), ids, strict=True))
-        numbers = [str(i).encode() for i in range(len(pieces))]
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in left[text_col].to_pylist()]
-        made = [np.frombuffer(b"".join(map(known.__getitem__, t.split())), "<u4") for t in texts]
-        return pa.Table.from_arrays([left[names[0]], *_digests(made, pieces, numbers)], names)
-
-    return dealt.groupBy("_block").cogroup(needed.groupBy("_block")).applyInArrow(run, schema)
+        numbers, codes = numbered(left[text_col])
+        ids, sizes = word_ids(list(numbers), right, path, buckets)
+        del numbers
+        flat, cuts = ids.tolist(), np.append(0, np.cumsum(sizes)).tolist()
+        piece, spelled = pieces.value, [b"%d" % i for i in range(len(pieces.value))]
+        as_ids = [b" ".join(map(spelled.__getitem__, flat[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+        as_text = [b" ".join(map(piece.__getitem__, flat[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+        rows = []
+        for code in codes:
+            at = code[sizes[code] > 0].tolist()
+            rows.append((int(sizes[code].sum()), *(hashlib.sha256(b" ".join(map(x.__getitem__, at))).hexdigest() for x in (as_ids, as_text))))
+        return pa.Table.from_arrays([left[id_col], pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))], names)
+
+    schema = docs.select(id_col).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    return dealt.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(run, schema)

@@ -24,32 +24,31 @@ from . import _text, _words
 from ._spark import prepare, stored
 
 MAX_TOKENS = 2048
+GATHER_BYTES = 32 << 20  # of texts whose distinct words a task encodes together
 
 
 def pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = 0) -> DataFrame:
     """id, piece, start, length and ids_crc32 of every document's tokens, cut only beyond ``max_tokens``.
 
-    Tasks encode words as they meet them; a worker knows those it has seen lately.
+    A task gathers about ``GATHER_BYTES`` of texts, encodes their distinct words once and forgets them again.
     """
     prepare(docs.sparkSession)
     path = path or _words.default_path()
     end, step = np.array([end_id], "<u4").tobytes(), 4 * max_tokens
     names = [id_col, "piece", "start", "length", "ids_crc32"]
 
-    def encoded(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        raw = data.tobytes()
-        split = [raw[s:e].split() for s, e in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
-        flat = _words.encoder(path).encode([w for words in split for w in words])
-        ends = np.cumsum([len(words) for words in split]).tolist()
-        return [b"".join(flat[e - len(words) : e]) + end for e, words in zip(ends, split, strict=True)]
-
     def run(batches):
-        for b in batches:
-            ids = b.column(0).to_pylist()
-            for lo, hi, data, offsets in _text.slices(b.column(1)):
+        for held in _text.gathered(batches, GATHER_BYTES):
+            numbers = _words.Numbers()
+            codes = [[numbers.of(text.split()) for text in _text.raw_texts(b.column(1))] for b in held]
+            ids, sizes = _words.encoder(path).encode(list(numbers))
+            for b, of_batch in zip(held, codes, strict=True):
                 rows = []
-                for i, tokens in zip(ids[lo:hi], encoded(data, offsets), strict=True):
-                    rows += [(i, k, k * max_tokens, min(step, len(tokens) - s) // 4, zlib.crc32(tokens[s : s + step])) for k, s in enumerate(range(0, len(tokens), step))]
+                tokens, n = _words.spread(ids, sizes, np.concatenate(of_batch))
+                raw, ends = tokens.tobytes(), np.append(0, 4 * np.cumsum(n))[np.cumsum([0, *map(len, of_batch)])].tolist()
+                for i, s, e in zip(b.column(0).to_pylist(), ends, ends[1:], strict=False):
+                    of_doc = raw[s:e] + end
+                    rows += [(i, k, k * max_tokens, min(step, len(of_doc) - at) // 4, zlib.crc32(of_doc[at : at + step])) for k, at in enumerate(range(0, len(of_doc), step))]
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)], names)
 

@@ -23,21 +23,45 @@ def digests(tokenizer, text):
     return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("limit", [bpe.BROADCAST_BYTES, 0])
-def test_bpe_equals_the_library(docs, rows, tokenizer, same, limit):
-    """Both ways back from the word table, broadcast and blocks."""
-    out = bpe.encode_decode(docs, broadcast_bytes=limit, docs_per_block=20)
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 20_000, "bucket_bytes": 50_000}])
+def test_bpe_equals_the_library(docs, rows, tokenizer, same, sizes):
+    """In one block and bucket, and in many."""
+    out = bpe.encode_decode(docs, **sizes)
     same(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [(i, *digests(tokenizer, t)) for i, t in rows])
 
 
-@pytest.mark.parametrize("limit", [bpe.BROADCAST_BYTES, 0])
-def test_bpe_of_a_word_of_more_than_65535_tokens(spark, tokenizer, same, limit):
+def test_bpe_of_long_words(spark, tokenizer, same):
+    """Words of more than 65,535 tokens, and of 100,000 characters."""
     unspaced = "".join(chr(0x4E00 + int(k)) for k in np.random.default_rng(3).integers(0, 5000, 70_000))
-    texts = [(1, unspaced), (2, f"a {unspaced} b"), (3, "plain words"), (4, None)]
+    texts = [(1, unspaced), (2, f"a {unspaced} b"), (3, "plain words"), (4, None), (5, "ab" * 50_000), (6, "x1!" * 33_334)]
     expected = [(i, *digests(tokenizer, t)) for i, t in texts]
     assert expected[0][1] > 65_535
-    out = bpe.encode_decode(spark.createDataFrame(texts, "doc_id long, text string"), broadcast_bytes=limit)
-    same(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], expected)
+    same(bpe.encode_decode(spark.createDataFrame(texts, "doc_id long, text string")), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], expected)
+
+
+def test_bpe_of_many_distinct_words(spark, tokenizer, same):
+    """300,000 distinct words over several blocks and buckets."""
+    texts = [(i, " ".join(f"w{chr(97 + k % 26)}{k:x}" for k in range(i * 30_000, (i + 1) * 30_000))) for i in range(10)]
+    out = bpe.encode_decode(spark.createDataFrame(texts, "doc_id long, text string"), block_bytes=500_000, bucket_bytes=500_000)
+    same(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [(i, *digests(tokenizer, t)) for i, t in texts])
+
+
+def test_bpe_of_a_block_that_was_dealt_anew(tokenizer):
+    """Answers to other words than a block holds aren't used."""
+    import pyarrow as pa
+
+    none = pa.table({"_bucket": [0], "_block": [0], "digest": [b"x"], "sizes": [b""], "ids": [b""]})
+    words = ["Alpha,", "beta", "Σ中"]
+    ids, sizes = bpe.word_ids([w.encode() for w in words], none, _words.default_path(), 2)
+    got = np.split(ids, np.cumsum(sizes)[:-1])
+    assert [g.tolist() for g in got] == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_bpe_reads_one_shuffle_of_the_documents(docs, spark, tmp_path):
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents")
+    out = bpe.encode_decode(spark.read.parquet(f"{tmp_path}/documents"))
+    out.collect()
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_bpe_edges(no_docs):
@@ -108,13 +132,10 @@ def test_url_edges(spark):
     assert url_filter.filter_urls(none, listed_urls(none), RULES).count() == 0
 
 
-def test_encoder_cache_is_bounded_and_right(tokenizer):
-    """A batch that would overflow the cache still finds the words it knew."""
-    coder = _words.Encoder(_words.default_path(), limit=10)
-    for part in (["alpha", "beta", "gamma!"], [f"w{k}x" for k in range(8)], ["alpha", "w1x", *(f"z{k}" for k in range(9))]):
-        got = [np.frombuffer(b, "<u4").tolist() for b in coder.encode([p.encode() for p in part])]
-        assert got == [tokenizer.encode(p, add_special_tokens=False).ids for p in part]
-        assert len(coder.words.new) + len(coder.words.old) <= 10 + 2 * 11
+def test_words_equal_the_library(tokenizer):
+    words = ["alpha", "Beta's", "gamma!", "x1y22", "d\u00e9j\u00e0", "\u0130stanbul", "a\u0301", "\u4e2d\u6587", "<|endoftext|>", "a<|endoftext|>b", "\x1c\x00", "\xa0", "\x85z", "don't", "\u00bd\u00b2", "..--", "\U0001f642"]
+    ids, sizes = _words.encoder(_words.default_path()).encode([w.encode() for w in words])
+    assert [g.tolist() for g in np.split(ids, np.cumsum(sizes)[:-1])] == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
 
 
 @pytest.mark.parametrize("tight", [{"max_docs": 3}, {"max_attention": 2500}])
