@@ -112,3 +112,81 @@ def discrete_gamma(alpha: float, n: int) -> list[float]:
 
     raw = [max(1e-8, alpha * (1 - 1 / (9 * alpha) + NormalDist().inv_cdf((i + 0.5) / n) / (3 * math.sqrt(alpha))) ** 3 / alpha) for i in range(n)]
     return [r * n / sum(raw) for r in raw]
+
+
+#: Fixed by the pair classes: each canonical base pair's number; any other pair has the next one.
+BASE_PAIRS = ["AU", "CG", "GC", "UA", "GU", "UG"]
+
+
+def base_pair_class(left: Column, right: Column) -> Column:
+    """0 to 5 for the canonical base pairs, 6 for any other."""
+    at = F.array_position(F.array(*map(F.lit, BASE_PAIRS)), F.concat(left, right))
+    return F.when(at > 0, at - 1).otherwise(len(BASE_PAIRS)).cast("int")
+
+
+def softmax(scores: Column) -> Column:
+    """An array of log-weights as probabilities."""
+    top = F.array_max(scores)
+    raised = F.transform(scores, lambda x: F.exp(x - top))
+    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+
+
+def logit(p: Column) -> Column:
+    return F.log(p / (1 - p))
+
+
+def sigmoid(z: Column) -> Column:
+    return 1 / (1 + F.exp(-z))
+
+
+def softplus(z: Column) -> Column:
+    """log(1 + exp(z)) without overflow: a positive parameter of a free one."""
+    return F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+
+
+def score_derivatives(lam: Column, mu: Column, t: Column) -> dict[str, tuple[Column, Column]]:
+    """The derivatives by lambda and by mu of the logs of alpha, beta, kappa and their complements, by name ("1-" for those).
+
+    Where the rates differ by less than 1e-4 of mu, beta's have their common limit.
+    """
+    p = birth_death(lam, mu, t)
+    alpha, beta, kappa = p["alpha"], p["beta"], p["kappa"]
+    near, g = F.abs(1 - kappa) < 1e-4, F.exp((lam - mu) * t)
+    below, gone = F.when(~near, mu - lam * g), F.when(~near, 1 - g)
+    at, grown = 1 + lam * t, lam * t * t / 2
+    by_lam = F.when(near, 1 / lam + t / 2 - (t + grown) / at).otherwise(1 / lam - t * g / gone + (g + lam * t * g) / below)
+    by_mu = F.when(near, -t / 2 + grown / at).otherwise(t * g / gone - (1 + lam * t * g) / below)
+    none, rest = F.lit(0.0), lambda d: -d * beta / (1 - beta)
+    return {
+        "alpha": (none, -t), "1-alpha": (none, t * alpha / (1 - alpha)), "beta": (by_lam, by_mu), "1-beta": (rest(by_lam), rest(by_mu)),
+        "kappa": (1 / lam, -1 / mu), "1-kappa": (-1 / (mu - lam), lam / (mu * (mu - lam))),
+    }
+
+
+def mixed_fragment_transitions(lam: Column, mu: Column, t: Column, exts: Sequence[float], weights: Sequence[float]) -> dict[tuple[str, str], Column]:
+    """Transitions of the link model whose links are fragments of several kinds, by names like M0 and D1.
+
+    A fragment of kind f goes on with chance exts[f]; a new one is of kind g with chance weights[g].
+    """
+    base, kinds = link_transitions(lam, mu, t), range(len(exts))
+    out = {}
+    for src in ["S", *(f"{s}{f}" for s in "MID" for f in kinds)]:
+        stop = 1 - exts[int(src[1:])] if src != "S" else 1.0
+        for dst in "MID":
+            for g in kinds:
+                go_on = exts[g] if src == f"{dst}{g}" else 0.0
+                out[src, f"{dst}{g}"] = stop * weights[g] * base[src[0], dst] + go_on
+        out[src, "E"] = stop * base[src[0], "E"]
+    return out
+
+
+def mixed_fragment_lengths(lam: Column, mu: Column, exts: Sequence[float], weights: Sequence[float]) -> dict[tuple[str, str], Column]:
+    """Transitions of one sequence of such fragments alone, between S, I0, I1 ... and E."""
+    kappa, kinds = lam / mu, range(len(exts))
+    out = {}
+    for src in ["S", *(f"I{f}" for f in kinds)]:
+        stop = 1 - exts[int(src[1:])] if src != "S" else 1.0
+        for g in kinds:
+            out[src, f"I{g}"] = stop * kappa * weights[g] + (exts[g] if src == f"I{g}" else 0.0)
+        out[src, "E"] = stop * (1 - kappa)
+    return out

@@ -97,12 +97,18 @@ def gap_tally(columns: DataFrame, clip: int) -> DataFrame:
     return every.groupBy("kind", "i", "j").agg(F.count("*").alias("n"))
 
 
-def bigrams(symbols: DataFrame, size: int) -> DataFrame:
-    """n of each pair of neighbouring symbols; codes ``size`` and ``size + 1`` stand for the begin and the end."""
-    w = Window.partitionBy("seq_id").orderBy("pos")
-    rows = symbols.select(F.lag("c", 1, size).over(w).alias("c1"), F.col("c").alias("c2"), F.lead("c").over(w).isNull().alias("last"))
-    steps = F.when(F.col("last"), F.array(F.struct("c1", "c2"), F.struct(F.col("c2").alias("c1"), F.lit(size + 1).alias("c2")))).otherwise(F.array(F.struct("c1", "c2")))
-    return rows.select(F.explode(steps).alias("s")).groupBy("s.c1", "s.c2").agg(F.count("*").alias("n"))
+def bigrams(letters: DataFrame, size: int) -> DataFrame:
+    """n of each pair c1, c2 of neighbouring letters (codes from 0) of strings s; codes ``size`` and ``size + 1`` stand for the begin and the end.
+
+    Every string is marked at both ends and cut into its pairs where it lies; only their counts move.
+    An empty string has no pairs.
+    """
+    mark = lambda k: F.lit(chr(97 + k))
+    framed = letters.where(F.length("s") > 0).select(F.concat(mark(size), "s", mark(size + 1)).alias("s"))
+    # pairs from even and from odd places
+    twos = F.concat(F.regexp_extract_all("s", F.lit("(..)"), F.lit(1)), F.regexp_extract_all(F.expr("substr(s, 2)"), F.lit("(..)"), F.lit(1)))
+    n = framed.select(F.explode(twos).alias("two")).groupBy("two").agg(F.count("*").alias("n"))
+    return n.select((F.ascii("two") - 97).alias("c1"), (F.ascii(F.substring("two", 2, 1)) - 97).alias("c2"), "n")
 
 
 def composition(symbols: DataFrame) -> DataFrame:
@@ -157,3 +163,39 @@ def contingency(columns: DataFrame, groups: DataFrame, by: list[str], gap: int)
     x = F.when(F.col("st") == INSERT, gap).otherwise(F.col("a"))
     y = F.when(F.col("st") == DELETE, gap).otherwise(F.col("b"))
     return columns.select("pair_id", x.alias("x"), y.alias("y")).join(groups, "pair_id").groupBy(*by, "x", "y").agg(F.count("*").alias("n"))
+
+
+def site_counts(columns: DataFrame, groups: DataFrame) -> DataFrame:
+    """n of each (site, tau_bin, a, b) over match columns, a site being a column's place."""
+    matches = columns.where(F.col("st") == MATCH).join(groups, "pair_id")
+    return matches.groupBy(F.col("pos").alias("site"), "tau_bin", "a", "b").agg(F.count("*").alias("n"))
+
+
+def lifted(counts: DataFrame, prior: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, lifted: counts plus a prior's pseudocounts (keys, alpha), over the keys of either side."""
+    joined = counts.join(prior, keys, "full")
+    return joined.select(*keys, (F.coalesce("n", F.lit(0)) + F.coalesce("alpha", F.lit(0.0))).alias("lifted"))
+
+
+def lowered(pseudocounts: DataFrame, prior: DataFrame, keys: list[str]) -> DataFrame:
+    """The counts that ``lifted`` made ``pseudocounts`` of; no count falls below zero."""
+    joined = pseudocounts.join(prior, keys, "left")
+    return joined.select(*keys, F.greatest(F.col("lifted") - F.coalesce("alpha", F.lit(0.0)), F.lit(0.0)).alias("n"))
+
+
+def letter_vectors(letters: DataFrame, size: int) -> DataFrame:
+    """seq_id, n: how often each of the first ``size`` letters stands in each string s; strings without any are dropped."""
+    n = F.array(*(F.length("s") - F.length(F.translate("s", chr(97 + k), "")) for k in range(size)))
+    return letters.select("seq_id", F.transform(n, lambda x: x.cast("double")).alias("n")).where(F.aggregate("n", F.lit(0.0), lambda a, x: a + x) > 0)
+
+
+def squared_distance(vectors: DataFrame) -> DataFrame:
+    """seq_id, d: the squared distance of each count vector's shares from those of all vectors together."""
+    width = F.size("n")
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    # one row of as many numbers as a vector has
+    sums = vectors.select(F.posexplode("n").alias("c", "x")).groupBy("c").agg(F.sum("x").alias("x"))
+    whole = sums.agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "x"))), lambda s: s["x"]).alias("g"))
+    share = lambda v: F.transform(v, lambda x: x / total(v))
+    both = vectors.crossJoin(F.broadcast(whole)).where(width == F.size("g"))
+    return both.select("seq_id", total(F.zip_with(share(F.col("n")), share(F.col("g")), lambda x, y: (x - y) * (x - y))).alias("d"))

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
+from . import pairwise
+
 
 def best_chain(i: np.ndarray, j: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Indices of the heaviest chain of cells that rises strictly in both i and j, a cell before a gap where both are as heavy.
@@ -103,3 +106,19 @@ def merged_columns(posteriors: DataFrame, threshold: float = 0.5) -> DataFrame:
         return pd.DataFrame([(key[0], n, k, number[group[n, k]]) for n, k in nodes], columns=["fam", "name", "pos", "col"])
 
     return posteriors.groupBy("fam").applyInPandas(run, "fam long, name long, pos int, col int")
+
+
+def aligned_families(members: DataFrame, trans: np.ndarray, emit: np.ndarray, background: np.ndarray, threshold: float = 0.5) -> DataFrame:
+    """fam, name, pos, col: each family's sequences (fam, name, seq) aligned, residue by residue.
+
+    Every pair of a family's members gets its match posteriors under the pair model, and columns are merged from
+    the strongest cells down to ``threshold``.  A member that no other one can be compared with has columns of its own.
+    """
+    left = members.select("fam", F.col("name").alias("name_a"), F.col("seq").alias("x"))
+    right = members.select("fam", F.col("name").alias("name_b"), F.col("seq").alias("y"))
+    both = left.join(right, "fam").where("name_a < name_b").withColumn("pair_id", F.monotonically_increasing_id())
+    pairs = stored(both.where("size(x) > 0 and size(y) > 0"), "family-pairs")
+    cells = pairwise.match_posteriors(pairs, trans, emit, background, threshold=0.0).join(pairs.select("pair_id", "fam", "name_a", "name_b"), "pair_id")
+    merged = stored(merged_columns(cells.select("fam", F.col("name_a").alias("x"), "i", F.col("name_b").alias("y"), "j", "p"), threshold), "family-columns")
+    alone = members.join(merged.select("fam", "name").distinct(), ["fam", "name"], "left_anti").select("fam", "name", F.posexplode("seq").alias("pos", "_")).select("fam", "name", "pos", F.col("pos").alias("col"))
+    return merged.unionByName(alone)

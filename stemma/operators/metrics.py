@@ -67,9 +67,10 @@ def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return made.select(*by, "n", "mean", "least", "greatest", *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate((10, 25, 50, 75, 90))))
 
 
-def information_criteria(models: DataFrame, n: int) -> DataFrame:
-    """Adds aic and bic to (model, loglik, k)."""
-    return models.withColumns({"aic": 2 * F.col("k") - 2 * F.col("loglik"), "bic": F.col("k") * F.log(F.lit(float(n))) - 2 * F.col("loglik")})
+def information_criteria(models: DataFrame, n: int | Column) -> DataFrame:
+    """Adds aic and bic to (model, loglik, k) of ``n`` observations."""
+    size = n.cast("double") if isinstance(n, Column) else F.lit(float(n))
+    return models.withColumns({"aic": 2 * F.col("k") - 2 * F.col("loglik"), "bic": F.col("k") * F.log(size) - 2 * F.col("loglik")})
 
 
 def means(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -80,3 +81,49 @@ def means(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 def histogram(rows: DataFrame, column: str, top: int) -> DataFrame:
     """The ``top`` commonest values and their counts, equal counts by value."""
     return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(top)
+
+
+def accuracy(groups: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """accuracy of each group: the share of rows whose truth and said agree, 0 where there are none."""
+    right = rows.groupBy(*by).agg(F.avg((F.col("truth") == F.col("said")).cast("double")).alias("accuracy"))
+    return groups.join(right, by, "left").withColumn("accuracy", F.coalesce("accuracy", F.lit(0.0)))
+
+
+def log_posteriors(rows: DataFrame, by: list[str], cut: float = 0.5, floor: float = 1e-30) -> DataFrame:
+    """of_prediction, of_truth: the log-probability of (p >= cut) and of the truth under p.
+
+    Probabilities are floored, but a truth that has probability 0 outright makes its sum minus infinity.
+    """
+    p, ln = F.col("p"), lambda x: F.log(F.greatest(x, F.lit(floor)))
+    none = F.lit(float("-inf"))
+    said = F.when(p >= cut, ln(p)).otherwise(ln(1 - p))
+    true = F.when(F.col("truth"), F.when(p == 0, none).otherwise(ln(p))).otherwise(F.when(p == 1, none).otherwise(ln(1 - p)))
+    return rows.groupBy(*by).agg(F.sum(said).alias("of_prediction"), F.sum(true).alias("of_truth"))
+
+
+def core_scores(reference: DataFrame, test: DataFrame, by: list[str]) -> DataFrame:
+    """pairs, sp, tc over the core residues of a reference (by, col, name, pos, core) for groups with a core column.
+
+    A core column has core residues of two rows or more; sp is the share of their pairs that the test aligns
+    too, tc the share of core columns whose core residues all share one column of the test.
+    """
+    core = reference.where("core and pos is not null").select(*by, "col", "name", "pos")
+    placed = core.join(test.where("pos is not null").select(*by, "name", "pos", F.col("col").alias("there")), [*by, "name", "pos"], "left")
+    by_place = placed.groupBy(*by, "col", "there").agg(F.count("*").alias("n"))
+    twos = lambda n: n * (n - 1) / 2
+    found = F.sum(F.when(F.col("there").isNotNull(), twos(F.col("n"))).otherwise(0))
+    columns = by_place.groupBy(*by, "col").agg(F.sum("n").alias("n"), found.alias("hit"), (F.count_distinct("there") == 1).alias("one"), F.every(F.col("there").isNotNull()).alias("all")).where("n > 1")
+    out = columns.groupBy(*by).agg(F.sum(twos(F.col("n"))).cast("long").alias("pairs"), F.sum("hit").alias("hit"), F.avg((F.col("one") & F.col("all")).cast("double")).alias("tc"))
+    return out.select(*by, "pairs", (F.col("hit") / F.col("pairs")).alias("sp"), "tc")
+
+
+def posterior_mass(cells: DataFrame, posterior: DataFrame, by: list[str]) -> DataFrame:
+    """score, aligned: posterior mass and number of an alignment's residue pairs (by, i, j); absent cells count 0."""
+    joined = cells.join(posterior, [*by, "i", "j"], "left")
+    return joined.groupBy(*by).agg(F.sum(F.coalesce("p", F.lit(0.0))).alias("score"), F.count("*").alias("aligned"))
+
+
+def grouped_by_sets(rows: DataFrame, sets: list[list[str]], sums: list[str]) -> DataFrame:
+    """Sums by each of several sets of keys in one pass; null stands for all."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    return rows.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(*(F.sum(c).alias(c) for c in sums)).select(*keys, *sums)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import quadratic_rates
+from ..functions.expressions import birth_death, quadratic_rates
 
 
 def soft_responsibilities(scores: DataFrame, key: str) -> DataFrame:
@@ -53,34 +53,92 @@ def gaussian_em(points: DataFrame, dim: int, k: int, *, variance: float = 1.0, i
     return centres, logw, trace
 
 
+#: The eight sums of a pair's transitions that the link model's log-likelihood is linear in.
+GROUPS = ["n_alpha", "n_1malpha", "n_beta", "n_1mbeta", "n_gamma", "n_1mgamma", "n_kappa", "n_1mkappa"]
+STATISTICS = ["B", "D", "S", "L", "M", "T"]
+
+
+def link_statistics(rows: DataFrame) -> DataFrame:
+    """Adds the expected births B, deaths D, lived time S, length L, ends M and time T to rows (lam, mu, tau and ``GROUPS``).
+
+    They follow from the scores of the counts' log-likelihood at the rates, and are linear in the counts.  Steps
+    are columns of their own, so that no expression is written out again in another.
+    """
+    c = F.col
+    lam, mu, t = c("lam"), c("mu"), c("tau")
+    rows = rows.withColumn("_e", F.exp((lam - mu) * t)).withColumns({"_den": mu - lam * c("_e"), "_alpha": F.exp(-mu * t)})
+    rows = rows.withColumn("_beta", lam * (1 - c("_e")) / c("_den")).withColumn("_g1", mu * c("_beta") / (lam * (1 - c("_alpha"))))
+    # derivatives of ln beta by both rates, and of the others from them
+    rows = rows.withColumns({"_dbl": 1 / lam - t * c("_e") / (1 - c("_e")) + (c("_e") + lam * t * c("_e")) / c("_den"), "_dbm": t * c("_e") / (1 - c("_e")) - (1 + lam * t * c("_e")) / c("_den")})
+    rows = rows.withColumns({"_dgl": -c("_g1") * (c("_dbl") - 1 / lam), "_dgm": -c("_g1") * (1 / mu + c("_dbm") - t * c("_alpha") / (1 - c("_alpha")))})
+    both = lambda d_beta, d_gamma: c("n_beta") * c(d_beta) - c("n_1mbeta") * c("_beta") * c(d_beta) / (1 - c("_beta")) + c("n_gamma") * c(d_gamma) / (1 - c("_g1")) - c("n_1mgamma") * c(d_gamma) / c("_g1")
+    rows = rows.withColumns({"_by_l": both("_dbl", "_dgl"), "_by_m": both("_dbm", "_dgm") - c("n_alpha") * t + c("n_1malpha") * t * c("_alpha") / (1 - c("_alpha")), "T": t * c("n_1mkappa")})
+    # E[births] - lam * (links + time) = lam * score, E[deaths] - mu * links = mu * score, births - deaths = change in length
+    change = c("n_beta") + c("n_gamma") - c("n_1malpha")
+    rows = rows.withColumn("S", (change - lam * c("_by_l") + mu * c("_by_m") - lam * c("T")) / (lam - mu))
+    rows = rows.withColumns({"B": lam * c("_by_l") + lam * (c("S") + c("T")), "D": mu * c("_by_m") + mu * c("S"), "L": c("n_kappa").cast("double"), "M": c("n_1mkappa").cast("double")})
+    return rows.drop(*(n for n in rows.columns if n.startswith("_")))
+
+
+def link_loglik(lam: Column, mu: Column, t: Column, n: dict[str, Column]) -> Column:
+    """Log-likelihood of counts by ``GROUPS`` under the link model."""
+    p = birth_death(lam, mu, t)
+    pairs = [("n_alpha", p["alpha"]), ("n_beta", p["beta"]), ("n_gamma", p["gamma"]), ("n_kappa", p["kappa"])]
+    return sum((n[name] * F.log(v) + n[name.replace("n_", "n_1m")] * F.log(1 - v) for name, v in pairs), F.lit(0.0))
+
+
 def birth_death_em(groups: DataFrame, *, iterations: int = 8, start: tuple[float, float] = (0.03, 0.05)) -> DataFrame:
     """iteration, lam, mu of the link model's rates, from rows (tau, n_alpha ... n_1mkappa).
 
-    Every iteration is one aggregate over the rows: expected births, deaths and lived time follow
-    from the scores of the counts' log-likelihood, and the rates from their quadratic.
+    Every iteration is one aggregate over the rows, and the rates solve its quadratic.
     """
-    spark = groups.sparkSession
     lam, mu = start
     out = []
     for it in range(iterations):
-        L, M, t = F.lit(lam), F.lit(mu), F.col("tau")
-        e = F.exp((L - M) * t)
-        den = M - L * e
-        alpha, beta = F.exp(-M * t), L * (1 - e) / den
-        gamma = 1 - M * beta / (L * (1 - alpha))
-        # derivatives of ln beta by both rates, and of the others from them
-        dbl = 1 / L - t * e / (1 - e) + (e + L * t * e) / den
-        dbm = t * e / (1 - e) - (1 + L * t * e) / den
-        g1 = 1 - gamma
-        dgl, dgm = -g1 * (dbl - 1 / L), -g1 * (1 / M + dbm - t * alpha / (1 - alpha))
-        by_l = F.col("n_beta") * dbl - F.col("n_1mbeta") * beta * dbl / (1 - beta) + F.col("n_gamma") * dgl / gamma - F.col("n_1mgamma") * dgl / g1
-        by_m = -F.col("n_alpha") * t + F.col("n_1malpha") * t * alpha / (1 - alpha) + F.col("n_beta") * dbm - F.col("n_1mbeta") * beta * dbm / (1 - beta) + F.col("n_gamma") * dgm / gamma - F.col("n_1mgamma") * dgm / g1
-        # E[births] - lam * (links + time) = lam * score, E[deaths] - mu * links = mu * score, births - deaths = change in length
-        change = F.col("n_beta") + F.col("n_gamma") - F.col("n_1malpha")
-        span = t * F.col("n_1mkappa")
-        links = (change - L * by_l + M * by_m - L * span) / (L - M)
-        sums = groups.agg(F.sum(L * by_l + L * (links + span)).alias("B"), F.sum(M * by_m + M * links).alias("D"), F.sum(links).alias("S"), F.sum("n_kappa").cast("double").alias("L"), F.sum("n_1mkappa").cast("double").alias("M"), F.sum(span).alias("T"))
-        new = sums.select(*quadratic_rates(*(F.col(c) for c in ("B", "D", "S", "L", "M", "T")))).first()
+        made = link_statistics(groups.withColumns({"lam": F.lit(lam), "mu": F.lit(mu)}))
+        sums = made.agg(*(F.sum(c).alias(c) for c in STATISTICS))
+        new = sums.select(*quadratic_rates(*(F.col(c) for c in STATISTICS))).first()
         lam, mu = new[0], new[1]
         out.append((it, float(lam), float(mu)))
-    return spark.createDataFrame(out, "iteration int, lam double, mu double")
+    return groups.sparkSession.createDataFrame(out, "iteration int, lam double, mu double")
+
+
+def link_mixture_em(groups: DataFrame, k: int, *, iterations: int = 40, rel_tol: float = 1e-6) -> tuple[list[dict], list[float]]:
+    """(components with weight, lam and mu; log-likelihoods) of a mixture of link models over families.
+
+    ``groups`` has (fam, tau, n_alpha ... n_1mkappa), a few rows a family.  Families start in components by a
+    hash, as softly as three to one, and the log-likelihood isn't known before the first update.  An iteration is
+    one pass: each family's likelihood under every component, its responsibilities, and the components' sums, 7
+    numbers each.  It ends when the log-likelihood grows by less than ``rel_tol`` of itself.
+    """
+    bins = groups.groupBy("fam").agg(F.collect_list(F.struct("tau", *GROUPS)).alias("bins"))
+    of = lambda b: {g: b[g] for g in GROUPS}
+
+    def score(p: dict) -> Column:
+        add = lambda s, b: s + link_loglik(F.lit(p["lam"]), F.lit(p["mu"]), b["tau"], of(b))
+        return F.lit(math.log(max(p["weight"], 1e-300))) + F.aggregate("bins", F.lit(0.0), add)
+
+    parts, trace = None, []
+    for _ in range(iterations):
+        if parts is None:
+            at = F.pmod(F.xxhash64("fam"), F.lit(k))
+            weights = bins.withColumn("w", F.array(*(F.when(at == j, 3.0).otherwise(1.0) / (k + 2) for j in range(k)))).withColumn("ll", F.lit(0.0))
+            rates = [(0.03 + 0.002 * j, 0.05 + 0.002 * j) for j in range(k)]
+        else:
+            rates = [(p["lam"], p["mu"]) for p in parts]
+            weights = bins.withColumn("s", F.array(*map(score, parts))).withColumn("top", F.array_max("s")).withColumn("e", F.transform("s", lambda x: F.exp(x - F.col("top"))))
+            whole = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+            weights = weights.select("bins", F.transform("e", lambda x: x / whole).alias("w"), (F.col("top") + F.log(whole)).alias("ll"))
+        # a row for each bin and component
+        rate = F.array(*(F.struct(F.lit(lam).alias("lam"), F.lit(mu).alias("mu")) for lam, mu in rates))
+        each = weights.select(F.explode("bins").alias("b"), "w").select("b.*", F.posexplode("w").alias("k", "w")).withColumn("r", F.get(rate, "k")).select("*", "r.lam", "r.mu")
+        families = weights.agg(*(F.sum(F.col("w")[j]).alias(f"w{j}") for j in range(k)), F.sum("ll").alias("ll")).first()
+        sums = link_statistics(each).groupBy("k").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in STATISTICS))
+        new = {r.k: r for r in sums.select("k", *(c.alias(n) for n, c in zip(("lam", "mu"), quadratic_rates(*map(F.col, STATISTICS)), strict=True))).collect()}
+        total = sum(families[f"w{j}"] for j in range(k))
+        if parts is not None:
+            trace.append(families["ll"])
+        parts = [{"weight": families[f"w{j}"] / total, "lam": new[j].lam, "mu": new[j].mu} for j in range(k)]
+        if len(trace) > 1 and trace[-1] - trace[-2] < rel_tol * abs(trace[-2]):
+            break
+    return parts, trace

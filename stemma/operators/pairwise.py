@@ -1,7 +1,8 @@
 """Two-dimensional recurrences over pairs of sequences, one batch of pairs at a time.
 
-Spark deals the pairs out; within a batch, pairs of like lengths are stacked and every cell of the
-table is computed for all of them at once, so the loop in Python is over cells, not over pairs.
+Spark deals the pairs out; within a batch, pairs of like lengths are stacked and all cells of an
+anti-diagonal are computed for all of them at once, so the loop in Python is over lengths, not over cells or
+pairs, and a stack's tables take a bounded number of bytes.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from .counts import DELETE, INSERT
 
 LOG_ZERO = -1e30
+STACK_BYTES = 32 << 20  # of tables that a stack of pairs takes
 
 
 def ungapped(columns: DataFrame) -> DataFrame:
@@ -27,13 +29,34 @@ def ungapped(columns: DataFrame) -> DataFrame:
     return made.select("pair_id", x.alias("x"), y.alias("y"))
 
 
-def stacks(pdf: pd.DataFrame, limit: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, xs, ys) of pairs with equal lengths, at most ``limit`` at a time."""
-    shapes = pd.Series(list(zip(pdf["x"].map(len), pdf["y"].map(len), strict=True)), dtype=object)
-    for _, rows in shapes.groupby(shapes).groups.items():
-        for s in range(0, len(rows), limit):
-            part = np.asarray(rows[s : s + limit])
-            yield part, np.array([np.asarray(v, np.int64) for v in pdf["x"].iloc[part]]).reshape(len(part), -1), np.array([np.asarray(v, np.int64) for v in pdf["y"].iloc[part]]).reshape(len(part), -1)
+def stacks(pdf: pd.DataFrame, tables: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, xs, ys, lengths of xs, of ys): pairs of like lengths, padded with 0 to the longest of their stack.
+
+    A stack's ``tables`` of 8-byte cells stay within ``STACK_BYTES``, but for a single pair that alone is larger.
+    """
+    lx, ly = (pdf[c].map(len).to_numpy(np.int64) for c in ("x", "y"))
+    order, start = np.lexsort((ly, lx)), 0
+    while start < len(order):
+        end, most = start, np.zeros(2, np.int64)
+        while end < len(order):
+            most = np.maximum(most, (lx[order[end]], ly[order[end]]))
+            if end > start and (end + 1 - start) * int((most + 1).prod()) * 8 * tables > STACK_BYTES:
+                break
+            end += 1
+        rows = order[start:end]
+        padded = [np.zeros((len(rows), int(v[rows].max(initial=0))), np.int64) for v in (lx, ly)]
+        for table, column, lengths in zip(padded, ("x", "y"), (lx, ly), strict=True):
+            for k, r in enumerate(rows):
+                table[k, : lengths[r]] = pdf[column].iloc[r]
+        yield rows, *padded, lx[rows], ly[rows]
+        start = end
+
+
+def diagonals(lx: int, ly: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The cells (i, j) of a table, one anti-diagonal after another: none depends on another of its own."""
+    for d in range(lx + ly + 1):
+        i = np.arange(max(0, d - ly), min(lx, d) + 1)
+        yield i, d - i
 
 
 def global_alignment(pairs: DataFrame, *, match: float = 1.0, mismatch: float = -1.0, gap: float = -1.0) -> DataFrame:
@@ -46,19 +69,22 @@ def global_alignment(pairs: DataFrame, *, match: float = 1.0, mismatch: float =
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
             score, identity, states = np.zeros(len(pdf)), np.zeros(len(pdf)), [""] * len(pdf)
-            for rows, x, y in stacks(pdf):
+            for rows, x, y, nx, ny in stacks(pdf, 2):
                 n, lx, ly = len(rows), x.shape[1], y.shape[1]
-                best, move = np.zeros((lx + 1, ly + 1, n)), np.zeros((lx + 1, ly + 1, n), np.int8)
-                best[:, 0], best[0, :] = (gap * np.arange(lx + 1))[:, None], (gap * np.arange(ly + 1))[:, None]
-                move[1:, 0], move[0, 1:] = 2, 1
-                for i in range(1, lx + 1):
-                    for j in range(1, ly + 1):
-                        ways = np.stack([best[i - 1, j - 1] + np.where(x[:, i - 1] == y[:, j - 1], match, mismatch), best[i, j - 1] + gap, best[i - 1, j] + gap])
-                        move[i, j] = ways.argmax(0)
-                        best[i, j] = ways.max(0)
-                score[rows] = best[lx, ly]
+                best, move = np.full((lx + 1, ly + 1, n), LOG_ZERO), np.zeros((lx + 1, ly + 1, n), np.int8)
+                best[0, 0] = 0
+                for i, j in diagonals(lx, ly):
+                    if len(i) == 1 and i[0] == j[0] == 0:
+                        continue
+                    ways = np.full((3, len(i), n), LOG_ZERO)
+                    m, g, h = (i > 0) & (j > 0), j > 0, i > 0
+                    ways[0, m] = best[i[m] - 1, j[m] - 1] + np.where(x[:, i[m] - 1] == y[:, j[m] - 1], match, mismatch).T
+                    ways[1, g] = best[i[g], j[g] - 1] + gap
+                    ways[2, h] = best[i[h] - 1, j[h]] + gap
+                    move[i, j], best[i, j] = ways.argmax(0), ways.max(0)
                 for k, r in enumerate(rows):
-                    i, j, path, same = lx, ly, [], 0
+                    i, j, path, same = nx[k], ny[k], [], 0
+                    score[r] = best[i, j, k]
                     while i or j:
                         m = move[i, j, k]
                         same += m == 0 and x[k, i - 1] == y[k, j - 1]
@@ -70,66 +96,181 @@ def global_alignment(pairs: DataFrame, *, match: float = 1.0, mismatch: float =
     return pairs.select("pair_id", "x", "y").mapInPandas(run, "pair_id long, score double, identity double, states string")
 
 
-def pair_tables(trans: np.ndarray, emit: np.ndarray, background: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(forward, backward, total) in logs, by (i, j, state M I D, pair); ``trans`` is 5 x 5 over S M I D E."""
-    n, lx, ly = x.shape[0], x.shape[1], y.shape[1]
-    with np.errstate(divide="ignore"):
-        t, e, q = (np.maximum(np.log(v), LOG_ZERO) for v in (trans, emit, background))
-    f, b = np.full((lx + 1, ly + 1, 3, n), LOG_ZERO), np.full((lx + 1, ly + 1, 3, n), LOG_ZERO)
-    came = [(1, 1), (0, 1), (1, 0)]
-    for i in range(lx + 1):
-        for j in range(ly + 1):
-            for s, (di, dj) in enumerate(came):
-                if i < di or j < dj:
+class Tables:
+    """The pair model's recurrences over a stack of pairs: tables by (i, j, state M I D, pair), all in logs.
+
+    ``trans`` is 5 x 5 over S M I D E.  With ``centre`` (a row of each pair's band centres for i = 0 ..) and
+    ``width``, cells farther than ``width`` from the centre are left out.
+    """
+
+    CAME = ((1, 1), (0, 1), (1, 0))
+
+    def __init__(self, trans, emit, background, x, y, nx, ny, centre: np.ndarray | None = None, width: int | None = None):
+        with np.errstate(divide="ignore"):
+            self.t, self.e, self.q = (np.maximum(np.log(v), LOG_ZERO) for v in (trans, emit, background))
+        self.x, self.y, self.nx, self.ny, self.n = x, y, nx, ny, len(x)
+        self.lx, self.ly = x.shape[1], y.shape[1]
+        self.centre, self.width = centre, width
+
+    def emitted(self, i: np.ndarray, j: np.ndarray, s: int) -> np.ndarray:
+        """Log-emission of the step in state ``s`` that ends in each cell, by (cell, pair)."""
+        return (self.e[self.x[:, i - 1], self.y[:, j - 1]] if s == 0 else self.q[self.y[:, j - 1]] if s == 1 else self.q[self.x[:, i - 1]]).T
+
+    def outside(self, i: np.ndarray, j: np.ndarray) -> np.ndarray | None:
+        return None if self.centre is None else np.abs(j[:, None] - self.centre[:, i].T) > self.width
+
+    def forward(self, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(table, total of each pair); with ``best``, of the likeliest alignments instead of all."""
+        join = (lambda v: v.max(1)) if best else (lambda v: np.logaddexp.reduce(v, 1))
+        f = np.full((self.lx + 1, self.ly + 1, 3, self.n), LOG_ZERO)
+        for i, j in diagonals(self.lx, self.ly):
+            out = self.outside(i, j)
+            for s, (di, dj) in enumerate(self.CAME):
+                ok = (i >= di) & (j >= dj)
+                a, b = i[ok], j[ok]
+                if not len(a):
+                    continue
+                into = join(f[a - di, b - dj] + self.t[1:4, s + 1][:, None])
+                into[(a == di) & (b == dj)] = self.t[0, s + 1]
+                made = into + self.emitted(a, b, s)
+                f[a, b, s] = made if out is None else np.where(out[ok], LOG_ZERO, made)
+        ends = f[self.nx, self.ny, :, np.arange(self.n)] + self.t[1:4, 4]
+        return f, np.where(self.nx + self.ny > 0, join(ends), self.t[0, 4])
+
+    def backward(self) -> np.ndarray:
+        b = np.full((self.lx + 1, self.ly + 1, 3, self.n), LOG_ZERO)
+        for i, j in [*diagonals(self.lx, self.ly)][::-1]:
+            ways = np.full((len(self.CAME), len(i), 3, self.n), LOG_ZERO)
+            for s, (di, dj) in enumerate(self.CAME):
+                ok = (i + di <= self.lx) & (j + dj <= self.ly)
+                u, v = i[ok] + di, j[ok] + dj
+                if len(u):
+                    ways[s, ok] = (b[u, v, s] + self.emitted(u, v, s))[:, None] + self.t[1:4, s + 1][:, None]
+            ended = ((i[:, None] == self.nx) & (j[:, None] == self.ny))[:, None]
+            made = np.where(ended, self.t[1:4, 4][:, None], np.logaddexp.reduce(ways, 0))
+            out = self.outside(i, j)
+            b[i, j] = made if out is None else np.where(out[:, None], LOG_ZERO, made)
+        return b
+
+    def transitions(self, f: np.ndarray, b: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Expected numbers of transitions, by (src, dst, pair)."""
+        out = np.zeros((5, 5, self.n))
+        for i, j in diagonals(self.lx, self.ly):
+            for s, (di, dj) in enumerate(self.CAME):
+                ok = (i >= di) & (j >= dj)
+                a, c = i[ok], j[ok]
+                if not len(a):
                     continue
-                u, v = i - di, j - dj
-                into = t[0, s + 1] + np.zeros(n) if u == v == 0 else np.logaddexp.reduce(f[u, v] + t[1:4, s + 1][:, None], 0)
-                out = e[x[:, i - 1], y[:, j - 1]] if s == 0 else q[y[:, j - 1]] if s == 1 else q[x[:, i - 1]]
-                f[i, j, s] = into + out
-    total = np.logaddexp.reduce(f[lx, ly] + t[1:4, 4][:, None], 0) if lx or ly else np.full(n, t[0, 4])
-    b[lx, ly] = t[1:4, 4][:, None]
-    for i in range(lx, -1, -1):
-        for j in range(ly, -1, -1):
-            if i == lx and j == ly:
-                continue
-            ways = []
-            for s, (di, dj) in enumerate(came):
-                if i + di <= lx and j + dj <= ly:
-                    out = e[x[:, i], y[:, j]] if s == 0 else q[y[:, j]] if s == 1 else q[x[:, i]]
-                    ways.append(b[i + di, j + dj, s] + out + t[1:4, s + 1][:, None])
-            b[i, j] = np.logaddexp.reduce(np.stack(ways), 0)
-    return f, b, total
-
-
-def pair_likelihoods(pairs: DataFrame, trans: np.ndarray, emit: np.ndarray, background: np.ndarray) -> DataFrame:
-    """pair_id, loglik: each pair's log-probability over all alignments."""
+                after = self.emitted(a, c, s) + b[a, c, s] - total
+                begun = (a == di) & (c == dj)
+                out[0, s + 1] += np.exp(self.t[0, s + 1] + after[begun]).sum(0)
+                out[1:4, s + 1] += np.exp(f[a - di, c - dj] + self.t[1:4, s + 1][:, None] + after[:, None])[~begun].sum(0)
+        ends = np.exp(f[self.nx, self.ny, :, np.arange(self.n)] + self.t[1:4, 4] - total[:, None]).T
+        out[1:4, 4] = np.where(self.nx + self.ny > 0, ends, 0)
+        out[0, 4] = self.nx + self.ny == 0
+        return out
+
+    def walk(self, f: np.ndarray, k: int, choose) -> str:
+        """One alignment of pair ``k``, from its end: ``choose`` picks a state of the log-weights of M, I and D."""
+        i, j, path = int(self.nx[k]), int(self.ny[k]), []
+        weights = f[i, j, :, k] + self.t[1:4, 4]
+        while i or j:
+            s = choose(weights)
+            path.append("MID"[s])
+            i, j = i - self.CAME[s][0], j - self.CAME[s][1]
+            weights = f[i, j, :, k] + self.t[1:4, s + 1]
+        return "".join(reversed(path))
+
+
+def pair_tables(trans: np.ndarray, emit: np.ndarray, background: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(forward, backward, total) of pairs whose xs, and ys, have one length."""
+    n = len(x)
+    t = Tables(trans, emit, background, x, y, np.full(n, x.shape[1]), np.full(n, y.shape[1]))
+    f, total = t.forward()
+    return f, t.backward(), total
+
+
+def _swept(pairs: DataFrame, model, schema: str, tables: int, made, band: int | None = None) -> DataFrame:
+    """Applies ``made`` (stack's tables, its pair_ids) to every stack of ``pairs`` (pair_id, x, y and, for a band, centres)."""
 
     def run(batches):
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
-            out = np.zeros(len(pdf))
-            for rows, x, y in stacks(pdf):
-                out[rows] = pair_tables(trans, emit, background, x, y)[2]
-            yield pd.DataFrame({"pair_id": pdf["pair_id"], "loglik": out})
+            for rows, x, y, nx, ny in stacks(pdf, tables):
+                centre = None
+                if band is not None:
+                    centre = np.zeros((len(rows), x.shape[1] + 1))
+                    for k, r in enumerate(rows):
+                        given = np.append(pdf["centres"].iloc[r], ny[k])[: nx[k] + 1]
+                        centre[k, : len(given)], centre[k, len(given) :] = given, given[-1]
+                yield made(Tables(*model, x, y, nx, ny, centre, band), pdf["pair_id"].to_numpy()[rows])
+
+    return pairs.select("pair_id", "x", "y", *(["centres"] if band is not None else [])).mapInPandas(run, schema)
 
-    return pairs.select("pair_id", "x", "y").mapInPandas(run, "pair_id long, loglik double")
+
+def pair_likelihoods(pairs: DataFrame, trans: np.ndarray, emit: np.ndarray, background: np.ndarray, band: int | None = None) -> DataFrame:
+    """pair_id, loglik: each pair's log-probability over all alignments, or over those within ``band`` of its ``centres``.
+
+    ``centres`` has for each residue of x how many of y come before its column; the band is around those.
+    """
+    made = lambda t, ids: pd.DataFrame({"pair_id": ids, "loglik": t.forward()[1]})
+    return _swept(pairs, (trans, emit, background), "pair_id long, loglik double", 3, made, band)
 
 
 def match_posteriors(pairs: DataFrame, trans: np.ndarray, emit: np.ndarray, background: np.ndarray, threshold: float = 0.01) -> DataFrame:
     """pair_id, i, j, p: the probability that residues i and j are aligned, where it reaches ``threshold``."""
 
-    def run(batches):
-        for pdf in batches:
-            pdf = pdf.reset_index(drop=True)
-            parts = []
-            for rows, x, y in stacks(pdf):
-                f, b, total = pair_tables(trans, emit, background, x, y)
-                p = np.exp(f[1:, 1:, 0] + b[1:, 1:, 0] - total)
-                i, j, k = np.nonzero(p >= threshold)
-                parts.append(pd.DataFrame({"pair_id": pdf["pair_id"].to_numpy()[rows[k]], "i": i, "j": j, "p": p[i, j, k]}))
-            yield pd.concat(parts) if parts else pd.DataFrame({"pair_id": [], "i": [], "j": [], "p": []})
-
-    return pairs.select("pair_id", "x", "y").mapInPandas(run, "pair_id long, i int, j int, p double")
+    def made(t, ids):
+        f, total = t.forward()
+        p = np.exp(f[1:, 1:, 0] + t.backward()[1:, 1:, 0] - total)
+        inside = (np.arange(t.lx)[:, None, None] < t.nx) & (np.arange(t.ly)[:, None] < t.ny)
+        i, j, k = np.nonzero((p >= threshold) & inside)
+        return pd.DataFrame({"pair_id": ids[k], "i": i, "j": j, "p": p[i, j, k]})
+
+    return _swept(pairs, (trans, emit, background), "pair_id long, i int, j int, p double", 10, made)
+
+
+def expected_transitions(pairs: DataFrame, trans: np.ndarray, emit: np.ndarray, background: np.ndarray) -> DataFrame:
+    """pair_id, loglik, src, dst, n: how often each transition is expected over all alignments of a pair."""
+
+    def made(t, ids):
+        f, total = t.forward()
+        n = t.transitions(f, t.backward(), total)
+        src, dst = np.nonzero(np.ones((5, 5)))
+        keep = (src < 4) & (dst > 0)
+        rows = np.repeat(np.arange(len(ids)), keep.sum())
+        return pd.DataFrame({"pair_id": ids[rows], "loglik": total[rows], "src": np.tile(src[keep], len(ids)), "dst": np.tile(dst[keep], len(ids)), "n": n[src[keep], dst[keep]].T.ravel()})
+
+    return _swept(pairs, (trans, emit, background), "pair_id long, loglik double, src int, dst int, n double", 8, made)
+
+
+def likeliest_alignments(pairs: DataFrame, trans: np.ndarray, emit: np.ndarray, background: np.ndarray) -> DataFrame:
+    """pair_id, score, states: the likeliest alignment's log-probability and its states, M before I before D among equals."""
+
+    def made(t, ids):
+        f, total = t.forward(best=True)
+        return pd.DataFrame({"pair_id": ids, "score": total, "states": [t.walk(f, k, lambda w: int(w.argmax())) for k in range(len(ids))]})
+
+    return _swept(pairs, (trans, emit, background), "pair_id long, score double, states string", 3, made)
+
+
+def sampled_alignments(pairs: DataFrame, trans: np.ndarray, emit: np.ndarray, background: np.ndarray, seed: int = 0) -> DataFrame:
+    """pair_id, states: an alignment drawn with its probability given the pair; the seed and the id fix the draw."""
+
+    def made(t, ids):
+        f, _ = t.forward()
+        states = []
+        for k, i in enumerate(ids.tolist()):
+            rng = np.random.default_rng([seed, i & (1 << 64) - 1])
+
+            def choose(w, rng=rng):
+                p = np.exp(w - w.max())
+                return int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), "right"))
+
+            states.append(t.walk(f, k, choose))
+        return pd.DataFrame({"pair_id": ids, "states": states})
+
+    return _swept(pairs, (trans, emit, background), "pair_id long, states string", 3, made)
 
 
 def model_arrays(lam: float, mu: float, t: float, ext: float, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

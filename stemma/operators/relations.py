@@ -111,7 +111,38 @@ def random_pairs(members: DataFrame, group: str, key: str, c: float, seed: int =
     return chosen.unionAll(alone.select(group, F.col("_first").alias(a), F.col(key).alias(b)))
 
 
-def held_out_leaf(distances: DataFrame) -> DataFrame:
-    """fam, name: the leaf with the greatest mean distance (fam, name, other, d); ties go to the lesser name."""
+def held_out_leaf(distances: DataFrame, digits: int = 12) -> DataFrame:
+    """fam, name, mean_d: the leaf with the greatest mean distance (fam, name, other, d), as far as ``digits`` decimals tell; ties go to the lesser name."""
     mean = distances.groupBy("fam", "name").agg(F.avg("d").alias("mean_d"))
-    return mean.groupBy("fam").agg(F.max(F.struct("mean_d", F.lit(0))).alias("m"), F.min(F.struct(-F.col("mean_d"), "name")).alias("x")).select("fam", F.col("x.name").alias("name"), F.col("m.mean_d").alias("mean_d"))
+    best = mean.groupBy("fam").agg(F.min(F.struct(-F.round("mean_d", digits), "name", "mean_d")).alias("x"))
+    return best.select("fam", "x.name", "x.mean_d")
+
+
+def all_of(parts: Sequence[DataFrame]) -> DataFrame:
+    """The rows of any part, each once."""
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def in_common(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The distinct rows of both sides."""
+    return left.intersect(right)
+
+
+def interleaved(rows: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:
+    """Adds round: each group's rows in hash order, one a round; reading by round takes a row of every group in turn."""
+    return rows.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(draw(key, seed=seed), key)) - 1)
+
+
+def shards(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """Adds shard and place: rows dealt to ``n`` shards by a hash, and shuffled within each by the same one."""
+    dealt = rows.withColumn("_h", draw(key, seed=seed)).withColumn("shard", F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") % n)
+    return dealt.withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy("_h", key)) - 1).drop("_h")
+
+
+def beam(rows: DataFrame, group: str, score: str, key: str, width: int) -> DataFrame:
+    """Adds rank: the ``width`` best-scored rows of each group, equal scores by key."""
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), key)))
+    return ranked.where(F.col("rank") <= width)

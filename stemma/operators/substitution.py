@@ -89,7 +89,7 @@ def posterior_shares(counts: DataFrame, keys: list[str], group: str, alpha: floa
     return counts.select(group, *keys, (n / F.sum(n).over(Window.partitionBy(group))).alias("share"))
 
 
-def site_rates(edges: DataFrame, leaves: DataFrame, rates: Sequence[float], states: int, depth: int, root: str) -> DataFrame:
+def site_rates(edges: DataFrame, leaves: DataFrame, rates: Sequence[float], states: int, depth: int | None, root: str) -> DataFrame:
     """rate, logp, weight: the posterior of each of a few equally likely rates, given all leaves below ``root``."""
     out = None
     for k, r in enumerate(rates):
@@ -109,3 +109,42 @@ def root_states(likelihoods: DataFrame, states: int) -> DataFrame:
     top = F.greatest(*cols)
     total = sum((F.exp(F.col(c) - top) for c in cols[1:]), F.exp(F.col(cols[0]) - top))
     return likelihoods.select("node", F.posexplode(F.array(*(F.exp(F.col(c) - top) / total for c in cols))).alias("state", "p"))
+
+
+def class_table(spark, weights: Sequence[float], rates: Sequence[float], size: int) -> DataFrame:
+    """k, a, b, w: each class's weight times its probability of b after a, under equal rates at the class's own speed."""
+    rows = [(k, a, b, float(w * ((1 - math.exp(-r)) / size + (math.exp(-r) if a == b else 0)))) for k, (w, r) in enumerate(zip(weights, rates, strict=True)) for a in range(size) for b in range(size)]
+    return spark.createDataFrame(rows, "k int, a int, b int, w double")
+
+
+def class_responsibilities(table: DataFrame) -> DataFrame:
+    """k, a, b, p: the posterior of each class given both residues."""
+    return table.select("k", "a", "b", (F.col("w") / F.sum("w").over(Window.partitionBy("a", "b"))).alias("p"))
+
+
+def rates_from_changes(changes: DataFrame) -> DataFrame:
+    """a, b, rate of changes (a, b, n, t): their number over the time spent in a, equal ends included."""
+    dwell = F.sum("t").over(Window.partitionBy("a"))
+    return changes.withColumn("rate", F.col("n") / dwell).where("a <> b").select("a", "b", "rate")
+
+
+def exchangeabilities(counts: DataFrame) -> DataFrame:
+    """a, b, exchange for a < b: symmetric counts over what the product of the residues' shares would give.
+
+    Pairs counted in one direction only appear as that direction stands: a pair's count is the sum of both.
+    """
+    turned = counts.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("n").alias("m"))
+    both = counts.join(turned, ["a", "b"], "left").select("a", "b", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # as many rows as pairs of residues
+    share = both.groupBy("a").agg(F.sum("n").alias("s"))
+    pi = share.select("a", (F.col("s") / F.sum("s").over(Window.partitionBy())).alias("pi"))
+    joined = both.withColumn("total", total).join(pi, "a").join(pi.select(F.col("a").alias("b"), F.col("pi").alias("pj")), "b")
+    return joined.where("a < b").select("a", "b", (F.col("n") / (F.col("pi") * F.col("pj") * F.col("total"))).alias("exchange"))
+
+
+def edge_logliks(edges: DataFrame, states: DataFrame, size: int) -> DataFrame:
+    """parent, loglik: the log-probability of the children's states (node, state) given the parent's, where all are known."""
+    low, high = states.select("node", F.col("state").alias("y")), states.select(F.col("node").alias("parent"), F.col("state").alias("x"))
+    keep = F.exp(-F.col("length") * (size / (size - 1)))
+    p = (1 - keep) / size + F.when(F.col("x") == F.col("y"), keep).otherwise(0.0)
+    return edges.join(low, "node").join(high, "parent").groupBy("parent").agg(F.sum(F.log(p)).alias("loglik"))

@@ -22,6 +22,8 @@ def ancestors(edges: DataFrame, depth: int) -> DataFrame:
     for k in range(1, depth + 1):
         step = step.join(up, "ancestor").select("node", F.col("parent").alias("ancestor"), (F.col("distance") + F.col("length")).alias("distance"), F.lit(k).alias("steps"))
         out = out.unionAll(step)
+    if not step.join(up, "ancestor").isEmpty():
+        raise ValueError(f"a tree has more than {depth} levels")
     return out
 
 
@@ -30,10 +32,14 @@ def leaves(edges: DataFrame) -> DataFrame:
 
 
 def path_distances(pairs: DataFrame, closure: DataFrame) -> DataFrame:
-    """Adds d to pairs (x, y): the way over their last common ancestor."""
-    left = closure.select(F.col("node").alias("x"), "ancestor", F.col("distance").alias("dx"))
-    right = closure.select(F.col("node").alias("y"), "ancestor", F.col("distance").alias("dy"))
-    return pairs.join(left, "x").join(right, ["y", "ancestor"]).groupBy("x", "y").agg(F.min(F.col("dx") + F.col("dy")).alias("d"))
+    """Adds d to pairs (x, y): the way over their last common ancestor.
+
+    Each node's ancestors are gathered into one map, which a pair fetches once a side.
+    """
+    up = closure.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("ancestor", "distance"))).alias("up"))
+    left, right = (up.select(F.col("node").alias(n), F.col("up").alias(f"up_{n}")) for n in ("x", "y"))
+    shared = F.transform(F.array_intersect(F.map_keys("up_x"), F.map_keys("up_y")), lambda a: F.element_at("up_x", a) + F.element_at("up_y", a))
+    return pairs.join(left, "x").join(right, "y").select("x", "y", F.array_min(shared).alias("d")).where("d is not null")
 
 
 def total_length(edges: DataFrame, by: str) -> DataFrame:
@@ -54,6 +60,9 @@ def parsimony(edges: DataFrame, states: DataFrame, depth: int, unknown: int | No
         below = known.join(edges.select("node", "parent"), "node").groupBy(F.col("parent").alias("node")).agg(F.bit_and("mask").alias("all"), F.bit_or("mask").alias("any"), F.count("*").alias("n"))
         ready = below.join(need, "node").where(F.col("n") == F.col("children")).join(known.select("node"), "node", "left_anti")
         known = stored(known.unionAll(ready.select("node", F.when(F.col("all") != 0, F.col("all")).otherwise(F.col("any")).alias("mask"))), "parsimony")
+    open_ = known.join(edges.select("node", "parent"), "node").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n")).join(need, "node").where("n = children")
+    if not open_.join(known.select("node"), "node", "left_anti").isEmpty():
+        raise ValueError(f"a tree has more than {depth} levels")
     return known
 
 
@@ -67,3 +76,60 @@ def resolved(edges: DataFrame, sets: DataFrame, depth: int) -> DataFrame:
         level = down.select("node", "mask", F.when(mask.bitwiseAND(above) != 0, above).otherwise(mask.bitwiseAND(-mask)).alias("state"))
         out = out.unionAll(level)
     return out
+
+
+def star(members: DataFrame, length: float) -> DataFrame:
+    """node, parent, length: every member (tree, node) on a branch of one length below its tree's centre."""
+    return members.select("node", F.col("tree").alias("parent"), F.lit(length).alias("length"))
+
+
+def heights(edges: DataFrame) -> DataFrame:
+    """node, height: each node's steps to its farthest leaf; rounds go on until no node is left."""
+    level = stored(leaves(edges).withColumn("height", F.lit(0)), "heights")
+    out = level
+    while not level.isEmpty():
+        level = stored(level.join(edges, "node").groupBy(F.col("parent").alias("node")).agg((F.max("height") + 1).alias("height")), "heights")
+        out = out.unionAll(level)
+    return out.groupBy("node").agg(F.max("height").alias("height"))
+
+
+def pruned(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """The tree without the leaves ``gone`` (node).
+
+    A node that has lost all of its children goes too, and one left with a single child gives way to it, their
+    branches added; a root stays.  Rounds go on until nothing changes.
+    """
+    kept = stored(edges.join(gone.select("node"), "node", "left_anti"), "pruned")
+    inner = edges.select(F.col("parent").alias("node")).distinct()
+    while True:
+        bare = stored(kept.join(inner, "node", "left_semi").join(kept.select(F.col("parent").alias("node")).distinct(), "node", "left_anti").select("node"), "bare")
+        if bare.isEmpty():
+            break
+        kept = stored(kept.join(bare, "node", "left_anti"), "pruned")
+    while True:
+        only = kept.groupBy("parent").agg(F.count("*").alias("n")).where("n = 1").select(F.col("parent").alias("node"))
+        # a node below another single one waits for the next round
+        single = kept.join(only, "node", "left_semi")
+        turn = stored(single.join(single.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", F.col("parent").alias("above"), F.col("length").alias("more")), "single")
+        if turn.isEmpty():
+            return kept
+        moved = kept.join(turn.withColumnRenamed("node", "parent"), "parent", "left")
+        moved = moved.select("node", F.coalesce("above", "parent").alias("parent"), (F.col("length") + F.coalesce("more", F.lit(0.0))).alias("length"))
+        kept = stored(moved.join(turn.select("node"), "node", "left_anti"), "pruned")
+
+
+def rerooted(edges: DataFrame, node: str) -> DataFrame:
+    """The tree hung from ``node``: the branches between it and the old root are turned round."""
+    at, turned = node, []
+    while True:  # one row a level
+        up = edges.where(F.col("node") == at).select("parent", F.col("length").cast("double").alias("length")).head(2)
+        if not up:
+            break
+        if len(up) > 1:
+            raise ValueError(f"{at} has two parents")
+        turned.append((up[0].parent, at, up[0].length))
+        at = up[0].parent
+    if not turned:
+        return edges
+    rows = edges.sparkSession.createDataFrame(turned, "node string, parent string, length double")
+    return edges.join(F.broadcast(rows.select(F.col("parent").alias("node"))), "node", "left_anti").select("node", "parent", "length").unionAll(rows)  # a path's nodes

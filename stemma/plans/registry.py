@@ -89,7 +89,7 @@ def gap_tally(spark, d):
 @query("""WITH s AS (SELECT seq_id, pos, c, lag(c, 1, 20) OVER w AS c1, lead(c) OVER w AS nxt FROM symbols WINDOW w AS (PARTITION BY seq_id ORDER BY pos))
 SELECT c1, c2, count(*) AS n FROM (SELECT c1, c AS c2 FROM s UNION ALL SELECT c, 21 FROM s WHERE nxt IS NULL) GROUP BY ALL""")
 def symbol_bigrams(spark, d):
-    return counts.bigrams(T.symbols(spark, d), 20)
+    return counts.bigrams(T.letters(spark, d), 20)
 
 
 @query("SELECT seq_id, c, round(count(*) / sum(count(*)) OVER (PARTITION BY seq_id), 9) AS share FROM symbols GROUP BY seq_id, c")
@@ -460,7 +460,7 @@ def pruning_loglik(spark, d):
     """Log-likelihood of the orders' states below every inner node of the region tree, under equal rates."""
     status = F.col("o_orderstatus")
     leaf = T.read(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.when(status == "F", 0).when(status == "O", 1).when(status == "P", 2).alias("state"))
-    rows = phylogeny.pruning(T.edges(spark, d), leaf, 3, 4).where("substr(node, 1, 1) <> 'o'")
+    rows = phylogeny.pruning(T.edges(spark, d), leaf, 3).where("substr(node, 1, 1) <> 'o'")
     top = F.greatest("l0", "l1", "l2")
     return rows.select("node", F.round(top + F.log((F.exp(F.col("l0") - top) + F.exp(F.col("l1") - top) + F.exp(F.col("l2") - top)) / 3), 4).alias("loglik"))
 
@@ -487,13 +487,35 @@ def greedy_matching(spark, d):
 
 @query()
 def global_alignments(spark, d):
-    return pairwise.global_alignment(pairwise.ungapped(T.columns(spark, d)))
+    """Scored 1 for equal, -1 for unequal residues and -2 for a gap."""
+    return pairwise.global_alignment(pairwise.ungapped(T.columns(spark, d)), gap=-2.0)
 
 
-@query()
+def pair_sql(best: bool) -> str:
+    """SQL of each pair's total over all its alignments, or of its likeliest one: a table's anti-diagonals one after another.
+
+    A row is a cell: f for start, M, I and D, and g for the same cell's neighbour on the diagonal before.
+    """
+    def ways(p: str, to: str) -> str:
+        terms = [f"{p}{src} * t{src}{to}" for src in "smid"]
+        return f"greatest({', '.join(terms)})" if best else f"({' + '.join(terms)})"
+
+    match = f"{ways('g', 'm')} * ((1 - same) / 20 + CASE WHEN x[i + 1] = y[d - i] THEN same ELSE 0 END) / 20"
+    take = lambda w, value: f"max(CASE WHEN w = {w} THEN {value} ELSE 0 END)"
+    return f"""WITH r AS (SELECT 0 AS id, {RATES[0]} AS l, {RATES[1]} AS m, 1.0 AS t), {_bd(str(RATES[2]))},
+k AS (SELECT {', '.join(f"max(p) FILTER (src = '{a}' AND dst = '{b}') AS t{a}{b}".lower().replace("'" + a.lower() + "'", f"'{a}'").replace("'" + b.lower() + "'", f"'{b}'") for a in 'SMID' for b in 'MIDE')}, exp(-20.0 / 19) AS same FROM model),
+xs AS (SELECT pair_id, coalesce(list(a ORDER BY pos) FILTER (st <> 2), []) AS x, coalesce(list(b ORDER BY pos) FILTER (st <> 3), []) AS y FROM columns GROUP BY 1),
+dp AS (SELECT pair_id, 0 AS d, 0 AS i, 1.0::DOUBLE AS fs, 0.0::DOUBLE AS fm, 0.0::DOUBLE AS fi, 0.0::DOUBLE AS fd, 0.0::DOUBLE AS gs, 0.0::DOUBLE AS gm, 0.0::DOUBLE AS gi, 0.0::DOUBLE AS gd FROM xs
+  UNION ALL SELECT pair_id, d + 1, i + w, 0.0::DOUBLE, {take(1, f"CASE WHEN d > i THEN {match} ELSE 0 END")}, {take(0, ways('f', 'i') + ' / 20')}, {take(1, ways('f', 'd') + ' / 20')}, {take(0, 'fs')}, {take(0, 'fm')}, {take(0, 'fi')}, {take(0, 'fd')}
+  FROM dp JOIN xs USING (pair_id), k, (SELECT unnest([0, 1]) AS w) WHERE CASE WHEN w = 0 THEN d - i < len(y) ELSE i < len(x) END GROUP BY pair_id, d + 1, i + w)
+SELECT pair_id, round(ln({ways('f', 'e')}), 6) AS {'score' if best else 'loglik'} FROM dp JOIN xs USING (pair_id), k WHERE d = len(x) + len(y) AND i = len(x)"""
+
+
+@query(pair_sql(best=False))
 def pair_model_logliks(spark, d):
     """Each pair's log-probability over all of its alignments under the fragment model at time 1."""
-    return pairwise.pair_likelihoods(pairwise.ungapped(T.columns(spark, d)), *pairwise.model_arrays(*RATES[:2], 1.0, RATES[2], 20))
+    rows = pairwise.pair_likelihoods(pairwise.ungapped(T.columns(spark, d)), *pairwise.model_arrays(*RATES[:2], 1.0, RATES[2], 20))
+    return rows.select("pair_id", F.round("loglik", 6).alias("loglik"))
 
 
 def _posteriors(spark, d, threshold):
@@ -557,20 +579,40 @@ def match_posterior_shares(spark, d):
     return substitution.posterior_shares(match_counts(spark, d), ["a", "b"], "tau_bin", 1.5).withColumn("share", F.round("share", 9))
 
 
-@query()
+CENTRES_SQL = ", ".join(f"({k}, {(x * y) ** 0.5!r})" for k, (x, y) in enumerate(zip(EDGES, EDGES[1:], strict=False)))
+
+
+@query(f"""WITH {BINNED}, n AS (SELECT tau_bin, a = b AS same, count(*) AS n FROM columns JOIN binned USING (pair_id) WHERE st = 1 GROUP BY ALL), c AS (SELECT * FROM (VALUES {CENTRES_SQL}) AS v(tau_bin, t))
+SELECT tau_bin, round(sum(n * ln(((1 - exp(-t::DOUBLE * 20 / 19)) / 20 + CASE WHEN same THEN exp(-t::DOUBLE * 20 / 19) ELSE 0 END) / 20)), 4) AS loglik FROM n JOIN c USING (tau_bin) GROUP BY tau_bin""")
 def substitution_loglik(spark, d):
     """Log-likelihood of all matches by time bin under equal rates: counts joined with a literal table."""
     q, pi = substitution.equal_rates(20)
     table = substitution.logs_by_bin(spark, q, pi, [(a * b) ** 0.5 for a, b in zip(EDGES, EDGES[1:], strict=False)])
-    return counts.contracted(match_counts(spark, d), F.broadcast(table), ["tau_bin", "a", "b"], ["tau_bin"])  # 3,200 rows
+    found = counts.contracted(match_counts(spark, d), F.broadcast(table), ["tau_bin", "a", "b"], ["tau_bin"])  # 3,200 rows
+    return found.withColumn("loglik", F.round("loglik", 4))
 
 
-@query()
+GAMMA = X.discrete_gamma(0.5, 4)
+LEAF = ", ".join(f"CASE WHEN o_orderstatus = '{k}' THEN 0.0 ELSE -1e30 END AS l{v}" for k, v in STATES.items())
+
+
+def _rated(level: str, below: str) -> str:
+    """SQL of one pruning level for every rate at once."""
+    top, same = "greatest(l0, l1, l2)", "exp(-length * speed * 1.5)"
+    total = f"(exp(l0 - {top}) + exp(l1 - {top}) + exp(l2 - {top}))"
+    to = ", ".join(f"sum({top} + ln((1 - {same}) / 3 * {total} + {same} * exp({c} - {top}))) AS {c}" for c in ("l0", "l1", "l2"))
+    return f"{level} AS (SELECT rate, speed, parent AS node, {to} FROM {below} JOIN edges USING (node) GROUP BY 1, 2, 3)"
+
+
+@query(f"""WITH lf AS (SELECT rate, speed, 'o' || o_orderkey AS node, {LEAF} FROM orders, (VALUES {', '.join(f'({k}, {r!r})' for k, r in enumerate(GAMMA))}) AS v(rate, speed)), {_rated('c1', 'lf')}, {_rated('c2', 'c1')}, {_rated('c3', 'c2')}, {_rated('c4', 'c3')},
+w AS (SELECT rate, greatest(l0, l1, l2) + ln((exp(l0 - greatest(l0, l1, l2)) + exp(l1 - greatest(l0, l1, l2)) + exp(l2 - greatest(l0, l1, l2))) / 3) AS logp FROM c4)
+SELECT rate, round(logp, 3) AS logp, round(exp(logp - max(logp) OVER ()) / sum(exp(logp - (SELECT max(logp) FROM w))) OVER (), 6) AS weight FROM w""")
 def site_rate_posterior(spark, d):
     """Posterior of four discrete-gamma rates for the orders' states on the region tree."""
     status = F.col("o_orderstatus")
     leaf = T.read(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.when(status == "F", 0).when(status == "O", 1).when(status == "P", 2).alias("state"))
-    return substitution.site_rates(T.edges(spark, d), leaf, X.discrete_gamma(0.5, 4), 3, 4, "root")
+    found = substitution.site_rates(T.edges(spark, d), leaf, GAMMA, 3, None, "root")
+    return found.select("rate", F.round("logp", 3).alias("logp"), F.round("weight", 6).alias("weight"))
 
 
 @query()
@@ -578,7 +620,13 @@ def ancestral_states(spark, d):
     """Marginal posterior of the state of every inner node that has orders below it, given those."""
     status = F.col("o_orderstatus")
     leaf = T.read(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.when(status == "F", 0).when(status == "O", 1).when(status == "P", 2).alias("state"))
-    return substitution.root_states(phylogeny.pruning(T.edges(spark, d), leaf, 3, 4).where("substr(node, 1, 1) <> 'o'"), 3)
+    return substitution.root_states(phylogeny.pruning(T.edges(spark, d), leaf, 3).where("substr(node, 1, 1) <> 'o'"), 3)
+
+
+@query(f"WITH lf AS (SELECT 'o' || o_orderkey AS node, {LEAF} FROM orders), {_lifted('c1', 'lf')}, {_lifted('c2', 'c1')}, {_lifted('c3', 'c2')}, {_lifted('c4', 'c3')}, al AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4), tp AS (SELECT *, greatest(l0, l1, l2) AS top FROM al) SELECT node, state, round(exp([l0, l1, l2][state + 1] - top) / (exp(l0 - top) + exp(l1 - top) + exp(l2 - top)), 5) AS p FROM tp, (SELECT unnest([0, 1, 2]) AS state)")
+def ancestral_state_shares(spark, d):
+    """The posteriors of ``ancestral_states`` to five decimals."""
+    return ancestral_states(spark, d).withColumn("p", F.round("p", 5))
 
 
 #: A small grammar of nested and chained spans over the three states.

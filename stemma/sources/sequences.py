@@ -15,7 +15,9 @@ PAIR_SCHEMA = "x string, a string, y string, t double, fam string, id string, ga
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """name, seq of every record; the name is the header's first word, the sequence loses white space."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    # a record ends where the next line begins with the mark; the mark may also stand within a header
+    text = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"))
+    records = text.where(F.length(F.trim("value")) > 0)
     head = F.split("value", "\n", 2)
     return records.select(F.regexp_extract(head[0], r"^\s*(\S*)", 1).alias("name"), F.regexp_replace(F.coalesce(F.get(head, F.lit(1)), F.lit("")), r"\s", "").alias("seq"))
 
@@ -137,3 +139,20 @@ def read_clans(spark: SparkSession, path: str) -> DataFrame:
 def read_assays(spark: SparkSession, path: str) -> DataFrame:
     """mutated_sequence, DMS_score from a CSV file with a header."""
     return spark.read.option("header", True).csv(path).select("mutated_sequence", F.col("DMS_score").cast("double").alias("DMS_score"))
+
+
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """Writes pair records as compressed JSON lines under ``path``/records, and ``path``/manifest with their numbers of pairs and families."""
+    pairs.write.option("compression", "gzip").json(f"{path}/records")
+    written = read_pairs(pairs.sparkSession, f"{path}/records")
+    files = F.sort_array(F.collect_set("_file"))
+    written.withColumn("_file", F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1)).agg(F.count("*").alias("n_pairs"), F.count_distinct("fam").alias("n_families"), files.alias("shard_files")).coalesce(1).write.json(f"{path}/manifest")
+
+
+def read_pair_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The records that ``write_pairs`` wrote; it is an error if they aren't as many as the manifest says."""
+    said = spark.read.schema("n_pairs long, n_families long, shard_files array<string>").json(f"{path}/manifest").first()
+    records = read_pairs(spark, f"{path}/records")
+    if records.count() != said.n_pairs:
+        raise ValueError(f"{path} doesn't hold the {said.n_pairs} pairs of its manifest")
+    return records

@@ -32,10 +32,15 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair_id"), F.col("o_custkey").alias("fam"), (F.col("o_totalprice") / 100000.0).alias("tau"))
 
 
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq_id, s: documents' letters a-t; a text's other characters are dropped."""
+    kept = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-t]+", "")
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), kept.alias("s"))
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' letters; a text's other characters are dropped before positions are counted."""
-    letters = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-t]", "")
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), letters.alias("s"))
+    """Documents' letters one a row, numbered within their text."""
+    docs = letters(spark, sf_dir)
     return docs.select("seq_id", F.posexplode(F.split("s", ""))).select("seq_id", F.col("pos").cast("long").alias("pos"), (F.ascii("col") - 97).alias("c")).where("c >= 0")
 
 

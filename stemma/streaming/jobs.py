@@ -6,10 +6,14 @@ returns its last result as a table, which is also how tests compare it with the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import quadratic_rates
 from ..functions.storage import scratch
+from ..operators import mixture
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -23,25 +27,56 @@ def events(spark: SparkSession, folder: str, *, per_trigger: int = 4) -> DataFra
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finished(stream: DataFrame, mode: str, name: str) -> DataFrame:
+def finished(stream: DataFrame, mode: str, name: str, folder: str | None = None) -> DataFrame:
     """Runs ``stream`` over all input that is available and returns its result.
 
     Each micro-batch is written under its own number, so a batch that is repeated after a failure
-    replaces itself; in complete mode the last one is the result.
+    replaces itself; in complete mode the last one is the result.  Run again with the same ``folder`` it goes on
+    where it stopped, and returns the result over all input so far.
     """
     spark = stream.sparkSession
-    out, last = scratch(spark, name), []
+    folder = folder or scratch(spark, name)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        last.append(number)
+        batch.write.mode("overwrite").parquet(f"{folder}/batches/batch={number}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", scratch(spark, f"{name}-state")).trigger(availableNow=True).start().awaitTermination()
-    if not last:
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    numbers = batches(spark, f"{folder}/batches")
+    if not numbers:
         return spark.createDataFrame([], stream.schema)
-    if mode == "complete":
-        return spark.read.schema(stream.schema).parquet(f"{out}/batch={last[-1]}")
-    return spark.read.schema(stream.schema).parquet(*(f"{out}/batch={n}" for n in sorted(set(last))))
+    wanted = numbers[-1:] if mode == "complete" else numbers
+    return spark.read.schema(stream.schema).parquet(*(f"{folder}/batches/batch={n}" for n in wanted))
+
+
+def batches(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the batches written to ``folder``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def stepped(stream: DataFrame, folder: str, schema: str, start: dict, step: Callable[[DataFrame, int, dict], dict]) -> DataFrame:
+    """batch and the state after it, one row a micro-batch: ``step`` makes each from the batch's rows, its number and the state before.
+
+    States are a few numbers.  They are stored beside the stream's checkpoint, each under its batch's number,
+    so a repeated batch replaces its state and a stopped run goes on from the last one.
+    """
+    spark = stream.sparkSession
+    at = lambda n: f"{folder}/states/batch={n}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        before = start if number == 0 else spark.read.schema(schema).parquet(at(number - 1)).first().asDict()
+        after = step(batch, number, before)
+        names = spark.createDataFrame([], schema).columns
+        spark.createDataFrame([tuple(after[c] for c in names)], schema).coalesce(1).write.mode("overwrite").parquet(at(number))
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    if not batches(spark, f"{folder}/states"):
+        return spark.createDataFrame([], f"{schema}, batch int")
+    return spark.read.schema(f"{schema}, batch int").option("basePath", f"{folder}/states").parquet(f"{folder}/states")
 
 
 def windowed_counts(stream: DataFrame, width: str, slide: str | None = None, lateness: str = "1 hour") -> DataFrame:
@@ -60,19 +95,38 @@ def sessions(stream: DataFrame, gap: str, lateness: str = "1 hour") -> DataFrame
     return stream.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("finish"), "n")
 
 
-def minibatch_average(stream: DataFrame, kappa: float = 0.6, delay: float = 1.0) -> list[tuple[int, float]]:
+def minibatch_average(stream: DataFrame, kappa: float = 0.6, delay: float = 1.0, folder: str | None = None) -> list[tuple[int, float]]:
     """(batch, estimate): the stochastic average of ``value`` with steps (k + delay) ** -kappa.
 
     One number of each micro-batch reaches the driver; the step sizes go by the batch number, so a
-    repeated batch repeats its step.
+    repeated batch repeats its step, and a run that is given the ``folder`` of a stopped one goes on with it.
     """
-    spark, states = stream.sparkSession, {}
 
-    def step(batch: DataFrame, number: int) -> None:
+    def step(batch: DataFrame, number: int, before: dict) -> dict:
         mean = batch.agg(F.avg("value")).first()[0]
-        before = states.get(number - 1, 0.0)
         eta = (number + 1 + delay) ** -kappa
-        states[number] = before if mean is None else (1 - eta) * before + eta * mean
+        return before if mean is None else {"estimate": (1 - eta) * before["estimate"] + eta * mean}
+
+    states = stepped(stream, folder or scratch(stream.sparkSession, "average"), "estimate double", {"estimate": 0.0}, step)
+    return sorted((r.batch, r.estimate) for r in states.collect())
 
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", scratch(spark, "average-state")).trigger(availableNow=True).start().awaitTermination()
-    return sorted(states.items())
+
+def link_rates(stream: DataFrame, pairs: int, folder: str, *, start: tuple[float, float] = (0.03, 0.05), kappa: float = 0.6, delay: float = 1.0) -> DataFrame:
+    """batch, lam, mu and the running statistics of the link model's rates, fitted a micro-batch at a time.
+
+    ``stream`` has a row for each pair (tau, n_alpha ... n_1mkappa).  A batch's expected statistics at the rates
+    so far are scaled up to all ``pairs`` pairs and averaged into the running ones with step (batch + 1 + delay)
+    ** -kappa; the first batch's are taken whole.  The rates that the running statistics give are next.
+    """
+    def step(batch: DataFrame, number: int, before: dict) -> dict:
+        made = mixture.link_statistics(batch.withColumns({"lam": F.lit(before["lam"]), "mu": F.lit(before["mu"])}))
+        sums = made.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in mixture.STATISTICS)).first()
+        if not sums.n:
+            return before
+        eta = 1.0 if before["T"] == 0 else (number + 1 + delay) ** -kappa
+        running = {k: (1 - eta) * before[k] + eta * sums[k] * pairs / sums.n for k in mixture.STATISTICS}
+        new = batch.sparkSession.range(1).select(*quadratic_rates(*(F.lit(float(running[c])) for c in mixture.STATISTICS))).first()
+        return {"lam": float(new[0]), "mu": float(new[1]), **running}
+
+    schema = "lam double, mu double, " + ", ".join(f"{c} double" for c in mixture.STATISTICS)
+    return stepped(stream, folder, schema, {"lam": start[0], "mu": start[1], **dict.fromkeys(mixture.STATISTICS, 0.0)}, step)
