@@ -25,7 +25,8 @@ from . import _text
 from ._spark import prepare, stored
 
 NO_ID = (1 << 63) - 1  # stands for a null id, which is greater than any other
-BUCKET_BYTES = 6 << 20  # of packed strings that one bucket holds on average
+BUCKET_BYTES = 3 << 20  # of packed strings that one bucket holds on average
+MOST_HOT = 1 << 16  # m-grams that may rank last, and that a task's summary of frequent ones holds
 FLUSH_BYTES = 48 << 20  # of distinct strings that a task gathers before it sends them
 SECOND_CODE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -55,7 +56,7 @@ class Units:
             place = np.concatenate([[0], np.cumsum(keep | gap)])
             self.starts, self.ends = place[words.starts], place[words.starts] + words.ends - words.starts
             self.first, self.counts = words.first, words.counts
-            self.codes = _text.span_hash(_text.prefix_sums(_text.BYTE_CODE[self.data]), self.starts, self.ends)
+            self.codes = words.hashes()
         else:
             self.data, self.first, self.counts = data, offsets, np.diff(offsets)
             self.starts, self.ends = np.arange(len(data)), np.arange(1, len(data) + 1)
@@ -81,17 +82,18 @@ class Units:
             hot = np.array(plan.hot, np.uint64)
             at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
             order |= (hot[at] == grams).astype(np.uint64) << np.uint64(63)
-        bits = np.uint64(len(grams).bit_length())
+        # the place fills the lowest bits, the same number of them in every slice below 2**32 units
+        bits = np.uint64(32)
         least = _text.sliding_min(order >> bits << bits | np.arange(len(grams), dtype=np.uint64), plan.k - plan.m + 1)[begin]
         new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (rows[1:] != rows[:-1])]))
         where = (least[new] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
         return rows[new], begin[new], np.diff(np.concatenate([new, [len(rows)]])), grams[where]
 
     def keys(self, begin: np.ndarray, windows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first byte, end byte, two 64-bit hashes) of the super-k-mers' strings."""
-        left, right = self.starts[begin], self.ends[begin + windows + k - 2]
-        one = string_key(self.data, left, right, 0) if self.of_words else _text.span_hash(self.sums, left, right)
-        return left, right, one, string_key(self.data, left, right, 1)
+        """(first byte, end byte, two unrelated 64-bit hashes) of the super-k-mers' strings, over units."""
+        end = begin + windows + (k - 1)
+        second = _text.prefix_sums(_text.apart_hashes(self.data, self.starts, self.ends, 1) if self.of_words else SECOND_CODE[self.data])
+        return self.starts[begin], self.ends[end - 1], _text.span_hash(self.sums, begin, end), _text.span_hash(second, begin, end)
 
 
 def ranked(grams: np.ndarray) -> np.ndarray:
@@ -99,12 +101,16 @@ def ranked(grams: np.ndarray) -> np.ndarray:
     return grams * np.uint64(0x9FB21C651E98DF25) >> np.uint64(1)
 
 
-def string_keys(data: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return string_key(data, left, right, 0), string_key(data, left, right, 1)
-
-
-def string_key(data: np.ndarray, left: np.ndarray, right: np.ndarray, which: int) -> np.ndarray:
-    return _text.span_hash(_text.prefix_sums((_text.BYTE_CODE, SECOND_CODE)[which][data]), left, right)
+def string_keys(data: np.ndarray, offsets: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes that ``Units.keys`` gives to each of some packed strings, which hold a window or more."""
+    one, two = np.empty((2, len(offsets) - 1), np.uint64)
+    first = 0
+    while first < len(one):  # so that temporary arrays stay small
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _text.SLICE_BYTES, "right")) - 1)
+        units = Units(data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first], plan)
+        _, _, one[first:end], two[first:end] = units.keys(units.first[:-1], units.counts - (plan.k - 1), plan.k)
+        first = end
+    return one, two
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -128,29 +134,32 @@ def frequent(counts: dict | None, keys: np.ndarray, sums: np.ndarray, size: int)
 
 
 def planned(docs: DataFrame, plan: Plan) -> Plan:
-    """``plan`` with a number of buckets that follows the input and the m-grams too frequent for one bucket."""
+    """``plan`` with a number of buckets that follows the input and the m-grams too frequent for one bucket.
+
+    An m-gram is too frequent where strings around all its places would fill half a bucket.  Of those the
+    ``MOST_HOT`` commonest are taken, which bounds the list; any others only make their buckets larger.
+    """
     total = docs.select(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(1, -(-3 * total // BUCKET_BYTES))
-    size = 16 * buckets + 64
+    size = min(64 * buckets + 64, MOST_HOT)
     # a window of w m-grams has one in the first 12 / w of the order but for a chance of e^-12, so
     # only those can be minimisers often, and only they are counted
     early = np.uint64(int(min(1.0, 12 / (plan.k - plan.m + 1)) * ((1 << 63) - 1)))
 
     def run(batches):
-        held, n = None, 0
+        held = None
         for b in batches:
             for _, _, data, offsets in _text.slices(b.column(0)):
                 grams = Units(data, offsets, plan).grams(plan.m)
-                n += len(grams)
                 grams = grams[ranked(grams) <= early]
                 held = frequent(held, *np.unique(grams, return_counts=True), size)
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(held[0], np.uint64(0)).view(np.int64)), pa.array(np.append(held[1], 0)), pa.array([0] * len(held[0]) + [n])], ["gram", "n", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(held[0].view(np.int64)), pa.array(held[1])], ["gram", "n"])
 
-    sums = docs.select("_text").mapInArrow(run, "gram long, n long, total long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    # at most 8 * buckets m-grams can have more than that share; words and bytes number less than `total`
-    units = total // 8 if plan.words else total
-    hot = [r.gram for r in sums.where((F.col("n") > max(1000, units // (8 * buckets))) & (F.col("gram") != 0)).select("gram").collect()] if buckets > 4 else []
+    string_bytes = 2 * plan.k * (8 if plan.words else 1)
+    sums = docs.select("_text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    common = sums.where(F.col("n") > max(1000, BUCKET_BYTES // (2 * string_bytes))).orderBy(F.desc("n"), "gram").limit(MOST_HOT)
+    hot = [r.gram for r in common.select("gram").collect()] if buckets > 4 else []
     return Plan(plan.k, plan.m, plan.words, buckets, tuple(sorted(g % (1 << 64) for g in hot)))
 
 
@@ -158,50 +167,51 @@ def packed(docs: DataFrame, plan: Plan) -> DataFrame:
     """bucket, blob: each task's distinct super-k-mers, one compressed blob for each bucket it met."""
 
     def flush(held):
-        by: dict[int, list] = {}
-        for (anchor, _, _), entry in held.items():
-            by.setdefault(anchor % plan.buckets, []).append((anchor, *entry))
+        """Merges the super-k-mers gathered so far; their strings are cut from the texts one bucket at a time."""
+        raws = [h[0] for h in held]
+        of = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
+        anchor, one, two, left, right, ids = (np.concatenate([h[k] for h in held]) for k in range(1, 7))
         held.clear()
+        bucket = (anchor % np.uint64(plan.buckets)).astype(np.int64)
+        order = np.lexsort((two, one, bucket))
+        first = np.flatnonzero(np.concatenate([[True], (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]) | (bucket[order[1:]] != bucket[order[:-1]])])[: len(order)])
+        if not len(first):
+            return
+        copies = np.minimum(np.diff(np.append(first, len(order))), 2)
+        least, greatest = np.minimum.reduceat(ids[order], first), np.maximum.reduceat(ids[order], first)
+        head = np.stack([anchor[order[first]], least.view(np.uint64), greatest.view(np.uint64), copies.astype(np.uint64)])
+        pick = order[first]
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[pick[1:]] != bucket[pick[:-1]]]))
         pack = zstandard.ZstdCompressor(level=1).compress
-        for bucket, entries in by.items():
-            entries.sort(key=lambda e: e[4])
-            head = np.array([e[:4] for e in entries], np.uint64).T.copy()
-            lengths = np.array([len(e[4]) for e in entries], np.uint32)
-            blob = np.uint32(len(entries)).tobytes() + head.tobytes() + lengths.tobytes() + b"".join(e[4] for e in entries)
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), _text.binary([pack(blob)])], ["bucket", "blob"])
+        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pick)], strict=True):
+            part = pick[s:e]
+            strings = [raws[k][a:b] for k, a, b in zip(of[part].tolist(), left[part].tolist(), right[part].tolist(), strict=True)]
+            by = sorted(range(len(strings)), key=strings.__getitem__)
+            strings = [strings[k] for k in by]
+            blob = np.uint32(len(strings)).tobytes() + head[:, s:e][:, by].tobytes() + np.array([*map(len, strings)], np.uint32).tobytes() + b"".join(strings)
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[part[0]])], pa.int64()), _text.binary([pack(blob)])], ["bucket", "blob"])
 
     def run(batches):
-        held: dict[tuple, list] = {}  # [least id, greatest id, occurrences up to 2, string]
-        size = 0
+        held, size = [], 0  # of each slice: its bytes and its super-k-mers
         for b in batches:
             ids = b.column(0).to_numpy()
             for lo, _, data, offsets in _text.slices(b.column(1)):
                 units = Units(data, offsets, plan)
                 rows, begin, windows, anchor = units.super_kmers(plan)
+                if not len(rows):
+                    continue
                 left, right, one, two = units.keys(begin, windows, plan.k)
-                raw = units.data.tobytes()
-                for a, x, y, s, e, i in zip(anchor.tolist(), one.tolist(), two.tolist(), left.tolist(), right.tolist(), ids[lo + rows].tolist(), strict=True):
-                    entry = held.get((a, x, y))
-                    if entry is None:
-                        held[a, x, y] = [i & (1 << 64) - 1, i & (1 << 64) - 1, 1, raw[s:e]]
-                        size += e - s
-                    else:
-                        u = i & (1 << 64) - 1
-                        entry[0] = min(entry[0], u, key=signed)
-                        entry[1] = max(entry[1], u, key=signed)
-                        entry[2] = 2
+                held.append((units.data.tobytes(), anchor, one, two, left, right, ids[lo + rows]))
+                size += int((right - left).sum())
                 if size > FLUSH_BYTES:
                     yield from flush(held)
                     size = 0
-        yield from flush(held)
+        if held:
+            yield from flush(held)
 
     return docs.select("_id", "_text").mapInArrow(run, "bucket long, blob binary")
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 @dataclass
 class Bucket:
     """The distinct super-k-mers of a bucket."""
@@ -254,7 +264,7 @@ def judged(docs: DataFrame, plan: Plan, judge: Callable[[Bucket], tuple[np.ndarr
         lengths = np.diff(bucket.offsets)[keys]
         ends = np.cumsum(lengths)
         chosen = bucket.data[np.arange(lengths.sum()) + np.repeat(bucket.offsets[keys] - (ends - lengths), lengths)]
-        one, two = string_keys(chosen, ends - lengths, ends)
+        one, two = string_keys(chosen, np.concatenate([[0], ends]), plan)
         runs = pa.ListArray.from_arrays(pa.array(np.append(at, len(which)), pa.int32()), pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(doc, pa.int64())], ["a", "b", "doc"]))
         return pa.Table.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), runs], ["k1", "k2", "runs"])
 

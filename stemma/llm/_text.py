@@ -7,6 +7,7 @@ than space and 0x09-0x0D, which is what ``bytes.split()`` gives.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -62,6 +63,36 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
 
 
+@functools.lru_cache(maxsize=4)
+def _multipliers(n: int, which: int) -> np.ndarray:
+    """The first ``n`` of an endless series of unrelated odd numbers; ``which`` picks one of several such series."""
+    return mix(np.arange(n, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x9E3779B97F4A7C15 * (which + 1) & (1 << 64) - 1)) | np.uint64(1)
+
+
+def apart_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of nonempty spans that don't overlap and come in order.
+
+    Every place in a span has a multiplier of its own (multilinear hashing), so that, unlike with powers of one
+    base, no arrangement of bytes collides whatever the multipliers are; hashes of another ``which`` are unrelated.
+    """
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):  # so that temporary arrays stay small
+        end = max(first + 1, int(np.searchsorted(ends, starts[first] + SLICE_BYTES, "right")))
+        out[first:end] = _apart_hashes(data[starts[first] : ends[end - 1]], starts[first:end] - starts[first], ends[first:end] - starts[first], which)
+        first = end
+    return out
+
+
+def _apart_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+    longest = int((ends - starts).max())
+    place = np.zeros(len(data), np.int64)
+    place[starts] = np.diff(starts, prepend=0)
+    place = np.minimum(np.arange(len(data)) - np.cumsum(place), longest - 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _multipliers(1 << (longest - 1).bit_length(), which)[place], out=sums[1:])
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64))
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Splits a text column into (first row, end row, bytes, offsets) of about ``limit`` bytes.
 
@@ -127,9 +158,8 @@ class Words:
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        sums = prefix_sums((BYTE_CODE_LOWER if lower else BYTE_CODE)[self.data])
-        return span_hash(sums, self.starts, self.ends)
+    def hashes(self, lower: bool = False, which: int = 0) -> np.ndarray:
+        return apart_hashes(LOWER[self.data] if lower else self.data, self.starts, self.ends, which)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(first words, rows) of every window of ``size`` consecutive words inside one row."""
@@ -149,5 +179,12 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def by_row(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Indices in the order of ``rows``, and of all 64 bits of ``hashes`` within a row."""
+    order = np.argsort(hashes)
+    small = rows.astype(np.uint16) if len(rows) and rows[-1] < 1 << 16 else rows  # a stable sort of 16 bits is a radix sort
+    return order[np.argsort(small[order], kind="stable")]
+
+
 def binary(chunks: list[bytes]) -> pa.Array:
     return pa.array(chunks, pa.binary())

@@ -27,7 +27,7 @@ def first_starts(bucket: sk.Bucket, size: int) -> tuple[np.ndarray, np.ndarray,
     """Runs of windows whose least id is below the greatest id that their super-k-mer occurs in."""
     words = _text.Words(bucket.data, bucket.offsets)
     begin, rows = words.windows(size)
-    hashes = [_text.span_hash(_text.prefix_sums(_text.span_hash(_text.prefix_sums(code[bucket.data]), words.starts, words.ends)), begin, begin + size) for code in (_text.BYTE_CODE, sk.SECOND_CODE)]
+    hashes = [_text.span_hash(_text.prefix_sums(words.hashes(which=which)), begin, begin + size) for which in (0, 1)]
     order = np.argsort(hashes[0], kind="stable")
     if len(order):  # windows that agree in one hash and not in the other are sorted by both
         clash = (hashes[0][order[1:]] == hashes[0][order[:-1]]) & (hashes[1][order[1:]] != hashes[1][order[:-1]])

@@ -20,11 +20,14 @@ import os
 import tempfile
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _superkmers as sk
 from . import _text
+from ._spark import unused
 
 WINDOW, MINIMISER = 200, 48
 COLLECTION_BYTES = 60_000  # so that a collection's blocks mostly number below 2**16 and its columns stay in cache
@@ -113,10 +116,10 @@ def blocks(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarra
     starts, lengths = offsets[:-1], np.diff(offsets)
     padded = np.append(data, np.zeros(8, np.uint8))
     values = np.ndarray((len(data),), "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * width) - 1)
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    place = np.flatnonzero(np.arange(len(data)) + width <= offsets[1:][row])
+    row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    place = np.flatnonzero(np.arange(len(data)) + width <= offsets[1:][row]).astype(np.int32)
     row = row[place]
-    name = row * width + (place - starts[row]) % width
+    name = row * np.int32(width) + ((place - starts[row]) % width).astype(np.int32)
     order = np.argsort(name, kind="stable")
     _, symbols = np.unique(values[place[order]], return_inverse=True)
     kind = np.uint16 if symbols.max(initial=0) < 65535 else np.uint32
@@ -170,14 +173,18 @@ def twice(bucket: sk.Bucket, size: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         at = np.arange(ends[-1]) + np.repeat(bucket.offsets[members_] - offsets[:-1], lengths[members_])
         with tempfile.TemporaryDirectory() as folder:
             hit[at] = repeated(bucket.data[at], offsets, size, folder)
-    row = np.repeat(np.arange(n), lengths)
-    hit |= (bucket.copies > 1)[row]
-    hit &= np.arange(len(hit)) + size <= bucket.offsets[1:][row]  # only where a whole window starts
     found = np.flatnonzero(hit)
-    begins = np.flatnonzero(np.concatenate([[True], (np.diff(found) != 1) | (row[found[1:]] != row[found[:-1]])])[: len(found)])
-    which = row[found[begins]]
-    a = found[begins] - bucket.offsets[which]
-    return which, a, a + np.diff(np.append(begins, len(found))), np.zeros(len(begins), np.int64)
+    row = np.searchsorted(bucket.offsets, found, "right") - 1
+    whole = bucket.copies > 1  # every window of these repeats
+    keep = (found + size <= bucket.offsets[1:][row]) & ~whole[row]  # only where a whole window starts
+    found, row = found[keep], row[keep]
+    begins = np.flatnonzero(np.concatenate([[True], (np.diff(found) != 1) | (row[1:] != row[:-1])])[: len(found)])
+    twins = np.flatnonzero(whole)
+    which = np.concatenate([row[begins], twins])
+    a = np.concatenate([found[begins] - bucket.offsets[row[begins]], np.zeros(len(twins), np.int64)])
+    b = a + np.concatenate([np.diff(np.append(begins, len(found))), lengths[twins] - size + 1])
+    order = np.lexsort((a, which))
+    return which[order], a[order], b[order], np.zeros(len(order), np.int64)
 
 
 def spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -213,10 +220,9 @@ def whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
 
 def clean_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """``docs`` with repeated substrings cut from the text, at whole characters; all other columns stay."""
-    from pyspark.sql import functions as F
-
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(sk.NO_ID)), "_h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    found = spans(sk.rows_of(docs, id_col, text_col), size)
+    key, text_hash, gone = (unused(docs, name) for name in ("_id", "_h", "_spans"))
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(sk.NO_ID)), text_hash: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    found = spans(sk.rows_of(docs, id_col, text_col), size).select(F.col("_id").alias(key), F.col("_h").alias(text_hash), F.col("spans").alias(gone))
 
     @F.pandas_udf("string")
     def cut(texts, a, b):
@@ -226,11 +232,9 @@ def clean_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 out.append(text)
                 continue
             raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            gone = whole_characters(raw, sk.mask(len(raw), np.asarray(x), np.asarray(y)))
-            out.append(raw[~gone].tobytes().decode("utf-8", "surrogatepass"))
-        import pandas as pd
-
+            removed = whole_characters(raw, sk.mask(len(raw), np.asarray(x), np.asarray(y)))
+            out.append(raw[~removed].tobytes().decode("utf-8", "surrogatepass"))
         return pd.Series(out, dtype=object)
 
-    joined = keyed.join(found, ["_id", "_h"], "left")
-    return joined.withColumn(text_col, cut(F.col(text_col), F.col("spans.a"), F.col("spans.b"))).select(docs.columns)
+    joined = keyed.join(found, [key, text_hash], "left")
+    return joined.withColumn(text_col, cut(F.col(text_col), F.col(f"{gone}.a"), F.col(f"{gone}.b"))).select(docs.columns)
