@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import _superkmers as sk
 from . import _text
 from ._components import connected_components
-from ._spark import prepare, shuffle_partitions, stored
+from ._spark import prepare, stored
 
 SHINGLE = 5
 T_SIZE = 64
@@ -36,6 +36,7 @@ SMALL_DOCS, SMALL_SHINGLES = 2048, 1_500_000  # a child within both is compared
 MAX_LEVEL = 24
 GROUP_BYTES = 4 << 20
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, T_SIZE, dtype=np.uint64) | np.uint64(1)
+_SALTS = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,8 +56,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def sketched(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """_id, _h, n, node, bits, sketch of each row: the size of its set, a hash of the whole set, its minwise tokens and their last bits."""
-    names = ["_id", "_h", "n", "node", "bits", "sketch"]
+    """_id, _h, n, one, two, bits, sketch of each row: the size of its set, two unrelated hashes of the whole set, its minwise tokens and their last bits."""
+    names = ["_id", "_h", "n", "one", "two", "bits", "sketch"]
 
     def run(batches):
         for b in batches:
@@ -64,18 +65,19 @@ def sketched(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 rows, hashes = shingles(data, offsets, size)
                 n = np.bincount(rows, minlength=hi - lo)
                 full = np.flatnonzero(n)
-                node, sketch = np.zeros(hi - lo, np.uint64), np.zeros((hi - lo, T_SIZE), np.uint32)
+                whole, sketch = np.zeros((2, hi - lo), np.uint64), np.zeros((hi - lo, T_SIZE), np.uint32)
                 if len(full):
                     at = (np.cumsum(n) - n)[full]
-                    node[full] = _text.mix(np.add.reduceat(_text.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), at))
+                    for k, salt in enumerate(_SALTS):
+                        whole[k, full] = _text.mix(np.add.reduceat(_text.mix(hashes ^ salt), at))
                     for i, seed in enumerate(_SEEDS):
                         x = hashes * seed
                         x ^= x >> np.uint64(32)
                         x *= seed
                         sketch[full, i] = np.minimum.reduceat(x, at) >> np.uint64(32)
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:2]), pa.array(n.astype(np.int64)), pa.array(node.view(np.int64)), pa.array(np.packbits(sketch & 1, axis=1).view(np.int64).ravel()), _text.binary([s.tobytes() for s in sketch])], names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:2]), pa.array(n.astype(np.int64)), *(pa.array(w.view(np.int64)) for w in whole), pa.array(np.packbits(sketch & 1, axis=1).view(np.int64).ravel()), _text.binary([s.tobytes() for s in sketch])], names)
 
-    return docs.select("_id", "_h", "_text").mapInArrow(run, "_id long, _h long, n long, node long, bits long, sketch binary")
+    return docs.select("_id", "_h", "_text").mapInArrow(run, "_id long, _h long, n long, one long, two long, bits long, sketch binary")
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -118,28 +120,34 @@ def branches(members: DataFrame, threshold: float) -> DataFrame:
     return members.select("key", "node", "n", "bits", "sketch").mapInArrow(run, ROWS)
 
 
-def children(keys: DataFrame, threshold: float) -> DataFrame:
-    """key, members: the parts of every small child that may hold links; members is null for a large child.
+def parted(keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of the children that are compared exhaustively, stored rows of the large ones or None).
 
-    Rows stream by in the order of their keys: a task holds one small child at a time, and only
-    counts a large one.
+    Sizes are counted first, with partial sums, so that no large child's rows meet in a task.
     """
+    sizes = keys.groupBy("key").agg(F.count("*").alias("docs"), F.sum("n").alias("weight"))
+    big = stored(sizes.where((F.col("docs") > SMALL_DOCS) | (F.col("docs") > 2) & (F.col("weight") > SMALL_SHINGLES)).select("key"), "big")
+    if big.isEmpty():
+        return keys, None
+    return keys.join(big, "key", "left_anti"), stored(keys.join(big, "key"), "large")
+
 
-    def close(key, held, large):
-        if large:
-            return [(key, None)]
+def children(keys: DataFrame, threshold: float) -> DataFrame:
+    """key, members: the parts of every child that may hold links; a task holds one child at a time."""
+
+    def close(held):
         node, n, bits = (np.concatenate(x) for x in zip(*held, strict=True))
         node, first = np.unique(node, return_index=True)
         if len(node) < 2:
             return []
         label = components(alike(bits[first].view(np.uint64), n[first], threshold))
         parts = np.split(np.argsort(label, kind="stable"), np.flatnonzero(np.diff(np.sort(label))) + 1)
-        return [(key, node[p].tolist()) for p in parts if len(p) > 1]
+        return [node[p].tolist() for p in parts if len(p) > 1]
 
     def run(batches):
-        held_key, held, count, weight, large = None, [], 0, 0, False
+        held_key, held, count, out = None, [], 0, []
 
-        def made(out):
+        def made():
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64()))], ["key", "members"])
 
         for b in batches:
@@ -148,34 +156,37 @@ def children(keys: DataFrame, threshold: float) -> DataFrame:
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
             for s, e, k in zip(cuts.tolist(), np.append(cuts[1:], len(key)).tolist(), key[cuts].tolist(), strict=True):
                 if k != held_key:
-                    if large or count > 1:
-                        out += close(held_key, held, large)
-                    held_key, held, count, weight, large = k, [], 0, 0, False
-                if not large:
-                    held.append((node[s:e], n[s:e], bits[s:e]))
-                    count += e - s
-                    weight += int(n[s:e].sum()) if e - s > 1 or count > 1 else 0
-                    if count > 2 and (count > SMALL_DOCS or weight > SMALL_SHINGLES):
-                        held, large = [], True
+                    if count > 1:
+                        out += [(held_key, p) for p in close(held)]
+                    held_key, held, count = k, [], 0
+                held.append((node[s:e], n[s:e], bits[s:e]))
+                count += e - s
             if out:
-                yield made(out)
-        if large or count > 1:
-            yield made(close(held_key, held, large))
+                yield made()
+        out = [(held_key, p) for p in close(held)] if count > 1 else []
+        if out:
+            yield made()
 
-    return keys.repartition(shuffle_partitions(keys.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "key long, members array<long>")
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, members array<long>")
 
 
 def clusters(found: DataFrame) -> DataFrame:
-    """cluster, node: the small children of ``found``, each distinct set of members once."""
-    small = found.where("members is not null").groupBy(F.xxhash64("members").alias("cluster")).agg(F.first("members").alias("members"))
-    return small.select("cluster", F.explode("members").alias("node"))
+    """cluster, node: the parts in ``found``, each distinct set of members once."""
+    return found.groupBy("members").agg(F.count("*")).select(F.xxhash64("members").alias("cluster"), F.explode("members").alias("node"))
+
+
+STRIP = 256  # rows of a matrix of pairs that are worked on at once
+
+
+def strips(n: int) -> list[slice]:
+    return [slice(k, min(n, k + STRIP)) for k in range(0, n, STRIP)]
 
 
 def components(linked: np.ndarray) -> np.ndarray:
     """The least index that each index of a symmetric matrix reaches."""
-    label = np.arange(len(linked))
+    label = np.arange(len(linked), dtype=np.int32)
     while True:
-        near = np.where(linked, label[None, :], len(linked)).min(1)
+        near = np.concatenate([np.where(linked[part], label, np.int32(len(linked))).min(1) for part in strips(len(linked))])
         new = np.minimum(label, near)
         new = new[new]
         if (new == label).all():
@@ -190,16 +201,19 @@ def alike(bits: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
     """
     share = (1 + threshold) / 2
     least = int(T_SIZE * share - 6 * np.sqrt(T_SIZE * share * (1 - share)))
-    equal = T_SIZE - np.bitwise_count(bits[:, None] ^ bits[None])
-    return (equal >= least) & (np.minimum(n[:, None], n[None]) >= threshold * np.maximum(n[:, None], n[None]))
+    out = np.empty((len(n), len(n)), bool)
+    for part in strips(len(n)):
+        equal = T_SIZE - np.bitwise_count(bits[part, None] ^ bits[None])
+        out[part] = (equal >= least) & (np.minimum(n[part, None], n[None]) >= threshold * np.maximum(n[part, None], n[None]))
+    return out
 
 
 def shared_sizes(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections."""
+    """Sizes of all pairwise intersections, which single precision holds exactly."""
     n = len(sets)
     if n == 2:
         both = np.intersect1d(*sets, assume_unique=True).size
-        return np.array([[len(sets[0]), both], [both, len(sets[1])]], float)
+        return np.array([[len(sets[0]), both], [both, len(sets[1])]], np.float32)
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(n), [len(s) for s in sets])
     keep = count[column] > 1
@@ -207,13 +221,23 @@ def shared_sizes(sets: list[np.ndarray]) -> np.ndarray:
     used, column = np.unique(column, return_inverse=True)
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    out, width = np.zeros((n, n), np.float32), 4096
+    out, width = np.zeros((n, n), np.float32), 1024
     for s in range(0, len(used), width):
         lo, hi = np.searchsorted(column, [s, s + width])
         x = np.zeros((n, min(width, len(used) - s)), np.float32)
         x[row[lo:hi], column[lo:hi] - s] = 1
         out += x @ x.T
-    return out.astype(float)
+    return out
+
+
+def linked_sets(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which pairs of full sets reach the threshold."""
+    size, both = np.array([len(s) for s in sets], float), shared_sizes(sets)
+    out = np.empty(both.shape, bool)
+    for part in strips(len(sets)):
+        union = size[part, None] + size[None] - both[part]
+        out[part] = 100.0 * both[part] >= 100 * threshold * union - 1e-6
+    return out
 
 
 def _grouped(rows: DataFrame, size: int, run, schema: str) -> DataFrame:
@@ -243,10 +267,7 @@ def links(found: DataFrame, sets: DataFrame, shingle_bytes: int, threshold: floa
             parts = [np.frombuffer(x, np.uint64) for x in raw[s:e]]
             if len(parts) < 2:
                 continue
-            size = np.array([len(p) for p in parts], float)
-            both = shared_sizes(parts)
-            union = size[:, None] + size[None] - both
-            label = components(100 * both >= 100 * threshold * union - 1e-6)
+            label = components(linked_sets(parts, threshold))
             other = np.flatnonzero(label != np.arange(len(label)))
             a += node[s:e][label[other]].tolist()
             b += node[s:e][other].tolist()
@@ -278,11 +299,8 @@ def node_components(docs: DataFrame, nodes: DataFrame, *, size: int, threshold:
             keys = branches(large.join(nodes.select("node", "sketch"), "node"), threshold)
         else:
             keys = roots(nodes)
-        keys = stored(keys, "keys")
-        found = stored(children(keys, threshold), "children")
-        near = clusters(found)
-        big = found.where("members is null").select("key")
-        large = None if big.isEmpty() else stored(keys.join(big, "key"), "large")
+        small, large = parted(stored(keys, "keys"))
+        near = clusters(stored(children(small, threshold), "children"))
         if sets is None:  # later levels only part the nodes of large children, so texts are read this once
             wanted = near.select("node") if large is None else near.select("node").unionAll(large.select("node"))
             sets = stored(full_sets(docs, wanted.distinct().join(nodes, "node").select("node", "_id", "_h"), size), "sets")
@@ -324,16 +342,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     prepare(docs.sparkSession)
     source = sk.rows_of(docs, id_col, text_col)
     rows = stored(sketched(source, size), "sketches")
-    nodes = stored(rows.where("n > 0").groupBy("node").agg(F.min("_id").alias("rep"), F.min(F.struct("_id", "_h")).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")).select("node", "rep", F.col("at._id").alias("_id"), F.col("at._h").alias("_h"), "n", "bits", "sketch"), "nodes")
+    # equal sets are one node, by its number; a set is known by its size and 128 bits
+    same = rows.where("n > 0").groupBy("n", "one", "two").agg(F.min(F.struct("_id", "_h")).alias("at"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"))
+    nodes = stored(same.select(F.monotonically_increasing_id().alias("node"), "at._id", "at._h", F.col("at._id").alias("rep"), "n", "one", "two", "bits", "sketch"), "nodes")
     labels = node_components(source, nodes, size=size, threshold=threshold)
-    where = nodes.select("node", "rep")
+    where = nodes.select("node", "n", "one", "two", "rep")
     if labels is not None:
         least = where.join(labels, "node").groupBy("label").agg(F.min("rep").alias("least"))
         moved = labels.join(least, "label").select("node", "least")
-        where = where.join(moved, "node", "left").select("node", F.coalesce("least", "rep").alias("rep"))
-    else:
-        where = where.select("node", "rep")
-    full = rows.where("n > 0").select("_id", "_h", "n", "node").join(where, "node").select("_id", "_h", "n", "rep")
+        where = where.join(moved, "node", "left").select("n", "one", "two", F.coalesce("least", "rep").alias("rep"))
+    full = rows.where("n > 0").select("_id", "_h", "n", "one", "two").join(where.select("n", "one", "two", "rep"), ["n", "one", "two"]).select("_id", "_h", "n", "rep")
     all_rows = full.unionAll(rows.where("n = 0").select("_id", "_h", "n", F.col("_id").alias("rep")))
     real = lambda c: F.when(F.col(c) != sk.NO_ID, F.col(c))
     return all_rows.select(real("_id").alias(id_col), F.col("n").alias("n_shingles"), real("rep").alias("component_id"), (F.col("_id") == F.col("rep")).alias("kept"), F.col("_h").alias("text_hash"))
