@@ -8,11 +8,14 @@ moved passages count as edits, unlike in plain MinHash.
 
 Defined results: a text shorter than k is one k-mer; an empty or null text selects nothing; a
 selection that is empty in both texts doesn't count; two empty texts have likeness 1.0, an empty and
-a nonempty one 0.0.  Rows with equal ids are ordered by their texts.  A null id sorts first.
+a nonempty one 0.0.  Rows with equal ids are ordered by their texts.  A null id sorts first.  Rows equal
+in id and text follow one another and are judged one by one, all in one task; an empty table gives no rows;
+columns other than the id and text are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -42,35 +45,43 @@ def signatures(texts: list[str], k: int = K, ell: int = ELL, bin_bits: int = BIN
     sums = _text.prefix_sums(_text.mix(codes.astype(np.uint64) + np.uint64(1)))
     kmers = _text.span_hash(sums, pos, pos + np.minimum(k, lengths)[rows])
 
-    at_bits, row_bits = int(len(pos)).bit_length(), int(len(texts)).bit_length()
-    at_mask, low = np.uint64((1 << at_bits) - 1), np.uint64(at_bits)
-    top = rows.astype(np.uint64) << np.uint64(64 - row_bits)
-    here = np.arange(len(pos), dtype=np.uint64)
-    order = np.sort(top | (kmers >> np.uint64(row_bits)) & ~at_mask | here)
-    same = np.concatenate([[False], (order[1:] >> low) == (order[:-1] >> low)])
+    order = by_hash_and_place(kmers)
+    first = np.concatenate([[True], (kmers[order[1:]] != kmers[order[:-1]]) | (rows[order[1:]] != rows[order[:-1]])])
     index = np.arange(len(order))
-    occurrence = index - np.maximum.accumulate(np.where(same, 0, index))
-    where = (order & at_mask).astype(np.int64)
-    numbered = _text.mix(kmers[where] + occurrence.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    chosen = np.sort(top[where] | (numbered >> np.uint64(row_bits)) & ~at_mask | (order & at_mask))
+    numbered = np.empty(len(order), np.uint64)
+    numbered[order] = _text.mix(kmers[order] + (index - np.maximum.accumulate(np.where(first, index, 0))).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-    group = chosen >> np.uint64(64 - row_bits - bin_bits)
+    # by row and numbered hash, whose leading bits are the selection; sorting small row numbers stably is a radix sort
+    chosen = by_hash_and_place(numbered)
+    chosen = chosen[np.argsort(rows[chosen].astype(np.uint16 if len(texts) <= 1 << 16 else np.int64), kind="stable")]
+    group = rows[chosen] << bin_bits | (numbered[chosen] >> np.uint64(64 - bin_bits)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.minimum(np.diff(np.concatenate([first, [len(group)]])), ell)
     picks = np.full((len(first), ell), len(pos), np.int64)
     for j in range(ell):
         have = size > j
-        picks[have, j] = (chosen[first[have] + j] & at_mask).astype(np.int64)
+        picks[have, j] = chosen[first[have] + j]
     picks.sort(1)
     padded = np.append(kmers, np.uint64(0))
     tuples = np.zeros(len(first), np.uint64)
     for j in range(ell):
         tuples = _text.mix(tuples * np.uint64(0x9E3779B97F4A7C15) + padded[picks[:, j]] + np.uint64(j + 1))
     values = (tuples >> np.uint64(48)).astype(np.uint16)
-    out[rows[picks[:, 0]], (group[first] & np.uint64(bins - 1)).astype(np.int64)] = np.where(values == EMPTY, 1, values)
+    out[rows[picks[:, 0]], group[first] & (bins - 1)] = np.where(values == EMPTY, 1, values)
     return out
 
 
+def by_hash_and_place(hashes: np.ndarray) -> np.ndarray:
+    """Indices in the order of all 64 bits of the hashes, and of equal ones by place."""
+    order = np.argsort(hashes)
+    sorted_ = hashes[order]
+    twin = sorted_[1:] == sorted_[:-1]
+    runs = np.flatnonzero(np.concatenate([[False], twin]) | np.concatenate([twin, [False]]))
+    if len(runs):
+        order[runs] = order[runs][np.lexsort((order[runs], sorted_[runs]))]
+    return order
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of the selections on which the rows of ``a`` and ``b`` agree, of those nonempty in either."""
     used = ((a != EMPTY) | (b != EMPTY)).sum(1)
@@ -97,37 +108,68 @@ def _strings(texts: pa.Array):
         yield lo, hi, texts.slice(lo, hi - lo).fill_null("").to_pylist()
 
 
+def cut_points(docs: DataFrame, buckets: int) -> list[tuple]:
+    """Sorted keys (id is known, id, text's beginning) at which ranges of about equal size begin.
+
+    They come from quantiles of the ids and, for each id that more rows than a range should hold share,
+    of the beginnings of its texts; both number at most about ``buckets``.
+    """
+    if buckets < 2:
+        return []
+    shares = (np.arange(1, buckets) / buckets).tolist()
+    total, ids = docs.agg(F.count("*"), F.percentile_approx("_id", shares)).first()
+    cuts = {(True, i, 0) for i in ids or []}
+    hot = docs.groupBy("_id").count().where(F.col("count") > total / buckets)
+    if not hot.isEmpty():
+        # fewer than `buckets` ids are that frequent
+        known = docs.join(F.broadcast(hot.select(F.col("_id").alias("_hot"))), F.col("_id").eqNullSafe(F.col("_hot")))
+        for r in known.groupBy("_id").agg(F.percentile_approx("_start", shares).alias("starts")).collect():
+            cuts |= {(r._id is not None, r._id or 0, s) for s in r.starts}
+    return sorted(cuts)
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """Deals rows into ranges of the id, each followed by a copy of the first row of the next range.
+    """Deals rows into ranges of id and text, each followed by a copy of the first row of the next range.
 
     Columns _bucket, _copy, _id, _text; every partition is sorted by them, so each row's successor
-    follows it in its own task.  The driver holds one id for each range.
+    follows it in its own task.  The driver holds one key for each range.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    bounds = np.unique(np.array(docs.approxQuantile("_id", (np.arange(1, buckets) / buckets).tolist(), 0.2 / buckets), float).astype(np.int64)) if buckets > 1 else np.zeros(0, np.int64)
-
-    def place(ids: pd.Series) -> np.ndarray:
-        known = ids.notna().to_numpy()
-        where = np.zeros(len(ids), np.int64)
-        where[known] = np.searchsorted(bounds, ids[known].to_numpy().astype(np.int64), "left")
-        return where
-
-    @F.pandas_udf("long")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(place(ids))
-
-    firsts = sorted((r._b, r._nulls, r._first) for r in docs.select("_id", bucket("_id").alias("_b")).groupBy("_b").agg(F.min("_id").alias("_first"), F.max(F.col("_id").isNull()).alias("_nulls")).collect())
-    before = {(None if nulls else first): firsts[i - 1][0] for i, (_, nulls, first) in enumerate(firsts)}
-
-    @F.pandas_udf("array<struct<_bucket:long,_copy:boolean>>")
-    def places(ids: pd.Series) -> pd.Series:
-        rows = []
-        for b, i in zip(place(ids).tolist(), ids.tolist(), strict=True):
-            key = None if pd.isna(i) else int(i)
-            rows.append([{"_bucket": b, "_copy": False}] + ([{"_bucket": before[key], "_copy": True}] if key in before else []))
-        return pd.Series(rows)
-
-    dealt = docs.withColumn("_at", F.explode(places("_id"))).select("_at._bucket", "_at._copy", "_id", "_text")
+    start = F.rpad(F.hex(F.substring(F.encode(F.substring("_text", 1, 7), "utf-8"), 1, 7)), 14, "0")
+    docs = docs.withColumn("_start", F.conv(start, 16, 10).cast("long"))
+    cuts = cut_points(docs, buckets)
+
+    def place(ids: pa.Array, starts: pa.Array) -> list[int]:
+        return [bisect.bisect_right(cuts, (i is not None, i or 0, s)) for i, s in zip(ids.to_pylist(), starts.to_pylist(), strict=True)]
+
+    def placed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(place(*b.columns), pa.int64()), *b.columns], ["_bucket", "_id", "_start"])
+
+    # each range's least id and text's beginning, then the least text among the rows that share both
+    least = docs.select("_id", "_start").mapInArrow(placed, "_bucket long, _id long, _start long").groupBy("_bucket").agg(F.min(F.struct(F.col("_id").isNotNull().alias("known"), "_id", "_start")).alias("f"))
+    least = least.select("_bucket", F.col("f._id").alias("_first"), F.col("f._start").alias("_begin"))
+    texts = docs.join(F.broadcast(least), F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_start") == F.col("_begin"))).groupBy("_bucket").agg(F.min("_first").alias("_first"), F.sha2(F.min("_text"), 256).alias("digest"))
+    firsts = sorted(map(tuple, texts.select("_bucket", "_first", "digest").collect()))
+    before = {(i, digest): firsts[at - 1][0] for at, (_, i, digest) in enumerate(firsts)}
+    heads = {i for i, _ in before}
+
+    def deal(batches):
+        sent: set[int] = set()
+        for b in batches:
+            bucket = place(b.column(0), b.column(2))
+            copy, at = [False] * len(bucket), [*range(len(bucket))]
+            for n, i in enumerate(b.column(0).to_pylist()):
+                to = before.get((i, hashlib.sha256(b.column(1)[n].as_buffer()).hexdigest())) if i in heads else None
+                if to is not None and to not in sent:  # one copy from each task is enough
+                    sent.add(to)
+                    bucket.append(to)
+                    copy.append(True)
+                    at.append(n)
+            rows = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(copy, pa.bool_()), rows.column(0), rows.column(1)], ["_bucket", "_copy", "_id", "_text"])
+
+    dealt = docs.mapInArrow(deal, "_bucket long, _copy boolean, _id long, _text string")
     return dealt.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "_copy", F.col("_id").asc_nulls_first(), "_text")
 
 
