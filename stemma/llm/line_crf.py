@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import prepare
+from ._spark import prepare, unused
 
 CONTENT, BOILERPLATE = 0, 1
 #: Fixed by the base rules: characters counted as symbols.
@@ -56,7 +56,7 @@ class Lines:
         breaks = np.flatnonzero(data == 10)
         left = np.maximum(np.concatenate([[-1], breaks])[newline[words.starts[new]]] + 1, offsets[self.rows]) if len(new) else new
         right = np.minimum(np.append(breaks, len(data))[newline[words.starts[new]]], offsets[self.rows + 1]) if len(new) else new
-        same = _text.span_hash(_text.prefix_sums(_text.BYTE_CODE[data]), left, right)
+        same = _text.apart_hashes(data, left, right)
         order = np.lexsort((same, self.rows))
         again = np.zeros(len(new), bool)
         if len(new):
@@ -84,12 +84,8 @@ class Lines:
         if not len(begin):
             return np.zeros(n, np.int64)
         grams = _text.span_hash(_text.prefix_sums(hashes), begin, begin + 3)
-        bits = np.uint64(int(len(begin)).bit_length())
-        row_bits = np.uint64(64 - int(n).bit_length())
-        key = np.sort(rows.astype(np.uint64) << row_bits | (grams >> (np.uint64(64) - row_bits)) >> bits << bits | np.arange(len(begin), dtype=np.uint64))
-        where = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        full = grams[where]
-        twin = (full[1:] == full[:-1]) & (rows[where[1:]] == rows[where[:-1]])
+        where = _text.by_row(rows, grams)
+        twin = (grams[where[1:]] == grams[where[:-1]]) & (rows[where[1:]] == rows[where[:-1]])
         found = np.zeros(len(words) + 3, np.int64)
         hit = begin[where[np.concatenate([twin, [False]]) | np.concatenate([[False], twin])]]
         np.add.at(found, hit, 1)
@@ -103,36 +99,46 @@ def sequences(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.concatenate([first, [len(rows)]]))
 
 
+def gradient(x: np.ndarray, y: np.ndarray, first: np.ndarray, length: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log-likelihood of the labels and its gradient, over all chains at once: one step per line number."""
+    by = np.argsort(-length, kind="stable")
+    first, length = first[by], length[by]
+    longest = int(length[0])
+    open_at = np.searchsorted(-length, -np.arange(1, longest + 1), "right")
+    begin = np.concatenate([[0], np.cumsum(open_at)])
+    at = np.concatenate([first[:k] + t for t, k in enumerate(open_at)])  # lines by number, the longest chains first
+    X, Y = x[at], y[at]
+    emit, trans = X @ theta[:-2], theta[-2:]
+    alpha, beta = np.empty_like(emit), np.zeros_like(emit)
+    alpha[: begin[1]] = emit[: begin[1]]
+    log_z = np.empty(len(length))
+    expected, gold = np.zeros_like(theta), np.zeros_like(theta)
+    for t in range(1, longest):
+        k, now, then = open_at[t], slice(begin[t], begin[t + 1]), slice(begin[t - 1], begin[t - 1] + open_at[t])
+        alpha[now] = emit[now] + np.logaddexp(alpha[then][:, :1] + trans[0], alpha[then][:, 1:] + trans[1])
+        np.add.at(gold, (len(gold) - 2 + Y[then], Y[now]), 1)
+        done = slice(k, open_at[t - 1])
+        log_z[done] = np.logaddexp(*alpha[begin[t - 1] + k : begin[t]].T)
+    log_z[: open_at[-1]] = np.logaddexp(*alpha[begin[-2] :].T)
+    for t in range(longest - 1, 0, -1):
+        k, now, then = open_at[t], slice(begin[t], begin[t + 1]), slice(begin[t - 1], begin[t - 1] + open_at[t])
+        after = emit[now] + beta[now]
+        beta[then] = np.logaddexp(trans[:, 0] + after[:, :1], trans[:, 1] + after[:, 1:])
+        expected[-2:] += np.exp(alpha[then][:, :, None] + trans + after[:, None] - log_z[:k, None, None]).sum(0)
+    node = np.exp(alpha + beta - np.concatenate([log_z[:k] for k in open_at])[:, None])
+    expected[:-2] = X.T @ node
+    gold[:-2] = X.T @ np.stack([Y == 0, Y == 1], 1).astype(float)
+    return float((gold * theta).sum() - log_z.sum()), gold - expected
+
+
 def train(x: np.ndarray, y: np.ndarray, first: np.ndarray, length: np.ndarray, *, steps: int = 250, rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
     """CRF weights: (features, 2) emissions, then (2, 2) transitions, by gradient ascent of the likelihood."""
     theta = np.zeros((x.shape[1] + 2, 2))
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    longest = int(length.max())
-    at = first[:, None] + np.minimum(np.arange(longest), length[:, None] - 1)
-    real = np.arange(longest) < length[:, None]
-    X, Y = x[at], y[at]
-    pair = real[:, 1:]
-    gold_pairs = np.array([[((Y[:, :-1] == a) & (Y[:, 1:] == b) & pair).sum() for b in (0, 1)] for a in (0, 1)], float)
-    gold = np.concatenate([np.stack([(X * (real & (Y == k))[..., None]).sum((0, 1)) for k in (0, 1)], 1), gold_pairs])
-    total = real.sum()
     for step in range(1, steps + 1):
-        emit, trans = X @ theta[:-2], theta[-2:]
-        alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
-        alpha[:, 0] = emit[:, 0]
-        for t in range(1, longest):
-            into = emit[:, t] + np.logaddexp(alpha[:, t - 1, :1] + trans[0], alpha[:, t - 1, 1:] + trans[1])
-            alpha[:, t] = np.where(real[:, t, None], into, alpha[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            after = emit[:, t + 1] + beta[:, t + 1]
-            back = np.logaddexp(trans[:, 0] + after[:, :1], trans[:, 1] + after[:, 1:])
-            beta[:, t] = np.where(real[:, t + 1, None], back, 0)
-        log_z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])[:, None, None]
-        node = np.exp(alpha + beta - log_z) * real[..., None]
-        edge = np.array([[(np.exp(alpha[:, :-1, a] + trans[a, b] + emit[:, 1:, b] + beta[:, 1:, b] - log_z[..., 0]) * pair).sum() for b in (0, 1)] for a in (0, 1)])
-        expected = np.concatenate([np.einsum("ntf,ntk->fk", X, node), edge])
-        gradient = (gold - expected) / total - decay * theta
-        m += 0.1 * (gradient - m)
-        v += 0.01 * (gradient**2 - v)
+        slope = gradient(x, y, first, length, theta)[1] / len(x) - decay * theta
+        m += 0.1 * (slope - m)
+        v += 0.01 * (slope**2 - v)
         theta += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return theta
 
@@ -160,38 +166,58 @@ def viterbi(x: np.ndarray, first: np.ndarray, length: np.ndarray, theta: np.ndar
     return labels
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 3000, max_lines: int = 64) -> np.ndarray | None:
-    """Trains on at most ``max_docs`` labelled documents of each kind, in chains of at most ``max_lines`` lines.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 3000, max_lines: int = 64, max_chains: int = 4) -> np.ndarray | None:
+    """Trains on at most ``max_docs`` labelled texts of each kind, in chains of at most ``max_lines`` lines.
 
-    A longer document gives several chains.  None unless both kinds are there.
+    The texts with the least hashes of id and text are taken, each once; one of more lines gives at most
+    ``max_chains`` chains, spread over all of it.  So at most 2 * max_docs * max_chains * max_lines lines come
+    to the driver, and in a set order.  None unless both kinds are there.
     """
     spark = prepare(docs.sparkSession)
-    known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").alias("_quality"))
-    order = [F.xxhash64("_id"), F.col("_id")]
-    wanted = known.where("_quality = 0").orderBy(*order).limit(max_docs).unionAll(known.where("_quality = 1").orderBy(*order).limit(max_docs))
+    known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").cast("int").alias("_quality"))
+    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.col(text_col).alias("_text"))
+    rank = F.xxhash64("_id", "_h").alias("_rank")
+    labelled = keyed.select("_id", "_h").distinct().join(known, "_id").select(rank, "_id", "_h", "_quality")
+    first = lambda kind: labelled.where(F.col("_quality") == kind).orderBy("_rank", "_id", "_h").limit(max_docs)
+    wanted = first(0).unionAll(first(1))
 
     def run(batches):
         for b in batches:
-            quality = b.column(0).to_pylist()
-            for lo, _, data, offsets in _text.slices(b.column(1)):
+            for lo, hi, data, offsets in _text.slices(b.column(4)):
                 lines = Lines(data, offsets)
+                chosen = [b""] * (hi - lo)
                 for at, n in zip(*sequences(lines.rows), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array([quality[lo + lines.rows[at]]], pa.int32()), _text.binary([lines.features[at : at + n].astype(np.float32).tobytes()])], ["_quality", "_x"])
-
-    # `wanted` holds at most 2 * max_docs ids
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(wanted), "_id").select(F.col("_quality").cast("int").alias("_quality"), "_text").mapInArrow(run, "_quality int, _x binary").collect()
-    if len({r._quality for r in sample}) < 2:
+                    chains = np.array_split(lines.features[at : at + n].astype(np.float32), -(-n // max_lines))
+                    spread = np.unique(np.linspace(0, len(chains) - 1, min(max_chains, len(chains))).astype(int))
+                    chosen[lines.rows[at]] = b"".join(np.uint32(len(chains[k])).tobytes() + chains[k].tobytes() for k in spread)
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:4]), _text.binary(chosen)], ["_rank", "_id", "_h", "_quality", "_x"])
+
+    # `wanted` holds at most 2 * max_docs rows; equal rows of `docs` become one again
+    joined = keyed.join(F.broadcast(wanted), ["_id", "_h"]).select("_rank", "_id", "_h", "_quality", "_text")
+    made = joined.mapInArrow(run, joined.drop("_text").schema.add("_x", "binary"))
+    sample = sorted(map(tuple, made.dropDuplicates(["_id", "_h"]).collect()))
+    chains = [(p, BOILERPLATE if quality == 0 else CONTENT) for *_, quality, raw in sample for p in unpacked(bytes(raw))]
+    if len({k for _, k in chains}) < 2:
         return None
-    x = [np.frombuffer(r._x, np.float32).reshape(-1, N_FEATURES) for r in sample]
-    chains = [(p, BOILERPLATE if r._quality == 0 else CONTENT) for r, a in zip(sample, x, strict=True) for p in np.array_split(a, -(-len(a) // max_lines))]
     length = np.array([len(p) for p, _ in chains])
     return train(np.concatenate([p for p, _ in chains]).astype(float), np.repeat([k for _, k in chains], length), np.cumsum(length) - length, length)
 
 
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    """The chains that ``fit`` packs: each a number of lines, then their features."""
+    out, at = [], 0
+    while at < len(raw):
+        n = int(np.frombuffer(raw, np.uint32, 1, at)[0])
+        out.append(np.frombuffer(raw, np.float32, n * N_FEATURES, at + 4).reshape(n, N_FEATURES))
+        at += 4 + 4 * n * N_FEATURES
+    return out
+
+
 def judge(docs: DataFrame, theta: np.ndarray | None, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), min_share: float = 0.5) -> DataFrame:
     """The base counts, content_share and the verdict of every row, beside the columns ``keep``."""
     prepare(docs.sparkSession)
-    docs = docs.select(*keep, F.col(text_col).alias("_text"))
+    text = unused(docs.select(*keep), "_text")
+    docs = docs.select(*keep, F.col(text_col).alias(text))
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_share", "base_failed", "kept"]
 
     def run(batches):
@@ -205,7 +231,7 @@ def judge(docs: DataFrame, theta: np.ndarray | None, *, text_col: str = "text",
                 values = [lines.n_words, lines.word_chars, lines.n_symbols, lines.n_dup_lines, lines.n_repeat_words]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[: len(keep)]), *(pa.array(v.astype(np.int64)) for v in values), pa.array(share), pa.array(failed), pa.array(~failed & (share >= min_share))], [*keep, *made])
 
-    schema = docs.drop("_text").schema
+    schema = docs.drop(text).schema
     for name in made[:5]:
         schema = schema.add(name, "long")
     return docs.mapInArrow(run, schema.add("content_share", "double").add("base_failed", "boolean").add("kept", "boolean"))
