@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import held_out, prepare
+from ._spark import held_out, prepare, unused
 
 DIM_BITS = 18
 LETTER = np.zeros(256, bool)
@@ -59,6 +59,20 @@ def log_ratios(positive: list[np.ndarray], unlabelled: list[np.ndarray], smooth:
     return np.log(share(positive) / share(unlabelled))
 
 
+def risk_gradient(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """(the non-negative PU risk of margins of positives and of unlabelled rows, the direction to step away from, by margin).
+
+    The direction is the risk's gradient, or, where its negative part is below zero, that part's gradient turned round.
+    """
+    loss = lambda z: np.logaddexp(0, -z)
+    says = 1 / (1 + np.exp(-np.clip(np.concatenate([p, u]), -30, 30)))
+    negative = loss(-u).mean() - prior * loss(-p).mean()
+    # d loss(z) = sigmoid(z) - 1, d loss(-z) = sigmoid(z)
+    sign = 1 if negative >= 0 else -1
+    of_p = -sign * prior * says[: len(p)] / len(p) + (prior * (says[: len(p)] - 1) / len(p) if sign > 0 else 0)
+    return prior * loss(p).mean() + max(0.0, negative), np.concatenate([of_p, sign * says[len(p) :] / len(u)])
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, models: int = 3, epochs: int = 10, least_steps: int = 300, batch: int = 512, rate: float = 0.02, decay: float = 1e-3, seed: int = 5) -> np.ndarray:
     """Weights (models, dim + 1) that minimise the non-negative PU risk by Adam over mini-batches.
 
@@ -68,8 +82,6 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     dim = 1 << DIM_BITS
     scale = np.append(log_ratios(positive, unlabelled), 1.0)
     out = np.zeros((models, dim + 1))
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    loss = lambda z: np.logaddexp(0, -z)
     for m in range(models):
         rng = np.random.default_rng(seed + m)
         w, first, second, step = np.zeros(dim + 1), np.zeros(dim + 1), np.zeros(dim + 1), 0
@@ -84,15 +96,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
                 counts = np.array([len(d) for d in docs])
                 ids = np.concatenate(docs).astype(np.int64)
                 z = margins(w * scale, ids, counts)
-                p, u = slice(0, len(p_part)), slice(len(p_part), None)
-                negative_risk = loss(-z[u]).mean() - prior * loss(-z[p]).mean()
-                # d loss(z) = sigmoid(z) - 1, d loss(-z) = sigmoid(z)
-                towards, says = np.zeros(len(z)), sigmoid(z)
-                sign = 1 if negative_risk >= 0 else -1
-                towards[u] = sign * says[u] / len(u_part)
-                towards[p] = -sign * prior * says[p] / len(p_part)
-                if sign > 0:
-                    towards[p] += prior * (says[p] - 1) / len(p_part)
+                _, towards = risk_gradient(z[: len(p_part)], z[len(p_part) :], prior)
                 gradient = np.bincount(ids, np.repeat(towards, counts), dim + 1) * scale
                 gradient[dim] = towards.sum()
                 gradient[:dim] += decay * w[:dim]
@@ -120,38 +124,48 @@ def threshold(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> flo
     return float(np.median(grid[risk <= risk.min() + 1e-12]))
 
 
-def fit(docs: DataFrame, toxic_ids: DataFrame, prior: float, *, id_col: str = "doc_id", text_col: str = "text", max_positives: int = 8000, max_unlabelled: int = 16000) -> np.ndarray | None:
-    """Trains on at most ``max_positives`` of ``toxic_ids`` and ``max_unlabelled`` other rows of ``docs``.
+def thinned(values: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` of ``values``, evenly spread."""
+    return values if len(values) <= most else values[np.linspace(0, len(values) - 1, most).astype(int)]
 
-    The rows with the smallest hashes of their ids are taken, so the sample is the same each time;
-    only their feature ids come to the driver.  None if no positive has a row in ``docs``.
+
+def fit(docs: DataFrame, toxic_ids: DataFrame, prior: float, *, id_col: str = "doc_id", text_col: str = "text", max_positives: int = 8000, max_unlabelled: int = 16000, max_features: int = 2048) -> np.ndarray | None:
+    """Trains on at most ``max_positives`` texts of ``toxic_ids`` and ``max_unlabelled`` texts of ``docs``.
+
+    The texts with the smallest hashes of their ids and contents are taken, each once, so the sample is the
+    same each time; only their feature ids come to the driver, for each at most ``max_features``,
+    spread evenly over the sorted hashes of all its words.  None if no positive has a row.
     """
-    spark = prepare(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_id is not null")
-    first = lambda ids, n, salt: ids.select("_id").orderBy(F.xxhash64("_id", F.lit(salt)), "_id").limit(n)
+    prepare(docs.sparkSession)
+    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.col(text_col).alias("_text")).where("_id is not null")
+    ids = keyed.select("_id", "_h").distinct()
+    first = lambda rows, n, role: rows.select(F.lit(role).alias("_role"), F.xxhash64("_id", "_h", F.lit(role)).alias("_rank"), "_id", "_h").orderBy("_rank", "_id", "_h").limit(n)
     known = toxic_ids.select(F.col(id_col).alias("_id")).distinct()
-    wanted = first(known, max_positives, 1).withColumn("_role", F.lit(1)).unionAll(first(docs.select("_id").distinct(), max_unlabelled, 2).withColumn("_role", F.lit(0)))
+    wanted = first(ids.join(known, "_id", "left_semi"), max_positives, 1).unionAll(first(ids, max_unlabelled, 2))
+    names = ["_role", "_rank", "_id", "_h", "_ids"]
 
     def run(batches):
         for b in batches:
-            for lo, hi, data, offsets in _text.slices(b.column(1)):
-                ids, counts = features(data, offsets)
-                parts = np.split(ids, np.cumsum(counts)[:-1])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), _text.binary([p.tobytes() for p in parts])], ["_role", "_ids"])
-
-    # both sides of `wanted` are limits, so this broadcast never exceeds max_positives + max_unlabelled ids
-    sample = docs.join(F.broadcast(wanted), "_id").select("_role", "_text").mapInArrow(run, "_role int, _ids binary").collect()
-    positive = [np.frombuffer(r._ids, np.uint32) for r in sample if r._role == 1]
-    unlabelled = [np.frombuffer(r._ids, np.uint32) for r in sample if r._role == 0]
+            for lo, hi, data, offsets in _text.slices(b.column(4)):
+                found, counts = features(data, offsets)
+                parts = np.split(found, np.cumsum(counts)[:-1])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:4]), _text.binary([thinned(p, max_features).tobytes() for p in parts])], names)
+
+    # both sides of `wanted` are limits, so this broadcast never exceeds max_positives + max_unlabelled rows; equal rows of `docs` become one again
+    joined = keyed.join(F.broadcast(wanted), ["_id", "_h"]).select("_role", "_rank", "_id", "_h", "_text")
+    made = joined.mapInArrow(run, joined.drop("_text").schema.add("_ids", "binary"))
+    sample = sorted(tuple(r) for r in made.dropDuplicates(["_role", "_id", "_h"]).collect())
+    positive, unlabelled = ([np.frombuffer(r[4], np.uint32) for r in sample if r[0] == role] for role in (1, 2))
     return train(positive, unlabelled, prior) if positive and unlabelled else None
 
 
 def score(docs: DataFrame, weights: np.ndarray | None, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "score") -> DataFrame:
     """Scores every row of ``docs`` in 0..1: the models' mean probability.  Keeps the columns ``keep``."""
     prepare(docs.sparkSession)
-    docs = docs.select(*keep, F.col(text_col).alias("_text"))
     if weights is None:
-        return docs.drop("_text").withColumn(out, F.lit(0.0))
+        return docs.select(*keep, F.lit(0.0).alias(out))
+    text = unused(docs.select(*keep), "_text")
+    docs = docs.select(*keep, F.col(text_col).alias(text))
     weights = weights.astype(np.float32)
 
     def run(batches):
@@ -163,7 +177,7 @@ def score(docs: DataFrame, weights: np.ndarray | None, *, text_col: str = "text"
                 scores.append((1 / (1 + np.exp(-np.clip(z, -30, 30)))).mean(0))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(np.concatenate(scores))], [*keep, out])
 
-    schema = docs.drop("_text").schema.add(out, "double")
+    schema = docs.drop(text).schema.add(out, "double")
     return docs.mapInArrow(run, schema)
 
 
