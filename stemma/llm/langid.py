@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import held_out, prepare
+from ._spark import held_out, prepare, unused
 
 NONE, MARK = 0, 1  # codes below the letters': no symbol, and the edge of a word
 #: Languages whose profiles meet the documents at once; more are compared in further blocks.
@@ -148,34 +148,37 @@ def nearest(texts: list[str], langs: list[str], table: dict[str, list[tuple[int,
     return [langs[k] if u else "und" for k, u in zip(best.tolist(), used.tolist(), strict=True)], np.where(used > 0, np.clip(share, 0, 1), 0.0)
 
 
-def identify(docs: DataFrame, profile: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), top: int = 300) -> DataFrame:
-    """Adds lang_pred and score to the columns ``keep`` of every row of ``docs``.
+def identify(docs: DataFrame, profile: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), top: int = 300, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the nearest language and its score, named by ``out``, to the columns ``keep`` of every row of ``docs``.
 
     A block of at most ``BLOCK`` languages, so at most ``BLOCK * top`` grams, meets the documents at
     once; each further block takes over where it is nearer.
     """
     prepare(docs.sparkSession)
     names = [r.lang for r in profile.select("lang").distinct().orderBy("lang").toLocalIterator()]
-    out = docs.select(*keep, F.col(text_col).alias("_text"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    kept = docs.select(*keep)
+    found = docs.select(*keep, F.lit("und").alias(out[0]), F.lit(0.0).alias(out[1]), F.col(text_col).alias(unused(kept, "_text")))
     for first in range(0, len(names), BLOCK):
         langs = names[first : first + BLOCK]
         table: dict[str, list[tuple[int, int]]] = {}
         for r in profile.where(F.col("lang").isin(langs)).collect():
             table.setdefault(r.gram, []).append((langs.index(r.lang), r.rank))
-        out = _block(out, langs, table, top)
-    return out.drop("_text")
+        found = _block(found, langs, table, top)
+    return found.drop(found.columns[-1])
 
 
 def _block(docs: DataFrame, langs: list[str], table: dict, top: int) -> DataFrame:
+    """``docs`` ends in language, score and text."""
+
     def run(batches):
         for b in batches:
-            pred, score = b.column(b.schema.get_field_index("lang_pred")).to_pylist(), b.column(b.schema.get_field_index("score")).to_numpy(zero_copy_only=False).copy()
-            for lo, hi, texts in strings(b.column(b.schema.get_field_index("_text"))):
+            pred, score = b.column(b.num_columns - 3).to_pylist(), b.column(b.num_columns - 2).to_numpy(zero_copy_only=False).copy()
+            for lo, hi, texts in strings(b.column(b.num_columns - 1)):
                 found, near = nearest(texts, langs, table, top)
                 for i, (name, s) in enumerate(zip(found, near.tolist(), strict=True), lo):
                     if name != "und" and (pred[i] == "und" or s > score[i]):
                         pred[i], score[i] = name, s
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(pred, pa.string()), pa.array(score)], b.schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(pred, pa.string()), pa.array(score), b.column(b.num_columns - 1)], b.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -161,6 +161,71 @@ def test_signature_against_plain_selection():
     assert order_minhash.likeness(s[1:2], s[1:2])[0] == 1.0 and order_minhash.likeness(s[:1], s[1:2])[0] == 0.0
 
 
+def plain_signature(text, k=10, ell=2, bin_bits=6):
+    """One text's selections from the kernel's own hashes of its numbered k-mers, chosen one by one."""
+    from collections import Counter
+
+    from stemma.llm import _text
+
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    if not len(codes):
+        return [0] * (1 << bin_bits)
+    at = np.arange(max(1, len(codes) - k + 1))
+    hashes = _text.span_hash(_text.prefix_sums(_text.mix(codes.astype(np.uint64) + np.uint64(1))), at, np.minimum(at + k, len(codes)))
+    seen, found = Counter(), {}
+    for place, h in enumerate(hashes):
+        n = int(_text.mix(np.array([int(h) + seen[h] * 0xD6E8FEB86659FD93 & (1 << 64) - 1], np.uint64))[0])
+        seen[h] += 1
+        found.setdefault(n >> (64 - bin_bits), []).append((n, place))
+    out = [0] * (1 << bin_bits)
+    for b, numbered in found.items():
+        places = sorted(place for _, place in sorted(numbered)[:ell])
+        value = 0
+        for j in range(ell):
+            part = int(hashes[places[j]]) if j < len(places) else 0
+            value = int(_text.mix(np.array([(value * 0x9E3779B97F4A7C15 + part + j + 1) & (1 << 64) - 1], np.uint64))[0])
+        out[b] = value >> 48 or 1
+    return out
+
+
+def test_signatures_are_those_of_a_plain_selection():
+    rng = np.random.default_rng(8)
+    texts = ["ab" * 30, "", "x", "short", *("".join(rng.choice(list("abcd é中"), rng.integers(1, 400))) for _ in range(30))]
+    assert order_minhash.signatures(texts).tolist() == [plain_signature(t) for t in texts]
+
+
+def test_equal_texts_in_other_company():
+    """A text's fingerprint doesn't depend on the texts that it shares a slice with, whatever the hashes' bits."""
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("abc"), 300)) for _ in range(40)]
+    together = order_minhash.signatures(texts + texts)
+    alone = np.concatenate([order_minhash.signatures([t]) for t in texts])
+    assert (together[:40] == alone).all() and (together[40:] == alone).all()
+
+
+def test_hashes_that_share_all_but_their_last_bits():
+    hashes = np.uint64(0xABCDEF0123456789) ^ np.array([5, 1, 5, 0, 1, 7], np.uint64)
+    assert order_minhash.by_hash_and_place(hashes).tolist() == sorted(range(6), key=lambda i: (hashes[i], i))
+
+
+def test_minhash_of_great_and_repeated_ids(spark):
+    """Ids above 2**53, a null among them, a frequent id: every row comes back with its successor."""
+    rng = np.random.default_rng(10)
+    text = lambda n: "".join(rng.choice(list("abcdef "), n))
+    rows = [((1 << 53) + 3 * i, text(30)) for i in range(400)] + [(None, text(20)), ((1 << 63) - 1, text(9)), (-(1 << 63), text(9))]
+    rows += [(77, text(12)) for _ in range(200)] + [(77, "same")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = order_minhash.edit_fingerprints(docs, buckets=8).collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    expected = [(i, order_minhash.edited(t, ordered[(k + 1) % len(ordered)][1])) for k, (i, t) in enumerate(ordered)]
+    import hashlib
+
+    key = lambda t: (t[0] is None, t)
+    assert sorted(((r.doc_id, r.edited_sha256) for r in out), key=key) == sorted(((i, hashlib.sha256(e.encode()).hexdigest()) for i, e in expected), key=key)
+    dealt = order_minhash.with_next(docs, "doc_id", "text", 8).where("not _copy and _id = 77").groupBy("_bucket").count().collect()
+    assert len(dealt) > 1
+
+
 def test_minhash_edges(no_docs, spark):
     assert order_minhash.edit_fingerprints(no_docs).count() == 0
     one = order_minhash.edit_fingerprints(spark.createDataFrame([(3, "abcd")], "doc_id long, text string")).collect()
