@@ -59,16 +59,12 @@ def adjacency_counts(columns: DataFrame, *, symmetric: bool = False) -> DataFram
     """n of each adjacency (key, a1, b1, a2, b2): two neighbouring columns' states and emitted residues.
 
     A residue that a state doesn't emit is null, and so are those of start and end.  ``symmetric``
-    adds the counts of the flipped pairs.
+    adds the counts of the flipped pairs, which are the counts themselves under exchanged keys.
     """
-    if symmetric:
-        both = columns.withColumn("flip", F.lit(0)).unionByName(flipped(columns).withColumn("flip", F.lit(1)))
-    else:
-        both = columns.withColumn("flip", F.lit(0))
-    w = Window.partitionBy("pair_id", "flip").orderBy("pos")
+    w = by_pair()
     a, b = F.when(F.col("st") != INSERT, F.col("a")), F.when(F.col("st") != DELETE, F.col("b"))
     here = F.struct(F.col("st").alias("s"), a.alias("a"), b.alias("b"))
-    rows = both.select("pair_id", here.alias("x"), F.lag(here).over(w).alias("p"), F.lead(here).over(w).isNull().alias("last"))
+    rows = columns.select("pair_id", here.alias("x"), F.lag(here).over(w).alias("p"), F.lead(here).over(w).isNull().alias("last"))
     none = F.lit(None).cast("int")
     start = F.struct(F.lit(START).alias("s"), none.alias("a"), none.alias("b"))
     end = F.struct(F.lit(END).alias("s"), none.alias("a"), none.alias("b"))
@@ -76,7 +72,12 @@ def adjacency_counts(columns: DataFrame, *, symmetric: bool = False) -> DataFram
     both_steps = F.when(F.col("last"), F.array(into, F.struct(F.col("x").alias("u"), end.alias("v")))).otherwise(F.array(into))
     name = lambda c: F.element_at(F.array(*map(F.lit, NAMES)), F.col(c) + 1)
     steps = rows.select(F.explode(both_steps).alias("e")).select(F.concat(name("e.u.s"), name("e.v.s")).alias("key"), F.col("e.u.a").alias("a1"), F.col("e.u.b").alias("b1"), F.col("e.v.a").alias("a2"), F.col("e.v.b").alias("b2"))
-    return steps.groupBy("key", "a1", "b1", "a2", "b2").agg(F.count("*").alias("n"))
+    keys = ["key", "a1", "b1", "a2", "b2"]
+    n = steps.groupBy(*keys).agg(F.count("*").alias("n"))
+    if not symmetric:
+        return n
+    turned = F.struct(F.translate("key", "ID", "DI").alias("key"), F.col("b1").alias("a1"), F.col("a1").alias("b1"), F.col("b2").alias("a2"), F.col("a2").alias("b2"))
+    return n.select(F.explode(F.array(F.struct(*keys), turned)).alias("k"), "n").groupBy("k").agg(F.sum("n").alias("n")).select("k.*", "n")
 
 
 def gap_tally(columns: DataFrame, clip: int) -> DataFrame:
@@ -85,15 +86,18 @@ def gap_tally(columns: DataFrame, clip: int) -> DataFrame:
     kind is SM before the first match, MM between two, ME after the last, and SE without any; empty
     segments count too.
     """
-    seen = F.sum((F.col("st") == MATCH).cast("int")).over(by_pair())
-    total = F.sum((F.col("st") == MATCH).cast("int")).over(Window.partitionBy("pair_id"))
-    marked = columns.select("pair_id", "st", seen.alias("seen"), total.alias("total"))
-    segments = marked.groupBy("pair_id", "seen", "total").agg(F.sum((F.col("st") == DELETE).cast("int")).alias("i"), F.sum((F.col("st") == INSERT).cast("int")).alias("j"))
+    match = F.col("st") == MATCH
+    seen = F.sum(match.cast("int")).over(by_pair())
+    total = F.sum(match.cast("int")).over(Window.partitionBy("pair_id"))
     # a pair that begins with a match has no rows before it: its empty first segment is added
-    heads = segments.where("seen = 1").select("pair_id", "total").join(segments.where("seen = 0").select("pair_id"), "pair_id", "left_anti")
-    empty = heads.select("pair_id", F.lit(0).cast("long").alias("seen"), "total", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    head = F.lag("st").over(by_pair()).isNull() & match
+    marked = columns.select("pair_id", total.alias("total"), head.alias("head"), F.struct(seen.alias("seen"), "st").alias("r"))
+    empty = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(MATCH).alias("st"))
+    rows = marked.select("pair_id", "total", F.explode(F.when(F.col("head"), F.array(empty, F.col("r"))).otherwise(F.array("r"))).alias("r"))
+    of = lambda st: F.sum((F.col("r.st") == st).cast("int"))
+    segments = rows.groupBy("pair_id", F.col("r.seen").alias("seen"), "total").agg(of(DELETE).alias("i"), of(INSERT).alias("j"))
     kind = F.when(F.col("total") == 0, "SE").when(F.col("seen") == 0, "SM").when(F.col("seen") == F.col("total"), "ME").otherwise("MM")
-    every = segments.unionByName(empty).select(kind.alias("kind"), F.least("i", F.lit(clip)).cast("int").alias("i"), F.least("j", F.lit(clip)).cast("int").alias("j"))
+    every = segments.select(kind.alias("kind"), F.least("i", F.lit(clip)).cast("int").alias("i"), F.least("j", F.lit(clip)).cast("int").alias("j"))
     return every.groupBy("kind", "i", "j").agg(F.count("*").alias("n"))
 
 

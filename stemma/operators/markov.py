@@ -64,7 +64,7 @@ def viterbi(sequences: DataFrame, start: Sequence[float], trans: Sequence[Sequen
 
 def path_loglik(transition_counts: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
     """loglik of fixed paths: the sum of n * logp over (src, dst)."""
-    return transition_counts.join(F.broadcast(table), ["src", "dst"]).groupBy(*by).agg(F.sum(F.col("n") * F.col("logp")).alias("loglik"))
+    return transition_counts.join(table, ["src", "dst"]).groupBy(*by).agg(F.sum(F.col("n") * F.col("logp")).alias("loglik"))
 
 
 def singlet_loglik(sequences: DataFrame, start: Sequence[float], trans: Sequence[Sequence[float]], end: Sequence[float], emit: Sequence[Sequence[float]]) -> DataFrame:

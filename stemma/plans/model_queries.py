@@ -88,6 +88,18 @@ def likeliest_alignment_scores(spark, d):
     return rows.select("pair_id", F.round("score", 6).alias("score"))
 
 
+@query("""WITH xs AS (SELECT pair_id, coalesce(list(a ORDER BY pos) FILTER (st <> 2), []) AS x, coalesce(list(b ORDER BY pos) FILTER (st <> 3), []) AS y FROM columns GROUP BY 1),
+dp AS (SELECT pair_id, 0 AS d, 0 AS i, 0.0::DOUBLE AS f, NULL::DOUBLE AS g FROM xs
+  UNION ALL SELECT pair_id, d + 1, i + w, max(greatest(f - 2, CASE WHEN w = 1 AND d > i THEN g + CASE WHEN x[i + 1] = y[d - i] THEN 1 ELSE -1 END END)), max(CASE WHEN w = 0 THEN f END)
+  FROM dp JOIN xs USING (pair_id), (SELECT unnest([0, 1]) AS w) WHERE CASE WHEN w = 0 THEN d - i < len(y) ELSE i < len(x) END GROUP BY pair_id, d + 1, i + w)
+SELECT pair_id, f AS score FROM dp JOIN xs USING (pair_id) WHERE d = len(x) + len(y) AND i = len(x)""")
+def global_alignment_scores(spark, d):
+    """The scores of ``global_alignments``."""
+    from .registry import global_alignments
+
+    return global_alignments(spark, d).select("pair_id", "score")
+
+
 @query()
 def sampled_alignments(spark, d):
     return pairwise.sampled_alignments(pairwise.ungapped(T.columns(spark, d)), *_pair_model(), seed=17)
