@@ -45,15 +45,14 @@ def signatures(texts: list[str], k: int = K, ell: int = ELL, bin_bits: int = BIN
     sums = _text.prefix_sums(_text.mix(codes.astype(np.uint64) + np.uint64(1)))
     kmers = _text.span_hash(sums, pos, pos + np.minimum(k, lengths)[rows])
 
-    order = by_hash_and_place(kmers)
+    order = by_hash_and_place(kmers, rows, len(texts))
     first = np.concatenate([[True], (kmers[order[1:]] != kmers[order[:-1]]) | (rows[order[1:]] != rows[order[:-1]])])
     index = np.arange(len(order))
     numbered = np.empty(len(order), np.uint64)
     numbered[order] = _text.mix(kmers[order] + (index - np.maximum.accumulate(np.where(first, index, 0))).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-    # by row and numbered hash, whose leading bits are the selection; sorting small row numbers stably is a radix sort
-    chosen = by_hash_and_place(numbered)
-    chosen = chosen[np.argsort(rows[chosen].astype(np.uint16 if len(texts) <= 1 << 16 else np.int64), kind="stable")]
+    # by row and numbered hash, whose leading bits are the selection
+    chosen = by_hash_and_place(numbered, rows, len(texts))
     group = rows[chosen] << bin_bits | (numbered[chosen] >> np.uint64(64 - bin_bits)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.minimum(np.diff(np.concatenate([first, [len(group)]])), ell)
@@ -71,14 +70,26 @@ def signatures(texts: list[str], k: int = K, ell: int = ELL, bin_bits: int = BIN
     return out
 
 
-def by_hash_and_place(hashes: np.ndarray) -> np.ndarray:
-    """Indices in the order of all 64 bits of the hashes, and of equal ones by place."""
-    order = np.argsort(hashes)
-    sorted_ = hashes[order]
-    twin = sorted_[1:] == sorted_[:-1]
-    runs = np.flatnonzero(np.concatenate([[False], twin]) | np.concatenate([twin, [False]]))
-    if len(runs):
-        order[runs] = order[runs][np.lexsort((order[runs], sorted_[runs]))]
+def by_hash_and_place(hashes: np.ndarray, rows: np.ndarray | None = None, n_rows: int = 0) -> np.ndarray:
+    """Indices in the order of rows, of all 64 bits of the hashes within one, and of equal ones by place.
+
+    Rows, leading bits and places are sorted as one number; where different hashes share all of those bits,
+    which is rare, their runs are sorted again in full.
+    """
+    at_bits, row_bits = int(len(hashes)).bit_length(), int(n_rows).bit_length()
+    mask = np.uint64((1 << at_bits) - 1)
+    key = (hashes >> np.uint64(row_bits)) & ~mask | np.arange(len(hashes), dtype=np.uint64)
+    if row_bits:
+        key |= rows.astype(np.uint64) << np.uint64(64 - row_bits)
+    key.sort()
+    order = (key & mask).astype(np.int64)
+    lead, full = key >> np.uint64(at_bits), hashes[order]
+    same = lead[1:] == lead[:-1]
+    wrong = same & (full[1:] != full[:-1])
+    if wrong.any():
+        run = np.concatenate([[0], np.cumsum(~same)])
+        mixed = np.flatnonzero(np.isin(run, run[1:][wrong]))
+        order[mixed] = order[mixed][np.lexsort((order[mixed], full[mixed], run[mixed]))]
     return order
 
 
