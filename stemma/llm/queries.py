@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_crf, near_dup, order_minhash, packing, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import bpe, collocations, langid, line_crf, near_dup, one_bit_search, order_minhash, packing, periodic_runs, substring_dedup, suffix_dedup, toxicity, url_filter
 from ._spark import table
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -112,5 +112,47 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_substring_dedup, op4_line_quality, op5_bpe, op6_url_filter, op7_suffix_dedup, op8_language_id, op9_best_fit_packing, op10_order_minhash)}
-ORACLE_SQL = {"op2_near_duplicates": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_url_filter": OP6_SQL, "op7_suffix_dedup": OP7_SQL}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text of ``documents``, a tenth of them made periodic first as the hash of their ids says."""
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"), rewrite=F.crc32(F.col("doc_id").cast("string")))
+
+
+def op12_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all ``embeddings`` for each row whose id is divisible by 20."""
+    return one_bit_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+w AS (SELECT * FROM v WHERE list_inner_product(e, e) > 0 AND isfinite(list_inner_product(e, e))),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM w q JOIN w c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of 2 to 5 words that occur 100 times in ``documents``."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
+-]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p),
+f AS (SELECT lang, size, array_to_string(ws[i : i + size - 1], ' ') AS phrase, count(*) AS f
+      FROM (SELECT lang, ws, size, unnest(generate_series(1, len(ws) - size + 1)) AS i FROM w, (SELECT unnest(range(1, 6)) AS size)) GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM f WHERE size > 1),
+k AS (SELECT c.lang, c.size, c.phrase, a, k, x.f AS l, y.f AS r, n, CAST(1000 * CAST(a AS HUGEINT) * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1 : k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1 :], ' ') JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.lang = b.lang AND g.size > b.size AND 100 * g.f >= 100 * b.a AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' '))),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o)
+SELECT * FROM r WHERE rank <= 2000
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_duplicates, op3_substring_dedup, op4_line_quality, op5_bpe, op6_url_filter, op7_suffix_dedup, op8_language_id, op9_best_fit_packing, op10_order_minhash, op11_periodic_runs, op12_one_bit_search, op13_collocations)}
+ORACLE_SQL = {"op2_near_duplicates": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op6_url_filter": OP6_SQL, "op7_suffix_dedup": OP7_SQL, "op12_one_bit_search": OP12_SQL, "op13_collocations": OP13_SQL}
