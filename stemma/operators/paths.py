@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 from .counts import DELETE, INSERT, MATCH, by_pair
 
 LETTERS = {MATCH: "M", INSERT: "I", DELETE: "D"}
@@ -36,10 +37,9 @@ def residue_positions(columns: DataFrame) -> DataFrame:
 
 
 def decayed_weights(rows: DataFrame, key: str, order: list[str], eta: str) -> DataFrame:
-    """Adds weight = eta * product of (1 - eta) over all later rows of the key."""
-    later = Window.partitionBy(key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    keep = F.aggregate(F.collect_list(1 - F.col(eta)).over(later), F.lit(1.0), lambda a, x: a * x)
-    return rows.withColumn("weight", F.col(eta) * keep)
+    """Adds weight = eta * product of (1 - eta) over all later rows of the key, by a blocked scan from the last row back."""
+    made = scans.affine(rows, key, order, 1 - F.col(eta), F.lit(0.0), "weight", start=1.0, backward=True, before=True)
+    return made.withColumn("weight", F.col(eta) * F.col("weight"))
 
 
 def effective_size(rows: DataFrame, key: str) -> DataFrame:
@@ -48,10 +48,8 @@ def effective_size(rows: DataFrame, key: str) -> DataFrame:
 
 
 def moving_average(rows: DataFrame, key: str, order: list[str], value: str, eta: Column, start: float) -> DataFrame:
-    """Adds ema: each row's (1 - eta) * previous + eta * value, from ``start``, by a fold over earlier rows."""
-    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    past = F.collect_list(F.struct(F.col(value).alias("v"), eta.alias("eta"))).over(before)
-    return rows.withColumn("ema", F.aggregate(past, F.lit(start), lambda s, x: (1 - x["eta"]) * s + x["eta"] * x["v"]))
+    """Adds ema: each row's (1 - eta) * previous + eta * value, from ``start``, by a blocked scan."""
+    return scans.affine(rows, key, order, 1 - eta, eta * F.col(value), "ema", start=start)
 
 
 def early_stop(rows: DataFrame, key: str, order: list[str], value: str, patience: int) -> DataFrame:

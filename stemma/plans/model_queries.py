@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions.storage import scratch, stored
-from ..operators import cherries, counts, decoding, gaps, guards, markov, mixture, pairwise, substitution, trees
+from ..operators import cherries, counts, decoding, gaps, guards, markov, mixture, pairwise, scans, substitution, trees
 from ..sources import tables as T
 from ..streaming import jobs
 from .registry import BINNED, EDGES, EV, HMM, MODEL, RATES, _bd, _binned, _log_model, _paths, _rates, gap_tally, pair_sql, query
@@ -291,3 +291,11 @@ def family_alignments(spark, d):
     """Every family's first rows aligned from scratch: pair posteriors, then merged columns."""
     rows = pairwise.ungapped(T.columns(spark, d)).join(T.pairs(spark, d).select("pair_id", "fam"), "pair_id")
     return decoding.aligned_families(rows.select("fam", F.col("pair_id").alias("name"), F.col("x").alias("seq")), *_pair_model())
+
+
+@query(f"WITH {EV}, {FORWARD} SELECT pair_id, pos, round(exp(s0 + b0 - ll), 9) AS p0, round(exp(s1 + b1 - ll), 9) AS p1, round(ll, 7) AS loglik FROM fw JOIN bw USING (pair_id, pos) JOIN tot USING (pair_id)")
+def blocked_state_posteriors(spark, d):
+    """The posteriors of ``state_posteriors`` by scans over blocks of 64 columns, which a sequence may span."""
+    rows = T.columns(spark, d).select("pair_id", "pos", (F.col("st") - 1).alias("x"))
+    found = scans.state_posteriors(rows, "pair_id", "pos", "x", *HMM, block=64)
+    return found.select("pair_id", "pos", F.round(F.col("posteriors")[0], 9).alias("p0"), F.round(F.col("posteriors")[1], 9).alias("p1"), F.round("loglik", 7).alias("loglik"))
