@@ -176,13 +176,12 @@ def search(found: DataFrame, dim: int, is_query: Column, *, k: int = 20, epsilon
     queries = queries.select(F.pmod("_mark", F.lit(query_blocks)).alias("_b"), F.explode(upto(row_blocks)).alias("_a"), "*")
 
     def run(key, left, right):
-        ids = left["_id"].fill_null(NO_ID).to_numpy()
+        if not left.num_rows or not right.num_rows:  # no query was dealt to this tile
+            return pa.table({"query_id": pa.array([], pa.int64()), "_q": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        ids, query_ids = left["_id"].fill_null(NO_ID).to_numpy(), right["_id"].to_numpy()
         codes = np.frombuffer(b"".join(left["_code"].to_pylist()), np.uint64).reshape(len(ids), -1)
         scalars = np.stack([left[c].to_numpy() for c in ("_norm", "_s", "_r")], 1)
-        query_ids, vectors = right["_id"].to_numpy(), matrix(right["_vector"])
-        if not len(ids) or not len(query_ids):
-            return pa.table({"query_id": pa.array([], pa.int64()), "_q": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q, r, s, _ = tile(vectors, query_ids, matrix(left["_vector"]), ids, codes, scalars, k, epsilon)
+        q, r, s, _ = tile(matrix(right["_vector"]), query_ids, matrix(left["_vector"]), ids, codes, scalars, k, epsilon)
         return pa.table({"query_id": query_ids[q], "_q": right["_mark"].to_numpy()[q], "vec_id": pa.array(ids[r], mask=ids[r] == NO_ID), "score": s})
 
     made = rows.groupBy("_a", "_b").cogroup(queries.groupBy("_a", "_b")).applyInArrow(run, "query_id long, _q long, vec_id long, score double")
