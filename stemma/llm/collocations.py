@@ -1,7 +1,7 @@
 """Phrase collocations by SON partitioning, within each language.
 
 Text is cut at punctuation and line ends into pieces and those into words; a phrase is 1 to ``longest``
-words in a row within a piece.  A shard is up to 32 MB of the texts of a task.  Every shard is mined
+words in a row within a piece.  A shard is 24 MB of the texts of a task.  Every shard is mined
 completely, level by level, at the support that its share of all bytes leaves of the global one: a phrase
 that is frequent in the whole is so in one shard at least.  What the shards report is united, with the
 bound that their reports leave for its count (a shard that doesn't report has less than its support), and
@@ -13,7 +13,7 @@ Shards know the candidates by a blocked Bloom filter of at most 64 MB, whatever
 through by mistake is counted too and falls to the support.  Phrases are told apart by their words.
 
 Defined results: a null text is empty and gives nothing; a null language is ``und`` (one with that name too);
-texts of any length are taken whole, one longer than a shard is a shard of its own (about 80 bytes of
+texts of any length are taken whole, one longer than a shard ends it (about 60 bytes of
 memory a word); repeated rows count each; an empty table gives no rows; columns other than the text and the language are
 ignored.
 """
@@ -32,7 +32,7 @@ from . import _text
 from ._spark import prepare, stored
 
 SUPPORT, LONGEST, FIRST = 100, 5, 2000
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 24 << 20
 MAX_FILTER_WORDS = 1 << 23
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -41,40 +41,48 @@ APART[[0x20, 0x09]] = True
 REPORT = "lang string, size int, phrase string, mark long, n long, lacking long"
 
 
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The lower-cased words of a slice, the row of each, and whether the next one continues its piece."""
+    data = _text.LOWER[data]
+    solid = ~APART[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    begins, ends = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1] | edge[1:-1]
+    ends[:-1] &= ~solid[1:] | edge[1:-1]
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    cut = np.zeros(len(data) + 1, np.int32)  # a piece ends at a break or where the next text begins
+    cut[:-1] = BREAK[data]
+    np.add.at(cut, offsets, 1)
+    piece = np.cumsum(cut, dtype=np.int32)[starts]
+    spelled = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(stops - starts)])), pa.py_buffer(data[solid])])
+    return spelled, np.searchsorted(offsets, starts, "right") - 1, np.append(piece[1:] == piece[:-1], False)[: len(starts)]
+
+
 class Shard:
     """Lower-cased words of some texts: an exact number, a language, a hash for each, and whether the next one continues its piece."""
 
-    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
-        data = np.concatenate([d for d, _ in texts])
-        sizes = np.concatenate([np.diff(o) for _, o in texts])
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        self.bytes = len(data)
-        data = _text.LOWER[data]
-        solid = ~APART[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offsets] = True
-        begins, ends = solid.copy(), solid.copy()
-        begins[1:] &= ~solid[:-1] | edge[1:-1]
-        ends[:-1] &= ~solid[1:] | edge[1:-1]
-        starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        # a piece ends at a break or where the next text begins
-        cut = np.zeros(len(data) + 1, np.int32)
-        cut[:-1] = BREAK[data]
-        cut[offsets] += 1
-        piece = np.cumsum(cut, dtype=np.int32)[starts]
-        self.joins = np.append(piece[1:] == piece[:-1], False) if len(piece) else np.zeros(0, bool)
-        self.names = list(dict.fromkeys(langs))
-        code = {v: k for k, v in enumerate(self.names)}
-        row = np.searchsorted(offsets, starts, "right") - 1
-        self.lang = np.array([code[v] for v in langs], np.int32)[row]
-        length = stops - starts
-        spelled = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(length)])), pa.py_buffer(data[solid])]).dictionary_encode()
-        self.word = spelled.indices.to_numpy().astype(np.int64)
-        self.spelling = spelled.dictionary
-        at = np.frombuffer(self.spelling.buffers()[1], np.int64, len(self.spelling) + 1, self.spelling.offset * 8)
-        raw = np.frombuffer(self.spelling.buffers()[2], np.uint8) if len(self.spelling) else np.zeros(0, np.uint8)
-        self.at, self.raw = at, raw
-        self.word_hash = _text.apart_hashes(raw, at[:-1], at[1:]) if len(at) > 1 else np.zeros(0, np.uint64)
+    def __init__(self, batches: list[pa.RecordBatch]):
+        code: dict[str, int] = {}
+        langs, joins, words = [], [], []
+        self.bytes = 0
+        for b in batches:
+            mine = np.array([code.setdefault(v, len(code)) for v in b.column(0).to_pylist()], np.int32)
+            for lo, hi, data, offsets in _text.slices(b.column(1), 2 << 20):
+                self.bytes += len(data)
+                spelled, row, join = _words(data, offsets)
+                words.append(spelled)
+                langs.append(mine[lo:hi][row])
+                joins.append(join)
+        self.names = list(code)
+        self.lang, self.joins = np.concatenate(langs), np.concatenate(joins)
+        encoded = pa.chunked_array(words, pa.large_binary()).dictionary_encode()
+        del words
+        self.word = np.concatenate([c.indices.to_numpy() for c in encoded.chunks])
+        spelling = encoded.chunk(encoded.num_chunks - 1).dictionary
+        self.at = np.frombuffer(spelling.buffers()[1], np.int64, len(spelling) + 1, spelling.offset * 8)
+        self.raw = np.frombuffer(spelling.buffers()[2], np.uint8) if len(spelling) else np.zeros(0, np.uint8)
+        self.word_hash = _text.apart_hashes(self.raw, self.at[:-1], self.at[1:]) if len(spelling) else np.zeros(0, np.uint64)
         self.lang_hash = np.array([int.from_bytes(hashlib.blake2b(v.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for v in self.names], np.uint64)
 
     def marks(self, places: np.ndarray, size: int) -> np.ndarray:
@@ -86,7 +94,7 @@ class Shard:
 
     def spell(self, places: np.ndarray, size: int) -> pa.Array:
         """The phrases of ``size`` words at ``places``."""
-        word = self.word[places[:, None] + np.arange(size)].ravel()
+        word = self.word[places[:, None] + np.arange(size)].ravel().astype(np.int64)
         length = self.at[word + 1] - self.at[word] + 1
         ends = np.cumsum(length)
         total = int(ends[-1]) if len(ends) else 0
@@ -128,45 +136,53 @@ class Filter:
         return Filter(words)
 
 
-def levels(shard: Shard, longest: int, support: int, known: Filter | None, floor: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(size, first places, counts) of the phrases of each size that occur ``support`` times; 1 for those of up to ``floor`` words.
+def levels(shard: Shard, longest: int, support: int, known: Filter | None, floor: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, places, counts) of the phrases of each size that occur ``support`` times, each with one of its places.
 
-    ``known`` lets through only phrases that may be candidates; a longer phrase is looked for only where both of its longest parts are let through.
+    With ``known``, phrases of up to ``floor`` words (0: of any size) are those it lets through, however rare here.
+    A longer phrase is looked for only where both of its longest parts are found.
     """
-    places = np.arange(len(shard.word))
-    dense = np.full(len(places), -1, np.int64)
-    width, single = 1, None
+    places = np.arange(len(shard.word), dtype=np.int32)
+    dense = single = None
+    width = 1
     for size in range(1, longest + 1):
+        exact = known is not None and (size <= floor or floor == 0)
+        if size > 1:
+            places = places[shard.joins[places + (size - 2)]]
+            places = places[(dense[places] >= 0) & (dense[places + 1] >= 0)]
+        if exact:
+            places = places[_let_through(shard, known, places, size)]
         if size == 1:
-            key = shard.word * len(shard.names) + shard.lang
+            key = shard.word[places].astype(np.int64) * len(shard.names) + shard.lang[places]
         else:
-            places = places[shard.joins[places + size - 2]]
-            places = places[(dense[places] >= 0) & (dense[places + 1] >= 0)]
-            key = dense[places] * width + single[places + size - 1]
-        if known is not None and len(places):
-            hit = known.has(shard.marks(places, size)) if size <= floor or floor == 0 else np.ones(len(places), bool)
-            places, key = places[hit], key[hit]
-        order = np.argsort(key, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(key) else np.zeros(0, np.int64)
+            key = dense[places].astype(np.int64) * width + single[places + (size - 1)]
+        order = np.argsort(key)
+        key = key[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         counts = np.diff(np.append(at, len(key)))
-        enough = counts >= (1 if known is not None and (size <= floor or floor == 0) else support)
-        rank = np.where(enough, np.cumsum(enough) - 1, -1)
-        new = np.full(len(shard.word), -1, np.int64)
-        new[places[order]] = np.repeat(rank, counts)
-        yield size, places[order[at[enough]]], counts[enough]
-        dense = new
+        del key
+        places = places[order]
+        del order
+        enough = counts >= (1 if exact else support)
+        dense = np.full(len(shard.word), -1, np.int32)
+        dense[places] = np.repeat(np.where(enough, np.cumsum(enough) - 1, -1).astype(np.int32), counts)
+        yield size, places[at[enough]], counts[enough]
         if size == 1:
             single, width = dense, max(1, int(enough.sum()))
-        places = places[dense[places] >= 0]
+        places = np.flatnonzero(dense >= 0).astype(np.int32)
+
+
+def _let_through(shard: Shard, known: Filter, places: np.ndarray, size: int) -> np.ndarray:
+    hit = np.zeros(len(places), bool)
+    for lo in range(0, len(places), 1 << 19):
+        part = places[lo : lo + (1 << 19)]
+        hit[lo : lo + len(part)] = known.has(shard.marks(part, size))
+    return hit
 
 
 def _shards(batches, limit: int) -> Iterator[Shard]:
     for held in _text.gathered(batches, limit):
-        texts, langs = [], []
-        for b in held:
-            langs += b.column(0).to_pylist()
-            texts += [(d, o) for _, _, d, o in _text.slices(b.column(1), limit)]
-        yield Shard(texts, langs)
+        yield Shard(held)
 
 
 def _rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
