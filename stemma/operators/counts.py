@@ -29,6 +29,13 @@ def transitions(columns: DataFrame) -> DataFrame:
     return stepped.select("pair_id", F.explode(steps).alias("s")).select("pair_id", "s.src", "s.dst")
 
 
+def placed_transitions(columns: DataFrame) -> DataFrame:
+    """pair_id, pos, src, dst: the steps of ``transitions`` with the column that each leads to."""
+    stepped = columns.select("pair_id", "pos", F.lag("st", 1, START).over(by_pair()).alias("src"), F.col("st").alias("dst"), F.lead("st").over(by_pair()).isNull().alias("last"))
+    step, end = F.struct("pos", "src", "dst"), F.struct((F.col("pos") + 1).alias("pos"), F.col("dst").alias("src"), F.lit(END).alias("dst"))
+    return stepped.select("pair_id", F.explode(F.when(F.col("last"), F.array(step, end)).otherwise(F.array(step))).alias("s")).select("pair_id", "s.*")
+
+
 def transition_counts(columns: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
     """n of each (by, src, dst); ``groups`` has a row (pair_id, by ...) for each pair.
 

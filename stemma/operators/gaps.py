@@ -27,11 +27,33 @@ def probabilities(trans: np.ndarray, src: int, dst: int, longest: int) -> np.nda
     return out
 
 
+def clipped(trans: np.ndarray, src: int, dst: int, clip: int) -> np.ndarray:
+    """By (deletes, inserts) up to ``clip``, the last of either standing for that many or more: the chance of such a gap.
+
+    Lengths up to ``clip`` - 1 have states of their own; the rest is a chain over (deletes, inserts, last state)
+    with counts held at ``clip``, whose loops are solved as one linear system.
+    """
+    size = clip + 1
+    number = {(i, j, last): k for k, (i, j, last) in enumerate((i, j, last) for i in range(size) for j in range(size) for last in (INSERT, DELETE))}
+    move, begin = np.zeros((len(number), len(number))), np.zeros(len(number))
+    into = lambda i, j, to: number[min(i + (to == DELETE), clip), min(j + (to == INSERT), clip), to]
+    for to in (INSERT, DELETE):
+        begin[into(0, 0, to)] += trans[src, to]
+        for (i, j, last), k in number.items():
+            move[k, into(i, j, to)] += trans[last, to]
+    visits = np.linalg.solve(np.eye(len(number)) - move.T, begin)
+    out = np.zeros((size, size))
+    for (i, j, last), k in number.items():
+        out[i, j] += visits[k] * trans[last, dst]
+    out[0, 0] += trans[src, dst]
+    return out
+
+
 def table(spark, trans: np.ndarray, longest: int) -> DataFrame:
-    """kind, i, j, logp of every gap of up to ``longest`` deletes and inserts: 4 (longest + 1)^2 rows."""
+    """kind, i, j, logp of every gap of a tally clipped at ``longest``: 4 (longest + 1)^2 rows; the last length is that or more."""
     rows = []
     for kind, (src, dst) in KINDS.items():
-        logs = np.log(np.maximum(probabilities(trans, src, dst, longest), 1e-30))
+        logs = np.log(np.maximum(clipped(trans, src, dst, longest), 1e-30))
         rows += [(kind, i, j, float(logs[i, j])) for i in range(longest + 1) for j in range(longest + 1)]
     return spark.createDataFrame(rows, "kind string, i int, j int, logp double")
 

@@ -61,23 +61,34 @@ STATISTICS = ["B", "D", "S", "L", "M", "T"]
 def link_statistics(rows: DataFrame) -> DataFrame:
     """Adds the expected births B, deaths D, lived time S, length L, ends M and time T to rows (lam, mu, tau and ``GROUPS``).
 
-    They follow from the scores of the counts' log-likelihood at the rates, and are linear in the counts.  Steps
-    are columns of their own, so that no expression is written out again in another.
+    They follow from the scores of the counts' log-likelihood at the rates, and are linear in the counts.  Where the rates
+    differ by less than 1e-4 of mu the formulas lose their digits, and at equal rates they divide by nothing; the
+    statistics are smooth there, so they are the mean of those at death rates 1e-3 below and above, which are off by its square.
     """
+    lam, mu = F.col("lam"), F.col("mu")
+    near = F.abs(lam - mu) < 1e-4 * mu
+    for side, sign in (("_low", -1), ("_high", 1)):
+        rows = _link_statistics(rows.withColumn("_mu", F.when(near, mu * (1 + sign * 1e-3)).otherwise(mu)), side)
+    return rows.withColumns({c: (F.col(f"{c}_low") + F.col(f"{c}_high")) / 2 for c in STATISTICS}).drop("_mu", *(f"{c}{side}" for c in STATISTICS for side in ("_low", "_high")))
+
+
+def _link_statistics(rows: DataFrame, side: str) -> DataFrame:
+    """The statistics at unequal rates (lam, _mu), named with ``side``.  Steps are columns of their own, so that no expression is written out again in another."""
     c = F.col
-    lam, mu, t = c("lam"), c("mu"), c("tau")
+    lam, mu, t = c("lam"), c("_mu"), c("tau")
+    names = rows.columns
     rows = rows.withColumn("_e", F.exp((lam - mu) * t)).withColumns({"_den": mu - lam * c("_e"), "_alpha": F.exp(-mu * t)})
     rows = rows.withColumn("_beta", lam * (1 - c("_e")) / c("_den")).withColumn("_g1", mu * c("_beta") / (lam * (1 - c("_alpha"))))
     # derivatives of ln beta by both rates, and of the others from them
     rows = rows.withColumns({"_dbl": 1 / lam - t * c("_e") / (1 - c("_e")) + (c("_e") + lam * t * c("_e")) / c("_den"), "_dbm": t * c("_e") / (1 - c("_e")) - (1 + lam * t * c("_e")) / c("_den")})
     rows = rows.withColumns({"_dgl": -c("_g1") * (c("_dbl") - 1 / lam), "_dgm": -c("_g1") * (1 / mu + c("_dbm") - t * c("_alpha") / (1 - c("_alpha")))})
     both = lambda d_beta, d_gamma: c("n_beta") * c(d_beta) - c("n_1mbeta") * c("_beta") * c(d_beta) / (1 - c("_beta")) + c("n_gamma") * c(d_gamma) / (1 - c("_g1")) - c("n_1mgamma") * c(d_gamma) / c("_g1")
-    rows = rows.withColumns({"_by_l": both("_dbl", "_dgl"), "_by_m": both("_dbm", "_dgm") - c("n_alpha") * t + c("n_1malpha") * t * c("_alpha") / (1 - c("_alpha")), "T": t * c("n_1mkappa")})
+    rows = rows.withColumns({"_by_l": both("_dbl", "_dgl"), "_by_m": both("_dbm", "_dgm") - c("n_alpha") * t + c("n_1malpha") * t * c("_alpha") / (1 - c("_alpha")), "_T": t * c("n_1mkappa")})
     # E[births] - lam * (links + time) = lam * score, E[deaths] - mu * links = mu * score, births - deaths = change in length
     change = c("n_beta") + c("n_gamma") - c("n_1malpha")
-    rows = rows.withColumn("S", (change - lam * c("_by_l") + mu * c("_by_m") - lam * c("T")) / (lam - mu))
-    rows = rows.withColumns({"B": lam * c("_by_l") + lam * (c("S") + c("T")), "D": mu * c("_by_m") + mu * c("S"), "L": c("n_kappa").cast("double"), "M": c("n_1mkappa").cast("double")})
-    return rows.drop(*(n for n in rows.columns if n.startswith("_")))
+    rows = rows.withColumn("_S", (change - lam * c("_by_l") + mu * c("_by_m") - lam * c("_T")) / (lam - mu))
+    found = {"B": lam * c("_by_l") + lam * (c("_S") + c("_T")), "D": mu * c("_by_m") + mu * c("_S"), "S": c("_S"), "L": c("n_kappa").cast("double"), "M": c("n_1mkappa").cast("double"), "T": c("_T")}
+    return rows.select(*names, *(v.alias(f"{k}{side}") for k, v in found.items()))
 
 
 def link_loglik(lam: Column, mu: Column, t: Column, n: dict[str, Column]) -> Column:

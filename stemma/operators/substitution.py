@@ -131,10 +131,10 @@ def rates_from_changes(changes: DataFrame) -> DataFrame:
 def exchangeabilities(counts: DataFrame) -> DataFrame:
     """a, b, exchange for a < b: symmetric counts over what the product of the residues' shares would give.
 
-    Pairs counted in one direction only appear as that direction stands: a pair's count is the sum of both.
+    A pair's count is the sum of both directions, whichever of them was counted.
     """
-    turned = counts.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("n").alias("m"))
-    both = counts.join(turned, ["a", "b"], "left").select("a", "b", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
+    turned = counts.select(F.col("b").alias("a"), F.col("a").alias("b"), "n")
+    both = counts.select("a", "b", "n").unionAll(turned).groupBy("a", "b").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy())  # as many rows as pairs of residues
     share = both.groupBy("a").agg(F.sum("n").alias("s"))
     pi = share.select("a", (F.col("s") / F.sum("s").over(Window.partitionBy())).alias("pi"))

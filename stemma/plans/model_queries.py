@@ -121,8 +121,8 @@ ta AS (SELECT CASE WHEN total = 0 THEN 'SE' WHEN seen = 0 THEN 'SM' WHEN seen =
 
 
 @query(f"""WITH {TALLY}, {AT_ONE}, walk AS (SELECT src AS x, dst AS last, CAST(dst = 'D' AS INT) AS i, CAST(dst = 'I' AS INT) AS j, p FROM model WHERE src IN ('S', 'M') AND dst IN ('I', 'D')
-  UNION ALL SELECT x, dst, i + CAST(dst = 'D' AS INT), j + CAST(dst = 'I' AS INT), walk.p * model.p FROM walk JOIN model ON src = last AND dst IN ('I', 'D') WHERE i + CAST(dst = 'D' AS INT) <= 3 AND j + CAST(dst = 'I' AS INT) <= 3),
-g AS (SELECT x || dst AS kind, i, j, sum(w.p) AS p FROM (SELECT x, i, j, dst, walk.p * model.p AS p FROM walk JOIN model ON src = last AND dst IN ('M', 'E') UNION ALL SELECT src, 0, 0, dst, p FROM model WHERE src IN ('S', 'M') AND dst IN ('M', 'E')) w GROUP BY 1, 2, 3)
+  UNION ALL SELECT x, dst, i + CAST(dst = 'D' AS INT), j + CAST(dst = 'I' AS INT), sum(walk.p * model.p) FROM walk JOIN model ON src = last AND dst IN ('I', 'D') WHERE i + j < 200 GROUP BY x, dst, i + CAST(dst = 'D' AS INT), j + CAST(dst = 'I' AS INT)),
+g AS (SELECT x || dst AS kind, least(i, 3) AS i, least(j, 3) AS j, sum(w.p) AS p FROM (SELECT x, i, j, dst, walk.p * model.p AS p FROM walk JOIN model ON src = last AND dst IN ('M', 'E') UNION ALL SELECT src, 0, 0, dst, p FROM model WHERE src IN ('S', 'M') AND dst IN ('M', 'E')) w GROUP BY 1, 2, 3)
 SELECT kind, CAST(sum(n) AS BIGINT) AS n, round(sum(n * ln(p)), 4) AS loglik FROM ta JOIN g USING (kind, i, j) GROUP BY kind""")
 def gap_logliks(spark, d):
     """Log-likelihood of the tallied gaps under the fragment model's gap-length probabilities at time 1."""
@@ -163,7 +163,7 @@ def substitution_rates(spark, d):
     return substitution.rates_from_changes(n).withColumn("rate", F.round("rate", 8))
 
 
-@query(f"WITH {BINNED}, n AS (SELECT a, b, count(*) AS n FROM columns JOIN binned USING (pair_id) WHERE st = 1 GROUP BY 1, 2), s AS (SELECT x.a, x.b, x.n + coalesce(y.n, 0) AS n FROM n x LEFT JOIN n y ON x.a = y.b AND x.b = y.a), pi AS (SELECT a, sum(n) / (SELECT sum(n) FROM s) AS pi FROM s GROUP BY a) SELECT s.a, s.b, round(s.n / (p.pi * q.pi * (SELECT sum(n) FROM s)), 7) AS exchange FROM s JOIN pi p ON p.a = s.a JOIN pi q ON q.a = s.b WHERE s.a < s.b")
+@query(f"WITH {BINNED}, n AS (SELECT a, b, count(*) AS n FROM columns JOIN binned USING (pair_id) WHERE st = 1 GROUP BY 1, 2), s AS (SELECT a, b, sum(n) AS n FROM (SELECT a, b, n FROM n UNION ALL SELECT b, a, n FROM n) GROUP BY a, b), pi AS (SELECT a, sum(n) / (SELECT sum(n) FROM s) AS pi FROM s GROUP BY a) SELECT s.a, s.b, round(s.n / (p.pi * q.pi * (SELECT sum(n) FROM s)), 7) AS exchange FROM s JOIN pi p ON p.a = s.a JOIN pi q ON q.a = s.b WHERE s.a < s.b")
 def exchangeabilities(spark, d):
     """Symmetric changes over what the residues' frequencies alone would give."""
     n = T.columns(spark, d).where(F.col("st") == counts.MATCH).groupBy("a", "b").agg(F.count("*").alias("n"))

@@ -647,11 +647,16 @@ def optimal_accuracy_alignments(spark, d):
     return decoding.optimal_accuracy(_posteriors(spark, d, 0.0))
 
 
-@query()
+@query(f"""WITH x AS (SELECT pair_id, pos, lag(st, 1, 0) OVER w AS src, st AS dst, lead(st) OVER w IS NULL AS last FROM columns WINDOW w AS (PARTITION BY pair_id ORDER BY pos)),
+s AS (SELECT pair_id, pos, src, dst FROM x UNION ALL SELECT pair_id, pos + 1, dst, 4 FROM x WHERE last),
+h AS (SELECT src, {', '.join(f"count(*) FILTER (dst <= {k})::DOUBLE / count(*) AS c{k}" for k in range(4))} FROM s GROUP BY src),
+u AS (SELECT src, CAST('0x' || substr(md5('11:' || pair_id || ':' || pos), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM s)
+SELECT u.src, CAST({' + '.join(f"CASE WHEN u >= c{k} THEN 1 ELSE 0 END" for k in range(4))} AS INT) AS dst, count(*) AS n FROM u JOIN h USING (src) GROUP BY ALL""")
 def simulated_transition_counts(spark, d):
-    """Transition counts of one alignment drawn from the fragment model for each order."""
-    drawn = simulate.alignments(T.pairs(spark, d), *pairwise.model_arrays(*RATES[:2], 1.0, RATES[2], 20), seed=11)
-    return counts.transitions(drawn).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    """Transition counts of all line items with every step drawn anew from the shares counted over them."""
+    steps = counts.placed_transitions(T.columns(spark, d))
+    drawn = simulate.redrawn(steps, simulate.transition_shares(steps, 5), ["pair_id", "pos"], seed=11)
+    return drawn.groupBy("src", F.col("drawn").alias("dst")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT pair_id, CASE WHEN u < 0.6 THEN 0 ELSE 1 END AS state, CASE WHEN u < 0.6 THEN CASE WHEN v < 0.9 THEN 0 ELSE 1 END ELSE CASE WHEN v < 0.2 THEN 0 ELSE 1 END END AS child FROM (SELECT pair_id, CAST('0x' || substr(md5('21:' || pair_id), 1, 12) AS BIGINT) / 281474976710656.0 AS u, CAST('0x' || substr(md5('22:' || pair_id), 1, 12) AS BIGINT) / 281474976710656.0 AS v FROM pairs)")

@@ -6,6 +6,7 @@ Newick file holds one family or tree and is read whole, one file to a row.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,31 +93,50 @@ def newick_edges(text: str | None) -> list[tuple]:
 
 
 def read_newick(spark: SparkSession, path: str) -> DataFrame:
-    """tree_id, node_id, parent_id, name, branch_length, is_leaf, depth; one tree to a file."""
-    parse = F.udf(newick_edges, EDGE)
+    """tree_id, node_id, parent_id, name, branch_length, is_leaf, depth; one tree to a file, files parsed by Arrow batches."""
+    kind = T.StructType([T.StructField("tree_id", T.StringType()), *EDGE.elementType.fields])
+
+    def run(batches):
+        for b in batches:
+            rows = [(tree, *node) for tree, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for node in newick_edges(text)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.int32()), strict=True)], kind.fieldNames())
+
     files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.[^/]*)?$", 1).alias("tree_id"), "value")
-    return files.select("tree_id", F.explode(parse("value")).alias("e")).select("tree_id", "e.*")
+    return files.mapInArrow(run, kind)
+
+
+def newick(nodes: list[tuple[int, int | None, str, float]]) -> str:
+    """The Newick text of one tree's nodes (node, parent, name, branch length), however deep; a node's children in order of their numbers."""
+    children: dict = {}
+    for node in sorted(nodes, key=lambda n: n[0]):
+        children.setdefault(node[1], []).append(node)
+    out, stack = [], [(n, True, 0) for n in reversed(children.get(None, []))]
+    while stack:
+        (number, parent, name, length), opening, place = stack.pop()
+        below = children.get(number, [])
+        if opening:
+            if place:
+                out.append(",")
+            if below:
+                out.append("(")
+                stack.append(((number, parent, name, length), False, place))
+                stack += [(n, True, k) for k, n in reversed(list(enumerate(below)))]
+                continue
+        elif below:
+            out.append(")")
+        out.append(f"{name};" if parent is None else f"{name}:{length:g}")
+    return "".join(out)
 
 
 def write_newick(edges: DataFrame) -> DataFrame:
     """tree_id, newick of trees given as edges; each tree's edges fit one group."""
 
-    def run(key, pdf):
-        import pandas as pd
-
-        children: dict = {}
-        for r in pdf.sort_values("node_id").itertuples():
-            children.setdefault(None if pd.isna(r.parent_id) else int(r.parent_id), []).append(r)
-
-        def spell(r) -> str:
-            below = children.get(int(r.node_id), [])
-            inner = f"({','.join(map(spell, below))})" if below else ""
-            return f"{inner}{r.name_}:{r.branch_length:g}"
-
-        roots = children.get(None, [])
-        return pd.DataFrame({"tree_id": [key[0]], "newick": ["".join(f"({','.join(map(spell, children[int(r.node_id)]))}){r.name_};" if int(r.node_id) in children else f"{r.name_};" for r in roots)]})
+    def run(key, table):
+        parents = [None if p is None else int(p) for p in table["parent_id"].to_pylist()]
+        nodes = list(zip(table["node_id"].to_pylist(), parents, table["name"].to_pylist(), table["branch_length"].to_pylist(), strict=True))
+        return pa.table({"tree_id": [key[0].as_py()], "newick": [newick(nodes)]})
 
-    return edges.withColumnRenamed("name", "name_").groupBy("tree_id").applyInPandas(run, "tree_id string, newick string")
+    return edges.select("tree_id", "node_id", "parent_id", "name", "branch_length").groupBy("tree_id").applyInArrow(run, "tree_id string, newick string")
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
