@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: bounds what a Python worker holds at once.
@@ -62,3 +62,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id):
     """True for the fifth of the documents whose labels no model may see."""
     return F.crc32(doc_id.cast("string")) % 5 == 0
+
+
+def whole_rows(sample: DataFrame, kind: str, order: list[str], size: str, most: int) -> DataFrame:
+    """Of each ``kind`` the first rows by ``order`` whose ``size`` adds up to at most ``most``; a row that is larger by itself is passed over.
+
+    ``sample`` is a bounded sample, so the running sum of a kind fits one task.
+    """
+    w = Window.partitionBy(kind).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = [kind, *order]
+    kept = sample.where(F.col(size) <= most).select(*keys, F.sum(size).over(w).alias("_sum")).where(F.col("_sum") <= most).drop("_sum")
+    return sample.join(kept, keys, "left_semi")

@@ -10,8 +10,9 @@ gradient, which keeps a flexible model from driving it below zero.  Training see
 of rows (``max_positives`` and ``max_unlabelled``); scoring sees every whole text.
 
 Defined results: a null or empty text has no features and scores the classifiers' bias; without a
-single confirmed positive every document scores 0.0; repeated rows are scored one by one; columns
-of the input other than the id and text are ignored.
+single confirmed positive every document scores 0.0; repeated rows are scored one by one and alike; an empty table
+gives no rows; columns of the input other than the id and text are ignored, whatever their names.  A text above 1 MB is
+a slice of its own, which takes about 30 bytes of memory a letter; it is scored whole.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import held_out, prepare, unused
+from ._spark import held_out, prepare, stored, unused, whole_rows
 
 DIM_BITS = 18
 LETTER = np.zeros(256, bool)
@@ -47,9 +48,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def margins(weights: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """One model's linear score of each row; the last weight is the bias."""
-    sums = np.concatenate([[0.0], np.cumsum(weights[ids])])
-    ends = np.cumsum(counts)
-    return (sums[ends] - sums[ends - counts]) + weights[-1]
+    # every row is summed by itself, from its first feature on, so equal rows have equal sums
+    return np.bincount(np.repeat(np.arange(len(counts)), counts), weights[ids], len(counts)) + weights[-1]
 
 
 def log_ratios(positive: list[np.ndarray], unlabelled: list[np.ndarray], smooth: float = 20.0) -> np.ndarray:
@@ -124,17 +124,12 @@ def threshold(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> flo
     return float(np.median(grid[risk <= risk.min() + 1e-12]))
 
 
-def thinned(values: np.ndarray, most: int) -> np.ndarray:
-    """At most ``most`` of ``values``, evenly spread."""
-    return values if len(values) <= most else values[np.linspace(0, len(values) - 1, most).astype(int)]
-
-
-def fit(docs: DataFrame, toxic_ids: DataFrame, prior: float, *, id_col: str = "doc_id", text_col: str = "text", max_positives: int = 8000, max_unlabelled: int = 16000, max_features: int = 2048) -> np.ndarray | None:
+def fit(docs: DataFrame, toxic_ids: DataFrame, prior: float, *, id_col: str = "doc_id", text_col: str = "text", max_positives: int = 8000, max_unlabelled: int = 16000, max_features: int = 12_000_000) -> np.ndarray | None:
     """Trains on at most ``max_positives`` texts of ``toxic_ids`` and ``max_unlabelled`` texts of ``docs``.
 
-    The texts with the smallest hashes of their ids and contents are taken, each once, so the sample is the
-    same each time; only their feature ids come to the driver, for each at most ``max_features``,
-    spread evenly over the sorted hashes of all its words.  None if no positive has a row.
+    The texts with the smallest hashes of their ids and contents are taken, each once and whole, so the sample is the
+    same each time; only their feature ids come to the driver, 4 bytes each.  Where those of one kind are more than
+    ``max_features`` in all, fewer texts are taken.  None if no positive has a row.
     """
     prepare(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.col(text_col).alias("_text")).where("_id is not null")
@@ -142,20 +137,21 @@ def fit(docs: DataFrame, toxic_ids: DataFrame, prior: float, *, id_col: str = "d
     first = lambda rows, n, role: rows.select(F.lit(role).alias("_role"), F.xxhash64("_id", "_h", F.lit(role)).alias("_rank"), "_id", "_h").orderBy("_rank", "_id", "_h").limit(n)
     known = toxic_ids.select(F.col(id_col).alias("_id")).distinct()
     wanted = first(ids.join(known, "_id", "left_semi"), max_positives, 1).unionAll(first(ids, max_unlabelled, 2))
-    names = ["_role", "_rank", "_id", "_h", "_ids"]
+    names = ["_role", "_rank", "_id", "_h", "_n", "_ids"]
 
     def run(batches):
         for b in batches:
             for lo, hi, data, offsets in _text.slices(b.column(4)):
                 found, counts = features(data, offsets)
                 parts = np.split(found, np.cumsum(counts)[:-1])
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:4]), _text.binary([thinned(p, max_features).tobytes() for p in parts])], names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:4]), pa.array(counts.astype(np.int64)), _text.binary([p.tobytes() for p in parts])], names)
 
     # both sides of `wanted` are limits, so this broadcast never exceeds max_positives + max_unlabelled rows; equal rows of `docs` become one again
     joined = keyed.join(F.broadcast(wanted), ["_id", "_h"]).select("_role", "_rank", "_id", "_h", "_text")
-    made = joined.mapInArrow(run, joined.drop("_text").schema.add("_ids", "binary"))
-    sample = sorted(tuple(r) for r in made.dropDuplicates(["_role", "_id", "_h"]).collect())
-    positive, unlabelled = ([np.frombuffer(r[4], np.uint32) for r in sample if r[0] == role] for role in (1, 2))
+    made = joined.mapInArrow(run, joined.drop("_text").schema.add("_n", "long").add("_ids", "binary"))
+    made = stored(made.dropDuplicates(["_role", "_id", "_h"]), "toxicity_sample")
+    sample = sorted(tuple(r) for r in whole_rows(made, "_role", ["_rank", "_id", "_h"], "_n", max_features).collect())
+    positive, unlabelled = ([np.frombuffer(r[5], np.uint32) for r in sample if r[0] == role] for role in (1, 2))
     return train(positive, unlabelled, prior) if positive and unlabelled else None
 
 
