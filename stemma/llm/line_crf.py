@@ -8,7 +8,8 @@ lines, and Viterbi decoding labels the lines of every whole text.  A document is
 
 Defined results: a null or empty text has no words, so it fails the base rules; lines without a word
 take no label; without labelled documents of both kinds every line is content, so that the base
-rules alone decide; repeated rows are judged one by one.
+rules alone decide; repeated rows are judged one by one; an empty table gives no rows; columns other than those named
+are ignored or, by ``keep``, passed on.  A text above 1 MB is a slice of its own, which takes about 40 bytes of memory a letter.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import prepare, unused
+from ._spark import prepare, stored, unused, whole_rows
 
 CONTENT, BOILERPLATE = 0, 1
 #: Fixed by the base rules: characters counted as symbols.
@@ -166,12 +167,12 @@ def viterbi(x: np.ndarray, first: np.ndarray, length: np.ndarray, theta: np.ndar
     return labels
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 3000, max_lines: int = 64, max_chains: int = 4) -> np.ndarray | None:
-    """Trains on at most ``max_docs`` labelled texts of each kind, in chains of at most ``max_lines`` lines.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 3000, max_lines: int = 400_000) -> np.ndarray | None:
+    """Trains on at most ``max_docs`` labelled texts of each kind, each a chain of all its lines.
 
-    The texts with the least hashes of id and text are taken, each once; one of more lines gives at most
-    ``max_chains`` chains, spread over all of it.  So at most 2 * max_docs * max_chains * max_lines lines come
-    to the driver, and in a set order.  None unless both kinds are there.
+    The texts with the least hashes of id and text are taken, each once and whole; where those of one kind have more than
+    ``max_lines`` lines in all, fewer are taken, and one of more lines than that is passed over.  So at most
+    2 * max_lines lines of 48 bytes come to the driver, and in a set order.  None unless both kinds are there.
     """
     spark = prepare(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("quality").cast("int").alias("_quality"))
@@ -185,34 +186,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         for b in batches:
             for lo, hi, data, offsets in _text.slices(b.column(4)):
                 lines = Lines(data, offsets)
-                chosen = [b""] * (hi - lo)
+                chosen, n_lines = [b""] * (hi - lo), np.zeros(hi - lo, np.int64)
                 for at, n in zip(*sequences(lines.rows), strict=True):
-                    chains = np.array_split(lines.features[at : at + n].astype(np.float32), -(-n // max_lines))
-                    spread = np.unique(np.linspace(0, len(chains) - 1, min(max_chains, len(chains))).astype(int))
-                    chosen[lines.rows[at]] = b"".join(np.uint32(len(chains[k])).tobytes() + chains[k].tobytes() for k in spread)
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:4]), _text.binary(chosen)], ["_rank", "_id", "_h", "_quality", "_x"])
+                    chosen[lines.rows[at]] = lines.features[at : at + n].astype(np.float32).tobytes()
+                    n_lines[lines.rows[at]] = n
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:4]), pa.array(n_lines), _text.binary(chosen)], ["_rank", "_id", "_h", "_quality", "_n", "_x"])
 
     # `wanted` holds at most 2 * max_docs rows; equal rows of `docs` become one again
     joined = keyed.join(F.broadcast(wanted), ["_id", "_h"]).select("_rank", "_id", "_h", "_quality", "_text")
-    made = joined.mapInArrow(run, joined.drop("_text").schema.add("_x", "binary"))
-    sample = sorted(map(tuple, made.dropDuplicates(["_id", "_h"]).collect()))
-    chains = [(p, BOILERPLATE if quality == 0 else CONTENT) for *_, quality, raw in sample for p in unpacked(bytes(raw))]
+    made = joined.mapInArrow(run, joined.drop("_text").schema.add("_n", "long").add("_x", "binary")).where("_n > 0")
+    made = stored(made.dropDuplicates(["_id", "_h"]), "quality_sample")
+    sample = sorted(map(tuple, whole_rows(made, "_quality", ["_rank", "_id", "_h"], "_n", max_lines).collect()))
+    chains = [(np.frombuffer(raw, np.float32).reshape(-1, N_FEATURES), BOILERPLATE if quality == 0 else CONTENT) for _, _, _, quality, _, raw in sample]
     if len({k for _, k in chains}) < 2:
         return None
     length = np.array([len(p) for p, _ in chains])
     return train(np.concatenate([p for p, _ in chains]).astype(float), np.repeat([k for _, k in chains], length), np.cumsum(length) - length, length)
 
 
-def unpacked(raw: bytes) -> list[np.ndarray]:
-    """The chains that ``fit`` packs: each a number of lines, then their features."""
-    out, at = [], 0
-    while at < len(raw):
-        n = int(np.frombuffer(raw, np.uint32, 1, at)[0])
-        out.append(np.frombuffer(raw, np.float32, n * N_FEATURES, at + 4).reshape(n, N_FEATURES))
-        at += 4 + 4 * n * N_FEATURES
-    return out
-
-
 def judge(docs: DataFrame, theta: np.ndarray | None, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), min_share: float = 0.5) -> DataFrame:
     """The base counts, content_share and the verdict of every row, beside the columns ``keep``."""
     prepare(docs.sparkSession)
