@@ -1,16 +1,17 @@
 """Phrase collocations by SON partitioning, within each language.
 
 Text is cut at punctuation and line ends into pieces and those into words; a phrase is 1 to ``longest``
-words in a row within a piece.  A shard is 24 MB of the texts of a task.  Every shard is mined
+words in a row within a piece.  A shard is 20 to 30 MB of the texts of a task.  Every shard is mined
 completely, level by level, at the support that its share of all bytes leaves of the global one: a phrase
 that is frequent in the whole is so in one shard at least.  What the shards report is united, with the
 bound that their reports leave for its count (a shard that doesn't report has less than its support), and
 all that may be frequent is counted exactly in a further pass.  Words and pairs go first, so that longer
 phrases are mined only where each pair in them may be frequent; that keeps the candidates few even where
-shards are so many that their support falls to 1, and reports then are exact.
+shards are so many that their support falls to 1 (from a hundred on), and reports then are exact.
 
-Shards know the candidates by a blocked Bloom filter of at most 64 MB, whatever their number: what it lets
-through by mistake is counted too and falls to the support.  Phrases are told apart by their words.
+Reports are 64-bit hashes and counts; two phrases with one hash can only make a candidate too many.  Shards know the
+candidates by a blocked Bloom filter of at most 64 MB, whatever their number: what it lets
+through by mistake is counted too and falls to the support.  Phrases are counted by their words.
 
 Defined results: a null text is empty and gives nothing; a null language is ``und`` (one with that name too);
 texts of any length are taken whole, one longer than a shard ends it (about 60 bytes of
@@ -32,13 +33,13 @@ from . import _text
 from ._spark import prepare, stored
 
 SUPPORT, LONGEST, FIRST = 100, 5, 2000
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 20 << 20
 MAX_FILTER_WORDS = 1 << 23
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 APART = BREAK.copy()
 APART[[0x20, 0x09]] = True
-REPORT = "lang string, size int, phrase string, mark long, n long, lacking long"
+REPORT = "lang string, phrase string, mark long, n long, lacking long"
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -181,8 +182,20 @@ def _let_through(shard: Shard, known: Filter, places: np.ndarray, size: int) ->
 
 
 def _shards(batches, limit: int) -> Iterator[Shard]:
-    for held in _text.gathered(batches, limit):
-        yield Shard(held)
+    """Shards of ``limit`` bytes; what a task has left joins its last one unless it is half as large, for a small shard would report nearly all it has."""
+    ready, held, size = [], [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.nbytes
+        if ready and size >= limit // 2:
+            yield Shard(ready)
+            ready = []
+        if not ready and size >= limit:
+            ready, held, size = held, [], 0
+    if ready or held:
+        yield Shard(ready + held)
 
 
 def _rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -191,45 +204,53 @@ def _rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 
 def _reports(rows: DataFrame, total: int, support: int, longest: int, known: Filter | None, floor: int) -> DataFrame:
-    """What the shards have: counts by language and phrase, and (of size 0) words and support lacking where nothing is reported."""
+    """What the shards have, stored: lang, phrase and count of those phrases that ``known`` lets through, and marks and counts of other frequent ones.
+
+    A row without a mark and phrase is a shard's language: its words; the ``lacking`` of its first one is what a phrase may
+    have that the shard doesn't report.
+    """
+
     def run(batches):
         names = [f.split()[0] for f in REPORT.split(", ")]
+        rows_of = lambda n, lang=None, phrase=None, mark=None, count=None, less=None: pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()) if lang is None else lang, pa.nulls(n, pa.string()) if phrase is None else phrase, pa.nulls(n, pa.int64()) if mark is None else mark, pa.array(count.astype(np.int64)), pa.nulls(n, pa.int64()) if less is None else less], names)
         for shard in _shards(batches, SHARD_BYTES):
             local = max(1, -(-support * shard.bytes // max(total, 1)))
-            words = np.bincount(shard.lang, minlength=len(shard.names))
-            k = len(shard.names)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.names, pa.string()), pa.array(np.zeros(k, np.int32)), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.array(words.astype(np.int64)), pa.array(np.full(k, local - 1))], names)
-            lang = pa.array(shard.names, pa.string())
+            lang, k = pa.array(shard.names, pa.string()), len(shard.names)
+            yield rows_of(k, lang, count=np.bincount(shard.lang, minlength=k), less=pa.array([local - 1] + [0] * (k - 1), pa.int64()))
             for size, places, counts in levels(shard, longest, local, known, floor):
-                for lo in range(0, len(places), 100_000):
-                    p, c = places[lo : lo + 100_000], counts[lo : lo + 100_000]
-                    less = 0 if known is not None and (size <= floor or floor == 0) else local - 1
-                    yield pa.RecordBatch.from_arrays([lang.take(pa.array(shard.lang[p])), pa.array(np.full(len(p), size, np.int32)), shard.spell(p, size), pa.array(shard.marks(p, size).view(np.int64)), pa.array(c.astype(np.int64)), pa.array(np.full(len(p), less))], names)
+                for lo in range(0, len(places), 200_000):
+                    p, c = places[lo : lo + 200_000], counts[lo : lo + 200_000]
+                    if known is not None and (size <= floor or floor == 0):
+                        yield rows_of(len(p), lang.take(pa.array(shard.lang[p])), shard.spell(p, size), count=c)
+                    else:
+                        yield rows_of(len(p), mark=pa.array(shard.marks(p, size).view(np.int64)), count=c - (local - 1))
 
     return rows.mapInArrow(run, REPORT)
 
 
-def _possible(reports: DataFrame, sizes, support: int) -> DataFrame:
-    """Phrases whose count may reach the support: lang, size, phrase, mark."""
-    lacking = reports.where("size = 0").groupBy("lang").agg(F.sum("lacking").alias("all_lacking"))
-    bound = reports.where(F.col("size").isin(*sizes)).groupBy("lang", "size", "phrase").agg(F.min("mark").alias("mark"), F.sum(F.col("n") - F.col("lacking")).alias("bound"))
-    return bound.join(lacking, "lang").where(F.col("bound") + F.col("all_lacking") >= support).select("lang", "size", "phrase", "mark")
+def _possible(reports: DataFrame, support: int) -> DataFrame:
+    """Marks of the phrases whose count may reach the support: that of all reports, and what the shards without one may lack.
+
+    A report's count comes less its shard's lacking, so that adding all shards' lacking is right for every phrase.
+    """
+    lacking = reports.agg(F.sum("lacking")).first()[0] or 0
+    return reports.where("mark is not null").groupBy("mark").agg(F.sum("n").alias("bound")).where(F.col("bound") >= support - lacking).select("mark")
 
 
 def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, n) of all phrases that occur ``support`` times in their language, and (lang, words)."""
     rows = _rows(docs, text_col, lang_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    short = stored(_reports(rows, total, support, min(2, longest), None, 0), "phrases_short")
-    pairs = Filter.of(_possible(short, (1, 2), support))
-    middle = stored(_reports(rows, total, support, longest, pairs, 2), "phrases_middle")
-    counted = middle.where(F.col("size").between(1, 2))
+    short = _possible(stored(_reports(rows, total, support, min(2, longest), None, 0), "phrases_short"), support)
+    short = stored(short, "phrases_short_marks")
+    middle = stored(_reports(rows, total, support, longest, Filter.of(short), 2), "phrases_middle")
+    counted = middle
     if longest > 2:
-        more = Filter.of(_possible(middle, range(3, longest + 1), support).unionByName(_possible(short, (1, 2), support)))
-        last = stored(_reports(rows, total, support, longest, more, 0), "phrases_long")
-        counted = counted.unionByName(last.where("size > 2"))
-    found = counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
-    return stored(found, "phrases"), middle.where("size = 0").groupBy("lang").agg(F.sum("n").alias("words"))
+        more = Filter.of(stored(_possible(middle, support).unionByName(short), "phrases_marks"))
+        counted = stored(_reports(rows, total, support, longest, more, 0), "phrases_long")
+    counted = counted.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+    found = stored(counted.withColumn("size", F.size(F.split("phrase", " "))), "phrases")
+    return found, middle.where("mark is null and phrase is null").groupBy("lang").agg(F.sum("n").alias("words"))
 
 
 def scored(found: DataFrame, words: DataFrame) -> DataFrame:
