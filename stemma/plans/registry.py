@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators import counts, decoding, grammar, markov, metrics, mixture, pairwise, paths, phylogeny, relations, simulate, substitution, trees
+from ..operators import counts, decoding, markov, metrics, mixture, pairwise, paths, phylogeny, relations, simulate, substitution, trees
 from ..sources import tables as T
 from ..streaming import jobs
 
@@ -629,18 +629,6 @@ def ancestral_state_shares(spark, d):
     return ancestral_states(spark, d).withColumn("p", F.round("p", 5))
 
 
-#: A small grammar of nested and chained spans over the three states.
-RULES = [(0, 0, 0, 0.3), (0, 1, 2, 0.3), (2, 0, 1, 1.0)]
-EMISSIONS = [(0, 0, 0.2), (0, 1, 0.1), (0, 2, 0.1), (1, 0, 0.5), (1, 1, 0.25), (1, 2, 0.25)]
-
-
-@query()
-def grammar_scores(spark, d):
-    """Inside and best-parse log-weights of each pair's state string."""
-    strings = _paths(spark, d).select(F.col("pair_id").alias("key"), "xs")
-    return grammar.parsed(strings, 3, RULES, EMISSIONS)
-
-
 @query()
 def optimal_accuracy_alignments(spark, d):
     """Decoded from all cells of the posterior, however small."""

@@ -305,26 +305,6 @@ def test_substitution_tables():
     assert np.allclose(jumps.sum(0) - jumps.sum(1), counts_.sum(0) - counts_.sum(1))
 
 
-def test_grammar_against_all_parses():
-    from stemma.operators import grammar
-
-    def trees_(a, xs):
-        if len(xs) == 1:
-            yield from (w for b, s, w in registry.EMISSIONS if b == a and s == xs[0])
-        for b, l, r, w in registry.RULES:
-            if b == a:
-                for k in range(1, len(xs)):
-                    for u in trees_(l, xs[:k]):
-                        for v in trees_(r, xs[k:]):
-                            yield w * u * v
-
-    for xs in ([0], [1, 2], [0, 1, 2, 0]):
-        ps = list(trees_(0, xs))
-        for best, want in ((False, sum(ps)), (True, max(ps))):
-            got = grammar.chart(np.array([xs]), 3, registry.RULES, registry.EMISSIONS, best)[0, len(xs), 0, 0]
-            assert abs(got - math.log(want)) < 1e-9
-
-
 def test_brackets(spark):
     from stemma.operators import grammar
 
