@@ -9,7 +9,8 @@ all that may be frequent is counted exactly in a further pass.  Words and pairs
 phrases are mined only where each pair in them may be frequent; that keeps the candidates few even where
 shards are so many that their support falls to 1 (from a hundred on), and reports then are exact.
 
-Reports are 64-bit hashes and counts; two phrases with one hash can only make a candidate too many.  Shards know the
+Reports are 64-bit hashes and counts, packed by ranges of hashes, so that a range is added up as arrays, in a task of its own; two
+phrases with one hash can only make a candidate too many.  Shards know the
 candidates by a blocked Bloom filter of at most 64 MB, whatever their number: what it lets
 through by mistake is counted too and falls to the support.  Phrases are counted by their words.
 
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +37,12 @@ from ._spark import prepare, stored
 SUPPORT, LONGEST, FIRST = 100, 5, 2000
 SHARD_BYTES = 20 << 20
 MAX_FILTER_WORDS = 1 << 23
+RANGE_BYTES = 8 << 20
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 APART = BREAK.copy()
 APART[[0x20, 0x09]] = True
-REPORT = "lang string, phrase string, mark long, n long, lacking long"
+REPORT = "range int, payload binary, lang string, n long, lacking long"
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -203,54 +206,84 @@ def _rows(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text is not null")
 
 
+def _packed(marks: np.ndarray, ranges: int, columns: dict[str, pa.Array]) -> Iterator[tuple[int, bytes]]:
+    """Rows dealt to ranges by their marks, those of one range as one Arrow stream."""
+    at = (marks % np.uint64(ranges)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    table = pa.table(columns).take(pa.array(order))
+    ends = np.searchsorted(at[order], np.arange(ranges + 1))
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table.slice(int(ends[k]), int(ends[k + 1] - ends[k])))
+        yield k, sink.getvalue().to_pybytes()
+
+
+def _unpacked(column) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(v.as_buffer()).read_all() for v in column])
+
+
 def _reports(rows: DataFrame, total: int, support: int, longest: int, known: Filter | None, floor: int) -> DataFrame:
-    """What the shards have, stored: lang, phrase and count of those phrases that ``known`` lets through, and marks and counts of other frequent ones.
+    """What the shards have, packed by ranges of marks: without ``floor`` 0 the frequent phrases of more than ``floor`` words, by mark; with it, the counts of all that ``known`` lets through.
 
-    A row without a mark and phrase is a shard's language: its words; the ``lacking`` of its first one is what a phrase may
-    have that the shard doesn't report.
+    A row without a payload is a shard's language and its words; the ``lacking`` of its first one is what a phrase may
+    have that the shard doesn't report.  A report's count is less that much, so that adding all shards' lacking is right for every phrase.
     """
+    exact, ranges = known is not None and floor == 0, max(16, total // RANGE_BYTES)
 
     def run(batches):
         names = [f.split()[0] for f in REPORT.split(", ")]
-        rows_of = lambda n, lang=None, phrase=None, mark=None, count=None, less=None: pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()) if lang is None else lang, pa.nulls(n, pa.string()) if phrase is None else phrase, pa.nulls(n, pa.int64()) if mark is None else mark, pa.array(count.astype(np.int64)), pa.nulls(n, pa.int64()) if less is None else less], names)
         for shard in _shards(batches, SHARD_BYTES):
             local = max(1, -(-support * shard.bytes // max(total, 1)))
             lang, k = pa.array(shard.names, pa.string()), len(shard.names)
-            yield rows_of(k, lang, count=np.bincount(shard.lang, minlength=k), less=pa.array([local - 1] + [0] * (k - 1), pa.int64()))
+            words = pa.array(np.bincount(shard.lang, minlength=k).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), lang, words, pa.array([local - 1] + [0] * (k - 1), pa.int64())], names)
             for size, places, counts in levels(shard, longest, local, known, floor):
-                for lo in range(0, len(places), 200_000):
-                    p, c = places[lo : lo + 200_000], counts[lo : lo + 200_000]
-                    if known is not None and (size <= floor or floor == 0):
-                        yield rows_of(len(p), lang.take(pa.array(shard.lang[p])), shard.spell(p, size), count=c)
-                    else:
-                        yield rows_of(len(p), mark=pa.array(shard.marks(p, size).view(np.int64)), count=c - (local - 1))
+                if not exact and known is not None and size <= floor or not len(places):
+                    continue
+                marks = shard.marks(places, size)
+                if exact:
+                    columns = {"lang": lang.take(pa.array(shard.lang[places])), "phrase": shard.spell(places, size), "n": pa.array(counts.astype(np.int64))}
+                else:
+                    columns = {"mark": pa.array(marks.view(np.int64)), "n": pa.array((counts - (local - 1)).astype(np.int32))}
+                made = list(_packed(marks, ranges, columns))
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in made], pa.int32()), pa.array([v for _, v in made], pa.binary()), *(pa.nulls(len(made), t) for t in (pa.string(), pa.int64(), pa.int64()))], names)
 
     return rows.mapInArrow(run, REPORT)
 
 
 def _possible(reports: DataFrame, support: int) -> DataFrame:
-    """Marks of the phrases whose count may reach the support: that of all reports, and what the shards without one may lack.
+    """Marks of the phrases whose count may reach the support: that of all reports, and what the shards without one may lack."""
+    least = support - (reports.agg(F.sum("lacking")).first()[0] or 0)
 
-    A report's count comes less its shard's lacking, so that adding all shards' lacking is right for every phrase.
-    """
-    lacking = reports.agg(F.sum("lacking")).first()[0] or 0
-    return reports.where("mark is not null").groupBy("mark").agg(F.sum("n").alias("bound")).where(F.col("bound") >= support - lacking).select("mark")
+    def run(table):
+        sums = _unpacked(table["payload"]).group_by("mark").aggregate([("n", "sum")])
+        return sums.filter(pc.greater_equal(sums["n_sum"], least)).select(["mark"])
+
+    return reports.where("payload is not null").groupBy("range").applyInArrow(run, "mark long")
+
+
+def _counted(reports: DataFrame, support: int) -> DataFrame:
+    """lang, phrase, n of all phrases of at least the support."""
+
+    def run(table):
+        sums = _unpacked(table["payload"]).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
+        return sums.filter(pc.greater_equal(sums["n_sum"], support)).select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
+
+    return reports.where("payload is not null").groupBy("range").applyInArrow(run, "lang string, phrase string, n long")
 
 
 def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", support: int = SUPPORT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, n) of all phrases that occur ``support`` times in their language, and (lang, words)."""
     rows = _rows(docs, text_col, lang_col)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    short = _possible(stored(_reports(rows, total, support, min(2, longest), None, 0), "phrases_short"), support)
-    short = stored(short, "phrases_short_marks")
-    middle = stored(_reports(rows, total, support, longest, Filter.of(short), 2), "phrases_middle")
-    counted = middle
+    marks = stored(_possible(stored(_reports(rows, total, support, min(2, longest), None, 0), "phrases_short"), support), "phrases_marks")
     if longest > 2:
-        more = Filter.of(stored(_possible(middle, support).unionByName(short), "phrases_marks"))
-        counted = stored(_reports(rows, total, support, longest, more, 0), "phrases_long")
-    counted = counted.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
-    found = stored(counted.withColumn("size", F.size(F.split("phrase", " "))), "phrases")
-    return found, middle.where("mark is null and phrase is null").groupBy("lang").agg(F.sum("n").alias("words"))
+        middle = stored(_reports(rows, total, support, longest, Filter.of(marks), 2), "phrases_middle")
+        marks = stored(_possible(middle, support).unionByName(marks), "phrases_marks")
+    last = stored(_reports(rows, total, support, longest, Filter.of(marks), 0), "phrases_long")
+    found = stored(_counted(last, support).withColumn("size", F.size(F.split("phrase", " "))), "phrases")
+    return found, last.where("payload is null").groupBy("lang").agg(F.sum("n").alias("words"))
 
 
 def scored(found: DataFrame, words: DataFrame) -> DataFrame:
