@@ -99,42 +99,38 @@ def global_alignment(pairs: DataFrame, *, match: float = 1.0, mismatch: float =
 class Tables:
     """The pair model's recurrences over a stack of pairs: tables by (i, j, state M I D, pair), all in logs.
 
-    ``trans`` is 5 x 5 over S M I D E.  With ``centre`` (a row of each pair's band centres for i = 0 ..) and
-    ``width``, cells farther than ``width`` from the centre are left out.
+    ``trans`` is 5 x 5 over S M I D E, ``emit`` a table of pairs of residues; either may have one for each pair, ``trans``
+    along its last and ``emit`` along its first axis.
     """
 
     CAME = ((1, 1), (0, 1), (1, 0))
 
-    def __init__(self, trans, emit, background, x, y, nx, ny, centre: np.ndarray | None = None, width: int | None = None):
+    def __init__(self, trans, emit, background, x, y, nx, ny):
         with np.errstate(divide="ignore"):
-            self.t, self.e, self.q = (np.maximum(np.log(v), LOG_ZERO) for v in (trans, emit, background))
+            t, e, self.q = (np.maximum(np.log(v), LOG_ZERO) for v in (trans, emit, background))
+        self.t, self.e = t if t.ndim == 3 else t[..., None], e if e.ndim == 3 else e[None]
         self.x, self.y, self.nx, self.ny, self.n = x, y, nx, ny, len(x)
         self.lx, self.ly = x.shape[1], y.shape[1]
-        self.centre, self.width = centre, width
+        self.own = np.arange(self.n)[:, None] if len(self.e) > 1 else np.zeros((self.n, 1), int)
 
     def emitted(self, i: np.ndarray, j: np.ndarray, s: int) -> np.ndarray:
         """Log-emission of the step in state ``s`` that ends in each cell, by (cell, pair)."""
-        return (self.e[self.x[:, i - 1], self.y[:, j - 1]] if s == 0 else self.q[self.y[:, j - 1]] if s == 1 else self.q[self.x[:, i - 1]]).T
-
-    def outside(self, i: np.ndarray, j: np.ndarray) -> np.ndarray | None:
-        return None if self.centre is None else np.abs(j[:, None] - self.centre[:, i].T) > self.width
+        return (self.e[self.own, self.x[:, i - 1], self.y[:, j - 1]] if s == 0 else self.q[self.y[:, j - 1]] if s == 1 else self.q[self.x[:, i - 1]]).T
 
     def forward(self, best: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(table, total of each pair); with ``best``, of the likeliest alignments instead of all."""
         join = (lambda v: v.max(1)) if best else (lambda v: np.logaddexp.reduce(v, 1))
         f = np.full((self.lx + 1, self.ly + 1, 3, self.n), LOG_ZERO)
         for i, j in diagonals(self.lx, self.ly):
-            out = self.outside(i, j)
             for s, (di, dj) in enumerate(self.CAME):
                 ok = (i >= di) & (j >= dj)
                 a, b = i[ok], j[ok]
                 if not len(a):
                     continue
-                into = join(f[a - di, b - dj] + self.t[1:4, s + 1][:, None])
+                into = join(f[a - di, b - dj] + self.t[1:4, s + 1])
                 into[(a == di) & (b == dj)] = self.t[0, s + 1]
-                made = into + self.emitted(a, b, s)
-                f[a, b, s] = made if out is None else np.where(out[ok], LOG_ZERO, made)
-        ends = f[self.nx, self.ny, :, np.arange(self.n)] + self.t[1:4, 4]
+                f[a, b, s] = into + self.emitted(a, b, s)
+        ends = f[self.nx, self.ny, :, np.arange(self.n)] + self.t[1:4, 4].T
         return f, np.where(self.nx + self.ny > 0, join(ends), self.t[0, 4])
 
     def backward(self) -> np.ndarray:
@@ -145,11 +141,9 @@ class Tables:
                 ok = (i + di <= self.lx) & (j + dj <= self.ly)
                 u, v = i[ok] + di, j[ok] + dj
                 if len(u):
-                    ways[s, ok] = (b[u, v, s] + self.emitted(u, v, s))[:, None] + self.t[1:4, s + 1][:, None]
+                    ways[s, ok] = (b[u, v, s] + self.emitted(u, v, s))[:, None] + self.t[1:4, s + 1]
             ended = ((i[:, None] == self.nx) & (j[:, None] == self.ny))[:, None]
-            made = np.where(ended, self.t[1:4, 4][:, None], np.logaddexp.reduce(ways, 0))
-            out = self.outside(i, j)
-            b[i, j] = made if out is None else np.where(out[:, None], LOG_ZERO, made)
+            b[i, j] = np.where(ended, self.t[1:4, 4], np.logaddexp.reduce(ways, 0))
         return b
 
     def transitions(self, f: np.ndarray, b: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -164,8 +158,8 @@ class Tables:
                 after = self.emitted(a, c, s) + b[a, c, s] - total
                 begun = (a == di) & (c == dj)
                 out[0, s + 1] += np.exp(self.t[0, s + 1] + after[begun]).sum(0)
-                out[1:4, s + 1] += np.exp(f[a - di, c - dj] + self.t[1:4, s + 1][:, None] + after[:, None])[~begun].sum(0)
-        ends = np.exp(f[self.nx, self.ny, :, np.arange(self.n)] + self.t[1:4, 4] - total[:, None]).T
+                out[1:4, s + 1] += np.exp(f[a - di, c - dj] + self.t[1:4, s + 1] + after[:, None])[~begun].sum(0)
+        ends = np.exp(f[self.nx, self.ny, :, np.arange(self.n)] + self.t[1:4, 4].T - total[:, None]).T
         out[1:4, 4] = np.where(self.nx + self.ny > 0, ends, 0)
         out[0, 4] = self.nx + self.ny == 0
         return out
@@ -173,12 +167,13 @@ class Tables:
     def walk(self, f: np.ndarray, k: int, choose) -> str:
         """One alignment of pair ``k``, from its end: ``choose`` picks a state of the log-weights of M, I and D."""
         i, j, path = int(self.nx[k]), int(self.ny[k]), []
-        weights = f[i, j, :, k] + self.t[1:4, 4]
+        t = self.t[..., k if self.t.shape[2] > 1 else 0]
+        weights = f[i, j, :, k] + t[1:4, 4]
         while i or j:
             s = choose(weights)
             path.append("MID"[s])
             i, j = i - self.CAME[s][0], j - self.CAME[s][1]
-            weights = f[i, j, :, k] + self.t[1:4, s + 1]
+            weights = f[i, j, :, k] + t[1:4, s + 1]
         return "".join(reversed(path))
 
 
@@ -190,22 +185,16 @@ def pair_tables(trans: np.ndarray, emit: np.ndarray, background: np.ndarray, x:
     return f, t.backward(), total
 
 
-def _swept(pairs: DataFrame, model, schema: str, tables: int, made, band: int | None = None) -> DataFrame:
-    """Applies ``made`` (stack's tables, its pair_ids) to every stack of ``pairs`` (pair_id, x, y and, for a band, centres)."""
+def _swept(pairs: DataFrame, model, schema: str, tables: int, made) -> DataFrame:
+    """Applies ``made`` (stack's tables, its pair_ids) to every stack of ``pairs`` (pair_id, x, y)."""
 
     def run(batches):
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
             for rows, x, y, nx, ny in stacks(pdf, tables):
-                centre = None
-                if band is not None:
-                    centre = np.zeros((len(rows), x.shape[1] + 1))
-                    for k, r in enumerate(rows):
-                        given = np.append(pdf["centres"].iloc[r], ny[k])[: nx[k] + 1]
-                        centre[k, : len(given)], centre[k, len(given) :] = given, given[-1]
-                yield made(Tables(*model, x, y, nx, ny, centre, band), pdf["pair_id"].to_numpy()[rows])
+                yield made(Tables(*model, x, y, nx, ny), pdf["pair_id"].to_numpy()[rows])
 
-    return pairs.select("pair_id", "x", "y", *(["centres"] if band is not None else [])).mapInPandas(run, schema)
+    return pairs.select("pair_id", "x", "y").mapInPandas(run, schema)
 
 
 def pair_likelihoods(pairs: DataFrame, trans: np.ndarray, emit: np.ndarray, background: np.ndarray, band: int | None = None) -> DataFrame:
@@ -213,8 +202,12 @@ def pair_likelihoods(pairs: DataFrame, trans: np.ndarray, emit: np.ndarray, back
 
     ``centres`` has for each residue of x how many of y come before its column; the band is around those.
     """
+    if band is not None:
+        from . import banded
+
+        return banded.pair_likelihoods(pairs, trans, emit, background, band)
     made = lambda t, ids: pd.DataFrame({"pair_id": ids, "loglik": t.forward()[1]})
-    return _swept(pairs, (trans, emit, background), "pair_id long, loglik double", 3, made, band)
+    return _swept(pairs, (trans, emit, background), "pair_id long, loglik double", 3, made)
 
 
 def match_posteriors(pairs: DataFrame, trans: np.ndarray, emit: np.ndarray, background: np.ndarray, threshold: float = 0.01) -> DataFrame:
@@ -273,18 +266,24 @@ def sampled_alignments(pairs: DataFrame, trans: np.ndarray, emit: np.ndarray, ba
     return _swept(pairs, (trans, emit, background), "pair_id long, states string", 3, made)
 
 
-def model_arrays(lam: float, mu: float, t: float, ext: float, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Transitions of the fragment model, and joint and single emissions of equal-rate substitution, as arrays."""
+def fragment_transitions(lam: float, mu: float, t: np.ndarray, ext: float) -> np.ndarray:
+    """Transitions of the fragment model over S M I D E at each time of ``t``, along the last axis."""
+    t = np.asarray(t, float)
     near = abs(1 - lam / mu) < 1e-4
     alpha, grown, kappa = np.exp(-mu * t), np.exp((lam - mu) * t), lam / mu
     beta = mu * t / (1 + mu * t) if near else lam * (1 - grown) / (mu - lam * grown)
-    trans = np.zeros((5, 5))
+    trans = np.zeros((5, 5, *t.shape))
     for src in range(4):
         g = 1 - beta / (kappa * (1 - alpha)) if src == 3 else beta
         trans[src, 1:] = (1 - g) * kappa * alpha, g, (1 - g) * kappa * (1 - alpha), (1 - g) * (1 - kappa)
         if src:
             trans[src] *= 1 - ext
             trans[src, src] += ext
+    return trans
+
+
+def model_arrays(lam: float, mu: float, t: float, ext: float, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions of the fragment model, and joint and single emissions of equal-rate substitution, as arrays."""
     same = np.exp(-t * size / (size - 1))
     emit = (np.full((size, size), (1 - same) / size) + same * np.eye(size)) / size
-    return trans, emit, np.full(size, 1 / size)
+    return fragment_transitions(lam, mu, t, ext), emit, np.full(size, 1 / size)

@@ -105,13 +105,13 @@ def sampled_alignments(spark, d):
     return pairwise.sampled_alignments(pairwise.ungapped(T.columns(spark, d)), *_pair_model(), seed=17)
 
 
-@query()
+@query(pair_sql(best=False, band=3))
 def banded_pair_logliks(spark, d):
     """Each pair's log-probability over the alignments near its given one."""
     columns = T.columns(spark, d)
     centres = guards.band_centres(columns).groupBy("pair_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "centre"))), lambda s: s["centre"]).alias("centres"))
     rows = pairwise.ungapped(columns).join(centres, "pair_id", "left").withColumn("centres", F.coalesce("centres", F.array().cast("array<bigint>")))
-    return pairwise.pair_likelihoods(rows, *_pair_model(), band=3)
+    return pairwise.pair_likelihoods(rows, *_pair_model(), band=3).withColumn("loglik", F.round("loglik", 6))
 
 
 AT_ONE = f"r AS (SELECT 0 AS id, {RATES[0]} AS l, {RATES[1]} AS m, 1.0 AS t), {_bd(str(RATES[2]))}"

@@ -491,9 +491,11 @@ def global_alignments(spark, d):
     return pairwise.global_alignment(pairwise.ungapped(T.columns(spark, d)), gap=-2.0)
 
 
-def pair_sql(best: bool) -> str:
+def pair_sql(best: bool, band: int | None = None) -> str:
     """SQL of each pair's total over all its alignments, or of its likeliest one: a table's anti-diagonals one after another.
 
+    With ``band``, over those whose cells lie within it of the given alignment's.
+
     A row is a cell: f for start, M, I and D, and g for the same cell's neighbour on the diagonal before.
     """
     def ways(p: str, to: str) -> str:
@@ -502,13 +504,16 @@ def pair_sql(best: bool) -> str:
 
     match = f"{ways('g', 'm')} * ((1 - same) / 20 + CASE WHEN x[i + 1] = y[d - i] THEN same ELSE 0 END) / 20"
     take = lambda w, value: f"max(CASE WHEN w = {w} THEN {value} ELSE 0 END)"
+    centres = "bc AS (SELECT pair_id, list(centre ORDER BY pos) AS cs FROM (SELECT pair_id, pos, st, count(*) FILTER (st <> 3) OVER (PARTITION BY pair_id ORDER BY pos) - CAST(st <> 3 AS INT) AS centre FROM columns) WHERE st <> 2 GROUP BY 1)"
+    # a cell outside the band has nothing, but hands on what its neighbours need
+    near = "" if band is None else f" * max(CASE WHEN abs((d + 1 - i - w) - CASE WHEN i + w < len(x) THEN cs[i + w + 1] ELSE len(y) END) <= {band} THEN 1 ELSE 0 END)"
     return f"""WITH r AS (SELECT 0 AS id, {RATES[0]} AS l, {RATES[1]} AS m, 1.0 AS t), {_bd(str(RATES[2]))},
 k AS (SELECT {', '.join(f"max(p) FILTER (src = '{a}' AND dst = '{b}') AS t{a}{b}".lower().replace("'" + a.lower() + "'", f"'{a}'").replace("'" + b.lower() + "'", f"'{b}'") for a in 'SMID' for b in 'MIDE')}, exp(-20.0 / 19) AS same FROM model),
-xs AS (SELECT pair_id, coalesce(list(a ORDER BY pos) FILTER (st <> 2), []) AS x, coalesce(list(b ORDER BY pos) FILTER (st <> 3), []) AS y FROM columns GROUP BY 1),
+xs AS (SELECT pair_id, coalesce(list(a ORDER BY pos) FILTER (st <> 2), []) AS x, coalesce(list(b ORDER BY pos) FILTER (st <> 3), []) AS y FROM columns GROUP BY 1),{'' if band is None else f' {centres},'}
 dp AS (SELECT pair_id, 0 AS d, 0 AS i, 1.0::DOUBLE AS fs, 0.0::DOUBLE AS fm, 0.0::DOUBLE AS fi, 0.0::DOUBLE AS fd, 0.0::DOUBLE AS gs, 0.0::DOUBLE AS gm, 0.0::DOUBLE AS gi, 0.0::DOUBLE AS gd FROM xs
-  UNION ALL SELECT pair_id, d + 1, i + w, 0.0::DOUBLE, {take(1, f"CASE WHEN d > i THEN {match} ELSE 0 END")}, {take(0, ways('f', 'i') + ' / 20')}, {take(1, ways('f', 'd') + ' / 20')}, {take(0, 'fs')}, {take(0, 'fm')}, {take(0, 'fi')}, {take(0, 'fd')}
-  FROM dp JOIN xs USING (pair_id), k, (SELECT unnest([0, 1]) AS w) WHERE CASE WHEN w = 0 THEN d - i < len(y) ELSE i < len(x) END GROUP BY pair_id, d + 1, i + w)
-SELECT pair_id, round(ln({ways('f', 'e')}), 6) AS {'score' if best else 'loglik'} FROM dp JOIN xs USING (pair_id), k WHERE d = len(x) + len(y) AND i = len(x)"""
+  UNION ALL SELECT pair_id, d + 1, i + w, 0.0::DOUBLE, {take(1, f"CASE WHEN d > i THEN {match} ELSE 0 END")}{near}, {take(0, ways('f', 'i') + ' / 20')}{near}, {take(1, ways('f', 'd') + ' / 20')}{near}, {take(0, 'fs')}, {take(0, 'fm')}, {take(0, 'fi')}, {take(0, 'fd')}
+  FROM dp JOIN xs USING (pair_id){'' if band is None else ' LEFT JOIN bc USING (pair_id)'}, k, (SELECT unnest([0, 1]) AS w) WHERE CASE WHEN w = 0 THEN d - i < len(y) ELSE i < len(x) END GROUP BY pair_id, d + 1, i + w)
+SELECT pair_id, round({f"ln({ways('f', 'e')})" if band is None else f"CASE WHEN {ways('f', 'e')} > 0 THEN ln({ways('f', 'e')}) ELSE -1e30 END"}, 6) AS {'score' if best else 'loglik'} FROM dp JOIN xs USING (pair_id), k WHERE d = len(x) + len(y) AND i = len(x)"""
 
 
 @query(pair_sql(best=False))

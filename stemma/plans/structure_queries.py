@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import closures, grammar, markov
+from ..operators import closures, grammar, markov, pair_times, pairwise, substitution
 from ..sources import tables as T
 from .model_queries import FORWARD, XI
-from .registry import EV, HMM, _paths, query
+from .registry import EV, HMM, RATES, _paths, query
 
 #: A small grammar of nested and chained spans over the three states.
 RULES = [(0, 0, 0, 0.3), (0, 1, 2, 0.3), (2, 0, 1, 1.0)]
@@ -137,3 +137,20 @@ def silent_state_transitions(spark, d):
     n = closures.restored_chain(np.array(SILENT), [2, 3], np.array(sums, float).reshape(2, 2))
     rows = [(a, b, float(n[a, b])) for a in range(4) for b in range(4) if SILENT[a][b]]
     return spark.createDataFrame(rows, "src int, dst int, n double").withColumn("n", F.round("n", 3))
+
+
+def _fitted_model():
+    return pair_times.Model(*RATES, *substitution.equal_rates(20))
+
+
+@query()
+def pair_posterior_times(spark, d):
+    """Each pair's time by a Newton fit to its expected counts over all alignments, and its log-probability there."""
+    return pair_times.pair_times(pairwise.ungapped(T.columns(spark, d)), _fitted_model())
+
+
+@query()
+def family_sequence_distances(spark, d):
+    """The fitted time of every two first rows of a family's pairs."""
+    rows = pairwise.ungapped(T.columns(spark, d)).join(T.pairs(spark, d), "pair_id").where("size(x) > 0")
+    return pair_times.distances(rows.select("fam", F.col("pair_id").alias("name"), F.col("x").alias("seq")), _fitted_model())
