@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import closures, grammar, markov, pair_times, pairwise, substitution
+from ..operators import closures, grammar, markov, pair_times, pairwise, phylogeny, substitution
 from ..sources import tables as T
 from .model_queries import FORWARD, XI
-from .registry import EV, HMM, RATES, _paths, query
+from .registry import EV, HMM, LEAF, RATES, STATES, _lifted, _paths, query
 
 #: A small grammar of nested and chained spans over the three states.
 RULES = [(0, 0, 0, 0.3), (0, 1, 2, 0.3), (2, 0, 1, 1.0)]
@@ -154,3 +154,50 @@ def family_sequence_distances(spark, d):
     """The fitted time of every two first rows of a family's pairs."""
     rows = pairwise.ungapped(T.columns(spark, d)).join(T.pairs(spark, d), "pair_id").where("size(x) > 0")
     return pair_times.distances(rows.select("fam", F.col("pair_id").alias("name"), F.col("x").alias("seq")), _fitted_model())
+
+
+def _over_branch(columns: list[str]) -> list[str]:
+    """SQL of log-weights c after a branch of ``length``, given ``columns`` before it."""
+    top = f"greatest({', '.join(columns)})"
+    total = "(" + " + ".join(f"exp({c} - {top})" for c in columns) + ")"
+    return [f"({top} + ln((1 - exp(-length * 1.5)) / 3 * {total} + exp(-length * 1.5) * exp({c} - {top})))" for c in columns]
+
+
+def _lowered(level: str, letter: str, above: str, below: str) -> str:
+    """SQL of one level downwards: the nodes of ``letter`` from those in ``above`` (node, l, e), with what is in ``below``."""
+    ls, gs = ["l0", "l1", "l2"], ["g0", "g1", "g2"]
+    up, out = _over_branch(ls), _over_branch(gs)
+    return f"""{level} AS (SELECT node, parent, length, l0, l1, l2, h0, h1, h2, {', '.join(f'{v} AS e{k}' for k, v in enumerate(out))} FROM (
+  SELECT x.node, x.parent, x.length, x.l0, x.l1, x.l2, a.e0 + a.l0 AS h0, a.e1 + a.l1 AS h1, a.e2 + a.l2 AS h2, {', '.join(f'a.e{k} + a.l{k} - u{k} AS g{k}' for k in range(3))} FROM (
+    SELECT *, {', '.join(f'{v} AS u{k}' for k, v in enumerate(up))} FROM (SELECT edges.node, parent, length, coalesce(l0, 0) AS l0, coalesce(l1, 0) AS l1, coalesce(l2, 0) AS l2 FROM edges LEFT JOIN {below} b ON b.node = edges.node WHERE edges.node LIKE '{letter}%' AND edges.node <> 'root') z) x
+  JOIN {above} a ON a.node = x.parent) y)"""
+
+
+_MESSAGES = f"""lf AS (SELECT 'o' || o_orderkey AS node, {LEAF} FROM orders), {_lifted('c1', 'lf')}, {_lifted('c2', 'c1')}, {_lifted('c3', 'c2')}, {_lifted('c4', 'c3')},
+d0 AS (SELECT node, NULL AS parent, NULL::DOUBLE AS length, l0, l1, l2, 0.0 AS h0, 0.0 AS h1, 0.0 AS h2, ln(1.0 / 3) AS e0, ln(1.0 / 3) AS e1, ln(1.0 / 3) AS e2 FROM c4),
+{_lowered('d1', 'r', 'd0', 'c3')}, {_lowered('d2', 'n', 'd1', 'c2')}, {_lowered('d3', 'c', 'd2', 'c1')}, {_lowered('d4', 'o', 'd3', 'lf')},
+every AS (SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3 UNION ALL SELECT * FROM d4)"""
+
+
+def _leaf_states(spark, d):
+    status = F.col("o_orderstatus")
+    return T.read(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.when(status == "F", STATES["F"]).when(status == "O", STATES["O"]).when(status == "P", STATES["P"]).alias("state"))
+
+
+@query(f"""WITH {_MESSAGES}, b AS (SELECT node, e0 + l0 AS b0, e1 + l1 AS b1, e2 + l2 AS b2, greatest(e0 + l0, e1 + l1, e2 + l2) AS top FROM every)
+SELECT node, state, round(exp([b0, b1, b2][state + 1] - top) / (exp(b0 - top) + exp(b1 - top) + exp(b2 - top)), 5) AS p FROM b, (SELECT unnest([0, 1, 2]) AS state)""")
+def node_state_marginals(spark, d):
+    """Posterior of the state of every node of the region tree given all orders."""
+    found = phylogeny.messages(T.edges(spark, d), _leaf_states(spark, d), 3)
+    return phylogeny.node_marginals(found, 3).withColumn("p", F.round("p", 5))
+
+
+_CELLS = " UNION ALL ".join(f"SELECT node, {a} AS a, {b} AS b, h{a} - {_over_branch(['l0', 'l1', 'l2'])[a]} + ln((1 - exp(-length * 1.5)) / 3{' + exp(-length * 1.5)' if a == b else ''}) + l{b} AS w FROM every WHERE parent IS NOT NULL" for a in range(3) for b in range(3))
+
+
+@query(f"""WITH {_MESSAGES}, cells AS ({_CELLS}), t AS (SELECT *, max(w) OVER (PARTITION BY node) AS top FROM cells), p AS (SELECT node, a, b, exp(w - top) / sum(exp(w - top)) OVER (PARTITION BY node) AS p FROM t)
+SELECT substr(node, 1, 1) AS level, a, b, round(sum(p), 2) AS n FROM p GROUP BY 1, 2, 3""")
+def expected_branch_changes(spark, d):
+    """Expected numbers of branches of each level with a state above and one below, given all orders."""
+    found = phylogeny.branch_marginals(phylogeny.messages(T.edges(spark, d), _leaf_states(spark, d), 3), 3)
+    return found.groupBy(F.substring("node", 1, 1).alias("level"), "a", "b").agg(F.round(F.sum("p"), 2).alias("n"))
