@@ -6,6 +6,8 @@ per task precedes every shuffle of counts.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,17 +111,33 @@ def gap_tally(columns: DataFrame, clip: int) -> DataFrame:
 
 
 def bigrams(letters: DataFrame, size: int) -> DataFrame:
-    """n of each pair c1, c2 of neighbouring letters (codes from 0) of strings s; codes ``size`` and ``size + 1`` stand for the begin and the end.
+    """n of each pair c1, c2 of neighbouring letters of strings s: codes from 0 for ``a`` on, ``size`` and ``size + 1`` for the begin and the end.
 
-    Every string is marked at both ends and cut into its pairs where it lies; only their counts move.
-    An empty string has no pairs.
+    Characters that aren't among the first ``size`` lower-case letters are passed over; a string without any of those has no pairs.
+    A task counts its strings' bytes into one table and hands on at most (size + 2)^2 rows.
     """
-    mark = lambda k: F.lit(chr(97 + k))
-    framed = letters.where(F.length("s") > 0).select(F.concat(mark(size), "s", mark(size + 1)).alias("s"))
-    # pairs from even and from odd places
-    twos = F.concat(F.regexp_extract_all("s", F.lit("(..)"), F.lit(1)), F.regexp_extract_all(F.expr("substr(s, 2)"), F.lit("(..)"), F.lit(1)))
-    n = framed.select(F.explode(twos).alias("two")).groupBy("two").agg(F.count("*").alias("n"))
-    return n.select((F.ascii("two") - 97).alias("c1"), (F.ascii(F.substring("two", 2, 1)) - 97).alias("c2"), "n")
+    wide = size + 2
+
+    def run(batches):
+        n = np.zeros(wide * wide, np.int64)
+        for b in batches:
+            texts = b.column(0).drop_null().cast(pa.large_string())
+            if not len(texts):
+                continue
+            _, at, data = texts.buffers()
+            offsets = np.frombuffer(at, np.int64, len(texts) + 1, texts.offset * 8)
+            data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+            kept = np.flatnonzero((data >= 97) & (data < 97 + size))
+            code, row = data[kept].astype(np.int64) - 97, np.searchsorted(offsets - offsets[0], kept, "right")
+            new = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
+            last = np.concatenate([new[1:], [True]])[: len(row)]
+            before = np.where(new, size, np.concatenate([[0], code[:-1]])[: len(code)])
+            n += np.bincount(before * wide + code, minlength=wide * wide) + np.bincount(code[last] * wide + size + 1, minlength=wide * wide)
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array((found // wide).astype(np.int32)), pa.array((found % wide).astype(np.int32)), pa.array(n[found])], ["c1", "c2", "n"])
+
+    made = letters.select("s").mapInArrow(run, "c1 int, c2 int, n long")
+    return made.groupBy("c1", "c2").agg(F.sum("n").alias("n"))
 
 
 def composition(symbols: DataFrame) -> DataFrame:

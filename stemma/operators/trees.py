@@ -42,6 +42,39 @@ def path_distances(pairs: DataFrame, closure: DataFrame) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").select("x", "y", F.array_min(shared).alias("d")).where("d is not null")
 
 
+def root_paths(edges: DataFrame, depth: int) -> DataFrame:
+    """node, path, far: the nodes from the root down to each one, and how far each of them is from the root.
+
+    Levels are joined from the root down, so the small upper ones meet the large ones as the smaller side.  A node below ``depth`` levels is an error.
+    """
+    step = edges.select("node", "parent", F.col("length").cast("double").alias("length"))
+    roots = edges.select(F.col("parent").alias("node")).distinct().join(edges.select("node"), "node", "left_anti")
+    level = roots.select("node", F.array("node").alias("path"), F.array(F.lit(0.0)).alias("far"))
+    out = level
+    for _ in range(depth):
+        above = level.select(F.col("node").alias("parent"), "path", "far")
+        below = step.join(above, "parent")
+        level = below.select("node", F.array_append("path", F.col("node")).alias("path"), F.array_append("far", F.element_at("far", -1) + F.col("length")).alias("far"))
+        out = out.unionAll(level)
+    inner = edges.select(F.col("parent").alias("node"), F.lit(True).alias("inner")).distinct()
+    deep = (F.size("path") > depth) & F.col("inner").isNotNull()
+    return out.join(inner, "node", "left").select("node", F.when(deep, F.raise_error(F.lit(f"a tree has more than {depth} levels"))).otherwise(F.col("path")).alias("path"), "far")
+
+
+def distances_within(members: DataFrame, group: str, node: str, paths: DataFrame, depth: int) -> DataFrame:
+    """group, x, y, d of every two nodes x < y of a group: the way over their last common ancestor.
+
+    Members fetch their paths, of at most ``depth`` + 1 nodes, before they are paired, so that a path is exchanged once a member rather than once a pair.
+    """
+    rows = members.select(F.col(group).alias("_g"), F.col(node).alias("node")).join(paths, "node")
+    left, right = (rows.select("_g", F.col("node").alias(n), F.col("path").alias(f"p{n}"), F.col("far").alias(f"f{n}")) for n in ("x", "y"))
+    # two paths agree as far as they do and never again; level by level, which stays compiled
+    shared = sum((F.coalesce((F.get("px", F.lit(k)) == F.get("py", F.lit(k))).cast("int"), F.lit(0)) for k in range(1, depth + 1)), (F.get("px", F.lit(0)) == F.get("py", F.lit(0))).cast("int"))
+    both = left.join(right, "_g").where("x < y").withColumn("k", shared).where("k > 0")
+    d = F.element_at("fx", -1) + F.element_at("fy", -1) - 2 * F.element_at("fx", F.col("k"))
+    return both.select(F.col("_g").alias(group), "x", "y", d.alias("d"))
+
+
 def total_length(edges: DataFrame, by: str) -> DataFrame:
     return edges.groupBy(by).agg(F.sum("length").alias("total"), F.count("*").alias("edges"))
 

@@ -89,7 +89,7 @@ def gap_tally(spark, d):
 @query("""WITH s AS (SELECT seq_id, pos, c, lag(c, 1, 20) OVER w AS c1, lead(c) OVER w AS nxt FROM symbols WINDOW w AS (PARTITION BY seq_id ORDER BY pos))
 SELECT c1, c2, count(*) AS n FROM (SELECT c1, c AS c2 FROM s UNION ALL SELECT c, 21 FROM s WHERE nxt IS NULL) GROUP BY ALL""")
 def symbol_bigrams(spark, d):
-    return counts.bigrams(T.letters(spark, d), 20)
+    return counts.bigrams(T.read(spark, d, "documents").select(F.lower("text").alias("s")), 20)
 
 
 @query("SELECT seq_id, c, round(count(*) / sum(count(*)) OVER (PARTITION BY seq_id), 9) AS share FROM symbols GROUP BY seq_id, c")
@@ -367,8 +367,11 @@ pr AS (SELECT 'o' || o1.o_orderkey AS x, 'o' || o2.o_orderkey AS y FROM orders o
 lft AS MATERIALIZED (SELECT x, y, anc, dist FROM pr JOIN up ON up.node = x)
 SELECT x, y, round(min(lft.dist + b.dist), 7) AS d FROM lft JOIN up b ON b.node = y AND b.anc = lft.anc GROUP BY x, y""")
 def tree_path_distance(spark, d):
-    pairs = relations.all_pairs(T.pairs(spark, d), "fam", "pair_id").select(F.concat(F.lit("o"), "pair_id_a").alias("x"), F.concat(F.lit("o"), "pair_id_b").alias("y"))
-    return trees.path_distances(pairs, trees.ancestors(T.edges(spark, d), 4)).withColumn("d", F.round("d", 7))
+    """The way over the region tree between every two orders of a customer, the one with the smaller number first."""
+    members = T.pairs(spark, d).select("fam", F.concat(F.lit("o"), "pair_id").alias("node"))
+    found = trees.distances_within(members, "fam", "node", trees.root_paths(T.edges(spark, d), 4), 4)
+    turned = F.substring("x", 2, 20).cast("long") > F.substring("y", 2, 20).cast("long")
+    return found.select(F.when(turned, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(turned, F.col("x")).otherwise(F.col("y")).alias("y"), F.round("d", 7).alias("d"))
 
 
 @query("SELECT substr(node, 1, 1) AS level, round(sum(length), 4) AS total, count(*) AS edges FROM edges GROUP BY 1")
