@@ -54,6 +54,50 @@ def expected_statistics(q: np.ndarray, pi: np.ndarray, t: float, counts: np.ndar
     return np.diag(both).copy(), np.where(np.eye(len(pi)) > 0, 0, both * q)
 
 
+def statistics_of(counts: np.ndarray, times: Sequence[float], q: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(time spent in each state, number of each change) expected of end-point counts (bins, a, b) at the bins' times."""
+    found = [expected_statistics(q, pi, t, n) for t, n in zip(times, counts, strict=True)]
+    return sum(d for d, _ in found), sum(j for _, j in found)
+
+
+def count_tables(counts: DataFrame, bins: int, states: int) -> np.ndarray:
+    """Counts (tau_bin, a, b, n) as (bins, a, b): at most that many rows come to the driver, whatever they were counted from."""
+    out = np.zeros((bins, states, states))
+    for r in counts.select("tau_bin", "a", "b", "n").collect():
+        out[r.tau_bin, r.a, r.b] += r.n
+    return out
+
+
+def fit_exchangeabilities(counts: np.ndarray, times: Sequence[float], pi: np.ndarray | None = None, *, iterations: int = 100, rel_tol: float = 1e-9, regime: str = "reversible", prior: float = 0.0) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(exchangeabilities, stationary distribution, log-likelihoods) of a reversible model by EM over aligned residues.
+
+    ``counts`` (bins, a, b) are of residues at both ends of branches of the bins' ``times``.  An iteration takes the time spent in each
+    state and the number of each change that are expected of all paths between the ends (Holmes and Rubin), and sets s_ab = (changes
+    between a and b + ``prior``) / (time in a times pi_b + time in b times pi_a + ``prior``); ``regime`` "scaled" keeps all
+    exchangeabilities alike and fits their one rate.  The likelihood given ``pi`` (the residues' shares if None) never falls but for the prior.
+    Rates keep the scale of ``times``.
+    """
+    both = counts + counts.transpose(0, 2, 1)
+    pi = both.sum((0, 1)) / both.sum() if pi is None else np.asarray(pi, float)
+    n, trace = len(pi), []
+    s = np.ones((n, n)) - np.eye(n)
+    for _ in range(iterations):
+        q = s * pi
+        np.fill_diagonal(q, -q.sum(1))
+        p = np.array([transition(q, pi, t) for t in times])
+        trace.append(float((both * np.log(np.maximum(pi[:, None] * p, 1e-300))).sum() / 2))
+        if len(trace) > 1 and trace[-1] - trace[-2] < rel_tol * abs(trace[-2]):
+            break
+        dwell, jumps = statistics_of(both, times, q, pi)
+        changes, chance = jumps + jumps.T, dwell[:, None] * pi + dwell * pi[:, None]
+        if regime == "scaled":
+            s = np.full((n, n), (changes.sum() - np.trace(changes)) / (chance.sum() - np.trace(chance)))
+        else:
+            s = (changes + prior) / np.maximum(chance + prior, 1e-300)
+        np.fill_diagonal(s, 0)
+    return s, pi, trace
+
+
 def logs_by_bin(spark, q: np.ndarray, pi: np.ndarray, times: Sequence[float]) -> DataFrame:
     """tau_bin, a, b, logp: joint log-probabilities of aligned residues at each bin's time."""
     rows = [(k, a, b, float(math.log(max(pi[a] * p[a, b], 1e-300)))) for k, t in enumerate(times) for p in [transition(q, pi, t)] for a in range(len(pi)) for b in range(len(pi))]

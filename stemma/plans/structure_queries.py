@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import closures, grammar, markov, pair_times, pairwise, phylogeny, substitution
 from ..sources import tables as T
 from .model_queries import FORWARD, XI
-from .registry import EV, HMM, LEAF, RATES, STATES, _lifted, _paths, query
+from .registry import BINNED, CENTRES_SQL, EDGES, EV, HMM, LEAF, RATES, STATES, _lifted, _paths, match_counts, query
 
 #: A small grammar of nested and chained spans over the three states.
 RULES = [(0, 0, 0, 0.3), (0, 1, 2, 0.3), (2, 0, 1, 1.0)]
@@ -201,3 +201,26 @@ def expected_branch_changes(spark, d):
     """Expected numbers of branches of each level with a state above and one below, given all orders."""
     found = phylogeny.branch_marginals(phylogeny.messages(T.edges(spark, d), _leaf_states(spark, d), 3), 3)
     return found.groupBy(F.substring("node", 1, 1).alias("level"), "a", "b").agg(F.round(F.sum("p"), 2).alias("n"))
+
+
+_CENTRES = [(a * b) ** 0.5 for a, b in zip(EDGES, EDGES[1:], strict=False)]
+_K, _DECAY = "(20.0 / 19)", "exp(-t::DOUBLE * 20 / 19)"
+
+
+@query(f"""WITH {BINNED}, n AS (SELECT tau_bin, a, b, count(*) AS n FROM columns JOIN binned USING (pair_id) WHERE st = 1 GROUP BY ALL), ct AS (SELECT * FROM (VALUES {CENTRES_SQL}) AS v(tau_bin, t)),
+x AS (SELECT n, t, c, CAST(a = c AS INT) - 0.05 AS da, CAST(b = c AS INT) - 0.05 AS db, 0.05 + (CAST(a = b AS INT) - 0.05) * {_DECAY} AS p, {_DECAY} AS z FROM n JOIN ct USING (tau_bin), (SELECT unnest(range(20)) AS c)),
+y AS (SELECT c, n / p AS w, t / 400 + (da + db) / 20 * (1 - z) / {_K} + da * db * t * z AS inside, t / 20 + da * (1 - z) / {_K} AS begun FROM x)
+SELECT CAST(c AS INT) AS state, round(sum(w * inside), 4) AS dwell, round(sum(w * (begun - inside)) / 19, 4) AS changes FROM y GROUP BY c""")
+def expected_substitution_statistics(spark, d):
+    """Time spent in each residue, and changes out of it, expected of all matches under equal rates."""
+    q, pi = substitution.equal_rates(20)
+    dwell, jumps = substitution.statistics_of(substitution.count_tables(match_counts(spark, d), len(_CENTRES), 20), _CENTRES, q, pi)
+    rows = [(k, float(dwell[k]), float(jumps[k].sum())) for k in range(20)]
+    return spark.createDataFrame(rows, "state int, dwell double, changes double").select("state", F.round("dwell", 4).alias("dwell"), F.round("changes", 4).alias("changes"))
+
+
+@query()
+def fitted_exchangeabilities(spark, d):
+    """Exchangeabilities of a reversible model fitted to all matches by EM; its likelihood never falls (tested)."""
+    s, _, _ = substitution.fit_exchangeabilities(substitution.count_tables(match_counts(spark, d), len(_CENTRES), 20), _CENTRES, iterations=20)
+    return spark.createDataFrame([(a, b, float(s[a, b])) for a in range(20) for b in range(a + 1, 20)], "a int, b int, exchange double")
