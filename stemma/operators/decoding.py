@@ -53,16 +53,18 @@ def optimal_accuracy(posteriors: DataFrame, key: str = "pair_id") -> DataFrame:
     return chosen.select(key, F.explode(F.arrays_zip("i", "j", "p")).alias("c")).select(key, "c.i", "c.j", "c.p")
 
 
-def merged_columns(posteriors: DataFrame, threshold: float = 0.5) -> DataFrame:
+def merged_columns(posteriors: DataFrame, threshold: float = 0.5, members: DataFrame | None = None) -> DataFrame:
     """fam, name, pos, col: columns built by taking posteriors (fam, x, i, y, j, p) from the strongest down.
 
+    ``members`` (fam, name, seq) says how long the sequences are; else they end with their last residue that has a posterior.
+
     Two columns merge where no sequence is in both and no cycle of column orders arises.  A family is
     one bounded group, as the merges depend on each other.
     """
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf: pd.DataFrame, sizes: pd.DataFrame | None = None) -> pd.DataFrame:
         group: dict[tuple, tuple] = {}
-        longest: dict = {}
+        longest: dict = {} if sizes is None else {n: k - 1 for n, k in zip(sizes["name"], sizes["n"], strict=True) if k > 0}
         for n, k in [*zip(pdf["x"], pdf["i"], strict=True), *zip(pdf["y"], pdf["j"], strict=True)]:
             longest[n] = max(longest.get(n, -1), k)
         nodes = [(n, k) for n, top in sorted(longest.items()) for k in range(top + 1)]
@@ -105,7 +107,11 @@ def merged_columns(posteriors: DataFrame, threshold: float = 0.5) -> DataFrame:
             ready.sort()
         return pd.DataFrame([(key[0], n, k, number[group[n, k]]) for n, k in nodes], columns=["fam", "name", "pos", "col"])
 
-    return posteriors.groupBy("fam").applyInPandas(run, "fam long, name long, pos int, col int")
+    schema = "fam long, name long, pos int, col int"
+    if members is None:
+        return posteriors.groupBy("fam").applyInPandas(run, schema)
+    sizes = members.select("fam", "name", F.size("seq").alias("n")).groupBy("fam")
+    return posteriors.groupBy("fam").cogroup(sizes).applyInPandas(lambda key, pdf, sizes: run(key, pdf, sizes), schema)
 
 
 def aligned_families(members: DataFrame, trans: np.ndarray, emit: np.ndarray, background: np.ndarray, threshold: float = 0.5) -> DataFrame:
@@ -118,7 +124,7 @@ def aligned_families(members: DataFrame, trans: np.ndarray, emit: np.ndarray, ba
     right = members.select("fam", F.col("name").alias("name_b"), F.col("seq").alias("y"))
     both = left.join(right, "fam").where("name_a < name_b").withColumn("pair_id", F.monotonically_increasing_id())
     pairs = stored(both.where("size(x) > 0 and size(y) > 0"), "family-pairs")
-    cells = pairwise.match_posteriors(pairs, trans, emit, background, threshold=0.0).join(pairs.select("pair_id", "fam", "name_a", "name_b"), "pair_id")
-    merged = stored(merged_columns(cells.select("fam", F.col("name_a").alias("x"), "i", F.col("name_b").alias("y"), "j", "p"), threshold), "family-columns")
+    cells = pairwise.match_posteriors(pairs, trans, emit, background, threshold=threshold).join(pairs.select("pair_id", "fam", "name_a", "name_b"), "pair_id")
+    merged = stored(merged_columns(cells.select("fam", F.col("name_a").alias("x"), "i", F.col("name_b").alias("y"), "j", "p"), threshold, members), "family-columns")
     alone = members.join(merged.select("fam", "name").distinct(), ["fam", "name"], "left_anti").select("fam", "name", F.posexplode("seq").alias("pos", "_")).select("fam", "name", "pos", F.col("pos").alias("col"))
     return merged.unionByName(alone)

@@ -109,13 +109,24 @@ def match_posteriors(pairs: DataFrame, model: Model, *, threshold: float = 0.01,
     return pairs.select("pair_id", "x", "y").mapInPandas(run, "pair_id long, i int, j int, p double, t double")
 
 
-def distances(members: DataFrame, model: Model, **fit) -> DataFrame:
-    """fam, x, y, d: the fitted time of each pair x < y of a family's sequences (fam, name, seq).
+def member_pairs(members: DataFrame) -> DataFrame:
+    """pair_id, fam, x_name, y_name, x, y of every two sequences of a family (fam, name, seq), x_name < y_name; stored.
 
     All pairs of a family are asked for, so rows grow as the square of its size; they are dealt out evenly, whatever their family.
     """
     left = members.select("fam", F.col("name").alias("x_name"), F.col("seq").alias("x"))
     right = members.select("fam", F.col("name").alias("y_name"), F.col("seq").alias("y"))
-    both = stored(left.join(right, "fam").where("x_name < y_name").withColumn("pair_id", F.monotonically_increasing_id()), "sequence_pairs")
+    return stored(left.join(right, "fam").where("x_name < y_name").withColumn("pair_id", F.monotonically_increasing_id()), "sequence_pairs")
+
+
+def member_posteriors(members: DataFrame, model: Model, **fit) -> DataFrame:
+    """fam, x, i, y, j, p: match posteriors of every two members of a family at their fitted time."""
+    both = member_pairs(members)
+    return match_posteriors(both, model, **fit).join(both.select("pair_id", "fam", "x_name", "y_name"), "pair_id").select("fam", F.col("x_name").alias("x"), "i", F.col("y_name").alias("y"), "j", "p")
+
+
+def distances(members: DataFrame, model: Model, **fit) -> DataFrame:
+    """fam, x, y, d: the fitted time of each pair x < y of a family's sequences (fam, name, seq)."""
+    both = member_pairs(members)
     found = pair_times(both, model, **fit)
     return both.join(found, "pair_id").select("fam", F.col("x_name").alias("x"), F.col("y_name").alias("y"), F.col("t").alias("d"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import closures, grammar, markov, pair_times, pairwise, phylogeny, substitution
+from ..operators import annealing, closures, grammar, markov, pair_times, pairwise, phylogeny, substitution
 from ..sources import tables as T
 from .model_queries import FORWARD, XI
 from .registry import BINNED, CENTRES_SQL, EDGES, EV, HMM, LEAF, RATES, STATES, _lifted, _paths, match_counts, query
@@ -224,3 +224,11 @@ def fitted_exchangeabilities(spark, d):
     """Exchangeabilities of a reversible model fitted to all matches by EM; its likelihood never falls (tested)."""
     s, _, _ = substitution.fit_exchangeabilities(substitution.count_tables(match_counts(spark, d), len(_CENTRES), 20), _CENTRES, iterations=20)
     return spark.createDataFrame([(a, b, float(s[a, b])) for a in range(20) for b in range(a + 1, 20)], "a int, b int, exchange double")
+
+
+@query()
+def annealed_alignments(spark, d):
+    """Each family's first rows aligned from scratch: pairs' posteriors at their own fitted times, annealed and refined."""
+    rows = pairwise.ungapped(T.columns(spark, d)).join(T.pairs(spark, d), "pair_id").where("size(x) > 0")
+    members = rows.select("fam", F.col("pair_id").alias("name"), F.col("x").alias("seq"))
+    return annealing.annealed_families(members, pair_times.member_posteriors(members, _fitted_model(), threshold=0.01))
