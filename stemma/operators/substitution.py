@@ -147,6 +147,46 @@ def site_rates(edges: DataFrame, leaves: DataFrame, rates: Sequence[float], stat
     return out.withColumn("weight", e / F.sum(e).over(w))
 
 
+def column_classes(edges: DataFrame, leaves: DataFrame, rates: Sequence[float], states: int, root: str) -> DataFrame:
+    """col, k, logp: the log-probability of each column's leaf states (col, node, state) below ``root`` at each class's rate.
+
+    All columns and classes go through the tree together, a row for each at every node.
+    """
+    classes = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(r)).alias("speed")) for k, r in enumerate(rates)))).alias("c")
+    cases = leaves.select("col", "node", "state", classes).select("col", "node", "state", "c.k", "c.speed")
+    below = phylogeny.pruning(edges, cases, states, by=["col", "k", "speed"], speed="speed").where(F.col("node") == root)
+    cols = [f"l{s}" for s in range(states)]
+    top = F.greatest(*cols)
+    total = sum((F.exp(F.col(c) - top) for c in cols[1:]), F.exp(F.col(cols[0]) - top))
+    return below.select("col", "k", (top + F.log(total / states)).alias("logp"))
+
+
+def class_posteriors(logs: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """col, k, p, likeliest (the class of greatest posterior, the first of equals) and lse of each column, given classes' weights."""
+    w = Window.partitionBy("col")
+    prior = F.get(F.array(*(F.lit(math.log(max(v, 1e-300))) for v in weights)), F.col("k"))
+    scored = logs.select("col", "k", (F.col("logp") + prior).alias("s")).withColumn("top", F.max("s").over(w))
+    scored = scored.withColumn("total", F.sum(F.exp(F.col("s") - F.col("top"))).over(w))
+    best = F.min(F.when(F.col("s") == F.col("top"), F.col("k"))).over(w)
+    return scored.select("col", "k", (F.exp(F.col("s") - F.col("top")) / F.col("total")).alias("p"), best.alias("likeliest"), (F.col("top") + F.log("total")).alias("lse"))
+
+
+def fit_class_weights(logs: DataFrame, classes: int, *, iterations: int = 50, rel_tol: float = 1e-8) -> tuple[list[float], list[float]]:
+    """(weights, log-likelihoods) of a mixture of classes over columns, by EM: each iteration is one aggregate, a number a class."""
+    weights, trace = [1 / classes] * classes, []
+    for _ in range(iterations):
+        found = class_posteriors(logs, weights)
+        sums = found.agg(F.sum(F.when(F.col("k") == 0, F.col("lse"))).alias("ll"), *(F.sum(F.when(F.col("k") == k, F.col("p")).otherwise(0.0)).alias(f"n{k}") for k in range(classes))).first()
+        if sums["ll"] is None:
+            break
+        trace.append(sums["ll"])
+        total = sum(sums[f"n{k}"] for k in range(classes))
+        weights = [sums[f"n{k}"] / total for k in range(classes)]
+        if len(trace) > 1 and trace[-1] - trace[-2] < rel_tol * abs(trace[-2]):
+            break
+    return weights, trace
+
+
 def root_states(likelihoods: DataFrame, states: int) -> DataFrame:
     """node, state, p: the marginal posterior of every node whose likelihoods (l0 ...) are of all that is below it."""
     cols = [f"l{s}" for s in range(states)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import annealing, closures, grammar, markov, pair_times, pairwise, phylogeny, substitution
 from ..sources import tables as T
 from .model_queries import FORWARD, XI
-from .registry import BINNED, CENTRES_SQL, EDGES, EV, HMM, LEAF, RATES, STATES, _lifted, _paths, match_counts, query
+from .registry import BINNED, CENTRES_SQL, EDGES, EV, GAMMA, HMM, LEAF, RATES, STATES, _lifted, _paths, match_counts, query
 
 #: A small grammar of nested and chained spans over the three states.
 RULES = [(0, 0, 0, 0.3), (0, 1, 2, 0.3), (2, 0, 1, 1.0)]
@@ -232,3 +232,34 @@ def annealed_alignments(spark, d):
     rows = pairwise.ungapped(T.columns(spark, d)).join(T.pairs(spark, d), "pair_id").where("size(x) > 0")
     members = rows.select("fam", F.col("pair_id").alias("name"), F.col("x").alias("seq"))
     return annealing.annealed_families(members, pair_times.member_posteriors(members, _fitted_model(), threshold=0.01))
+
+
+def _column_classes(spark, d):
+    """The states of the orders' columns at each position, under four discrete-gamma rates."""
+    leaves = T.columns(spark, d).select(F.col("pos").alias("col"), F.concat(F.lit("o"), "pair_id").alias("node"), (F.col("st") - 1).alias("state"))
+    return substitution.column_classes(T.edges(spark, d), leaves, GAMMA, 3, "root")
+
+
+def _rated_columns(level: str, below: str) -> str:
+    """SQL of one pruning level for every column and rate at once."""
+    to = ", ".join(f"sum({v}) AS l{k}" for k, v in enumerate(_over_branch(["l0", "l1", "l2"])))
+    return f"{level} AS (SELECT col, k, speed, node, {to} FROM (SELECT b.col, b.k, b.speed, parent AS node, edges.length * b.speed AS length, l0, l1, l2 FROM {below} b JOIN edges ON edges.node = b.node) GROUP BY 1, 2, 3, 4)"
+
+
+@query(f"""WITH lc AS (SELECT pos AS col, k, speed, 'o' || pair_id AS node, {', '.join(f'CASE WHEN st = {s + 1} THEN 0.0 ELSE -1e30 END AS l{s}' for s in range(3))} FROM columns, {_values([(k, float(r)) for k, r in enumerate(GAMMA)], 'k, speed')}),
+{_rated_columns('b1', 'lc')}, {_rated_columns('b2', 'b1')}, {_rated_columns('b3', 'b2')}, {_rated_columns('b4', 'b3')},
+g AS (SELECT col, k, greatest(l0, l1, l2) + ln((exp(l0 - greatest(l0, l1, l2)) + exp(l1 - greatest(l0, l1, l2)) + exp(l2 - greatest(l0, l1, l2))) / 3) AS logp FROM b4 WHERE node = 'root'),
+t AS (SELECT *, max(logp) OVER (PARTITION BY col) AS top FROM g)
+SELECT col, k, round(exp(logp - top) / sum(exp(logp - top)) OVER (PARTITION BY col), 5) AS p, CAST(min(CASE WHEN logp = top THEN k END) OVER (PARTITION BY col) AS INT) AS likeliest FROM t""")
+def column_rate_posteriors(spark, d):
+    """Posterior of four equally likely rates for each column of the orders' states on the region tree, and the likeliest one."""
+    return substitution.class_posteriors(_column_classes(spark, d), [0.25] * 4).select("col", "k", F.round("p", 5).alias("p"), "likeliest")
+
+
+@query()
+def fitted_rate_weights(spark, d):
+    """Weights of the four rates over all columns by EM; its likelihood never falls (tested)."""
+    from ..functions.storage import stored
+
+    weights, _ = substitution.fit_class_weights(stored(_column_classes(spark, d), "column_classes"), 4)
+    return spark.createDataFrame([(k, float(r), float(w)) for k, (r, w) in enumerate(zip(GAMMA, weights, strict=True))], "k int, rate double, weight double")
