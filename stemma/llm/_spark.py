@@ -72,4 +72,4 @@ def whole_rows(sample: DataFrame, kind: str, order: list[str], size: str, most:
     w = Window.partitionBy(kind).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     keys = [kind, *order]
     kept = sample.where(F.col(size) <= most).select(*keys, F.sum(size).over(w).alias("_sum")).where(F.col("_sum") <= most).drop("_sum")
-    return sample.join(kept, keys, "left_semi")
+    return sample.join(kept, keys, "left_semi").select(sample.columns)  # a join by names puts those first
