@@ -36,20 +36,26 @@ def gaussian_scores(points: DataFrame, centres: list[list[float]], log_weights:
 def gaussian_em(points: DataFrame, dim: int, k: int, *, variance: float = 1.0, iterations: int = 5) -> tuple[list[list[float]], list[float], list[float]]:
     """(centres, log weights, log-likelihoods) of a spherical mixture by EM.
 
-    The E-step's sums, k * dim numbers, are all that reaches the driver in an iteration.
+    An iteration is one pass: each vector weighs itself by its responsibilities in its own row, and the E-step's sums, k * (dim + 2)
+    numbers, are all that is exchanged and reaches the driver.  A null component counts as in any sum: not at all.
     """
     first = points.orderBy("vec_id").limit(k).collect()
     centres, logw, trace = [list(map(float, r.embedding)) for r in first], [-math.log(k)] * k, []
     for _ in range(iterations):
-        r = soft_responsibilities(gaussian_scores(points, centres, logw, variance), "vec_id")
-        joined = r.join(points.select("vec_id", F.posexplode("embedding").alias("d", "x")), "vec_id")
-        sums = joined.groupBy("k", "d").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("x")).alias("wx")).collect()
-        trace.append(r.select("vec_id", "lse").distinct().agg(F.sum("lse")).first()[0])
-        total = sum(s.n for s in sums if s.d == 0)
+        scores = []
+        for c, w in zip(centres, logw, strict=True):
+            centre = F.array(*map(F.lit, c))
+            square = F.aggregate(F.zip_with("embedding", centre, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+            scores.append(F.lit(w) - square / (2 * variance))
+        rows = points.select("embedding", F.array(*scores).alias("s")).withColumn("top", F.array_max("s"))
+        rows = rows.withColumn("e", F.transform("s", lambda x: F.exp(x - F.col("top")))).withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
+        each = rows.select("embedding", (F.col("top") + F.log("total")).alias("lse"), F.posexplode(F.transform("e", lambda x: x / F.col("total"))).alias("k", "w"))
+        sums = each.groupBy("k").agg(F.sum("w").alias("n"), F.sum("lse").alias("lse"), F.array(*(F.sum(F.col("w") * F.get("embedding", F.lit(j))) for j in range(dim))).alias("wx")).collect()
+        trace.append(next(iter(sums)).lse if sums else 0.0)
+        total = sum(s.n for s in sums)
         for s in sums:
-            centres[s.k][s.d] = s.wx / max(s.n, 1e-12)
-            if s.d == 0:
-                logw[s.k] = math.log(max(s.n, 1e-12) / total)
+            centres[s.k] = [x / max(s.n, 1e-12) for x in s.wx]
+            logw[s.k] = math.log(max(s.n, 1e-12) / total)
     return centres, logw, trace
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import annealing, closures, grammar, markov, pair_times, pairwise, phylogeny, substitution
+from ..operators import annealing, closures, grammar, markov, minimise, pair_times, pairwise, phylogeny, substitution
 from ..sources import tables as T
 from .model_queries import FORWARD, XI
 from .registry import BINNED, CENTRES_SQL, EDGES, EV, GAMMA, HMM, LEAF, RATES, STATES, _lifted, _paths, match_counts, query
@@ -263,3 +263,27 @@ def fitted_rate_weights(spark, d):
 
     weights, _ = substitution.fit_class_weights(stored(_column_classes(spark, d), "column_classes"), 4)
     return spark.createDataFrame([(k, float(r), float(w)) for k, (r, w) in enumerate(zip(GAMMA, weights, strict=True))], "k int, rate double, weight double")
+
+
+def _suffix_grammar(spark, d):
+    """A nonterminal for what is left of each pair's states from each column on, and one for each state."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("pair_id").orderBy("pos")
+    name = lambda pos: F.concat_ws(":", "pair_id", pos)
+    rows = T.columns(spark, d).select("pair_id", "pos", "st", F.lead("pos").over(w).alias("next"))
+    rules = rows.where("next is not null").select(name("pos").alias("lhs"), F.concat(F.lit("s"), "st").alias("left"), name("next").alias("right"), F.lit(1.0).alias("w"))
+    ends = rows.where("next is null").select(name("pos").alias("lhs"), F.col("st").alias("x"), F.lit(1.0).alias("w"))
+    states = spark.createDataFrame([(f"s{k}", k, 1.0) for k in (1, 2, 3)], "lhs string, x int, w double")
+    return rules, ends.unionAll(states)
+
+
+@query("""WITH s AS (SELECT pair_id, pos, string_agg(CAST(st AS VARCHAR), '') OVER (PARTITION BY pair_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM columns)
+SELECT count(*) + 3 AS nonterminals, (SELECT count(DISTINCT rest) FROM (SELECT rest FROM s UNION ALL SELECT CAST(k AS VARCHAR) FROM (SELECT unnest([1, 2, 3]) AS k))) AS blocks, count(*) AS rules, (SELECT count(DISTINCT rest) FROM s WHERE length(rest) > 1) AS block_rules FROM s WHERE length(rest) > 0""".replace("count(*) AS rules", "count(*) FILTER (length(rest) > 1) AS rules"))
+def minimal_suffix_grammar(spark, d):
+    """How many nonterminals and rules are left when those with the same derivations become one: of all pairs' state strings, the distinct ends."""
+    rules, emissions = _suffix_grammar(spark, d)
+    made = minimise.blocks(rules, emissions)
+    small, _ = minimise.quotient(rules, emissions, made)
+    sizes = made.agg(F.count("*").alias("nonterminals"), F.countDistinct("block").alias("blocks"))
+    return sizes.join(rules.agg(F.count("*").alias("rules"))).join(small.agg(F.count("*").alias("block_rules")))  # a row each
