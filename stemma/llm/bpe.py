@@ -11,7 +11,8 @@ decoding joins to the ids in every task.
 
 Defined results: a null or empty text has no ids and decodes to the empty string; repeated rows are
 encoded one by one, and dealt to blocks by their places, so that copies don't meet in one; an empty
-table gives no rows; there are no ties; columns other than the id and text are ignored.
+table gives no rows; there are no ties; columns other than the id and text are ignored.  A text of any length is
+encoded whole, one above 1 MB as a slice of its own.
 """
 
 from __future__ import annotations

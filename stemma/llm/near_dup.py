@@ -14,7 +14,8 @@ over and over.  A child reports links as a forest, never all of its pairs.
 Defined results: a null text, and one without words, has an empty set and is linked with nothing;
 with fewer words than a shingle the whole sequence is one; a row with a null id has the greatest id,
 takes the component of the documents it equals or is linked to, and null where none of them has an
-id, in which case it is kept; equal ids are separate rows.
+id, in which case it is kept; equal ids are separate rows.  Repeated rows each have their own; an empty table gives no rows; other columns are ignored, whatever
+their names.  A text above 1 MB is a slice of its own, which takes about 60 bytes of memory a letter; all of its shingles count.
 """
 
 from __future__ import annotations

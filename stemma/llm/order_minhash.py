@@ -10,7 +10,8 @@ Defined results: a text shorter than k is one k-mer; an empty or null text selec
 selection that is empty in both texts doesn't count; two empty texts have likeness 1.0, an empty and
 a nonempty one 0.0.  Rows with equal ids are ordered by their texts.  A null id sorts first.  Rows equal
 in id and text follow one another and are judged one by one, all in one task; an empty table gives no rows;
-columns other than the id and text are ignored.
+columns other than the id and text are ignored.  A text above 1 MB is a slice of its own, which takes about
+150 bytes of memory a letter; all of its k-mers count.
 """
 
 from __future__ import annotations

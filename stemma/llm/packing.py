@@ -8,7 +8,8 @@ to groups of about ``group_pieces`` by a hash, so groups are bounded and indepen
 few sequences part filled, out of thousands.
 
 Defined results: a null or empty text is the end token alone; equal pieces are taken by id and piece
-number; repeated rows are packed one by one; an empty table gives no sequence.
+number; repeated rows are packed one by one; an empty table gives no sequence.  Texts of any length are encoded and cut into pieces whole; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,10 +14,12 @@ LISTED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all ``documents`` for toxicity, by classifiers learned from the labels of those that aren't held out."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all ``documents`` linked by a similarity of 0.85 of their sets of five-word shingles."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
@@ -34,6 +36,7 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id, doc_id = mi
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` without the words that 50-word windows of earlier ones cover."""
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
@@ -49,10 +52,12 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_r
 
 
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts of all ``documents``, by a line labeller learned from the quality labels."""
     return line_crf.line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all ``documents`` by the 49k word vocabulary, and the texts decoded from them."""
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
@@ -63,6 +68,7 @@ def listed_urls(pages: DataFrame) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all ``pages``: the literal rules, else a list of blocked URLs."""
     pages = table(spark, sf_dir, "pages")
     return url_filter.filter_urls(pages, listed_urls(pages), RULES)
 
@@ -85,6 +91,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` without the bytes that 200-byte strings occurring twice cover."""
     return suffix_dedup.remove_substrings(table(spark, sf_dir, "documents"))
 
 
@@ -101,14 +108,17 @@ SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all ``documents``, by profiles of those that aren't held out."""
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents``' tokens packed into sequences of at most 2,048."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all ``documents`` and of their edited texts, and how alike they are."""
     return order_minhash.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
@@ -139,7 +149,8 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP13_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
--]')) AS piece FROM d),
+-
+]')) AS piece FROM d),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p),
 f AS (SELECT lang, size, array_to_string(ws[i : i + size - 1], ' ') AS phrase, count(*) AS f
       FROM (SELECT lang, ws, size, unnest(generate_series(1, len(ws) - size + 1)) AS i FROM w, (SELECT unnest(range(1, 6)) AS size)) GROUP BY ALL HAVING count(*) >= 100),

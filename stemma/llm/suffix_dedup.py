@@ -10,7 +10,9 @@ its whole super-k-mer occurs twice.
 
 Defined results: a null text is empty; a text below ``size`` bytes keeps all of them; repeated rows
 are each other's copies; a null id comes back null.  Removal is bytewise, so a kept text may begin
-or end inside a character; ``texts=True`` widens cuts to whole characters.
+or end inside a character; ``texts=True`` widens cuts to whole characters.  An empty table gives no
+rows (``clean_texts``: keeps its columns); other columns are ignored, or passed on by ``clean_texts``, whatever their names.  A text above 1 MB
+is a slice of its own, which takes about 60 bytes of memory a letter; all of its strings count.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ the exact hash join with the list, which removes the false positives.  Building,
 are built-in column functions throughout.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, fits no rule and is
-listed only if the list holds the empty string; null entries of the list are dropped; listed URLs may repeat; rows may repeat and are judged one by one.
+listed only if the list holds the empty string; null entries of the list are dropped; listed URLs may repeat; rows may repeat and are judged one by one.  An empty table gives no rows; of
+clashing rules the longest wins; a URL of any length is taken whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
