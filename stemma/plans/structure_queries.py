@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import annealing, closures, grammar, markov, minimise, pair_times, pairwise, phylogeny, substitution
+from ..operators import annealing, beam, closures, grammar, markov, minimise, pair_times, pairwise, phylogeny, substitution
 from ..sources import tables as T
 from .model_queries import FORWARD, XI
-from .registry import BINNED, CENTRES_SQL, EDGES, EV, GAMMA, HMM, LEAF, RATES, STATES, _lifted, _paths, match_counts, query
+from .registry import BINNED, CENTRES_SQL, EDGES, EV, GAMMA, HMM, LEAF, RATES, STATES, _lifted, _paths, match_counts, pair_sql, query
 
 #: A small grammar of nested and chained spans over the three states.
 RULES = [(0, 0, 0, 0.3), (0, 1, 2, 0.3), (2, 0, 1, 1.0)]
@@ -287,3 +287,10 @@ def minimal_suffix_grammar(spark, d):
     small, _ = minimise.quotient(rules, emissions, made)
     sizes = made.agg(F.count("*").alias("nonterminals"), F.countDistinct("block").alias("blocks"))
     return sizes.join(rules.agg(F.count("*").alias("rules"))).join(small.agg(F.count("*").alias("block_rules")))  # a row each
+
+
+@query(pair_sql(best=False))
+def beam_pair_logliks(spark, d):
+    """Each pair's log-probability over a beam of 60 nats, which leaves out nothing that shows in six decimals."""
+    rows = beam.pair_likelihoods(pairwise.ungapped(T.columns(spark, d)), *pairwise.model_arrays(*RATES[:2], 1.0, RATES[2], 20), width=60.0)
+    return rows.select("pair_id", F.round("loglik", 6).alias("loglik"))

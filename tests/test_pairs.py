@@ -5,7 +5,7 @@ import resource
 import numpy as np
 import pytest
 
-from stemma.operators import banded, pair_times, pairwise, phylogeny, simulate, substitution
+from stemma.operators import banded, beam, pair_times, pairwise, phylogeny, simulate, substitution
 
 RATES = (0.05, 0.07, 0.3)
 
@@ -119,3 +119,22 @@ def test_a_band_of_long_sequences_takes_little_memory():
     n = np.array([5000])
     got = banded.log_totals(trans, emit, single, x, y, n, n, np.arange(5001)[None], 32)
     assert -40_000 < got[0] < 0 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
+def test_beams(spark):
+    """An endless beam is the whole total, narrower ones never exceed it or a wider one, and a long pair keeps few cells."""
+    trans, emit, single = pairwise.model_arrays(*RATES[:2], 0.8, RATES[2], 4)
+    rng = np.random.default_rng(11)
+    pairs = [(k, rng.integers(0, 4, rng.integers(0, 12)).tolist(), rng.integers(0, 4, rng.integers(0, 12)).tolist()) for k in range(40)]
+    df = spark.createDataFrame(pairs, "pair_id long, x array<int>, y array<int>").coalesce(1)
+    whole = {r.pair_id: r.loglik for r in pairwise.pair_likelihoods(df, trans, emit, single).collect()}
+    before = None
+    for width in (0.5, 3.0, 8.0, np.inf):
+        got = {r.pair_id: r.loglik for r in beam.pair_likelihoods(df, trans, emit, single, width).collect()}
+        assert all(got[k] <= whole[k] + 1e-9 and (before is None or got[k] >= before[k] - 1e-9) for k in whole)
+        before = got
+    assert got == pytest.approx(whole)
+    x = rng.integers(0, 4, 3000)
+    y = np.where(rng.random(3000) < 0.1, rng.integers(0, 4, 3000), x)
+    narrow, wide = (beam.log_total(trans, emit, single, x, y, w) for w in (15.0, 25.0))
+    assert narrow[1] < 3000 * 60 and narrow[0] <= wide[0] <= narrow[0] + 0.01
