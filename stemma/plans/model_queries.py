@@ -295,7 +295,7 @@ def family_alignments(spark, d):
 
 @query(f"WITH {EV}, {FORWARD} SELECT pair_id, pos, round(exp(s0 + b0 - ll), 9) AS p0, round(exp(s1 + b1 - ll), 9) AS p1, round(ll, 7) AS loglik FROM fw JOIN bw USING (pair_id, pos) JOIN tot USING (pair_id)")
 def blocked_state_posteriors(spark, d):
-    """The posteriors of ``state_posteriors`` by scans over blocks of 64 columns, which a sequence may span."""
+    """The posteriors of ``state_posteriors`` by scans over blocks of columns, which a sequence may span; tests go down to blocks of 5."""
     rows = T.columns(spark, d).select("pair_id", "pos", (F.col("st") - 1).alias("x"))
-    found = scans.state_posteriors(rows, "pair_id", "pos", "x", *HMM, block=64)
+    found = scans.state_posteriors(rows, "pair_id", "pos", "x", *HMM, block=4096)
     return found.select("pair_id", "pos", F.round(F.col("posteriors")[0], 9).alias("p0"), F.round(F.col("posteriors")[1], 9).alias("p1"), F.round("loglik", 7).alias("loglik"))
