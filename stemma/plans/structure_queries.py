@@ -294,3 +294,27 @@ def beam_pair_logliks(spark, d):
     """Each pair's log-probability over a beam of 60 nats, which leaves out nothing that shows in six decimals."""
     rows = beam.pair_likelihoods(pairwise.ungapped(T.columns(spark, d)), *pairwise.model_arrays(*RATES[:2], 1.0, RATES[2], 20), width=60.0)
     return rows.select("pair_id", F.round("loglik", 6).alias("loglik"))
+
+
+_STAY, _MOVE = "ln((1 - exp(-length * 1.5)) / 3 + exp(-length * 1.5))", "ln((1 - exp(-length * 1.5)) / 3)"
+
+
+def _best_up(level: str, below: str) -> str:
+    to = ", ".join(f"sum(greatest(l{k} + {_STAY}, greatest(l0, l1, l2) + {_MOVE})) AS l{k}" for k in range(3))
+    return f"{level} AS (SELECT parent AS node, {to} FROM {below} JOIN edges USING (node) GROUP BY 1)"
+
+
+_LEAST = "CASE WHEN round(l0, 9) >= greatest(round(l1, 9), round(l2, 9)) THEN 0 WHEN round(l1, 9) >= round(l2, 9) THEN 1 ELSE 2 END"
+
+
+def _best_down(level: str, letter: str, above: str, below: str) -> str:
+    return f"""{level} AS (SELECT node, CASE WHEN round([l0, l1, l2][above + 1] + {_STAY}, 9) >= round(greatest(l0, l1, l2) + {_MOVE}, 9) THEN above ELSE {_LEAST} END AS state FROM (
+  SELECT edges.node, length, a.state AS above, coalesce(l0, 0) AS l0, coalesce(l1, 0) AS l1, coalesce(l2, 0) AS l2 FROM edges LEFT JOIN {below} b ON b.node = edges.node JOIN {above} a ON a.node = edges.parent WHERE edges.node LIKE '{letter}%' AND edges.node <> 'root'))"""
+
+
+@query(f"""WITH lf AS (SELECT 'o' || o_orderkey AS node, {LEAF} FROM orders), {_best_up('c1', 'lf')}, {_best_up('c2', 'c1')}, {_best_up('c3', 'c2')}, {_best_up('c4', 'c3')},
+d0 AS (SELECT node, {_LEAST} AS state FROM c4), {_best_down('d1', 'r', 'd0', 'c3')}, {_best_down('d2', 'n', 'd1', 'c2')}, {_best_down('d3', 'c', 'd2', 'c1')}, {_best_down('d4', 'o', 'd3', 'lf')}
+SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3 UNION ALL SELECT * FROM d4""")
+def likeliest_node_states(spark, d):
+    """The likeliest states of all nodes of the region tree together, given all orders."""
+    return phylogeny.likeliest_states(T.edges(spark, d), _leaf_states(spark, d), 3).select("node", "state")
