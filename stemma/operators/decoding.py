@@ -109,7 +109,7 @@ def merged_columns(posteriors: DataFrame, threshold: float = 0.5, members: DataF
 
     schema = "fam long, name long, pos int, col int"
     if members is None:
-        return posteriors.groupBy("fam").applyInPandas(run, schema)
+        return posteriors.groupBy("fam").applyInPandas(lambda key, pdf: run(key, pdf), schema)
     sizes = members.select("fam", "name", F.size("seq").alias("n")).groupBy("fam")
     return posteriors.groupBy("fam").cogroup(sizes).applyInPandas(lambda key, pdf, sizes: run(key, pdf, sizes), schema)
 
