@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import annealing, beam, closures, grammar, markov, minimise, pair_times, pairwise, phylogeny, substitution
+from ..operators import annealing, beam, closures, em, grammar, markov, minimise, pair_times, pairwise, phylogeny, substitution
 from ..sources import tables as T
 from .model_queries import FORWARD, XI
 from .registry import BINNED, CENTRES_SQL, EDGES, EV, GAMMA, HMM, LEAF, RATES, STATES, _lifted, _paths, match_counts, pair_sql, query
@@ -318,3 +318,14 @@ SELECT * FROM d0 UNION ALL SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL
 def likeliest_node_states(spark, d):
     """The likeliest states of all nodes of the region tree together, given all orders."""
     return phylogeny.likeliest_states(T.edges(spark, d), _leaf_states(spark, d), 3).select("node", "state")
+
+
+@query()
+def hidden_markov_em(spark, d):
+    """Emissions and transitions of a two-state model fitted to all pairs' states; its likelihood never falls (tested)."""
+    from ..functions.storage import stored
+
+    rows = stored(_strings(spark, d), "hidden_markov")
+    (_, moves, shown), _ = em.fit(rows, em.HiddenMarkov(2, 3), tuple(np.array(v) for v in HMM), iterations=15)
+    cells = [("move", a, b, float(moves[a, b])) for a in range(2) for b in range(2)] + [("show", a, x, float(shown[a, x])) for a in range(2) for x in range(3)]
+    return spark.createDataFrame(cells, "kind string, state int, other int, p double")
