@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import annealing, beam, closures, em, grammar, markov, minimise, pair_times, pairwise, phylogeny, substitution
+from ..operators import annealing, beam, closures, em, grammar, markov, minimise, pair_times, pairwise, phylogeny, substitution, unaligned
 from ..sources import tables as T
 from .model_queries import FORWARD, XI
 from .registry import BINNED, CENTRES_SQL, EDGES, EV, GAMMA, HMM, LEAF, RATES, STATES, _lifted, _paths, match_counts, pair_sql, query
@@ -329,3 +329,12 @@ def hidden_markov_em(spark, d):
     (_, moves, shown), _ = em.fit(rows, em.HiddenMarkov(2, 3), tuple(np.array(v) for v in HMM), iterations=15)
     cells = [("move", a, b, float(moves[a, b])) for a in range(2) for b in range(2)] + [("show", a, x, float(shown[a, x])) for a in range(2) for x in range(3)]
     return spark.createDataFrame(cells, "kind string, state int, other int, p double")
+
+
+@query()
+def unaligned_fragment_rates(spark, d):
+    """Rates of the fragment model from all pairs without their alignments; the log-probability never falls (tested)."""
+    from ..functions.storage import stored
+
+    (lam, mu, ext), trace = unaligned.fit(stored(pairwise.ungapped(T.columns(spark, d)), "unaligned"), 1.0, 20, start=RATES, iterations=4)
+    return spark.createDataFrame([(lam, mu, ext, float(trace[-1]))], "lam double, mu double, ext double, loglik double")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import quadratic_rates
 from ..functions.storage import scratch
-from ..operators import mixture
+from ..operators import mixture, unaligned
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -130,3 +130,26 @@ def link_rates(stream: DataFrame, pairs: int, folder: str, *, start: tuple[float
 
     schema = "lam double, mu double, " + ", ".join(f"{c} double" for c in mixture.STATISTICS)
     return stepped(stream, folder, schema, {"lam": start[0], "mu": start[1], **dict.fromkeys(mixture.STATISTICS, 0.0)}, step)
+
+
+def unaligned_rates(stream: DataFrame, pairs: int, folder: str, t: float, size: int, *, start: tuple[float, float, float] = (0.03, 0.05, 0.3), kappa: float = 0.6, delay: float = 1.0) -> DataFrame:
+    """batch, lam, mu, ext, seen and the running statistics of the fragment model, from pairs whose alignments aren't known.
+
+    ``stream`` has pairs (pair_id, x, y) at time ``t``.  A batch's statistics are expected over all of its pairs' alignments at the rates so far,
+    scaled up to all ``pairs`` pairs and averaged into the running ones as in ``link_rates``; ``seen`` counts the pairs of all batches.
+    """
+    names = [*mixture.STATISTICS, "extended", "ended"]
+
+    def step(batch: DataFrame, number: int, before: dict) -> dict:
+        rates = before["lam"], before["mu"], before["ext"]
+        _, steps, n = unaligned.expected(batch, rates, t, size)
+        if not n:
+            return before
+        found = unaligned.statistics(batch.sparkSession, steps, rates, t, size)
+        eta = 1.0 if before["seen"] == 0 else (number + 1 + delay) ** -kappa
+        running = {k: (1 - eta) * before[k] + eta * found[k] * pairs / n for k in names}
+        lam, mu, ext = unaligned.maximised(batch.sparkSession, running)
+        return {"lam": lam, "mu": mu, "ext": ext, "seen": before["seen"] + n, **running}
+
+    schema = "lam double, mu double, ext double, seen long, " + ", ".join(f"{c} double" for c in names)
+    return stepped(stream, folder, schema, {"lam": start[0], "mu": start[1], "ext": start[2], "seen": 0, **dict.fromkeys(names, 0.0)}, step)
