@@ -12,6 +12,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MATCH, INSERT, DELETE = 1, 2, 3
+TASK_ROWS = 1 << 18  # line items that a task sorts at once
+
+
+def dealt(rows: DataFrame, key: str, most: int = TASK_ROWS) -> DataFrame:
+    """``rows`` by ``key`` in tasks of about ``most`` rows, however many rows there are; a table of a few such tasks stays as it is.
+
+    Adaptive execution merges the partitions of a shuffle by their compressed bytes, of which sorted rows take many times as much; a
+    number of partitions that is asked for stays.
+    """
+    n = rows.count()
+    if n <= 4 * most:
+        return rows
+    return rows.repartition(max(-(-n // most), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +32,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read(spark, sf_dir, "lineitem")
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag")
+    items = dealt(items, "l_orderkey")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     state = F.when(F.col("l_returnflag") == "A", MATCH).when(F.col("l_returnflag") == "N", INSERT).otherwise(DELETE)
     return items.select(
