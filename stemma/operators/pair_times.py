@@ -41,24 +41,50 @@ class Model:
     def tables(self, t: np.ndarray, *stack) -> Tables:
         return Tables(self.transitions(t), self.joint(t), self.pi, *stack)
 
+    def placed(self, t: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """``joint`` at each pair's own residues, by (pair, place in x, place in y)."""
+        p = (self.left[x] * np.exp(self.values * t[:, None])[:, None]) @ self.right.T[y].transpose(0, 2, 1)
+        return self.pi[x][..., None] * np.maximum(p, 0)
+
     def expected_loglik(self, t: np.ndarray, steps: np.ndarray, matches: np.ndarray) -> np.ndarray:
         """Of each pair's expected transitions (5, 5, pairs) and matches (pairs, a, b), at its time."""
         log = lambda p: np.log(np.maximum(p, 1e-300))
         return (steps * log(self.transitions(t))).sum((0, 1)) + (matches * log(self.joint(t))).sum((1, 2))
 
 
-def expectations(tables: Tables, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(log-probability, transitions (5, 5, pairs), matches (pairs, a, b), match posteriors (i, j, pairs)) of a stack."""
+def expectations(tables: Tables, size: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """(log-probability, transitions (5, 5, pairs), matches (pairs, a, b), match posteriors (i, j, pairs)) of a stack; no matches without ``size``."""
     f, total = tables.forward()
     b = tables.backward()
     p = np.exp(f[1:, 1:, 0] + b[1:, 1:, 0] - total)
     p *= (np.arange(tables.lx)[:, None, None] < tables.nx) & (np.arange(tables.ly)[:, None] < tables.ny)
+    if size is None:
+        return total, tables.transitions(f, b, total), None, p
     cell = (np.arange(tables.n) * size + tables.x.T[:, None]) * size + tables.y.T[None]
     matches = np.bincount(cell.ravel(), p.ravel(), tables.n * size * size).reshape(tables.n, size, size)
     return total, tables.transitions(f, b, total), matches, p
 
 
-def newton(model: Model, t: np.ndarray, steps: np.ndarray, matches: np.ndarray, iterations: int) -> np.ndarray:
+class Placed:
+    """A model on a stack of pairs whose tables hold fewer cells than residues have pairs: emissions, and matches, by place instead of by residue."""
+
+    def __init__(self, model: Model, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray):
+        self.model, self.stack = model, (x, y, nx, ny)
+
+    def tables(self, t: np.ndarray) -> Tables:
+        return Tables(self.model.transitions(t), self.model.placed(t, *self.stack[:2]), self.model.pi, *self.stack, placed=True)
+
+    def expected_loglik(self, t: np.ndarray, steps: np.ndarray, matches: np.ndarray) -> np.ndarray:
+        log = lambda p: np.log(np.maximum(p, 1e-300))
+        return (steps * log(self.model.transitions(t))).sum((0, 1)) + (matches * log(self.model.placed(t, *self.stack[:2]))).sum((1, 2))
+
+    def expectations(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log-probability, transitions (5, 5, pairs), match posteriors (pairs, i, j))."""
+        total, steps, _, p = expectations(self.tables(t), None)
+        return total, steps, p.transpose(2, 0, 1)
+
+
+def newton(model: Model | Placed, t: np.ndarray, steps: np.ndarray, matches: np.ndarray, iterations: int) -> np.ndarray:
     """Times that climb the expected log-likelihood by Newton steps in the logarithm of the time."""
     z, h = np.log(t), 1e-3
     for _ in range(iterations):
@@ -74,11 +100,18 @@ def _fitted(pdf: pd.DataFrame, model: Model, first: float, rounds: int, iteratio
     size = len(model.pi)
     for rows, *stack in stacks(pdf, 10):
         t = np.full(len(rows), float(first))
-        for _ in range(rounds):
-            _, steps, matches, _ = expectations(model.tables(t, *stack), size)
-            t = newton(model, t, steps, matches, iterations)
-        tables = model.tables(t, *stack)
-        yield rows, tables, t, *expectations(tables, size)[::3]
+        if stack[0].shape[1] * stack[1].shape[1] <= size * size:
+            placed = Placed(model, *stack)
+            for _ in range(rounds):
+                _, steps, matches = placed.expectations(t)
+                t = newton(placed, t, steps, matches, iterations)
+            tables = placed.tables(t)
+        else:
+            for _ in range(rounds):
+                _, steps, matches, _ = expectations(model.tables(t, *stack), size)
+                t = newton(model, t, steps, matches, iterations)
+            tables = model.tables(t, *stack)
+        yield rows, tables, t, *expectations(tables, None)[::3]
 
 
 def pair_times(pairs: DataFrame, model: Model, *, first: float = 1.0, rounds: int = 1, iterations: int = 5) -> DataFrame:

@@ -35,10 +35,10 @@ def link_counts(steps: np.ndarray, trans: np.ndarray, ext: float) -> tuple[dict[
 
 def expected(pairs: DataFrame, rates: tuple[float, float, float], t: float, size: int) -> tuple[float, np.ndarray, int]:
     """(log-probability, expected transitions, number) of all pairs (pair_id, x, y): 16 rows reach the driver."""
-    made = pairwise.expected_transitions(pairs, *pairwise.model_arrays(rates[0], rates[1], t, rates[2], size))
+    made = pairwise.summed_transitions(pairs, *pairwise.model_arrays(rates[0], rates[1], t, rates[2], size))
     steps, total, n = np.zeros((5, 5)), 0.0, 0
-    for r in made.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.sum("loglik").alias("loglik"), F.count("*").alias("pairs")).collect():
-        steps[r.src, r.dst], total, n = r.n, r.loglik, r.pairs  # each pair has a row for every step
+    for r in made.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.sum("loglik").alias("loglik"), F.sum("pairs").alias("pairs")).collect():
+        steps[r.src, r.dst], total, n = r.n, r.loglik, r.pairs  # each stack of pairs has a row for every step
     return total, steps, n
 
 

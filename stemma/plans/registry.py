@@ -640,7 +640,7 @@ def ancestral_state_shares(spark, d):
 @query()
 def optimal_accuracy_alignments(spark, d):
     """Decoded from all cells of the posterior, however small."""
-    return decoding.optimal_accuracy(_posteriors(spark, d, 0.0))
+    return pairwise.accurate_alignments(pairwise.ungapped(T.columns(spark, d)), *pairwise.model_arrays(*RATES[:2], 1.0, RATES[2], 20))
 
 
 @query(f"""WITH x AS (SELECT pair_id, pos, lag(st, 1, 0) OVER w AS src, st AS dst, lead(st) OVER w IS NULL AS last FROM columns WINDOW w AS (PARTITION BY pair_id ORDER BY pos)),
