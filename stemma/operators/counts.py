@@ -6,6 +6,8 @@ per task precedes every shuffle of counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 START, MATCH, INSERT, DELETE, END = 0, 1, 2, 3, 4
 NAMES = ["S", "M", "I", "D", "E"]
+PIECE = 4 << 20  # bytes of text that a task counts at once
 
 
 def by_pair():
@@ -110,25 +113,35 @@ def gap_tally(columns: DataFrame, clip: int) -> DataFrame:
     return every.groupBy("kind", "i", "j").agg(F.count("*").alias("n"))
 
 
-def bigrams(letters: DataFrame, size: int) -> DataFrame:
+def _texts(batches, piece: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(batch's number, first row, bytes, offsets) of runs of a batch's texts (its last column; null: empty) of about ``piece`` bytes, one text at least."""
+    for number, b in enumerate(batches):
+        texts = b.column(b.num_columns - 1).fill_null("").cast(pa.large_string())
+        if not len(texts):
+            continue
+        _, at, data = texts.buffers()
+        offsets = np.frombuffer(at, np.int64, len(texts) + 1, texts.offset * 8)
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + piece, "right")) - 1)
+            yield number, lo, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            lo = hi
+
+
+def bigrams(letters: DataFrame, size: int, piece: int = PIECE) -> DataFrame:
     """n of each pair c1, c2 of neighbouring letters of strings s: codes from 0 for ``a`` on, ``size`` and ``size + 1`` for the begin and the end.
 
     Characters that aren't among the first ``size`` lower-case letters are passed over; a string without any of those has no pairs.
-    A task counts its strings' bytes into one table and hands on at most (size + 2)^2 rows.
+    A task counts its strings' bytes, about ``piece`` of them at a time, into one table and hands on at most (size + 2)^2 rows.
     """
     wide = size + 2
 
     def run(batches):
         n = np.zeros(wide * wide, np.int64)
-        for b in batches:
-            texts = b.column(0).drop_null().cast(pa.large_string())
-            if not len(texts):
-                continue
-            _, at, data = texts.buffers()
-            offsets = np.frombuffer(at, np.int64, len(texts) + 1, texts.offset * 8)
-            data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        for _, _, data, offsets in _texts(batches, piece):
             kept = np.flatnonzero((data >= 97) & (data < 97 + size))
-            code, row = data[kept].astype(np.int64) - 97, np.searchsorted(offsets - offsets[0], kept, "right")
+            code, row = data[kept].astype(np.int64) - 97, np.searchsorted(offsets, kept, "right")
             new = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
             last = np.concatenate([new[1:], [True]])[: len(row)]
             before = np.where(new, size, np.concatenate([[0], code[:-1]])[: len(code)])
@@ -213,9 +226,30 @@ def lowered(pseudocounts: DataFrame, prior: DataFrame, keys: list[str]) -> DataF
 
 
 def letter_vectors(letters: DataFrame, size: int) -> DataFrame:
-    """seq_id, n: how often each of the first ``size`` letters stands in each string s; strings without any are dropped."""
-    n = F.array(*(F.length("s") - F.length(F.translate("s", chr(97 + k), "")) for k in range(size)))
-    return letters.select("seq_id", F.transform(n, lambda x: x.cast("double")).alias("n")).where(F.aggregate("n", F.lit(0.0), lambda a, x: a + x) > 0)
+    """seq_id, n: how often each of the first ``size`` lower-case letters stands in each string s; strings without any are dropped.
+
+    A task counts bytes, about ``PIECE`` of them at a time.
+    """
+
+    def run(batches):
+        for b in batches:
+            n = np.zeros((b.num_rows, size))
+            for _, lo, data, offsets in _texts([b], PIECE):
+                kept = np.flatnonzero((data >= 97) & (data < 97 + size))
+                row = np.searchsorted(offsets, kept, "right") - 1
+                n[lo : lo + len(offsets) - 1] = np.bincount(row * size + (data[kept] - 97), minlength=(len(offsets) - 1) * size).reshape(-1, size)
+            some = pa.array(n.any(1))
+            made = pa.ListArray.from_arrays(pa.array(np.arange(0, n.size + 1, size, dtype=np.int32)), pa.array(n.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), made], ["seq_id", "n"]).filter(some)
+
+    seq_id = letters.schema["seq_id"].dataType.simpleString()
+    return letters.select("seq_id", "s").mapInArrow(run, f"seq_id {seq_id}, n array<double>")
+
+
+def letter_shares(vectors: DataFrame, by: str) -> DataFrame:
+    """by, c, share of each letter that a group's count vectors (by, n) have, in the whole group; a null group is one too."""
+    n = vectors.select(by, F.posexplode("n").alias("c", "x")).groupBy(by, "c").agg(F.sum("x").alias("x")).where("x > 0")
+    return n.select(by, "c", (F.col("x") / F.sum("x").over(Window.partitionBy(by))).alias("share"))
 
 
 def squared_distance(vectors: DataFrame) -> DataFrame:
@@ -226,5 +260,5 @@ def squared_distance(vectors: DataFrame) -> DataFrame:
     sums = vectors.select(F.posexplode("n").alias("c", "x")).groupBy("c").agg(F.sum("x").alias("x"))
     whole = sums.agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "x"))), lambda s: s["x"]).alias("g"))
     share = lambda v: F.transform(v, lambda x: x / total(v))
-    both = vectors.crossJoin(F.broadcast(whole)).where(width == F.size("g"))
-    return both.select("seq_id", total(F.zip_with(share(F.col("n")), share(F.col("g")), lambda x, y: (x - y) * (x - y))).alias("d"))
+    both = vectors.withColumn("own", total(F.col("n"))).crossJoin(F.broadcast(whole.select(share(F.col("g")).alias("g")))).where(width == F.size("g"))
+    return both.select("seq_id", total(F.zip_with("n", "g", lambda x, y: (x / F.col("own") - y) * (x / F.col("own") - y))).alias("d"))

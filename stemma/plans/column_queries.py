@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..functions.storage import stored
 from ..operators import counts, guards, metrics, paths, relations
 from ..sources import tables as T
 from .registry import BINNED, SPLIT, _binned, cumulative_split, query
@@ -172,7 +173,8 @@ def lifted_pseudocounts(spark, d):
 SELECT seq_id, round(sum(pow(coalesce(s, 0) - g, 2)), 9) AS d FROM (SELECT DISTINCT seq_id FROM s), g LEFT JOIN s USING (seq_id, c) GROUP BY seq_id""".replace("(SELECT DISTINCT seq_id FROM s), g LEFT JOIN s USING (seq_id, c)", "(SELECT seq_id, c, g FROM (SELECT DISTINCT seq_id FROM s), g) LEFT JOIN s USING (seq_id, c)"))
 def composition_squared_distance(spark, d):
     """Each document's squared distance from the whole corpus's composition."""
-    return counts.squared_distance(counts.letter_vectors(T.letters(spark, d), 20)).withColumn("d", F.round("d", 9))
+    texts = T.read(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.lower("text").alias("s"))
+    return counts.squared_distance(stored(counts.letter_vectors(texts, 20), "letter_vectors")).withColumn("d", F.round("d", 9))
 
 
 @query("""WITH p AS (SELECT fam, pair_id % 4 = 0 AS truth, tau > 1.5 AS said FROM pairs WHERE fam % 5 <> 0) SELECT fam, round(coalesce(avg(CAST(truth = said AS DOUBLE)), 0), 9) AS accuracy FROM (SELECT DISTINCT fam FROM pairs) LEFT JOIN p USING (fam) GROUP BY fam""")

@@ -721,8 +721,9 @@ def moving_averages(spark, d):
 @query("""SELECT lang, c, round(sqrt(sum(pow(x - y, 2))), 6) AS d FROM (SELECT a.lang, a.c, a.s AS x, b.s AS y FROM v a JOIN v b ON a.c = b.c AND b.lang = 'en') GROUP BY lang, c""".replace("SELECT lang, c, round", "WITH n AS (SELECT lang, c, count(*) AS n FROM symbols JOIN documents ON doc_id = seq_id GROUP BY 1, 2), v AS (SELECT lang, c, n / sum(n) OVER (PARTITION BY lang) AS s FROM n) SELECT lang, c, round"))
 def composition_distance(spark, d):
     """How far each language's share of each symbol is from English."""
-    docs = T.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
-    by = T.symbols(spark, d).join(docs, F.col("id") == F.col("seq_id")).select(F.col("lang").alias("seq_id"), "c")
-    shares = counts.composition(by).withColumnRenamed("seq_id", "lang")
+    docs = T.read(spark, d, "documents")
+    vectors = counts.letter_vectors(docs.select(F.col("doc_id").alias("seq_id"), F.lower("text").alias("s")), 20)
+    by = vectors.join(docs.select(F.col("doc_id").alias("seq_id"), "lang"), "seq_id")
+    shares = counts.letter_shares(by, "lang")
     base = shares.where("lang = 'en'").select("c", F.col("share").alias("base"))
     return shares.join(base, "c").select("lang", "c", F.round(F.abs(F.col("share") - F.col("base")), 6).alias("d"))

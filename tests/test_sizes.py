@@ -2,10 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stemma.operators import beam, decoding, pair_times, pairwise, substitution, unaligned
+from stemma.operators import beam, counts, decoding, pair_times, pairwise, substitution, unaligned
 from stemma.sources import tables as T
 
 MODEL = pairwise.model_arrays(0.03, 0.05, 1.0, 0.4, 4)
@@ -73,3 +74,22 @@ def test_expected_transitions_leave_a_task_as_one_table(spark):
     each = {(r.src, r.dst): r.n for r in pairwise.expected_transitions(pairs, *MODEL).groupBy("src", "dst").agg(F.sum("n").alias("n")).collect()}
     _, steps, n = unaligned.expected(pairs, (0.03, 0.05, 0.4), 1.0, 4)
     assert n == 200 and all(steps[k] == pytest.approx(v) for k, v in each.items())
+
+
+def test_letters_are_counted_piece_by_piece(spark):
+    """Memory follows the piece, not the batch; texts longer than a piece, empty and null ones count alike."""
+    texts = ["abca", None, "", "ZZé", "tt" * 50, "a b\nc", "xyz"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "seq_id long, s string").coalesce(1)
+    found = {r.seq_id: r.n for r in counts.letter_vectors(df, 20).collect()}
+    want = {k: [float(s.count(chr(97 + c))) for c in range(20)] for k, s in enumerate(texts) if s and any("a" <= x <= "t" for x in s)}
+    assert found == want
+    pairs = lambda piece: sorted(map(tuple, counts.bigrams(df, 20, piece).collect()))
+    assert pairs(3) == pairs(1 << 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["s"])
+    runs = [(lo, len(data)) for _, lo, data, _ in counts._texts([batch], 8)]
+    assert len(runs) > 5 and max(n for _, n in runs) == 100 and sum(n for _, n in runs) == sum(len((s or "").encode()) for s in texts)
+
+
+def test_shares_of_groups(spark):
+    df = spark.createDataFrame([("en", [2.0, 0.0, 1.0]), ("en", [0.0, 0.0, 1.0]), (None, [0.0, 5.0, 0.0])], "lang string, n array<double>")
+    assert {(r.lang, r.c): r.share for r in counts.letter_shares(df, "lang").collect()} == {("en", 0): 0.5, ("en", 2): 0.5, (None, 1): 1.0}
