@@ -244,7 +244,7 @@ FT = ", ".join(f"({f}, {e}, {w})" for f, (e, w) in enumerate(zip(*KINDS, strict=
 
 def _cells(spark, d, made):
     cells = F.array(*(F.struct(F.lit(s).alias("src"), F.lit(t).alias("dst"), F.round(p, 9).alias("p")) for (s, t), p in made.items()))
-    return _rates(spark, d).select("id", F.explode(cells).alias("x")).select("id", "x.*")
+    return T.dealt(_rates(spark, d), "id", 1 << 14).select("id", F.explode(cells).alias("x")).select("id", "x.*")
 
 
 @query(f"""WITH {RATES_SQL}, {_bd(None)}, ft AS (SELECT * FROM (VALUES {FT}) AS v(f, ext, w)),
