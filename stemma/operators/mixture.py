@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import birth_death, quadratic_rates
+from ..functions.storage import stored
 
 
 def soft_responsibilities(scores: DataFrame, key: str) -> DataFrame:
@@ -125,10 +126,10 @@ def link_mixture_em(groups: DataFrame, k: int, *, iterations: int = 40, rel_tol:
 
     ``groups`` has (fam, tau, n_alpha ... n_1mkappa), a few rows a family.  Families start in components by a
     hash, as softly as three to one, and the log-likelihood isn't known before the first update.  An iteration is
-    one pass: each family's likelihood under every component, its responsibilities, and the components' sums, 7
+    one pass over families gathered once: each family's likelihood under every component, its responsibilities, and the components' sums, 7
     numbers each.  It ends when the log-likelihood grows by less than ``rel_tol`` of itself.
     """
-    bins = groups.groupBy("fam").agg(F.collect_list(F.struct("tau", *GROUPS)).alias("bins"))
+    bins = stored(groups.groupBy("fam").agg(F.collect_list(F.struct("tau", *GROUPS)).alias("bins")), "family_bins")
     of = lambda b: {g: b[g] for g in GROUPS}
 
     def score(p: dict) -> Column:
