@@ -41,3 +41,17 @@ def test_recursion_and_nothing(spark):
     assert of["X"] == of["Y"] == of["U"] != of["a"]
     assert minimise.blocks(*frames([], [])).count() == 0
     assert np.isclose(sum(r.w for r in minimise.quotient(*frames(rules, emissions), minimise.blocks(*frames(rules, emissions)))[0].collect()), 0.5)
+
+
+def test_settled_rules_leave_the_rounds(spark):
+    """One long string among many short ones: later rounds are over what is left of the long one."""
+    from tests.test_large_tables import rounds
+
+    strings = {k: "ab"[k % 2] * 2 for k in range(300)} | {300: "ab" * 6}
+    rules = [(f"{k}:{i}", s[i], f"{k}:{i + 1}", 1.0) for k, s in strings.items() for i in range(len(s) - 1)]
+    emissions = [(f"{k}:{len(s) - 1}", ord(s[-1]), 1.0) for k, s in strings.items()] + [(c, ord(c), 1.0) for c in "ab"]
+    r, e = spark.createDataFrame(rules, "lhs string, left string, right string, w double"), spark.createDataFrame(emissions, "lhs string, x int, w double")
+    found, more = rounds(spark, lambda: minimise.blocks(r, e))
+    ends = {s[i:] for s in strings.values() for i in range(len(s))}
+    assert len(found) == 2 + sum(map(len, strings.values())) and len({b for _, b in found}) == len(ends)
+    assert more < 4 * len(found)
