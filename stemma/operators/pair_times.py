@@ -11,11 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.storage import stored
-from . import substitution
+from . import families, substitution
 from .pairwise import Tables, fragment_transitions, stacks
 
 #: Fixed bounds of a fitted time, and of one Newton step in its logarithm.
@@ -26,8 +25,8 @@ class Model:
     """The fragment model with a reversible substitution model, at any times."""
 
     def __init__(self, lam: float, mu: float, ext: float, q: np.ndarray, pi: np.ndarray):
-        self.rates, self.pi = (lam, mu, ext), np.asarray(pi, float)
-        self.values, self.left, self.right = substitution.spectrum(np.asarray(q, float), self.pi)
+        self.rates, self.q, self.pi = (lam, mu, ext), np.asarray(q, float), np.asarray(pi, float)
+        self.values, self.left, self.right = substitution.spectrum(self.q, self.pi)
 
     def transitions(self, t: np.ndarray) -> np.ndarray:
         lam, mu, ext = self.rates
@@ -142,24 +141,46 @@ def match_posteriors(pairs: DataFrame, model: Model, *, threshold: float = 0.01,
     return pairs.select("pair_id", "x", "y").mapInPandas(run, "pair_id long, i int, j int, p double, t double")
 
 
-def member_pairs(members: DataFrame) -> DataFrame:
-    """pair_id, fam, x_name, y_name, x, y of every two sequences of a family (fam, name, seq), x_name < y_name; stored.
+def _patterns(model: Model, read, first: float = 1.0, rounds: int = 1, iterations: int = 5) -> families.Patterns:
+    """Finds for each pattern what ``read`` makes of its (time, match posteriors) at its fitted time."""
 
-    All pairs of a family are asked for, so rows grow as the square of its size; they are dealt out evenly, whatever their family.
-    """
-    left = members.select("fam", F.col("name").alias("x_name"), F.col("seq").alias("x"))
-    right = members.select("fam", F.col("name").alias("y_name"), F.col("seq").alias("y"))
-    return stored(left.join(right, "fam").where("x_name < y_name").withColumn("pair_id", F.monotonically_increasing_id()), "sequence_pairs")
+    def solve(pdf: pd.DataFrame) -> list:
+        out = [None] * len(pdf)
+        for rows, _, t, _, p in _fitted(pdf, model, first, rounds, iterations):
+            for k, r in enumerate(rows.tolist()):
+                out[r] = read(t[k], p[: len(pdf["x"][r]), : len(pdf["y"][r]), k])
+        return out
+
+    return families.Patterns(solve, families.alike(model.pi, model.q))
+
+
+def member_cells(model: Model, threshold: float = 0.01, **fit) -> families.Patterns:
+    """Match posteriors of at least ``threshold`` of each pattern of pairs, as cells."""
+
+    def read(_, p: np.ndarray) -> tuple:
+        i, j = np.nonzero(p >= threshold)
+        return i, j, p[i, j]
+
+    return _patterns(model, read, **fit)
 
 
 def member_posteriors(members: DataFrame, model: Model, **fit) -> DataFrame:
-    """fam, x, i, y, j, p: match posteriors of every two members of a family at their fitted time."""
-    both = member_pairs(members)
-    return match_posteriors(both, model, **fit).join(both.select("pair_id", "fam", "x_name", "y_name"), "pair_id").select("fam", F.col("x_name").alias("x"), "i", F.col("y_name").alias("y"), "j", "p")
+    """fam, x, i, y, j, p: match posteriors of every two members of a family (fam, name, seq) at their fitted time."""
+    return families.pair_cells(families.blocks(members), lambda: member_cells(model, **fit))
 
 
 def distances(members: DataFrame, model: Model, **fit) -> DataFrame:
-    """fam, x, y, d: the fitted time of each pair x < y of a family's sequences (fam, name, seq)."""
-    both = member_pairs(members)
-    found = pair_times(both, model, **fit)
-    return both.join(found, "pair_id").select("fam", F.col("x_name").alias("x"), F.col("y_name").alias("y"), F.col("t").alias("d"))
+    """fam, x, y, d: the fitted time of each pair x < y of a family's sequences (fam, name, seq).
+
+    All pairs are asked for, so rows grow as the square of a family; they are made in tasks from blocks of members.
+    """
+
+    def run(rows):
+        solver = _patterns(model, lambda t, _: float(t), **fit)
+        for batch in families.batches(rows):
+            found, which = solver(batch)
+            fam = batch.fam.take(pa.array(batch.row)).cast(pa.int64())
+            d = np.array(found, float)[which]
+            yield pa.RecordBatch.from_arrays([fam, pa.array(batch.names[batch.x]), pa.array(batch.names[batch.y]), pa.array(d)], names=["fam", "x", "y", "d"])
+
+    return families.tiles(families.blocks(members)).mapInArrow(run, "fam long, x long, y long, d double")
