@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import stored
-from . import pairwise
+from . import families, pairwise
 
 
 def best_chain(i: np.ndarray, j: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -53,6 +54,34 @@ def optimal_accuracy(posteriors: DataFrame, key: str = "pair_id") -> DataFrame:
     return chosen.select(key, F.explode(F.arrays_zip("i", "j", "p")).alias("c")).select(key, "c.i", "c.j", "c.p")
 
 
+def strongest_first(lengths: list[int], a: np.ndarray, b: np.ndarray, p: np.ndarray, threshold: float) -> np.ndarray:
+    """A column for each residue, numbered through sequences of ``lengths``, by merging those of cells (residues a and b, p) from the strongest down, ties by residues."""
+    keep = np.flatnonzero(p >= threshold)
+    if not len(keep):
+        return np.arange(sum(lengths))
+    keep = keep[np.lexsort((b[keep], a[keep], -p[keep]))]
+    state = families.Order(lengths)
+    column, has = state.column, state.has
+    for u, v in zip(a[keep].tolist(), b[keep].tolist(), strict=True):
+        u, v = column[u], column[v]
+        if u != v and not has[u] & has[v]:
+            state.merge(u, v)
+    # columns in an order that agrees with every sequence, of those that may come next the one that goes by the least residue
+    before, after = state.more[-1], state.more[1]
+    waiting = [sum(before[r] for r in rs) for rs in state.residues]
+    ready, number = [c for c, rs in enumerate(state.residues) if rs and not waiting[c]], {}
+    while ready:
+        c = heapq.heappop(ready)
+        number[c] = len(number)
+        for r in state.residues[c]:
+            if after[r]:
+                d = column[r + 1]
+                waiting[d] -= 1
+                if not waiting[d]:
+                    heapq.heappush(ready, d)
+    return np.array([number[c] for c in column])
+
+
 def merged_columns(posteriors: DataFrame, threshold: float = 0.5, members: DataFrame | None = None) -> DataFrame:
     """fam, name, pos, col: columns built by taking posteriors (fam, x, i, y, j, p) from the strongest down.
 
@@ -63,49 +92,16 @@ def merged_columns(posteriors: DataFrame, threshold: float = 0.5, members: DataF
     """
 
     def run(key, pdf: pd.DataFrame, sizes: pd.DataFrame | None = None) -> pd.DataFrame:
-        group: dict[tuple, tuple] = {}
-        longest: dict = {} if sizes is None else {n: k - 1 for n, k in zip(sizes["name"], sizes["n"], strict=True) if k > 0}
+        longest: dict = {} if sizes is None else {n: k for n, k in zip(sizes["name"], sizes["n"], strict=True) if k > 0}
         for n, k in [*zip(pdf["x"], pdf["i"], strict=True), *zip(pdf["y"], pdf["j"], strict=True)]:
-            longest[n] = max(longest.get(n, -1), k)
-        nodes = [(n, k) for n, top in sorted(longest.items()) for k in range(top + 1)]
-        members = {v: [v] for v in nodes}
-        group.update({v: v for v in nodes})
-
-        def after(col):
-            return {group[n, k + 1] for n, k in members[col] if (n, k + 1) in group}
-
-        def reaches(a, b) -> bool:
-            todo, seen = list(after(a)), set()
-            while todo:
-                c = todo.pop()
-                if c == b:
-                    return True
-                if c not in seen:
-                    seen.add(c)
-                    todo += after(c)
-            return False
-
-        for r in pdf[pdf["p"] >= threshold].sort_values(["p", "x", "i", "y", "j"], ascending=[False, True, True, True, True]).itertuples():
-            a, b = group[r.x, r.i], group[r.y, r.j]
-            if a == b or {n for n, _ in members[a]} & {n for n, _ in members[b]} or reaches(a, b) or reaches(b, a):
-                continue
-            for v in members[b]:
-                group[v] = a
-            members[a] += members.pop(b)
-        # columns in an order that agrees with every sequence
-        waiting = {c: sum(k > 0 for _, k in m) for c, m in members.items()}
-        ready, number = sorted(c for c, w in waiting.items() if not w), {}
-        while ready:
-            c = ready.pop(0)
-            number[c] = len(number)
-            for n, k in sorted(members[c]):
-                if (n, k + 1) in group:
-                    d = group[n, k + 1]
-                    waiting[d] -= 1
-                    if not waiting[d]:
-                        ready.append(d)
-            ready.sort()
-        return pd.DataFrame([(key[0], n, k, number[group[n, k]]) for n, k in nodes], columns=["fam", "name", "pos", "col"])
+            longest[n] = max(longest.get(n, 0), k + 1)
+        names = sorted(longest)
+        lengths = [longest[n] for n in names]
+        first = dict(zip(names, np.cumsum([0, *lengths]).tolist(), strict=False))
+        a, b = (pdf[n].map(first).to_numpy(np.int64) + pdf[k].to_numpy(np.int64) if len(pdf) else np.zeros(0, np.int64) for n, k in ("xi", "yj"))
+        col = strongest_first(lengths, a, b, pdf["p"].to_numpy(float), threshold)
+        pos = [k for n in lengths for k in range(n)]
+        return pd.DataFrame({"fam": key[0], "name": np.repeat(np.array(names, np.int64), lengths), "pos": pos, "col": col})
 
     schema = "fam long, name long, pos int, col int"
     if members is None:
@@ -119,12 +115,25 @@ def aligned_families(members: DataFrame, trans: np.ndarray, emit: np.ndarray, ba
 
     Every pair of a family's members gets its match posteriors under the pair model, and columns are merged from
     the strongest cells down to ``threshold``.  A member that no other one can be compared with has columns of its own.
+    Families of one block are aligned where their pairs are made, many in a batch; larger ones are a task's group each.
     """
-    left = members.select("fam", F.col("name").alias("name_a"), F.col("seq").alias("x"))
-    right = members.select("fam", F.col("name").alias("name_b"), F.col("seq").alias("y"))
-    both = left.join(right, "fam").where("name_a < name_b").withColumn("pair_id", F.monotonically_increasing_id())
-    pairs = stored(both.where("size(x) > 0 and size(y) > 0"), "family-pairs")
-    cells = pairwise.match_posteriors(pairs, trans, emit, background, threshold=threshold).join(pairs.select("pair_id", "fam", "name_a", "name_b"), "pair_id")
-    merged = stored(merged_columns(cells.select("fam", F.col("name_a").alias("x"), "i", F.col("name_b").alias("y"), "j", "p"), threshold, members), "family-columns")
-    alone = members.join(merged.select("fam", "name").distinct(), ["fam", "name"], "left_anti").select("fam", "name", F.posexplode("seq").alias("pos", "_")).select("fam", "name", "pos", F.col("pos").alias("col"))
-    return merged.unionByName(alone)
+
+    def patterns() -> families.Patterns:
+        def solve(pdf: pd.DataFrame) -> list:
+            out = [None] * len(pdf)
+            for rows, *stack in pairwise.stacks(pdf, 10):
+                t = pairwise.Tables(trans, emit, background, *stack)
+                f, total = t.forward()
+                p = np.exp(f[1:, 1:, 0] + t.backward()[1:, 1:, 0] - total)
+                for k, r in enumerate(rows.tolist()):
+                    own = p[: t.nx[k], : t.ny[k], k]
+                    i, j = np.nonzero(own >= threshold)
+                    out[r] = i, j, own[i, j]
+            return out
+
+        return families.Patterns(solve, families.alike(background, emit))
+
+    made = families.blocks(members)
+    small = families.aligned(made, patterns, lambda lengths, a, b, p: strongest_first(lengths, a, b, p, threshold))
+    rest = made.where("not whole")
+    return small.unionByName(merged_columns(families.pair_cells(rest, patterns), threshold, families.members(rest)))

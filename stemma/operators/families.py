@@ -183,6 +183,61 @@ def cells(batch: Batch, found: list, which: np.ndarray) -> tuple[np.ndarray, np.
     return pair, i[at].astype(np.int64), j[at].astype(np.int64), p[at]
 
 
+class Order:
+    """Columns of residues (numbered through, of sequences of ``lengths``) under way, kept in an order that agrees with all sequences.
+
+    Two columns merge unless one must come before the other; that is searched for only between their two places.
+    """
+
+    def __init__(self, lengths: list[int]):
+        self.member = [m for m, n in enumerate(lengths) for _ in range(n)]
+        n = len(self.member)
+        #: of each residue, whether its sequence goes on before and after it
+        self.more = {-1: [k > 0 for m in lengths for k in range(m)], 1: [k < m - 1 for m in lengths for k in range(m)]}
+        self.residues = [[k] for k in range(n)]
+        self.column = list(range(n))
+        self.place = list(range(n))
+        self.has = [1 << m for m in self.member]  # members as bits
+
+    def _between(self, begin: int, end: int, step: int) -> set[int] | None:
+        """What can be reached from ``begin`` in one direction without passing ``end``'s place; None if ``end`` itself can."""
+        seen, todo, last = {begin}, [begin], self.place[end] * step
+        more, column, place = self.more[step], self.column, self.place
+        while todo:
+            for r in self.residues[todo.pop()]:
+                if more[r]:
+                    c = column[r + step]
+                    if c == end:
+                        return None
+                    if place[c] * step < last and c not in seen:
+                        seen.add(c)
+                        todo.append(c)
+        return seen
+
+    def merge(self, a: int, b: int) -> bool:
+        """Merges column b into a unless one must come before the other."""
+        place = self.place
+        low, high = (a, b) if place[a] < place[b] else (b, a)
+        after = self._between(low, high, 1)
+        if after is None:
+            return False
+        before = self._between(high, low, -1)
+        places = sorted([place[c] for c in after] + [place[c] for c in before])
+        # all before the merged column, it, and all after it, in the places they take up together
+        for c, at in zip(sorted(before - {high}, key=place.__getitem__), places, strict=False):
+            place[c] = at
+        kept = places[len(before) - 1]
+        for c, at in zip(sorted(after - {low}, key=place.__getitem__), places[len(places) - len(after) + 1 :], strict=True):
+            place[c] = at
+        place[a] = kept
+        for r in self.residues[b]:
+            self.column[r] = a
+        self.residues[a] += self.residues[b]
+        self.residues[b] = []
+        self.has[a] |= self.has[b]
+        return True
+
+
 CELL = "fam long, x long, i int, y long, j int, p double"
 RESIDUE = "fam long, name long, pos int, col int"
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stemma.functions import storage
-from stemma.operators import families, pair_times, substitution
+from stemma.operators import decoding, families, pair_times, pairwise, substitution
 
 MODEL = pair_times.Model(0.03, 0.05, 0.4, *substitution.equal_rates(4))
 SCHEMA = "fam long, name long, seq array<int>"
@@ -86,3 +86,61 @@ def test_a_pattern_is_solved_once():
                 u, v = (b.values[b.first[m] : b.first[m + 1]] for m in (x, y))
                 assert found[k] == (len(u), len(v), same(u, v))
     assert len(solved) == len(set(map(str, solved))) <= 2 + 4 + 4 + 12
+
+
+def searched(lengths, a, b, p, threshold):
+    """Columns by merging from the strongest cell down, each search over all that comes after."""
+    member = [m for m, n in enumerate(lengths) for _ in range(n)]
+    nodes = range(len(member))
+    group, columns = list(nodes), {k: [k] for k in nodes}
+    after = lambda c: {group[r + 1] for r in columns[c] if r + 1 in nodes and member[r + 1] == member[r]}
+
+    def reaches(u, v):
+        todo, seen = list(after(u)), set()
+        while todo:
+            c = todo.pop()
+            if c == v:
+                return True
+            if c not in seen:
+                seen.add(c)
+                todo += after(c)
+        return False
+
+    for q, u, v in sorted(zip((-p).tolist(), a.tolist(), b.tolist(), strict=True)):
+        u, v = group[u], group[v]
+        if -q < threshold or u == v or {member[r] for r in columns[u]} & {member[r] for r in columns[v]} or reaches(u, v) or reaches(v, u):
+            continue
+        for r in columns[v]:
+            group[r] = u
+        columns[u] += columns.pop(v)
+    out, left = [0] * len(member), set(columns)
+    for number in range(len(columns)):
+        c = min(c for c in left if not any(c in after(o) for o in left))
+        left.remove(c)
+        for r in columns[c]:
+            out[r] = number
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_merges_are_those_of_a_whole_search(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(0, 6, 6).tolist()
+    first = np.cumsum([0, *lengths])
+    cells = [(first[x] + i, first[y] + j, float(rng.integers(1, 20)) / 20) for x in range(6) for y in range(x + 1, 6) for i in range(lengths[x]) for j in range(lengths[y]) if rng.random() < 0.5]
+    a, b, p = (np.array([c[k] for c in cells]) for k in range(3))
+    assert decoding.strongest_first(lengths, a, b, p, 0.2).tolist() == searched(lengths, a, b, p, 0.2)
+
+
+def test_whole_families_need_no_group(spark, monkeypatch):
+    """Families of one block are aligned in batches of rows; as groups they are aligned alike."""
+    rows = [r for r in drawn(5, 8, 7) if r[0] is not None]
+    members, model = spark.createDataFrame(rows, SCHEMA), pairwise.model_arrays(0.03, 0.05, 1.0, 0.4, 4)
+    grouped, own = [], decoding.merged_columns
+    monkeypatch.setattr(decoding, "merged_columns", lambda cells, threshold, m: grouped.append(m.count()) or own(cells, threshold, m))
+    made = lambda: sorted(map(tuple, decoding.aligned_families(members, *model, threshold=0.3).collect()))
+    whole = made()
+    assert len(whole) == sum(len(r[2] or []) for r in rows) and grouped == [0]
+    blocks = families.blocks
+    monkeypatch.setattr(families, "blocks", lambda m: blocks(m, 2))
+    assert made() == whole and grouped[1] > len(rows) / 2
