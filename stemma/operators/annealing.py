@@ -13,34 +13,62 @@ A family is one task's group, since its merges depend on each other; its memory
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import families
+
 LEAST_GAP = 1e-4  # fixed floor of a residue's chance to be unaligned
+TABLE = 512  # residues of a family up to which it has tables of all pairs of them
 
 
 class Family:
     """Posteriors of a family: cells (x, i, y, j, p) of members numbered from 0, of the given lengths."""
 
     def __init__(self, lengths: list[int], cells: list[tuple[int, int, int, int, float]], compared: set[tuple[int, int]] | None = None):
+        x, i, y, j, p = (np.array(c) for c in zip(*cells, strict=True)) if cells else [np.zeros(0, int)] * 5
+        first = np.concatenate([[0], np.cumsum(lengths)]).astype(int)
+        self._fill(lengths, first[x] + i, first[y] + j, np.asarray(p, float), compared)
+
+    @classmethod
+    def of(cls, lengths: list[int], a: np.ndarray, b: np.ndarray, p: np.ndarray) -> Family:
+        """A family of cells (residues a and b, p), residues numbered through."""
+        made = cls.__new__(cls)
+        made._fill(lengths, a, b, p, None)
+        return made
+
+    def _fill(self, lengths, a, b, p, compared) -> None:
         self.lengths, n = lengths, len(lengths)
         self.first = np.concatenate([[0], np.cumsum(lengths)]).astype(int)
         self.member = np.repeat(np.arange(n), lengths)
         self.p: list[dict[int, float]] = [{} for _ in range(self.first[-1])]
+        for u, v, w in zip(a.tolist(), b.tolist(), p.tolist(), strict=True):
+            self.p[u][v] = self.p[v][u] = w
+        met = np.zeros((n, n), bool)
+        x, y = (self.member[a], self.member[b]) if compared is None else np.array(sorted(compared), int).reshape(-1, 2).T
+        met[x, y] = met[y, x] = True
         #: of each residue: the chance to be unaligned with each other member, 0 where the two weren't compared
-        self.gap = np.zeros((self.first[-1], n))
-        for x, y in {(c[0], c[2]) for c in cells} if compared is None else compared:
-            self.gap[self.first[x] : self.first[x + 1], y] = self.gap[self.first[y] : self.first[y + 1], x] = 1
-        for x, i, y, j, p in cells:
-            a, b = int(self.first[x] + i), int(self.first[y] + j)
-            self.p[a][b] = self.p[b][a] = p
-            self.gap[a, y] -= p
-            self.gap[b, x] -= p
+        self.gap = met[self.member].astype(float)
+        np.subtract.at(self.gap, (a, self.member[b]), p)
+        np.subtract.at(self.gap, (b, self.member[a]), p)
         self.gap = np.where(self.gap != 0, np.maximum(self.gap, LEAST_GAP), 0)
+        self.cells = a, b, p
+
+    def gains(self, gap_factor: float) -> np.ndarray | None:
+        """``gain`` of all pairs of residues, none within a member, as a table; None for a family whose table would be large."""
+        if len(self.member) > TABLE:
+            return None
+        a, b, p = self.cells
+        out = -gap_factor * self.gap[:, self.member]
+        out += out.T
+        out[a, b] += 2 * p
+        out[b, a] += 2 * p
+        out[self.member[:, None] == self.member] = 0
+        return out
 
     def accuracy(self, column: np.ndarray, gap_factor: float) -> float:
         """What an alignment (a column for each residue) gains over no alignment: 2 p less both gaps over all aligned pairs."""
@@ -56,67 +84,27 @@ class Family:
         return 2 * self.p[a].get(b, 0.0) - gap_factor * (self.gap[a, self.member[b]] + self.gap[b, self.member[a]])
 
 
-class Columns:
-    """Columns under way: members of each, an order that agrees with the sequences, and summed weights between them."""
+class Columns(families.Order):
+    """Columns under way, with summed weights between them."""
 
     def __init__(self, family: Family):
-        n = len(family.member)
-        self.family = family
-        self.residues = [[k] for k in range(n)]
-        self.column = list(range(n))
-        self.place = list(range(n))
+        super().__init__(family.lengths)
         self.match = [dict(d) for d in family.p]
-        self.gap = family.gap.copy()
-        self.has = np.zeros((n, len(family.lengths)), bool)
-        self.has[np.arange(n), family.member] = True
+        self.gap = family.gap.tolist() if len(family.member) <= TABLE else list(family.gap)
 
     def worth(self, a: int, b: int) -> float | None:
         """2 * matches / gaps of merging two columns; None where a member is in both."""
-        if (self.has[a] & self.has[b]).any():
+        if self.has[a] & self.has[b]:
             return None
-        gaps = float(self.gap[a] @ self.has[b] + self.gap[b] @ self.has[a])
-        return 2 * self.match[a].get(b, 0.0) / gaps if gaps > 0 else 0.0
-
-    def _beside(self, c: int, step: int) -> Iterator[int]:
-        first, member = self.family.first, self.family.member
-        for r in self.residues[c]:
-            if first[member[r]] <= r + step < first[member[r] + 1]:
-                yield self.column[r + step]
-
-    def _between(self, begin: int, end: int, step: int) -> set[int] | None:
-        """What can be reached from ``begin`` in one direction without passing ``end``'s place; None if ``end`` itself can."""
-        seen, todo = {begin}, [begin]
-        while todo:
-            for c in self._beside(todo.pop(), step):
-                if c == end:
-                    return None
-                if c not in seen and (self.place[c] - self.place[end]) * step < 0:
-                    seen.add(c)
-                    todo.append(c)
-        return seen
+        of_a, of_b, member = self.gap[a], self.gap[b], self.member
+        gaps = sum([of_a[member[r]] for r in self.residues[b]]) + sum([of_b[member[r]] for r in self.residues[a]])
+        return 2 * self.match[a].get(b, 0.0) / float(gaps) if gaps > 0 else 0.0
 
     def merge(self, a: int, b: int) -> bool:
         """Merges column b into a unless one must come before the other."""
-        low, high = (a, b) if self.place[a] < self.place[b] else (b, a)
-        after = self._between(low, high, 1)
-        if after is None:
+        if not super().merge(a, b):
             return False
-        before = self._between(high, low, -1)
-        by_place = lambda cs: sorted(cs, key=self.place.__getitem__)
-        places = sorted(self.place[c] for c in after | before)
-        # all before the merged column, it, and all after it, in the places they take up together
-        for c, at in zip(by_place(before - {high}), places, strict=False):
-            self.place[c] = at
-        kept = places[len(before) - 1]
-        for c, at in zip(by_place(after - {low}), places[len(places) - len(after) + 1 :], strict=True):
-            self.place[c] = at
-        self.place[a] = kept
-        for r in self.residues[b]:
-            self.column[r] = a
-        self.residues[a] += self.residues[b]
-        self.residues[b] = []
-        self.has[a] |= self.has[b]
-        self.gap[a] += self.gap[b]
+        self.gap[a] = [u + v for u, v in zip(self.gap[a], self.gap[b], strict=True)]
         for c, w in self.match[b].items():
             self.match[c].pop(b, None)
             if c != a:
@@ -128,12 +116,14 @@ class Columns:
 
 def built(family: Family, gap_factor: float) -> np.ndarray:
     """A column number for each residue, in the columns' order, by merges from the best pair down."""
+    a, b, p = family.cells
+    gaps = family.gap[a, family.member[b]] + family.gap[b, family.member[a]]
+    w = np.divide(2 * p, gaps, out=np.zeros(len(p)), where=gaps > 0)
+    seeds = np.flatnonzero(w >= gap_factor)
+    if not len(seeds):
+        return np.arange(len(family.member))
     state = Columns(family)
-    heap = []
-    for a, others in enumerate(family.p):
-        for b in others:
-            if a < b and (w := state.worth(a, b)) is not None and w >= gap_factor:
-                heap.append((-w, a, b))
+    heap = list(zip((-w[seeds]).tolist(), np.minimum(a, b)[seeds].tolist(), np.maximum(a, b)[seeds].tolist(), strict=True))
     heapq.heapify(heap)
     while heap:
         w, a, b = heapq.heappop(heap)
@@ -191,17 +181,37 @@ def reinserted(family: Family, column: np.ndarray, x: int, gap_factor: float) ->
     return np.unique(out, axis=0, return_inverse=True)[1].ravel(), float(best[n, m] - before)
 
 
+def doubtful(family: Family, gains: np.ndarray | None, column: np.ndarray) -> np.ndarray:
+    """Which members another place might help: those whose residues would gain if each could choose its column for itself."""
+    if gains is None:
+        return np.array(family.lengths) > 0
+    put = np.zeros((len(column), int(column.max(initial=-1)) + 1))
+    put[np.arange(len(column)), column] = 1
+    of = gains @ put
+    more = np.maximum(of.max(1, initial=0), 0) - of[np.arange(len(column)), column]
+    return np.bincount(family.member, more, len(family.lengths)) > 1e-11
+
+
 def annealed(family: Family, *, gap_factor: float = 1.0, sweeps: int = 5, seed: int = 42) -> np.ndarray:
-    """A column for each residue of a family: built by merges, then refined until no member's new place gains."""
+    """A column for each residue of a family: built by merges, then refined until no member's new place gains.
+
+    A member is taken out only where that may help, and not again while the alignment is the one it was tried in.
+    """
     column = built(family, gap_factor)
+    gains = family.gains(gap_factor)
+    open_ = doubtful(family, gains, column)
+    if not open_.any():
+        return column
     rng = np.random.default_rng(seed)
     for _ in range(sweeps):
         improved = False
         for x in rng.permutation(len(family.lengths)).tolist():
-            if family.lengths[x]:
+            if open_[x]:
                 new, more = reinserted(family, column, x, gap_factor)
+                open_[x] = False
                 if more > 1e-10:
                     column, improved = new, True
+                    open_ = doubtful(family, gains, column)
         if not improved:
             break
     return column
@@ -230,3 +240,14 @@ def annealed_families(members: DataFrame, posteriors: DataFrame, *, gap_factor:
         return pa.table({"fam": pa.array([fam] * len(column), pa.int64()), "name": pa.array(name, pa.int64()), "pos": pa.array(pos, pa.int32()), "col": pa.array(column, pa.int32())})
 
     return lengths.groupBy("fam").cogroup(posteriors.select("fam", "x", "i", "y", "j", "p").groupBy("fam")).applyInArrow(run, "fam long, name long, pos int, col int")
+
+
+def annealed_members(members: DataFrame, patterns: Callable[[], families.Patterns], **how) -> DataFrame:
+    """``annealed_families`` of members (fam, name, seq) whose pairs have the cells that ``patterns`` finds.
+
+    Families of one block are aligned where their pairs are made, many in a batch; larger ones are a task's group each.
+    """
+    made = families.blocks(members)
+    small = families.aligned(made, patterns, lambda lengths, a, b, p: annealed(Family.of(lengths, a, b, p), **how))
+    rest = made.where("not whole")
+    return small.unionByName(annealed_families(families.members(rest), families.pair_cells(rest, patterns), **how))

@@ -231,7 +231,7 @@ def annealed_alignments(spark, d):
     """Each family's first rows aligned from scratch: pairs' posteriors at their own fitted times, annealed and refined."""
     rows = pairwise.ungapped(T.columns(spark, d)).join(T.pairs(spark, d), "pair_id").where("size(x) > 0")
     members = rows.select("fam", F.col("pair_id").alias("name"), F.col("x").alias("seq"))
-    return annealing.annealed_families(members, pair_times.member_posteriors(members, _fitted_model(), threshold=0.01))
+    return annealing.annealed_members(members, lambda: pair_times.member_cells(_fitted_model(), threshold=0.01))
 
 
 def _column_classes(spark, d):

@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pytest
 
-from stemma.operators import annealing, decoding
+from stemma.operators import annealing, decoding, families, pair_times, substitution
 
 
 def family(seed, n=5, length=8, density=0.5):
@@ -116,3 +116,44 @@ def test_a_family_of_two_hundred(spark):
     column = annealing.annealed(annealing.Family([length] * n, cells), sweeps=1)
     assert time.time() - begun < 300 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
     assert (np.diff(column.reshape(n, length), axis=1) > 0).all() and column.max() < 2 * length
+
+
+@pytest.mark.parametrize("seed", range(15))
+def test_members_left_in_place_gain_nothing(seed):
+    """Only members that another place may help are taken out: the rest would stay, and the alignment is that of trying all."""
+    f, _ = family(seed, n=6, length=7)
+    column = annealing.built(f, 0.3)
+    gains = f.gains(0.3)
+    for a in range(len(f.member)):
+        for b in range(len(f.member)):
+            assert gains[a, b] == pytest.approx(f.gain(a, b, 0.3) if f.member[a] != f.member[b] else 0)
+    open_ = annealing.doubtful(f, gains, column)
+    for x in range(6):
+        if f.lengths[x] and not open_[x]:
+            assert annealing.reinserted(f, column, x, 0.3)[1] <= 1e-10
+    for _ in range(5):
+        improved = False
+        rng = np.random.default_rng(42) if _ == 0 else rng
+        for x in rng.permutation(6).tolist():
+            if f.lengths[x]:
+                new, more = annealing.reinserted(f, column, x, 0.3)
+                if more > 1e-10:
+                    column, improved = new, True
+        if not improved:
+            break
+    assert annealing.annealed(f, gap_factor=0.3).tolist() == column.tolist()
+
+
+def test_families_in_batches_are_those_of_groups(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k % 7, k, rng.integers(0, 4, rng.integers(0, 6)).tolist()) for k in range(40)]
+    members = spark.createDataFrame(rows, "fam long, name long, seq array<int>")
+    model = pair_times.Model(0.03, 0.05, 0.4, *substitution.equal_rates(4))
+    groups, own = [], annealing.annealed_families
+    monkeypatch.setattr(annealing, "annealed_families", lambda m, *a, **how: groups.append(m.count()) or own(m, *a, **how))
+    made = lambda: sorted(map(tuple, annealing.annealed_members(members, lambda: pair_times.member_cells(model)).collect()))
+    whole = made()
+    assert len(whole) == sum(len(r[2]) for r in rows) and groups == [0]
+    blocks = families.blocks
+    monkeypatch.setattr(families, "blocks", lambda m: blocks(m, 2))
+    assert made() == whole and groups[1] == 40
