@@ -71,3 +71,21 @@ def test_rates_of_all_classes_at_once(spark):
     for k, r in enumerate([0.5, 2.0]):
         one = phylogeny.pruning(edges.withColumn("length", F.col("length") * r), leaves, 3).where("node = 'root'").first()
         assert [both[f"l{s}_{k}"] for s in range(3)] == pytest.approx([one[f"l{s}"] for s in range(3)])
+
+
+def test_weights_above_leaves_are_written_once(spark):
+    """Sums over leaves are what their parents have: they are neither summed nor written again."""
+    from stemma.functions import storage
+
+    rows = [(f"c{k}", "root", 0.5) for k in range(50)] + [(f"o{k}", f"c{k % 50}", 0.3) for k in range(100)]
+    edges = spark.createDataFrame(rows, "node string, parent string, length double")
+    leaves = spark.createDataFrame([(f"o{k}", c, (k + c) % 3) for k in range(100) for c in range(4)], "node string, col int, state int")
+    written, own = [], storage.scratch
+    storage.scratch = lambda *a: written.append(own(*a)) or written[-1]
+    try:
+        made = phylogeny.pruning(edges, leaves, 3, by=["col"])
+        assert made.where("substr(node, 1, 1) = 'c'").count() == 200 and made.where("node = 'root'").count() == 4
+    finally:
+        storage.scratch = own
+    weights = [t.count() for t in map(spark.read.parquet, written) if "l0" in t.columns]
+    assert sorted(weights) == [4, 200]
