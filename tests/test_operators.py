@@ -202,6 +202,36 @@ def test_rounds_over_tables_equal_one_matrix(spark):
         assert whole == tidy(f(df, limit=12)) == tidy(f(phylogeny.vector_distances(df), limit=12))
 
 
+def test_matching_by_lists_equals_the_matrix(spark):
+    rng = np.random.default_rng(9)
+    kinds = [rng.random((90, 6)), rng.integers(0, 3, (90, 2)).astype(float), np.repeat(rng.random((31, 3)), 3, 0), 1e8 + rng.random((60, 4)), np.cumsum(1.5 ** np.arange(40))[:, None], np.zeros((9, 2)), np.eye(70)]
+    rows = [(f, 1000 * f + 3 * k, [float(c) for c in v]) for f, vs in enumerate(kinds) for k, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "fam long, vec_id long, embedding array<double>")
+    tidy = lambda out: sorted(map(tuple, out.collect()))
+    want = tidy(phylogeny.greedy_matching(phylogeny.vector_distances(df)))
+    assert len(want) == sum(len(vs) // 2 for vs in kinds)
+    assert want == tidy(phylogeny.greedy_matching(df)) == tidy(phylogeny.greedy_matching(df, limit=20))
+
+
+def test_tiles_find_the_nearest_members(spark):
+    rng = np.random.default_rng(10)
+    v = rng.integers(0, 4, (60, 3)).astype(float)
+    df = spark.createDataFrame([(1, k, x.tolist()) for k, x in enumerate(v)], "fam long, vec_id long, embedding array<double>")
+    got = sorted(map(tuple, phylogeny.nearest_members(df, 4, block=17).collect()))
+    want = []
+    for a in range(60):
+        near = sorted((float(np.linalg.norm(v[a] - v[b])), min(a, b), max(a, b), b) for b in range(60) if b != a)
+        want += [(1, a, b, d) for d, _, _, b in near[:4]]
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want)] and np.allclose([r[3] for r in got], [r[3] for r in sorted(want)])
+
+
+def test_large_families_are_matched_without_pair_tables(spark, monkeypatch):
+    df = spark.createDataFrame([(1, k, [float(k * k % 101), float(k)]) for k in range(50)], "fam long, vec_id long, embedding array<double>")
+    want = sorted(map(tuple, phylogeny.greedy_matching(df).collect()))
+    monkeypatch.setattr(phylogeny, "vector_distances", None)
+    assert sorted(map(tuple, phylogeny.greedy_matching(df, limit=10).collect())) == want
+
+
 def test_neighbour_joining_equals_the_plain_search(spark):
     rng = np.random.default_rng(6)
     d = np.triu(rng.random((14, 14)) + 1, 1)
