@@ -3,6 +3,7 @@ import math
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +203,27 @@ def test_rounds_over_tables_equal_one_matrix(spark):
         assert whole == tidy(f(df, limit=12)) == tidy(f(phylogeny.vector_distances(df), limit=12))
 
 
+def test_neighbour_joining_looks_at_few_rows(monkeypatch):
+    class Seen(np.ndarray):
+        def __getitem__(self, at):
+            looked.append(len(at[0]))
+            return np.asarray(super().__getitem__(at))
+
+    class Rows:  # a table of one family, so that rows are counted in this process
+        groupBy = select = distinct = lambda self, *_: self
+        columns = ["fam", "vec_id", "embedding"]
+        count = lambda self: 1
+        applyInPandas = lambda self, f, _: f((1,), table)
+
+    looked, found = [], phylogeny._least_pair
+    v = np.random.default_rng(12).normal(size=(400, 64))
+    table = pd.DataFrame({"fam": 1, "vec_id": range(400), "embedding": list(v / np.linalg.norm(v, axis=1, keepdims=True))})
+    monkeypatch.setattr(phylogeny, "_least_pair", lambda d, *rest: found(d.view(Seen), *rest))
+    monkeypatch.setattr(phylogeny, "_apart", lambda rows, *_: rows, raising=False)
+    assert len(phylogeny.neighbour_joining(Rows())) == 400 + 398
+    assert sum(looked) < 400 * 400 / 2 / 4
+
+
 def test_matching_by_lists_equals_the_matrix(spark):
     rng = np.random.default_rng(9)
     kinds = [rng.random((90, 6)), rng.integers(0, 3, (90, 2)).astype(float), np.repeat(rng.random((31, 3)), 3, 0), 1e8 + rng.random((60, 4)), np.cumsum(1.5 ** np.arange(40))[:, None], np.zeros((9, 2)), np.eye(70)]
