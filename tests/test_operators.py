@@ -254,6 +254,16 @@ def test_large_families_are_matched_without_pair_tables(spark, monkeypatch):
     assert sorted(map(tuple, phylogeny.greedy_matching(df, limit=10).collect())) == want
 
 
+def test_large_families_are_linked_without_pair_tables(spark, monkeypatch):
+    v = np.random.default_rng(11).normal(size=(70, 4)) + 1e4
+    df = spark.createDataFrame([(1, 5 * k, x.tolist()) for k, x in enumerate(v)], "fam long, vec_id long, embedding array<double>")
+    tidy = lambda out: sorted((r.node, r.parent if r.parent is not None else -1, r.name if r.name is not None else -1, round(r.length, 9)) for r in out.collect())
+    want = tidy(phylogeny.average_linkage(df))
+    monkeypatch.setattr(phylogeny, "vector_distances", None)
+    monkeypatch.setattr(phylogeny, "BLOCK", 20)
+    assert tidy(phylogeny.average_linkage(df, limit=15)) == want
+
+
 def test_neighbour_joining_equals_the_plain_search(spark):
     rng = np.random.default_rng(6)
     d = np.triu(rng.random((14, 14)) + 1, 1)
