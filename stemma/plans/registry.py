@@ -131,7 +131,8 @@ PD = "p AS (SELECT pair_id, count(*) AS sites, avg(CAST(a <> b AS DOUBLE)) AS p
 round(CASE WHEN sites < 5 THEN 'inf'::DOUBLE WHEN 1 - p - 0.2 * p * p <= 0 THEN 5.0 ELSE -ln(1 - p - 0.2 * p * p) END, 9) AS kimura, round(CASE WHEN 1 - p * (4 / 3) <= 0 THEN 5.0 ELSE -0.75 * ln(1 - p * (4 / 3)) END, 9) AS jc69 FROM p""")
 def pair_distances(spark, d):
     match = F.col("st") == counts.MATCH
-    p = T.columns(spark, d).groupBy("pair_id").agg(F.sum(match.cast("long")).alias("sites"), F.coalesce(F.avg(F.when(match, (F.col("a") != F.col("b")).cast("double"))), F.lit(1.0)).alias("p"))
+    p = T.columns(spark, d).groupBy("pair_id").agg(F.sum(match.cast("long")).alias("sites"), F.avg(F.when(match, (F.col("a") != F.col("b")).cast("double"))).alias("p"))
+    p = p.withColumn("p", F.when(F.col("sites") == 0, 1.0).otherwise(F.col("p")))  # null where there are matches, but all of unknown residues
     return p.select("pair_id", "sites", F.round("p", 9).alias("p"), F.round(X.poisson_time(F.col("p")), 9).alias("poisson"), F.when(F.col("sites") < 5, float("inf")).otherwise(F.round(X.kimura_distance(F.col("p"), F.lit(5)), 9)).alias("kimura"), F.round(X.jc69_time(F.col("p")), 9).alias("jc69"))
 
 

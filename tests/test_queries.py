@@ -1,5 +1,6 @@
 """Every registered query of the library gives the rows of its SQL on the smallest tables."""
 
+import datetime
 import os
 
 import duckdb
@@ -49,3 +50,17 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_distances_of_matches_with_unknown_residues_equal_the_sql(spark, tmp_path):
+    schema = spark.read.parquet(f"{FOLDER}/lineitem.parquet").schema
+    item = lambda order, number, part, supp, flag: (order, part, supp, number, 1.0, 1.0, 0.0, 0.0, flag, "O", datetime.datetime(2020, 1, 1 + number))
+    rows = [item(1, 0, None, 5, "A"), item(1, 1, 3, None, "A"), item(2, 0, 1, 1, "N"), *(item(3, k, None if k < 3 else k, 5, "A") for k in range(7)), item(4, 0, 7, 7, "A"), item(4, 1, None, 2, "R")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for name in ("customer", "documents", "nation", "orders", "region"):
+        con.execute(f"CREATE VIEW {name} AS FROM '{FOLDER}/{name}.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = sorted(map(tuple, registry.QUERIES["pair_distances"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(registry.ORACLE_SQL["pair_distances"]).fetchall())
+    assert (1, 2, None, None, float("inf"), None) in got
