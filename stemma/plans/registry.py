@@ -133,7 +133,8 @@ def pair_distances(spark, d):
     match = F.col("st") == counts.MATCH
     p = T.columns(spark, d).groupBy("pair_id").agg(F.sum(match.cast("long")).alias("sites"), F.avg(F.when(match, (F.col("a") != F.col("b")).cast("double"))).alias("p"))
     p = p.withColumn("p", F.when(F.col("sites") == 0, 1.0).otherwise(F.col("p")))  # null where there are matches, but all of unknown residues
-    return p.select("pair_id", "sites", F.round("p", 9).alias("p"), F.round(X.poisson_time(F.col("p")), 9).alias("poisson"), F.when(F.col("sites") < 5, float("inf")).otherwise(F.round(X.kimura_distance(F.col("p"), F.lit(5)), 9)).alias("kimura"), F.round(X.jc69_time(F.col("p")), 9).alias("jc69"))
+    nine = lambda d: F.when(d == 0, d).otherwise(F.round(d, 9))  # a zero keeps its sign, which Spark's rounding drops
+    return p.select("pair_id", "sites", F.round("p", 9).alias("p"), nine(X.poisson_time(F.col("p"))).alias("poisson"), F.when(F.col("sites") < 5, float("inf")).otherwise(nine(X.kimura_distance(F.col("p"), F.lit(5)))).alias("kimura"), nine(X.jc69_time(F.col("p"))).alias("jc69"))
 
 
 @query(f"SELECT event_id, {_case('value / 100', '>')} AS left_bin, {_case('value / 100', '>=')} AS right_bin FROM events", cte=False)

@@ -80,3 +80,17 @@ def test_rates_of_columns_with_one_leaf_equal_the_sql(spark, tmp_path):
     got = registry.QUERIES["column_rate_posteriors"](spark, str(tmp_path)).toPandas()
     pd.testing.assert_frame_equal(normal(got), normal(con.sql(registry.ORACLE_SQL["column_rate_posteriors"]).df()), check_dtype=False)
     assert sorted(set(got[got["col"] > 2]["likeliest"])) == [1, 3]
+
+
+def test_distances_equal_the_sql_to_the_sign_of_zero(spark, tmp_path):
+    schema = spark.read.parquet(f"{FOLDER}/lineitem.parquet").schema
+    item = lambda order, number, supp: (order, 7, supp, number, 1.0, 1.0, 0.0, 0.0, "A", "O", datetime.datetime(2020, 1, 1 + number))
+    rows = [item(o, k, 7 if k < same else 8) for o, (n, same) in enumerate([(1, 1), (1, 0), (6, 6), (6, 4), (20, 20), (20, 1)]) for k in range(n)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for name in ("customer", "documents", "nation", "orders", "region"):
+        con.execute(f"CREATE VIEW {name} AS FROM '{FOLDER}/{name}.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = sorted(map(tuple, registry.QUERIES["pair_distances"](spark, str(tmp_path)).collect()))
+    assert [list(map(repr, r)) for r in got] == [list(map(repr, r)) for r in sorted(con.sql(registry.ORACLE_SQL["pair_distances"]).fetchall())]
+    assert repr(got[2][3]) == repr(got[2][4]) == "-0.0"
